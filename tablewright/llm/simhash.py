@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_or_empty
+from .common import checkpoint, partitions, text_or_empty
 from .components import components
 
 DISTANCE = 3
@@ -83,7 +83,7 @@ def _moved(flips: int) -> Callable[[Column], Column]:
 
 def links(prints: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct values fp of prints that join all pairs at most three bits apart."""
-    once = prints.select("fp").distinct()
+    once = prints.select("fp").distinct().repartition(partitions(prints.sparkSession), "fp")  # else the few bytes of all fingerprints meet in a few tasks that write 66 rows for each
     rows = []
     for half, first in enumerate((32, 0)):  # half 0 is the upper one
         mask = _signed(0xFFFFFFFF << first)
