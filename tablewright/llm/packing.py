@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,12 +139,13 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, max_docs: int | None = No
     own = fresh(rows, "shard")
     dealt = rows.withColumn(own, F.pmod(F.xxhash64(*[F.col(c) for c, t in rows.dtypes if not t.startswith("map")], F.monotonically_increasing_id()), F.lit(n)))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        bins, offsets = best_fit(group["length"].to_numpy(), limits, weights, by)
-        return group.assign(sequence_id=(int(group[own].iloc[0]) << 32) + bins, offset=offsets).drop(columns=own)
+    def run(group: pa.Table) -> pa.Table:
+        bins, offsets = best_fit(group.column("length").to_numpy(), limits, weights, by)
+        bins += group.column(own)[0].as_py() << 32
+        return group.drop_columns([own]).append_column("sequence_id", pa.array(bins)).append_column("offset", pa.array(offsets))
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", sequence_id long, offset long"
-    return dealt.groupBy(own).applyInPandas(run, schema)
+    return dealt.groupBy(own).applyInArrow(run, schema)
 
 
 def sequences(placed: DataFrame) -> DataFrame:
