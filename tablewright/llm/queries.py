@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, lm_score, packing, pii, simhash, toxicity, url_rules
+from . import decontaminate, embedding_dedup, licenses, line_dedup, lm_score, packing, pii, simhash, toxicity, url_rules
 from .common import table
 
 
@@ -70,6 +70,10 @@ def _is(kind: str):
     return lambda s: s["kind"] == kind
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("expressions")
 
