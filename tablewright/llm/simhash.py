@@ -2,16 +2,17 @@
 
 Ball hashing, met in the middle. Two 64-bit fingerprints at distance 3 or less
 agree in one 32-bit half up to one bit (half the radius, rounded down), so each
-fingerprint first emits, for either half, the half and its 32 variants of one
-flipped bit: 66 short rows, shuffled on the variant. Where a variant is met by
-two fingerprints, each of them emits the variants of the whole word about it:
-those within one bit (A) and those that flip two bits of the other half (B).
-A and B balls of two fingerprints meet in a word exactly when their distance is
-3 or less: of the differing bits, A takes one (a bit of the close half, if it
-has one) and B takes the rest. In a bucket of one word, the triangle inequality
-puts every member within 3 bits of any A member, so linking all of them to the
-bucket's least A member is exact and stays linear in the size of the bucket;
-no bucket is capped. Links are verified by bit_count(xor) all the same.
+fingerprint emits, for either half, the half and its 32 variants of one flipped
+bit: 66 short rows, shuffled on the variant. Of those that meet in a variant,
+up to ``LIST`` are compared at once. Fuller buckets are split by the same step
+on the other half, in pieces of 16 bits; what is still fuller is resolved by
+balls of the whole word about the variant: A, all within one bit, and B, those
+that flip two bits of the other half. A and B of two fingerprints meet in a
+word exactly when their distance is 3 or less (of the differing bits A takes
+one, B the rest), and by the triangle inequality all members of a word are
+within 3 bits of an A member, so linking all of them to the least A member is
+exact and linear in the bucket. No bucket is capped and no step lists the pairs
+of a group; every link is verified by bit_count(xor).
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from .common import checkpoint, partitions, text_or_empty
 from .components import components
 
 DISTANCE = 3
+LIST = 64
 WORDS = 3
 
 
@@ -91,25 +93,60 @@ def links(prints: DataFrame) -> DataFrame:
         near = _each(_flips(first), _variant(half, mask))
         rows.append(F.concat(F.array(none), near))
     halves = once.select("fp", F.explode(F.concat(*rows)).alias("v")).select("fp", "v.*")
-    # A variant met by one fingerprint only is of no use, nor one that nobody has as its own half and that is met twice by flips: such pairs are two bits apart in this half and meet in the other half too, or by the own half of one of them.
-    met = halves.groupBy("half", "key").agg(F.count("fp").alias("n"), F.min("near").alias("own")).filter("n > 1 and own = 0").select("half", "key")
-    kept = checkpoint(halves.join(met, ["half", "key"]))
-    other = lambda half: 0 if half == 0 else 32  # noqa: E731  first bit of the other half
+    kept = checkpoint(_met(halves, ["half", "key"], "near"))
+    # Buckets that are too full to compare at once: the same step on pieces of the other half.
+    full = kept.filter(F.col("n") > LIST).drop("n")
+    pieces = []
+    for half in (0, 1):
+        for piece, first in enumerate((_other(half), _other(half) + 16)):
+            mask = _signed(0xFFFF << first)
+            none = F.struct(F.lit(piece).alias("piece"), F.col("fp").bitwiseAND(mask).alias("part"), F.lit(0).alias("turned"))
+            near = _each(_flips(first, 16), _part(piece, mask))
+            pieces.append(full.filter(F.col("half") == half).select("half", "key", "near", "fp", F.explode(F.concat(F.array(none), near)).alias("v")).select("half", "key", "near", "fp", "v.*"))
+    split = pieces[0].unionByName(pieces[1]).unionByName(pieces[2]).unionByName(pieces[3])
+    split = checkpoint(_met(split, ["half", "key", "piece", "part"], "turned"))
+    dense = split.filter(F.col("n") > LIST).select("half", "key", "near", "fp").distinct()
+    listed = _listed(kept.filter(F.col("n") <= LIST), ["half", "key"]).unionByName(_listed(split.filter(F.col("n") <= LIST), ["half", "key", "piece", "part"]))
+    pairs = listed.unionByName(_balls(dense)).distinct()
+    return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
+
+
+def _other(half: int) -> int:
+    """The first bit of the half that isn't half."""
+    return 0 if half == 0 else 32
+
+
+def _part(piece: int, mask: int) -> Callable[[Column], Column]:
+    return lambda f: F.struct(F.lit(piece).alias("piece"), F.col("fp").bitwiseXOR(f).bitwiseAND(mask).alias("part"), F.lit(1).alias("turned"))
+
+
+def _met(rows: DataFrame, bucket: list[str], flips: str) -> DataFrame:
+    """rows of buckets that are the own value of one fingerprint and met by another, with n. Two that meet by flips of both alone are two bits apart here and meet elsewhere."""
+    met = rows.groupBy(*bucket).agg(F.count("fp").alias("n"), F.min(flips).alias("own")).filter("n > 1 and own = 0").drop("own")
+    return rows.join(met, bucket)
+
+
+def _listed(rows: DataFrame, bucket: list[str]) -> DataFrame:
+    """Links (a, b) within buckets of at most LIST fingerprints."""
+    lists = rows.groupBy(*bucket).agg(F.collect_set("fp").alias("fps"))
+    close = F.flatten(F.transform("fps", lambda b: F.transform(F.filter("fps", lambda a: (a < b) & (F.bit_count(a.bitwiseXOR(b)) <= DISTANCE)), lambda a: F.struct(a.alias("a"), b.alias("b")))))
+    return lists.select(F.explode(close).alias("v")).select("v.*")
+
+
+def _balls(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of rows (half, key, near, fp) to the least A member of each word that their balls meet in."""
     balls = []
     for half in (0, 1):
-        ones = _flips(other(half))
-        twos = [_signed((1 << (other(half) + i)) | (1 << (other(half) + j))) for i in range(32) for j in range(i)]
-        here = kept.filter(F.col("half") == half)
-        rest = F.col("fp").bitwiseAND(_signed(0xFFFFFFFF << other(half)))
-        word = F.col("key").bitwiseOR(rest)
-        at = here.select("fp", "near", word.alias("word"))
+        first = _other(half)
+        ones, twos = _flips(first), [_signed((1 << (first + i)) | (1 << (first + j))) for i in range(32) for j in range(i)]
+        word = F.col("key").bitwiseOR(F.col("fp").bitwiseAND(_signed(0xFFFFFFFF << first)))
+        at = rows.filter(F.col("half") == half).select("fp", "near", word.alias("word"))
         balls.append(at.select("fp", "word", F.col("near").alias("flips")))
         balls.append(at.filter("near = 0").select("fp", F.explode(F.concat(_each(ones, _moved(1)), _each(twos, _moved(2)))).alias("v")).select("fp", "v.*"))
     ball = balls[0].unionByName(balls[1]).unionByName(balls[2]).unionByName(balls[3])
     least = ball.groupBy("word").agg(F.min(F.when(F.col("flips") <= 1, F.col("fp"))).alias("a"), F.min("fp").alias("low"), F.max("fp").alias("high"))
-    least = checkpoint(least.filter("a is not null and low <> high").select("word", "a"))
-    pairs = ball.select("word", F.col("fp").alias("b")).join(least, "word").filter("a <> b").select("a", "b").distinct()
-    return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
+    least = least.filter("a is not null and low <> high").select("word", "a")
+    return ball.select("word", F.col("fp").alias("b")).join(least, "word").filter("a <> b").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
