@@ -38,7 +38,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _stretches(lines: DataFrame, min_words: int) -> DataFrame:
     """Maximal stretches of repeated lines: doc_id, version, start, ids (array of (h, g)), words (array), s and t (hashes of ids)."""
-    repeated = lines.groupBy("h", "g").agg(F.count("line").alias("n")).filter("n > 1").select("h", "g")
+    # Written first: a join with the aggregate itself would share its exchange, whose hot lines Spark can't split.
+    repeated = checkpoint(lines.groupBy("h", "g").agg(F.count("line").alias("n")).filter("n > 1").select("h", "g"))
     kept = lines.join(repeated, ["h", "g"], "left_semi")
     by_doc = Window.partitionBy("doc_id", "version").orderBy("line")
     islands = kept.withColumn("island", F.col("line") - F.dense_rank().over(by_doc))
