@@ -1,10 +1,336 @@
-"""The registered queries of the validation operators, with their oracles in SQL."""
+"""The registered queries of the validation operators, with their oracles in SQL.
+
+The test tables are clean, so some queries derive nulls, blanks and bad texts
+from keys by arithmetic; the oracle derives the same.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.suggest import nearest
+from ..operators.checks import duplicate_groups, field_violations, unique_violations
+from ..operators.constraints import Format, Length, Pattern, Range, Required
+from ..operators.dependency import Dependency, When, dependency_violations
+from ..operators.integrity import Reference, Rules, Vocabulary, accepted, duplicate_keys, integrity_violations, judge, orphans
+from .transform import drop_null_columns, project
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(query: Query) -> Query:
+        QUERIES[name] = query
+        if sql:
+            ORACLES[name] = sql
+        return query
+
+    return keep
+
+
+# Ranges
+
+
+def _range(name: str, table: str, key: str, column: str, rule: Range, where: str) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = field_violations(_table(spark, sf_dir, table), {column: (column, [rule])}, limit=None, row=key)
+        return found.select(F.col("row_number").alias("key"), "tag", "severity", "field_name", F.col("value").cast("double").alias("value"), "error_message")
+
+    QUERIES[name] = query
+    ORACLES[name] = f"SELECT CAST({key} AS BIGINT) AS key, 'RangeViolation' AS tag, 'error' AS severity, '{column}' AS field_name, CAST({column} AS DOUBLE) AS value, 'Value out of range' AS error_message FROM {table} WHERE {where}"
+
+
+_range("range_inclusive", "lineitem", "l_orderkey", "l_quantity", Range(5, 45), "l_quantity < 5 OR l_quantity > 45")
+_range("range_exclusive", "lineitem", "l_orderkey", "l_discount", Range(0, 0.1, inclusive=False), "l_discount <= 0 OR l_discount >= 0.1")
+_range("range_min_only", "customer", "c_custkey", "c_acctbal", Range(min=0), "c_acctbal < 0")
+_range("range_max_only", "orders", "o_orderkey", "o_totalprice", Range(max=400000), "o_totalprice > 400000")
+
+
+# Formats
+
+_DATE_TEXT = "concat(o_orderkey % 3000, '-', o_orderkey % 14, '-', o_orderkey % 33, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'T10:11:12Z' WHEN 2 THEN 'T25:00:00' ELSE '' END)"
+_NUMBER_TEXT = "CASE o_orderkey % 6 WHEN 0 THEN 'k' || o_orderkey WHEN 1 THEN o_orderkey || '.5' WHEN 2 THEN '1_0' WHEN 3 THEN '1e' || (o_orderkey % 14) WHEN 4 THEN ' ' || o_orderkey ELSE '' END"
+_URL_TEXT = "CASE WHEN page_id % 3 = 0 THEN 'ftp:' || url WHEN page_id % 3 = 1 THEN url ELSE url || ' x' END"
+_MAIL_TEXT = "CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN replace(c_name, '#', '@') || '.org' WHEN 2 THEN 'a@b' ELSE NULL END"
+_UUID_TEXT = "CASE WHEN c_custkey % 2 = 0 THEN '123e4567-e89b-12d3-a456-4266141' || lpad(CAST(c_custkey AS STRING), 5, '0') ELSE c_name END"
+
+
+def _format(name: str, table: str, key: str, text: str, rule: Format, bad: str) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _table(spark, sf_dir, table).selectExpr(key, f"{text} AS txt")
+        return field_violations(df, {"txt": ("txt", [rule])}, limit=None, row=key).select(F.col("row_number").alias("key"), "tag", "value")
+
+    QUERIES[name] = query
+    ORACLES[name] = f"SELECT CAST({key} AS BIGINT) AS key, 'FormatViolation' AS tag, txt AS value FROM (SELECT {key}, {text.replace('AS STRING', 'AS VARCHAR')} AS txt FROM {table}) WHERE txt IS NOT NULL AND trim(txt) <> '' AND ({bad})"
+
+
+_format("format_iso8601", "orders", "o_orderkey", _DATE_TEXT, Format("iso8601"), "try_strptime(txt, '%Y-%m-%d') IS NULL AND try_strptime(txt, '%Y-%m-%dT%H:%M:%S') IS NULL AND try_strptime(txt, '%Y-%m-%dT%H:%M:%SZ') IS NULL AND try_strptime(txt, '%Y-%m') IS NULL AND try_strptime(txt, '%Y') IS NULL")
+_format("format_url", "pages", "page_id", _URL_TEXT, Format("url"), r"NOT regexp_matches(txt, '^https?://[^\s]+$')")
+_format("format_email", "customer", "c_custkey", _MAIL_TEXT, Format("email"), r"NOT regexp_matches(txt, '^[^@\s]+@[^@\s]+\.[^@\s]+$')")
+_format("format_uuid", "customer", "c_custkey", _UUID_TEXT, Format("uuid"), "NOT regexp_matches(txt, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$')")
+_format("format_integer", "orders", "o_orderkey", _NUMBER_TEXT, Format("integer"), "TRY_CAST(txt AS INTEGER) IS NULL")
+_format("format_decimal", "orders", "o_orderkey", _NUMBER_TEXT, Format("decimal-degrees"), "TRY_CAST(txt AS DOUBLE) IS NULL")
+
+
+# Patterns, lengths, presence
+
+
+@_add("pattern", "SELECT CAST(p_partkey AS BIGINT) AS key, p_brand AS value, 'PatternViolation' AS tag FROM part WHERE NOT regexp_matches(p_brand, '^Brand#1')")
+def _pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return field_violations(_table(spark, sf_dir, "part"), {"p_brand": ("p_brand", [Pattern("^Brand#1")])}, limit=None, row="p_partkey").select(F.col("row_number").alias("key"), "value", "tag")
+
+
+@_add("pattern_unusable", "SELECT CAST(0 AS BIGINT) AS row_number, 'PatternViolation' AS tag, '' AS value")
+def _pattern_unusable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return field_violations(_table(spark, sf_dir, "part"), {"p_brand": ("p_brand", [Pattern("(?<=x)y")])}, row="p_partkey").select("row_number", "tag", "value")
+
+
+@_add("length", "SELECT CAST(p_partkey AS BIGINT) AS key, CAST(length(p_name) AS VARCHAR) AS actual FROM part WHERE length(p_name) < 9 OR length(p_name) > 9")
+def _length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return field_violations(_table(spark, sf_dir, "part"), {"p_name": ("p_name", [Length(9, 9)])}, limit=None, row="p_partkey").select(F.col("row_number").alias("key"), F.col("params")["actualLength"].alias("actual"))
+
+
+@_add("length_text", "SELECT doc_id AS key FROM documents WHERE length(text) > 3000")
+def _length_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return field_violations(_table(spark, sf_dir, "documents"), {"text": ("text", [Length(max_length=3000)])}, limit=None, row="doc_id").select(F.col("row_number").alias("key"))
+
+
+_GAPS = "CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  ' ELSE o_orderpriority END"
+
+
+def _required(name: str, rule: Required, bad: str) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_GAPS} AS gap")
+        return field_violations(df, {"gap": ("gap", [rule])}, limit=None, row="o_orderkey").select(F.col("row_number").alias("key"), "severity", "value", "error_message")
+
+    QUERIES[name] = query
+    ORACLES[name] = f"SELECT o_orderkey AS key, '{rule.severity}' AS severity, coalesce(gap, '') AS value, 'Required field \"gap\" is empty or null' AS error_message FROM (SELECT o_orderkey, {_GAPS} AS gap FROM orders) WHERE {bad}"
+
+
+_required("required_strict", Required("required"), "gap IS NULL OR trim(gap) = ''")
+_required("required_allow_empty", Required("recommended", allow_empty=True), "gap IS NULL OR (length(gap) > 0 AND trim(gap) = '')")
+_required("required_allow_blank", Required("optional", allow_empty=True, allow_whitespace=True), "gap IS NULL")
+
+
+@_add("required_strictest", f"SELECT o_orderkey AS key, 'error' AS severity FROM (SELECT o_orderkey, {_GAPS} AS gap FROM orders) WHERE gap IS NULL OR trim(gap) = ''")
+def _strictest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_GAPS} AS gap")
+    return field_violations(df, {"gap": ("gap", [Required("recommended"), Required("required"), Required("optional")])}, limit=None, row="o_orderkey").select(F.col("row_number").alias("key"), "severity")
+
+
+@_add("capped", "SELECT l_orderkey AS row_number, count(*) AS n FROM (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) AS n FROM lineitem WHERE l_quantity > 30) WHERE n <= 100 GROUP BY ALL")
+def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return field_violations(_table(spark, sf_dir, "lineitem"), {"l_quantity": ("l_quantity", [Range(max=30)])}, limit=100, row="l_orderkey").groupBy("row_number").agg(F.count("tag").alias("n"))
+
+
+# Uniqueness and keys
+
+
+@_add("unique_explode", "SELECT doc_id AS key, 'UniquenessViolation' AS tag FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)")
+def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unique_violations(_table(spark, sf_dir, "documents"), "text", limit=None, row="doc_id").select(F.col("row_number").alias("key"), "tag")
+
+
+@_add("unique_topk", "SELECT CAST(user_id AS VARCHAR) AS value, count(*) AS count, CAST(list(event_id ORDER BY event_id) AS VARCHAR) AS rows FROM events GROUP BY user_id HAVING count(*) > 1 ORDER BY count(*) DESC, CAST(user_id AS VARCHAR) LIMIT 10")
+def _unique_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_groups(_table(spark, sf_dir, "events"), "user_id", limit=10, row="event_id").select("value", "count", F.concat(F.lit("["), F.array_join("rows", ", "), F.lit("]")).alias("rows"))
+
+
+@_add("primary_key_dups", "SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS duplicate_count FROM lineitem QUALIFY duplicate_count > 1")
+def _primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.struct("l_orderkey", "l_linenumber").alias("key"))
+    return duplicate_keys(df, "key").select("l_orderkey", "l_linenumber", "l_partkey", "duplicate_count")
+
+
+# Vocabularies
+
+
+@_add("enum_violation", "SELECT event_id AS key, event_type AS value FROM events WHERE event_type NOT IN ('click', 'view', 'signup')")
+def _enum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = Rules("events", vocabularies=(Vocabulary("event_type", "event_type", ("click", "view", "signup")),))
+    return integrity_violations(judge(_table(spark, sf_dir, "events"), rules, "event_id"), rules, "event_id").select(F.col("row_number").alias("key"), "value")
+
+
+_NEAR = ("BUILDNG", "MACHINERY", "FURNITUR", "AUTOMOBIL", "HOUSEHOL")
+
+
+@_add("enum_suggest", f"SELECT c_custkey AS key, (SELECT arg_min(v, d * 100 + k) FROM (SELECT v, k, levenshtein(c_mktsegment, v) AS d FROM (VALUES {', '.join(f'({chr(39)}{v}{chr(39)}, {k})' for k, v in enumerate(_NEAR))}) w(v, k)) WHERE d < 3) AS suggested FROM customer WHERE c_mktsegment NOT IN ({', '.join(f'{chr(39)}{v}{chr(39)}' for v in _NEAR)})")
+def _enum_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = Rules("customer", vocabularies=(Vocabulary("c_mktsegment", "c_mktsegment", _NEAR),))
+    found = integrity_violations(judge(_table(spark, sf_dir, "customer"), rules, "c_custkey"), rules, "c_custkey")
+    return found.select(F.col("row_number").alias("key"), F.col("params")["suggestedValue"].alias("suggested"))
+
+
+@_add("levenshtein_nearest", "SELECT n_nationkey, n_name, (SELECT arg_min(v, d * 100 + k) FROM (SELECT v, k, levenshtein(n_name, v) AS d FROM (VALUES ('FRANCES', 0), ('NATION_2', 1), ('KENIA', 2)) w(v, k)) WHERE d < 3) AS suggested FROM nation")
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", nearest(F.col("n_name"), ["FRANCES", "NATION_2", "KENIA"]).alias("suggested"))
+
+
+# References
+
+
+@_add("fk_orphan", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
+def _orphan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _table(spark, sf_dir, "customer").filter("c_acctbal >= 0")
+    return orphans(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", good, "c_custkey")
+
+
+@_add("fk_cascade", "WITH c AS (SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)) SELECT l_orderkey AS value, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o) GROUP BY l_orderkey")
+def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = Rules("customer", ("c_custkey", "c_custkey"), vocabularies=(Vocabulary("c_mktsegment", "c_mktsegment", ("BUILDING", "MACHINERY")),))
+    good = accepted(judge(_table(spark, sf_dir, "customer"), customers, "c_custkey"), [("c_custkey", "c_custkey")])
+    orders = Rules("orders", ("o_orderkey", "o_orderkey"), references=(Reference("o_custkey", "o_custkey", "customer", "c_custkey"),), parents={"customer": good})
+    good = accepted(judge(_table(spark, sf_dir, "orders"), orders, "o_orderkey"), [("o_orderkey", "o_orderkey")])
+    lines = Rules("lineitem", references=(Reference("l_orderkey", "l_orderkey", "orders", "o_orderkey"),), parents={"orders": good})
+    found = integrity_violations(judge(_table(spark, sf_dir, "lineitem"), lines, "l_orderkey"), lines, "l_orderkey")
+    return found.groupBy(F.col("row_number").alias("value")).agg(F.count("tag").alias("n"))
+
+
+_PARENT = "CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN c_custkey + 1 ELSE CAST(floor(c_custkey / 3) AS BIGINT) END"
+
+
+@_add("fk_self", f"WITH RECURSIVE t AS (SELECT c_custkey, {_PARENT} AS parent FROM customer), good AS (SELECT c_custkey FROM t WHERE parent IS NULL UNION ALL SELECT t.c_custkey FROM t JOIN good g ON t.parent = g.c_custkey AND g.c_custkey < t.c_custkey) SELECT c_custkey AS key, CAST(parent AS VARCHAR) AS value FROM t WHERE c_custkey NOT IN (SELECT c_custkey FROM good)")
+def _self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_PARENT} AS parent")
+    rules = Rules("customer", ("c_custkey", "c_custkey"), references=(Reference("parent", "parent", "customer", "c_custkey"),))
+    return integrity_violations(judge(df, rules, "c_custkey"), rules, "c_custkey").filter("tag = 'ForeignKeyViolation'").select(F.col("row_number").alias("key"), "value")
+
+
+# Dependencies
+
+_FACTS = "SELECT event_id, event_type, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(user_id AS {text}) END AS who, CASE WHEN event_id % 3 = 0 THEN ' ' ELSE CAST(value AS {text}) END AS amount FROM events"
+_FACTS_SQL = _FACTS.format(text="VARCHAR")
+
+
+def _dependency(name: str, rule: Dependency, bad: str) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _table(spark, sf_dir, "events")
+        facts = spark.sql(_FACTS.format(text="STRING").replace("FROM events", "FROM {events}"), events=_table(spark, sf_dir, "events"))
+        return dependency_violations(facts, rule, limit=None, row="event_id").select(F.col("row_number").alias("key"), "severity", "error_message")
+
+    QUERIES[name] = query
+    ORACLES[name] = f"SELECT event_id AS key, '{'error' if rule.level == 'required' else 'warning'}' AS severity, '{rule.told().replace(chr(39), chr(39) * 2)}' AS error_message FROM ({_FACTS_SQL}) WHERE {bad}"
+
+
+_NO_WHO, _NO_AMOUNT = "(who IS NULL OR trim(who) = '')", "(amount IS NULL OR trim(amount) = '')"
+_dependency("dependency_oneof", Dependency(("who", "amount"), one_of=True), f"{_NO_WHO} AND {_NO_AMOUNT}")
+_dependency("dependency_allof", Dependency(("who", "amount"), level="recommended"), f"{_NO_WHO} OR {_NO_AMOUNT}")
+_dependency("dependency_when_equals", Dependency(("amount",), when=When("event_type", equals="purchase")), f"event_type = 'purchase' AND {_NO_AMOUNT}")
+_dependency("dependency_when_in", Dependency(("who",), when=When("event_type", among=("click", "view"))), f"event_type IN ('click', 'view') AND {_NO_WHO}")
+_dependency("dependency_when_present", Dependency(("who",), when=When("amount")), f"NOT {_NO_AMOUNT} AND {_NO_WHO}")
+
+
+# Several checks at once
+
+_MIXED = "SELECT o_orderkey AS rn, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey % 5000 END AS id, CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS st, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderpriority END AS need, CASE WHEN o_orderkey % 19 = 0 THEN -1 ELSE o_custkey END AS fk FROM orders"
+
+
+@_add(
+    "integrity_first_error",
+    f"""
+WITH raw AS ({_MIXED}),
+r AS (SELECT *, st NOT IN ('O', 'F', 'P') AS enum_bad, need IS NULL AS null_bad, id IS NULL AS pk_null, fk IS NOT NULL AND fk NOT IN (SELECT c_custkey FROM customer) AS fk_bad FROM raw),
+c AS (SELECT *, NOT (enum_bad OR null_bad OR pk_null OR fk_bad) AS cand FROM r),
+w AS (SELECT *, min(CASE WHEN cand THEN rn END) OVER (PARTITION BY id) AS winner FROM c)
+SELECT rn, CASE WHEN enum_bad THEN 'enum' WHEN id IS NOT NULL AND rn > winner THEN 'pk' WHEN null_bad THEN 'null' WHEN fk_bad THEN 'fk' WHEN pk_null THEN 'key_null' ELSE 'ok' END AS kind FROM w
+""",
+)
+def _first_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.sql(_MIXED.replace("FROM orders", "FROM {orders}"), orders=_table(spark, sf_dir, "orders"))
+    rules = Rules("orders", ("id", "id"), not_null=(("need", "need"),), vocabularies=(Vocabulary("st", "st", ("O", "F", "P")),), references=(Reference("fk", "fk", "customer", "c_custkey"),), parents={"customer": _table(spark, sf_dir, "customer")})
+    return judge(raw, rules, "rn").select("rn", "kind")
+
+
+_FUSED = {
+    "l_quantity": ("quantity", [Range(2, 49), Required()]),
+    "l_discount": ("discount", [Range(max=0.09), Format("decimal-degrees")]),
+    "l_returnflag": ("flag", [Pattern("^[AN]$"), Length(1, 1)]),
+    "l_tax": ("tax", [Range(0.01, 0.07)]),
+}
+_FUSED_SQL = """
+SELECT l_orderkey AS key, 'RangeViolation' AS tag, 'quantity' AS target_name, 'error' AS severity FROM lineitem WHERE l_quantity < 2 OR l_quantity > 49
+UNION ALL SELECT l_orderkey, 'RangeViolation', 'discount', 'error' FROM lineitem WHERE l_discount > 0.09
+UNION ALL SELECT l_orderkey, 'PatternViolation', 'flag', 'error' FROM lineitem WHERE NOT regexp_matches(l_returnflag, '^[AN]$')
+UNION ALL SELECT l_orderkey, 'RangeViolation', 'tax', 'error' FROM lineitem WHERE l_tax < 0.01 OR l_tax > 0.07
+"""
+
+
+@_add("fused_validation", _FUSED_SQL)
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return field_violations(_table(spark, sf_dir, "lineitem"), _FUSED, limit=None, row="l_orderkey").select(F.col("row_number").alias("key"), "tag", "target_name", "severity")
+
+
+@_add("severity_summary", f"SELECT severity, count(*) AS n, count(DISTINCT target_name) AS fields FROM ({_FUSED_SQL}) GROUP BY severity")
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir).groupBy("severity").agg(F.count("tag").alias("n"), F.countDistinct("target_name").alias("fields"))
+
+
+@_add("violations_by_field", f"SELECT target_name, tag, count(*) AS n FROM ({_FUSED_SQL}) GROUP BY ALL")
+def _by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir).groupBy("target_name", "tag").agg(F.count("severity").alias("n"))
+
+
+@_add("dataset_status", f"SELECT 'lineitem' AS dataset, CASE WHEN count(*) FILTER (severity = 'error') > 0 THEN 'fail' WHEN count(*) FILTER (severity = 'warning') > 0 THEN 'warn' ELSE 'pass' END AS status, (SELECT count(*) FROM lineitem) AS rows FROM ({_FUSED_SQL})")
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _fused(spark, sf_dir).agg(F.count_if(F.col("severity") == "error").alias("e"), F.count_if(F.col("severity") == "warning").alias("w"))
+    rows = _table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("rows"))
+    return found.join(rows).select(F.lit("lineitem").alias("dataset"), F.when(F.col("e") > 0, "fail").when(F.col("w") > 0, "warn").otherwise("pass").alias("status"), "rows")
+
+
+# Transforms
+
+
+@_add("row_count", "SELECT count(*) AS rows FROM lineitem")
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@_add("rename_projection", "SELECT c_custkey AS customerID, c_name AS label FROM customer")
+def _rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customerID"), F.col("c_name").alias("label"))
+
+
+@_add("drop_null_columns", "SELECT c_custkey, c_name FROM customer")
+def _drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_null_columns(_table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name", "CAST(NULL AS STRING) AS remarks", "nullif(c_acctbal, c_acctbal) AS gone"))
+
+
+def _transform(name: str, sources: dict[str, str], fields: dict[str, str | float | None], oracle: str) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables = {t: _table(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders", "lineitem", "events", "part", "supplier")}
+        return project(spark, tables, sources, fields)
+
+    QUERIES[name], ORACLES[name] = query, oracle
+
+
+_transform("transform_envelope", {"e": "(SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, avg(o_totalprice) AS mid FROM orders)"}, {"lo": "e.lo", "hi": "e.hi", "mid": "round(e.mid, 2)", "kind": "'envelope'"}, "SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, round(avg(o_totalprice), 2) AS mid, 'envelope' AS kind FROM orders")
+_transform(
+    "transform_rollup",
+    {"t": "(SELECT o_custkey, o_orderstatus, min(o_totalprice) AS lo, max(o_totalprice) AS hi, string_agg(CAST(o_orderkey AS STRING)) AS ids FROM orders GROUP BY o_custkey, o_orderstatus)"},
+    {"who": "concat_ws('-', o_custkey, o_orderstatus)", "lo": "lo", "hi": "hi", "idLength": "length(ids)"},
+    "SELECT concat_ws('-', o_custkey, o_orderstatus) AS who, min(o_totalprice) AS lo, max(o_totalprice) AS hi, length(string_agg(CAST(o_orderkey AS VARCHAR), ',')) AS idLength FROM orders GROUP BY o_custkey, o_orderstatus",
+)
+_transform("transform_distinct", {"t": "(SELECT DISTINCT c_mktsegment, c_nationkey FROM customer)"}, {"segment": "c_mktsegment", "nation": "c_nationkey"}, "SELECT DISTINCT c_mktsegment AS segment, c_nationkey AS nation FROM customer")
+_transform("transform_left_join", {"t": "(SELECT n.n_name, r.r_name, s.s_name FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey AND r.r_name LIKE 'A%' LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey)"}, {"place": "n_name", "part": "r_name", "supplier": "s_name"}, "SELECT n.n_name AS place, r.r_name AS part, s.s_name AS supplier FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey AND r.r_name LIKE 'A%' LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey")
+_transform("transform_case_alias", {"p": "part"}, {"kind": "CASE WHEN p_type LIKE '%STEEL%' THEN 'steel' ELSE 'other' END", "unit": "CASE WHEN kind = 'steel' THEN 'kg' ELSE 'piece' END", "id": "p_partkey"}, "SELECT CASE WHEN p_type LIKE '%STEEL%' THEN 'steel' ELSE 'other' END AS kind, CASE WHEN p_type LIKE '%STEEL%' THEN 'kg' ELSE 'piece' END AS unit, p_partkey AS id FROM part")
+_transform("transform_cross_sources", {"n": "nation", "e": "(SELECT min(c_acctbal) AS lo FROM customer)"}, {"name": "n.n_name", "lo": "e.lo"}, "SELECT n.n_name AS name, e.lo FROM nation n, (SELECT min(c_acctbal) AS lo FROM customer) e")
+_transform("transform_concat_ids", {"o": "orders"}, {"id": "'ord' || o_orderkey || ':' || strftime(o_orderdate, '%Y%m%d')", "day": "strftime(o_orderdate, '%d')"}, "SELECT 'ord' || o_orderkey || ':' || strftime(o_orderdate, '%Y%m%d') AS id, strftime(o_orderdate, '%d') AS day FROM orders")
+_transform("transform_split_part", {"o": "(SELECT * FROM orders WHERE split_part(o_orderpriority, '-', 2) IS NOT NULL)"}, {"key": "o_orderkey", "level": "split_part(o_orderpriority, '-', 1)", "rest": "TRIM(REPLACE(split_part(o_orderpriority, '-', 2), 'E', 'e'))", "short": "o_orderpriority[0:2]"}, "SELECT o_orderkey AS key, split_part(o_orderpriority, '-', 1) AS level, trim(replace(split_part(o_orderpriority, '-', 2), 'E', 'e')) AS rest, substring(o_orderpriority, 1, 2) AS short FROM orders")
+_transform("transform_rownum", {"c": "(SELECT *, c_custkey AS _row_number FROM customer WHERE c_acctbal > 0)"}, {"id": "concat('c', row_number() OVER ())", "key": "c_custkey", "score": 5, "nothing": "CAST(NULL AS STRING)"}, "SELECT 'c' || row_number() OVER (ORDER BY c_custkey) AS id, c_custkey AS key, 5 AS score, CAST(NULL AS VARCHAR) AS nothing FROM customer WHERE c_acctbal > 0")
+
+
+@_add("transform_union_by_name", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS label, CAST(NULL AS VARCHAR) AS size FROM customer UNION ALL SELECT CAST(p_partkey AS VARCHAR), NULL, CAST(p_size AS VARCHAR) FROM part")
+def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {t: _table(spark, sf_dir, t) for t in ("customer", "part")}
+    one = project(spark, tables, {"c": "customer"}, {"id": "CAST(c_custkey AS STRING)", "label": "c_name"})
+    two = project(spark, tables, {"p": "part"}, {"id": "CAST(p_partkey AS STRING)", "size": "CAST(p_size AS STRING)"})
+    return one.unionByName(two, allowMissingColumns=True)
