@@ -82,6 +82,8 @@ def discover(path: str | Path = ".", names: tuple[str, ...] = FILE_NAMES) -> Pat
     at = Path(path).resolve()
     if at.is_file():
         return at
+    if at.suffix in (".yaml", ".yml", ".json"):
+        raise ConfigError([f"{path}: no such file"])
     for folder in [at, *at.parents][: UPWARD + 1]:
         for name in names:
             if (folder / name).is_file():

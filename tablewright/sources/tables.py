@@ -78,7 +78,7 @@ def typed(df: DataFrame, keep: Sequence[str] = (ROW,)) -> DataFrame:
     texts = [c for c, t in df.dtypes if t == "string" and c not in keep]
     if not texts:
         return df
-    verdicts = [F.coalesce(F.bool_and(ok), F.lit(False)).alias(f"{k}:{kind}") for k, c in enumerate(texts) for kind, ok in _shapes(F.col(f"`{c}`")).items()]
+    verdicts = [F.coalesce(F.bool_and(F.when(F.col(f"`{c}`").isNotNull(), ok)), F.lit(False)).alias(f"{k}:{kind}") for k, c in enumerate(texts) for kind, ok in _shapes(F.col(f"`{c}`")).items()]
     found = df.agg(*verdicts).first().asDict()
     kinds = {c: next((kind for kind in _shapes(F.lit("")) if found[f"{k}:{kind}"]), "string") for k, c in enumerate(texts)}
     return df.select(*[F.col(f"`{c}`").cast(kinds.get(c, t)).alias(c) for c, t in df.dtypes])
