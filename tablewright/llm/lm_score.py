@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,7 +35,8 @@ FAN = 64
 START = 0  # the word before a document's first; words have numbers from 1
 ADD = 0.1  # to each word's count
 PRIOR = 20.0  # weight of the word's own probability among the pairs of its predecessor
-CACHED = 500_000
+CACHED = 100_000
+FLUSH = 300_000  # tokens that a task holds before it counts them
 
 _BLOCKS = 1 << (PAIR_BITS - BLOCK_BITS)
 _WORD_BLOCKS = 1 << (WORD_BITS - BLOCK_BITS)
@@ -132,7 +132,7 @@ def count(docs: DataFrame) -> Models:
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
-        words, both = np.zeros((2, 1 << WORD_BITS), np.int64), np.zeros((2, 1 << PAIR_BITS), np.int64)
+        words, both = np.zeros((2, 1 << WORD_BITS), np.int64), np.zeros((2, 1 << PAIR_BITS), np.int32)
         seen = False
         for batch in batches:
             waiting: list[list[np.ndarray]] = [[], []]
@@ -153,7 +153,7 @@ def count(docs: DataFrame) -> Models:
                 seen = True
                 waiting[target].append(own := numbers(text, vocabulary))
                 size += len(own)
-                if size > 2_000_000:
+                if size > FLUSH:
                     flush()
                     size = 0
             flush()
@@ -166,14 +166,14 @@ def count(docs: DataFrame) -> Models:
     found = checkpoint(slim.mapInArrow(tables, "block int, counts binary").withColumn("part", F.spark_partition_id()))
     parts = (found.agg(F.max("part")).first()[0] or 0) + 1
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
+    def merge(group: pa.Table) -> pa.Table:
         total = np.zeros(block, np.int64)
-        for packed in group["counts"]:
-            _add(packed, total)
-        return pd.DataFrame({"block": group["block"].iloc[:1].astype("int32"), "counts": [_packed(total)], "part": group["up"].iloc[:1].astype("int32")})
+        for packed in group.column("counts"):
+            _add(packed.as_py(), total)
+        return pa.table({"block": group.column("block")[:1], "counts": pa.array([_packed(total)], pa.binary()), "part": group.column("up")[:1]})
 
     while True:
-        found = found.withColumn("up", (F.col("part") / FAN).cast("int")).groupBy("block", "up").applyInPandas(merge, "block int, counts binary, part int")
+        found = found.withColumn("up", (F.col("part") / FAN).cast("int")).groupBy("block", "up").applyInArrow(merge, "block int, counts binary, part int")
         parts = -(-parts // FAN)
         if parts <= 1:
             break
