@@ -33,7 +33,7 @@ from .common import checkpoint, partitions
 from .components import components
 
 COSINE = 0.93
-PROBES = 12
+PROBES = 6
 SAMPLE = 20_000
 PER_LIST = 400
 MAX_LISTS = 4_096
@@ -99,16 +99,19 @@ def fit(sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, codewords: i
     return Quantizer(centroids, [(slice(a, b), _means(rest[:, a:b], min(codewords, len(rest)), 8, rng, False)) for a, b in zip(edges[:-1], edges[1:])])
 
 
-def unit_vector(values: list | None) -> np.ndarray | None:
-    """Of length 1 in double precision; None if it is null, empty, zero or holds null or non-finite components."""
+def usable(values: list | None) -> bool:
+    """Not null, empty or zero, and without null or non-finite components."""
     if not values or any(v is None for v in values):
-        return None
+        return False
     own = np.array(values, dtype=np.float64)
-    top = np.abs(own).max() if np.isfinite(own).all() else 0
-    if not top > 0:
-        return None
-    own = own / top
-    return own / np.sqrt((own * own).sum())
+    return bool(np.isfinite(own).all() and own.any())
+
+
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision."""
+    own = vectors.astype(np.float64)
+    own /= np.abs(own).max(axis=1, keepdims=True)  # else squares of very large or small numbers would be lost
+    return own / np.sqrt((own * own).sum(axis=1, keepdims=True))
 
 
 def _forest(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
@@ -127,34 +130,36 @@ def _forest(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[t
 
 
 def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows (vec_id, label, h, g, size) of valid vectors and classes (label, size, h, g, first, n, unit) of equal ones."""
-    slim = vectors.select("vec_id", F.col("label"), F.col("embedding").cast("array<double>").alias("embedding")).filter("label is not null and embedding is not null")
+    """rows (vec_id, label, size, h, g) of usable vectors and classes (label, size, h, g, first, n, raw, cls) of equal ones. raw: the components as bytes, singly precise where the column is."""
+    kind = np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
+    slim = vectors.select("vec_id", "label", F.col("embedding") if kind == np.float32 else F.col("embedding").cast("array<double>").alias("embedding")).filter("label is not null and embedding is not null")
     types = {f.name: f.dataType.simpleString() for f in slim.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [unit_vector(v) for v in batch.column("embedding").to_pylist()]
-            keep = pa.array([k for k, u in enumerate(own) if u is not None], pa.int64())
-            units = [u.tobytes() for u in own if u is not None]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(keep), batch.column("label").take(keep), pa.array(units, pa.binary())], ["vec_id", "label", "unit"])
+            own = batch.column("embedding").to_pylist()
+            keep = [k for k, v in enumerate(own) if usable(v)]
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("label").take(at), pa.array([np.array(own[k], kind).tobytes() for k in keep], pa.binary())], ["vec_id", "label", "raw"])
 
-    units = slim.mapInArrow(run, f"vec_id {types['vec_id']}, label {types['label']}, unit binary")
-    keyed = checkpoint(units.select("vec_id", "label", "unit", F.length("unit").alias("size"), F.xxhash64("unit").alias("h"), F.xxhash64(F.lit(97), "unit").alias("g")))
-    grouped = keyed.groupBy("label", "size", "h", "g").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("unit").alias("unit"))
-    return keyed.drop("unit"), checkpoint(grouped.withColumn("cls", F.monotonically_increasing_id()))
+    raw = slim.mapInArrow(run, f"vec_id {types['vec_id']}, label {types['label']}, raw binary")
+    keyed = checkpoint(raw.select("vec_id", "label", "raw", F.length("raw").alias("size"), F.xxhash64("raw").alias("h"), F.xxhash64(F.lit(97), "raw").alias("g")))
+    grouped = keyed.groupBy("label", "size", "h", "g").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("raw").alias("raw"))
+    return keyed.drop("raw"), checkpoint(grouped.withColumn("cls", F.monotonically_increasing_id()))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    rows = [np.frombuffer(u, np.float64) for u in column.to_pylist()]
-    return np.stack(rows) if rows else np.zeros((0, 1))
+def _matrix(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
+    """Unit vectors of raw ones."""
+    rows = [np.frombuffer(u, kind) for u in column.to_pylist()]
+    return units(np.stack(rows)) if rows else np.zeros((0, 1))
 
 
-def _of_size(classes: DataFrame, size: int, least: float, probes: int) -> tuple[DataFrame, DataFrame]:
+def _of_size(classes: DataFrame, kind: type, least: float, probes: int) -> tuple[DataFrame, DataFrame]:
     """(cls, links) in parts to be added up, and edges (a, b), among the classes whose vectors take size bytes."""
     spark = classes.sparkSession
     total = classes.count()
-    drawn = classes.orderBy("h", "g", "label").limit(SAMPLE).select("unit").toArrow()
-    sample = _matrix(drawn.column("unit"))
+    drawn = classes.orderBy("h", "g", "label").limit(SAMPLE).select("raw").toArrow()
+    sample = _matrix(drawn.column("raw"), kind)
     quantizer = fit(sample, max(1, min(MAX_LISTS, len(sample) // 8, total // PER_LIST)))
     shared = spark.sparkContext.broadcast(quantizer)  # at most MAX_LISTS centroids
 
@@ -162,20 +167,20 @@ def _of_size(classes: DataFrame, size: int, least: float, probes: int) -> tuple[
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit = _matrix(batch.column("unit"))
+            unit = _matrix(batch.column("raw"), kind)
             near = shared.value.lists(unit, probes)
             codes, error = shared.value.encode(unit, near[:, 0])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cls", "label", "n", "unit")), pa.array(near[:, 0].astype(np.int32)), pa.array([r.tolist() for r in near], pa.list_(pa.int32())), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(error)], ["cls", "label", "n", "unit", "own", "near", "codes", "error"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cls", "label", "n", "raw")), pa.array(near[:, 0].astype(np.int32)), pa.array([r.tolist() for r in near], pa.list_(pa.int32())), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(error)], ["cls", "label", "n", "raw", "own", "near", "codes", "error"])
 
     label = classes.schema["label"].dataType.simpleString()
-    indexed = checkpoint(classes.select("cls", "label", "n", "unit").repartition(partitions(spark), "cls").mapInArrow(index, f"cls long, label {label}, n long, unit binary, own int, near array<int>, codes binary, error double"))
-    queries = indexed.select("cls", "label", "n", "unit", "own", "near", F.explode("near").alias("list"))
+    indexed = checkpoint(classes.select("cls", "label", "n", "raw").repartition(partitions(spark), "cls").mapInArrow(index, f"cls long, label {label}, n long, raw binary, own int, near array<int>, codes binary, error double"))
+    queries = indexed.select("cls", "label", "n", "raw", "own", F.explode("near").alias("list"))
     have = indexed.groupBy("label", F.col("own").alias("list")).agg(F.count("cls").alias("have"))
     ask = queries.groupBy("label", "list").agg(F.count("cls").alias("ask"))
     sizes = checkpoint(have.join(ask, ["label", "list"]).select("label", "list", F.ceil(F.col("have") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("ask") / BLOCK).cast("int").alias("askers")))
     turn = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(n)).cast("int")
-    stored = indexed.withColumnRenamed("own", "list").join(sizes, ["label", "list"]).select("label", "list", turn("blocks", 1).alias("block"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("asker"), F.lit(False).alias("asks"), "cls", "n", "unit", F.col("list").alias("own"), "near", "codes", "error")
-    asking = queries.join(sizes, ["label", "list"]).select("label", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), turn("askers", 2).alias("asker"), F.lit(True).alias("asks"), "cls", "n", "unit", "own", "near", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"))
+    stored = indexed.withColumnRenamed("own", "list").join(sizes, ["label", "list"]).select("label", "list", turn("blocks", 1).alias("block"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("asker"), F.lit(False).alias("asks"), "cls", "n", "raw", F.col("list").alias("own"), "near", "codes", "error")
+    asking = queries.join(sizes, ["label", "list"]).select("label", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), turn("askers", 2).alias("asker"), F.lit(True).alias("asks"), "cls", "n", "raw", "own", F.lit(None).cast("array<int>").alias("near"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"))
 
     def compare(group: pa.Table) -> pa.Table:
         asks = np.array(group.column("asks").to_pylist(), bool)
@@ -183,7 +188,7 @@ def _of_size(classes: DataFrame, size: int, least: float, probes: int) -> tuple[
         out: list[tuple[int, int | None, int]] = []
         if q.num_rows and x.num_rows:
             here = x.column("list")[0].as_py()
-            qu, xu = _matrix(q.column("unit")), _matrix(x.column("unit"))
+            qu, xu = _matrix(q.column("raw"), kind), _matrix(x.column("raw"), kind)
             codes = np.stack([np.frombuffer(c, np.uint8) for c in x.column("codes").to_pylist()])
             error = x.column("error").to_numpy()
             qi, xi = q.column("cls").to_numpy(), x.column("cls").to_numpy()
@@ -219,9 +224,10 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, probes: int = PRO
     rows: no rows. Other columns are not carried.
     """
     rows, classes = _classes(vectors)
+    kind = np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
     counts, edges = [], []
     for size in sorted(r["size"] for r in classes.select("size").distinct().collect()):  # lengths of vectors in use: one, as a rule
-        own = _of_size(classes.filter(F.col("size") == size), size, least, probes)
+        own = _of_size(classes.filter(F.col("size") == size), kind, least, probes)
         counts.append(own[0]), edges.append(own[1])
     if counts:
         links, graph = counts[0], edges[0]

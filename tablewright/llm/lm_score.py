@@ -85,13 +85,11 @@ class Models:
         out = []
         for m in (1, 0):
             word_n, before_n = self.words[m][words].astype(float), self.words[m][before].astype(float)
-            pair_n, total, documents = self.pairs[m][pair].astype(float), self.totals[m], 1.0
+            pair_n, total = self.pairs[m][pair].astype(float), self.totals[m]
             if m == int(target):  # less its own
                 _, at, own = np.unique(words, return_inverse=True, return_counts=True)
                 own_words = own[at]
-                lookup = dict(zip(words.tolist(), own_words.tolist()))
-                lookup[START] = documents
-                before_n = before_n - np.array([lookup[b] for b in before.tolist()])
+                before_n = before_n - np.concatenate([[1], own_words[:-1]])
                 _, at, own = np.unique(pair, return_inverse=True, return_counts=True)
                 word_n, pair_n, total = word_n - own_words, pair_n - own[at], total - len(words)
             p = (np.maximum(word_n, 0) + ADD) / (max(total, 0) + ADD * (1 << WORD_BITS))
