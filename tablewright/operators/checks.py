@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..plans.lineage import cut
 from .constraints import Constraint, Pattern, Required, Unique, effective
 
 ROW = "_row_number"
@@ -89,12 +90,13 @@ def duplicate_groups(df: DataFrame, key: str, limit: int | None = LIMIT, row: st
 def unique_violations(df: DataFrame, field: str, target: str | None = None, constraint: Unique | None = None, limit: int | None = LIMIT, row: str = ROW) -> DataFrame:
     """One violation per row of a repeated value; limit counts values, not rows. Nulls are never repeated.
 
-    Rows are joined with the repeated values and not gathered in lists, so a
-    value that a third of all rows hold is a skewed join, not one group.
+    Rows are joined with the repeated values, which are written first, and not
+    gathered in lists: a value that a third of all rows hold is a join that Spark
+    can broadcast or split, not one group.
     """
     text = _text(df, field)
     counted = df.select(text.alias("value")).filter("value is not null").groupBy("value").agg(F.count("value").alias("n")).filter("n > 1")
     top = counted if limit is None else counted.orderBy(F.desc("n"), "value").limit(limit)
-    member = df.select(text.alias("value"), F.col(row).cast("bigint").alias("row_number")).join(top.select("value"), "value")
+    member = df.select(text.alias("value"), F.col(row).cast("bigint").alias("row_number")).join(cut(top.select("value")), "value")
     message = F.lit(constraint.message) if constraint and constraint.message else F.concat(F.lit('Duplicate value: "'), F.col("value"), F.lit('"'))
     return member.select(F.lit(Unique.tag).alias("tag"), F.lit("error").alias("severity"), F.lit(field).alias("field_name"), F.lit(target or field).alias("target_name"), "row_number", "value", message.alias("error_message"), _params({}).alias("params"))

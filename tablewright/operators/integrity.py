@@ -13,11 +13,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.suggest import nearest
+from ..plans.lineage import cut
 from .checks import ROW, _params
 
 
@@ -70,15 +71,15 @@ def _of_type(text: Column, kind: str) -> Column:
 
 
 def orphans(df: DataFrame, column: str, parents: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose non-null column is no key of parents."""
-    keys = parents.select(F.col(key).cast("string").alias("_parent_key")).distinct()
+    """The rows of df whose non-null column is no key of parents. An anti-join needs no distinct keys, and without them Spark can split a key that many rows refer to."""
+    keys = parents.select(F.col(key).cast("string").alias("_parent_key")).filter("_parent_key is not null")
     return df.filter(F.col(column).isNotNull()).join(keys, F.col(column).cast("string") == F.col("_parent_key"), "left_anti")
 
 
 def duplicate_keys(df: DataFrame, column: str) -> DataFrame:
     """All rows of a repeated non-null key, with duplicate_count."""
     counted = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("duplicate_count")).filter("duplicate_count > 1")
-    return df.join(counted, column)
+    return df.join(cut(counted), column)
 
 
 def judge(df: DataFrame, rules: Rules, row: str = ROW) -> DataFrame:
@@ -94,15 +95,17 @@ def judge(df: DataFrame, rules: Rules, row: str = ROW) -> DataFrame:
         if r.target_dataset == rules.dataset:
             continue  # within the table itself: see self_accepted
         parents = rules.parents[r.target_dataset].select(F.col(f"`{r.target_field}`").cast("string").alias(f"_to{k}")).filter(F.col(f"_to{k}").isNotNull()).distinct().withColumn(f"_hit{k}", F.lit(True))
-        out = out.join(parents, _text(df, r.column) == F.col(f"_to{k}"), "left")
+        out = out.join(cut(parents), _text(df, r.column) == F.col(f"_to{k}"), "left")
         misses.append((k, _text(df, r.column).isNotNull() & F.col(f"_hit{k}").isNull()))
     fk = F.coalesce(*[F.when(m, F.lit(k)) for k, m in misses]) if misses else F.lit(None).cast("int")
     out = out.withColumn("_fk", fk)
     key_null = F.col("_key").isNull() if rules.key else F.lit(False)
     clean = F.col("_enum").isNull() & F.col("_type").isNull() & F.col("_null").isNull() & F.col("_fk").isNull() & ~key_null
     if rules.key:
-        out = out.withColumn("_winner", F.min(F.when(clean, F.col(row))).over(Window.partitionBy("_key")))
-        taken = F.col("_key").isNotNull() & (F.col(row) > F.col("_winner"))
+        # Only repeated keys can be taken: a small table, written so that the join with it is one that Spark can broadcast or split.
+        repeated = out.filter("_key is not null").groupBy(F.col("_key").alias("_taken")).agg(F.min(F.when(clean, F.col(row))).alias("_winner"), F.count(F.lit(1)).alias("_times"))
+        out = out.join(cut(repeated.filter("_times > 1").drop("_times")), F.col("_key") == F.col("_taken"), "left")
+        taken = F.coalesce(F.col(row) > F.col("_winner"), F.lit(False))
     else:
         taken = F.lit(False)
     kind = F.when(F.col("_enum").isNotNull(), "enum").when(F.col("_type").isNotNull(), "type").when(taken, "pk").when(F.col("_null").isNotNull(), "null").when(F.col("_fk").isNotNull(), "fk").when(key_null, "key_null").otherwise("ok")
@@ -121,8 +124,6 @@ def self_accepted(judged: DataFrame, number: int, r: Reference, key: str, row: s
     accepted and comes earlier, until none is added; a hierarchy deeper than
     rounds is an error, not a wrong result.
     """
-    from ..plans.lineage import cut
-
     text = F.col(f"`{r.column}`").cast("string")
     open_rows = cut(judged.filter("kind = 'ok'").select(F.col(row).alias("_n"), F.col(f"`{key}`").cast("string").alias("_k"), text.alias("_p")))
     accepted = open_rows.filter("_p is null").select("_n", "_k")
@@ -157,7 +158,7 @@ def integrity_violations(judged: DataFrame, rules: Rules, row: str = ROW) -> Dat
         column, target = rules.key
         taken = judged.filter("kind = 'pk'").select(F.col(f"`{column}`").alias("_taken")).distinct()
         counted = judged.groupBy(F.col(f"`{column}`").alias("_taken")).agg(F.count(F.lit(1)).alias("_n"))
-        rows = judged.join(counted.join(taken, "_taken"), F.col(f"`{column}`") == F.col("_taken"))
+        rows = judged.join(cut(counted.join(taken, "_taken")), F.col(f"`{column}`") == F.col("_taken"))
         text = _text(judged, column)
         add(rows, "PrimaryKeyViolation", F.lit("error"), F.lit(column), F.lit(target), text, F.concat(F.lit('Duplicate primary key: "'), text, F.lit('"')), {"constraintType": F.lit("primary-key"), "duplicateCount": F.col("_n").cast("string")})
         add(judged.filter("kind = 'key_null'"), "NotNullViolation", F.lit("error"), F.lit(column), F.lit(target), F.lit(""), F.lit(f'Required field "{column}" cannot be NULL'), {})

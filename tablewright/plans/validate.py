@@ -17,6 +17,7 @@ from ..operators.integrity import Reference, Rules, Vocabulary, accepted, integr
 from ..sources.tables import check_inputs, read_table
 from . import dictionary, profiles
 from .config import Config, DatasetConfig
+from .lineage import cut
 from .relations import ForeignKey, Shape, infer, targets_first
 from .resolution import Diagnostic, ResolvedField, active_variant, resolve_fields
 
@@ -163,7 +164,7 @@ def validate(spark: SparkSession, config: Config, base: str = ".", fail_fast: bo
         rules[name] = integrity_rules(by_name[name], specs[name], variant, fields[name], columns, keys, dict(parents))
         judged[name] = judge(tables[name], rules[name])
         if name in targets:
-            parents[name] = accepted(judged[name], [(f.origin, t) for t, f in fields[name].items() if f.origin in columns])
+            parents[name] = cut(accepted(judged[name], [(f.origin, t) for t, f in fields[name].items() if f.origin in columns and t in {k.target_field for k in keys}]))
     out = []
     for d in v.datasets:
         since = time.time()
