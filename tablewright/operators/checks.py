@@ -1,10 +1,11 @@
 """Violations of field constraints, all row-local ones of a table in one scan.
 
-Every (field, constraint) pair becomes one struct with a flag; the scan keeps
-the flagged ones and explodes them, so K constraints cost one pass over the
-columns they read. The cap per constraint is a window limit that Spark applies
-before and after the exchange, so at most ``limit`` rows a constraint and task
-are shuffled.
+Each (field, constraint) pair is one boolean expression. Rows that break none
+are dropped by one filter over all of them, which reaches the scan where it is
+simple enough; values, messages and parameters are made for broken pairs only.
+So K constraints cost one pass over the columns they read. The cap per
+constraint is a window limit that Spark applies before and after the exchange,
+so at most ``limit`` rows a constraint and task are shuffled.
 """
 
 from __future__ import annotations
@@ -32,46 +33,63 @@ def _params(params: Mapping[str, Column]) -> Column:
     return F.create_map(*flat).cast("map<string,string>") if flat else F.expr("cast(map() as map<string,string>)")
 
 
-def _one(number: int, target: str, field: str, c: Constraint, text: Column) -> Column:
-    return F.struct(
-        F.lit(number).alias("check"),
-        F.lit(c.tag).alias("tag"),
-        F.lit(c.severity if isinstance(c, Required) else "error").alias("severity"),
-        F.lit(field).alias("field_name"),
-        F.lit(target).alias("target_name"),
-        F.coalesce(text, F.lit("")).alias("value"),
-        c.explain(text, field).alias("error_message"),
-        _params(c.params(text)).alias("params"),
-        F.coalesce(c.broken(text), F.lit(False)).alias("broken"),
-    )
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _number(df: DataFrame, name: str) -> Column | None:
+    return F.col(f"`{name}`").cast("double") if dict(df.dtypes)[name] in NUMERIC else None
+
+
+def _by_check(values: Sequence[Column]) -> Column:
+    """The value of the check at hand, computed for that one only."""
+    out = F.when(F.col("_check") == 1, values[0])
+    for k, v in enumerate(values[1:], 2):
+        out = out.when(F.col("_check") == k, v)
+    return out
+
+
+def _constant(values: Sequence[str]) -> Column:
+    return F.lit(values[0]) if len(set(values)) == 1 else F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_check"))
 
 
-def field_violations(df: DataFrame, fields: Mapping[str, tuple[str, Sequence[Constraint]]], limit: int | None = LIMIT, row: str = ROW, texts: Mapping[str, Column] | None = None) -> DataFrame:
+def field_violations(df: DataFrame, fields: Mapping[str, tuple[str, Sequence[Constraint]]], limit: int | None = LIMIT, row: str = ROW) -> DataFrame:
     """Row-local violations of df, whose column row numbers its rows.
 
     fields: column to (target name, constraints). At most limit per constraint,
     the least row numbers; None: all. A pattern that the matcher can't run gives
     one violation with row number 0.
     """
-    own = texts or {}
-    checks, broken_patterns, number = [], [], 0
-    for field, (target, constraints) in fields.items():
-        text = own[field] if field in own else _text(df, field)
+    checks, unusable = [], []
+    for name, (target, constraints) in fields.items():
         for c in effective(constraints):
-            number += 1
             if isinstance(c, Pattern) and not c.usable:
-                broken_patterns.append((c.tag, "error", field, target, 0, "", f'Invalid regex pattern "/{c.pattern}/"', {"pattern": c.pattern}))
+                unusable.append((c.tag, "error", name, target, 0, "", f'Invalid regex pattern "/{c.pattern}/"', {"pattern": c.pattern}))
             else:
-                checks.append(_one(number, target, field, c, text))
-    spark = df.sparkSession
-    out = spark.createDataFrame(broken_patterns, VIOLATION)
-    if checks:
-        found = df.select(F.col(row).cast("bigint").alias("row_number"), F.explode(F.filter(F.array(*checks), lambda s: s["broken"])).alias("s")).select("row_number", "s.*")
-        if limit is not None:
-            found = found.withColumn("place", F.row_number().over(Window.partitionBy("check").orderBy("row_number"))).filter(F.col("place") <= limit)
-        found = found.select("tag", "severity", "field_name", "target_name", "row_number", "value", "error_message", "params")
-        out = found.unionByName(out) if broken_patterns else found
-    return out
+                checks.append((name, target, c, _text(df, name)))
+    out = df.sparkSession.createDataFrame(unusable, VIOLATION)
+    if not checks:
+        return out
+    broken = [F.coalesce(c.broken(text, _number(df, name)), F.lit(False)) for name, _, c, text in checks]
+    some = broken[0]
+    for b in broken[1:]:
+        some = some | b
+    hits = F.array_compact(F.array(*[F.when(b, F.lit(k)) for k, b in enumerate(broken, 1)]))
+    used = list(dict.fromkeys([row, *(name for name, _, _, _ in checks)]))
+    found = df.filter(some).select(*[F.col(f"`{c}`") for c in used], F.explode(hits).alias("_check"))
+    number = F.col(f"`{row}`").cast("bigint")
+    if limit is not None:
+        found = found.withColumn("_place", F.row_number().over(Window.partitionBy("_check").orderBy(number))).filter(F.col("_place") <= limit)
+    found = found.select(
+        _constant([c.tag for _, _, c, _ in checks]).alias("tag"),
+        _constant([c.severity if isinstance(c, Required) else "error" for _, _, c, _ in checks]).alias("severity"),
+        _constant([name for name, _, _, _ in checks]).alias("field_name"),
+        _constant([target for _, target, _, _ in checks]).alias("target_name"),
+        number.alias("row_number"),
+        F.coalesce(_by_check([text for _, _, _, text in checks]), F.lit("")).alias("value"),
+        _by_check([c.explain(text, name) for name, _, c, text in checks]).alias("error_message"),
+        _by_check([_params(c.params(text)) for _, _, c, text in checks]).alias("params"),
+    )
+    return found.unionByName(out) if unusable else found
 
 
 def duplicate_groups(df: DataFrame, key: str, limit: int | None = LIMIT, row: str = ROW) -> DataFrame:

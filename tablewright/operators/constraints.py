@@ -35,9 +35,9 @@ class Range:
         if self.min is not None and self.max is not None and self.min > self.max:
             raise ConstraintError("min must not be over max")
 
-    def broken(self, text: Column) -> Column:
-        """Only values that are numbers can break a range."""
-        x = tx.to_double(text)
+    def broken(self, text: Column, number: Column | None = None) -> Column:
+        """Only values that are numbers can break a range. number: the value where its column is numeric, which spares its text."""
+        x = tx.to_double(text) if number is None else number
         low = F.lit(False) if self.min is None else x < self.min if self.inclusive else x <= self.min
         high = F.lit(False) if self.max is None else x > self.max if self.inclusive else x >= self.max
         return x.isNotNull() & (low | high)
@@ -60,7 +60,9 @@ class Format:
         if self.format not in FORMATS:
             raise ConstraintError(f"unknown format {self.format!r}")
 
-    def broken(self, text: Column) -> Column:
+    def broken(self, text: Column, number: Column | None = None) -> Column:
+        if number is not None and self.format == "decimal-degrees":
+            return F.lit(False)
         return tx.is_present(text) & ~F.coalesce(tx.has_format(text, self.format), F.lit(False))
 
     def explain(self, text: Column, field: str) -> Column:
@@ -89,7 +91,7 @@ class Pattern:
         """Look-around and back-references pass the config but not the matcher of the checks, which is linear in the text."""
         return not re.search(r"\(\?<?[=!]|\\[1-9]", self.pattern)
 
-    def broken(self, text: Column) -> Column:
+    def broken(self, text: Column, number: Column | None = None) -> Column:
         return tx.is_present(text) & ~text.rlike(self.pattern)
 
     def explain(self, text: Column, field: str) -> Column:
@@ -113,7 +115,7 @@ class Length:
         if self.min_length is not None and self.max_length is not None and self.min_length > self.max_length:
             raise ConstraintError("minLength must not be over maxLength")
 
-    def broken(self, text: Column) -> Column:
+    def broken(self, text: Column, number: Column | None = None) -> Column:
         n = F.length(text)
         low = F.lit(False) if self.min_length is None else n < self.min_length
         high = F.lit(False) if self.max_length is None else n > self.max_length
@@ -144,7 +146,9 @@ class Required:
     def severity(self) -> str:
         return SEVERITY[self.level]
 
-    def broken(self, text: Column) -> Column:
+    def broken(self, text: Column, number: Column | None = None) -> Column:
+        if number is not None:
+            return number.isNull()
         if not self.allow_empty:
             return tx.is_absent(text)
         if not self.allow_whitespace:
