@@ -85,7 +85,7 @@ def _moved(flips: int) -> Callable[[Column], Column]:
 
 def links(prints: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct values fp of prints that join all pairs at most three bits apart."""
-    once = prints.select("fp").distinct().repartition(partitions(prints.sparkSession), "fp")  # else the few bytes of all fingerprints meet in a few tasks that write 66 rows for each
+    once = prints.select("fp").distinct().repartition(partitions(prints.sparkSession), F.xxhash64("fp"))  # else the few bytes of all fingerprints meet in a few tasks that write 66 rows for each
     rows = []
     for half, first in enumerate((32, 0)):  # half 0 is the upper one
         mask = _signed(0xFFFFFFFF << first)
@@ -106,7 +106,8 @@ def links(prints: DataFrame) -> DataFrame:
     split = pieces[0].unionByName(pieces[1]).unionByName(pieces[2]).unionByName(pieces[3])
     split = checkpoint(_met(split, ["half", "key", "piece", "part"], "turned"))
     dense = split.filter(F.col("n") > LIST).select("half", "key", "near", "fp").distinct()
-    listed = _listed(kept.filter(F.col("n") <= LIST), ["half", "key"]).unionByName(_listed(split.filter(F.col("n") <= LIST), ["half", "key", "piece", "part"]))
+    listed = _listed(kept.filter(F.col("n") <= LIST), ["half", "key"], F.col("near") == 0)
+    listed = listed.unionByName(_listed(split.filter(F.col("n") <= LIST), ["half", "key", "piece", "part"], (F.col("near") == 0) & (F.col("turned") == 0)))
     pairs = listed.unionByName(_balls(dense)).distinct()
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
 
@@ -126,10 +127,10 @@ def _met(rows: DataFrame, bucket: list[str], flips: str) -> DataFrame:
     return rows.join(met, bucket)
 
 
-def _listed(rows: DataFrame, bucket: list[str]) -> DataFrame:
-    """Links (a, b) within buckets of at most LIST fingerprints."""
-    lists = rows.groupBy(*bucket).agg(F.collect_set("fp").alias("fps"))
-    close = F.flatten(F.transform("fps", lambda b: F.transform(F.filter("fps", lambda a: (a < b) & (F.bit_count(a.bitwiseXOR(b)) <= DISTANCE)), lambda a: F.struct(a.alias("a"), b.alias("b")))))
+def _listed(rows: DataFrame, bucket: list[str], own: Column) -> DataFrame:
+    """Links (a, b) within buckets of at most LIST fingerprints; own: the row's bucket is its own value. A link shows in the bucket of its smaller end, so it is made only there."""
+    lists = rows.groupBy(*bucket).agg(F.collect_set(F.when(own, F.col("fp"))).alias("owners"), F.collect_set("fp").alias("fps"))
+    close = F.flatten(F.transform("owners", lambda a: F.transform(F.filter("fps", lambda b: (a < b) & (F.bit_count(a.bitwiseXOR(b)) <= DISTANCE)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return lists.select(F.explode(close).alias("v")).select("v.*")
 
 
