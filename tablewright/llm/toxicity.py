@@ -66,7 +66,7 @@ def words_of(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def labelled_terms(docs: DataFrame, labels: DataFrame, allowed: Column, max_rows: int = MAX_ROWS, seed: int = 7) -> list[tuple[np.ndarray, int]]:
+def labelled_terms(docs: DataFrame, labels: DataFrame, allowed: Column, max_rows: int = MAX_ROWS, seed: int = 7) -> list[tuple[bytes, int]]:
     """Hashed terms and label of at most max_rows documents that have a label and satisfy allowed."""
     marks = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = marks.filter(allowed).orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(max_rows)
@@ -78,7 +78,7 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, allowed: Column, max_rows
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), batch.column("toxic")], ["terms", "toxic"])
 
     found = texts.mapInArrow(run, "terms binary, toxic int").toArrow()
-    return sorted(((t, y) for t, y in zip(found.column("terms").to_pylist(), found.column("toxic").to_pylist())), key=lambda x: (x[0], x[1]))
+    return sorted(zip(found.column("terms").to_pylist(), found.column("toxic").to_pylist()))
 
 
 def fit(rows: list[tuple[bytes, int]], max_terms: int = MAX_TERMS, rank: int = 4, epochs: int = 150, rate: float = 0.05, decay: float = 1e-3, seed: int = 11) -> Machine:
@@ -92,17 +92,18 @@ def fit(rows: list[tuple[bytes, int]], max_terms: int = MAX_TERMS, rank: int = 4
     terms = [np.frombuffer(x[0], np.uint32) for x in rows]
     sizes = np.array([len(t) for t in terms])
     flat, row = np.concatenate(terms), np.repeat(np.arange(len(rows)), sizes)
-    n = np.bincount(flat, minlength=1 << BITS).astype(np.float64)
-    a = np.bincount(flat, y[row], 1 << BITS)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.where(n >= 3, (a - n * positive) ** 2 / (n * positive * (1 - positive)), 0)
-    kept = np.sort(np.argsort(-chi, kind="stable")[:max_terms])
-    kept = kept[chi[kept] > 4].astype(np.uint32)
-    if not len(kept):
+    present, at = np.unique(flat, return_inverse=True)
+    n = np.bincount(at, minlength=len(present)).astype(np.float64)
+    a = np.bincount(at, y[row], len(present))
+    chi = np.where(n >= 3, (a - n * positive) ** 2 / (n * positive * (1 - positive)), 0)
+    best = np.sort(np.argsort(-chi, kind="stable")[:max_terms])
+    best = best[chi[best] > 4]
+    if not len(best):
         return empty
-    place = np.full(1 << BITS, -1, np.int32)
-    place[kept] = np.arange(len(kept))
-    at = place[flat]
+    kept = present[best]
+    place = np.full(len(present), -1, np.int32)
+    place[best] = np.arange(len(best))
+    at = place[at]
     row, at = row[at >= 0], at[at >= 0]
     order = np.argsort(at, kind="stable")
     by_row, by_term, n_rows, n_terms = row[order], at[order], len(rows), len(kept)
