@@ -36,6 +36,7 @@ START = 0  # the word before a document's first; words have numbers from 1
 ADD = 0.1  # to each word's count
 PRIOR = 20.0  # weight of the word's own probability among the pairs of its predecessor
 CACHED = 100_000
+BROADCAST_IDS = 2_000_000  # 8 bytes each, some 50 MB as a hash table
 FLUSH = 300_000  # tokens that a task holds before it counts them
 
 _BLOCKS = 1 << (PAIR_BITS - BLOCK_BITS)
@@ -208,7 +209,13 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
 
 
 def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, target): target documents are those that labels gives quality 1 (any of its rows)."""
-    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct()
+    """(doc_id, text, target): target documents are those that labels gives quality 1 (any of its rows).
+
+    Their ids are written and counted; up to BROADCAST_IDS of them are sent to
+    the tasks, so that texts stay where they are, more are joined by a shuffle.
+    """
+    good = checkpoint(labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct())
+    if good.count() <= BROADCAST_IDS:
+        good = F.broadcast(good)
     slim = docs.select("doc_id", "text")
     return slim.join(good, slim["doc_id"] == good["good_id"], "left").select("doc_id", "text", F.col("good_id").isNotNull().alias("target"))
