@@ -16,7 +16,14 @@ from ..operators.checks import duplicate_groups, field_violations, unique_violat
 from ..operators.constraints import Format, Length, Pattern, Range, Required
 from ..operators.dependency import Dependency, When, dependency_violations
 from ..operators.integrity import Reference, Rules, Vocabulary, accepted, duplicate_keys, integrity_violations, judge, orphans
-from .transform import drop_null_columns, project
+from ..operators.constraints import strictest
+from ..sources import sinks
+from ..sources.tables import read_csv, read_table, typed
+from . import config, profiles, validate
+from .lineage import folder
+from .relations import ForeignKey, Shape, infer, targets_first
+from .resolution import Mapping, resolve_fields
+from .transform import after_import, drop_null_columns, project
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -334,3 +341,97 @@ def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = project(spark, tables, {"c": "customer"}, {"id": "CAST(c_custkey AS STRING)", "label": "c_name"})
     two = project(spark, tables, {"p": "part"}, {"id": "CAST(p_partkey AS STRING)", "size": "CAST(p_size AS STRING)"})
     return one.unionByName(two, allowMissingColumns=True)
+
+
+@_add("after_import_statements", "SELECT c_custkey, upper(c_name) AS c_name, CASE WHEN c_acctbal < 0 THEN 'owes, ' || c_mktsegment END AS note FROM customer")
+def _after_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {"customer": _table(spark, sf_dir, "customer")}
+    statements = ["ALTER TABLE customer ADD COLUMN note VARCHAR", "UPDATE customer SET note = concat('owes, ', c_mktsegment) WHERE c_acctbal < 0", "UPDATE customer SET c_name = upper(c_name)"]
+    return after_import(spark, tables, statements)["customer"].select("c_custkey", "c_name", "note")
+
+
+# Sources and sinks
+
+
+@_add("row_numbers", "SELECT count(*) AS n, CAST(1 AS BIGINT) AS least, count(*) AS most, count(*) AS different, CAST(count(*) * (count(*) + 1) / 2 AS BIGINT) AS total FROM lineitem")
+def _row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = read_table(spark, f"{sf_dir}/lineitem.parquet").select("_row_number")
+    return own.agg(F.count("_row_number").alias("n"), F.min("_row_number").alias("least"), F.max("_row_number").alias("most"), F.countDistinct("_row_number").alias("different"), F.sum("_row_number").alias("total"))
+
+
+_MARKED = "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'NA' WHEN 1 THEN 'a, \"b\"' WHEN 2 THEN '007' ELSE c_name END AS label, c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN 'N/A' ELSE '2024-01-02' END AS day FROM customer"
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.sql(_MARKED.replace("FROM customer", "FROM {customer}"), customer=_table(spark, sf_dir, "customer"))
+    return read_csv(spark, sinks.write_csv(df, folder(spark, "csv"), single=False))
+
+
+@_add("csv_round_trip", f"SELECT c_custkey, nullif(label, 'NA') AS label, c_acctbal, nullif(day, 'N/A') AS day FROM ({_MARKED})")
+def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typed(_csv(spark, sf_dir)).drop("_row_number").withColumn("day", F.col("day").cast("string"))
+
+
+@_add("csv_types", "SELECT * FROM (VALUES ('c_custkey', 'bigint'), ('label', 'string'), ('c_acctbal', 'double'), ('day', 'date'), ('_row_number', 'bigint')) t(name, type)")
+def _csv_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(typed(_csv(spark, sf_dir)).dtypes, "name string, type string")
+
+
+# Rules that are resolved on the driver
+
+
+@_add("presets", "SELECT * FROM (VALUES ('latitude', 'range,format'), ('longitude', 'range,format'), ('depth', 'range'), ('isoDate', 'format'), ('uniqueId', 'required,unique'), ('requiredText', 'required'), ('url', 'format'), ('uuid', 'format'), ('countryCode', 'pattern'), ('year', 'range,format'), ('month', 'range,format'), ('day', 'range,format')) t(name, types)")
+def _presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(n, ",".join(c.type for c in own)) for n, own in profiles.PRESETS.items()], "name string, types string")
+
+
+@_add("resolved_fields", "SELECT * FROM (VALUES ('eventDate', 'when', 'required', 'format,required'), ('decimalLatitude', 'decimalLatitude', 'required', 'range,required'), ('maximumDepthInMeters', 'deep', 'required', 'range,required,range,required'), ('eventID', 'eventID', 'required', 'unique,required')) t(target, origin, level, types)")
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = resolve_fields(profiles.resolve("Event", "obis"), "obis", [Mapping("when", "eventDate", "optional"), Mapping("deep", "maximumDepthInMeters", "required", preset="depth")])
+    rows = [(t, f.origin, strictest(f.constraints).level, ",".join(c.type for c in f.constraints)) for t, f in fields.items() if t in ("eventDate", "decimalLatitude", "maximumDepthInMeters", "eventID")]
+    return spark.createDataFrame(rows, "target string, origin string, level string, types string")
+
+
+_SHAPES = [Shape("facts", "ExtendedMeasurementOrFact", ("measurementID", "eventID", "occurrenceID")), Shape("finds", "Occurrence", ("occurrenceID", "eventID")), Shape("events", "Event", ("eventID", "parentEventID"))]
+
+
+@_add("relations_inferred", "SELECT * FROM (VALUES ('facts', 'eventID', 'finds', 'occurrenceID'), ('facts', 'occurrenceID', 'finds', 'occurrenceID'), ('finds', 'eventID', 'events', 'eventID'), ('events', 'parentEventID', 'events', 'eventID')) t(source, field, target, target_field)")
+def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    declared = ForeignKey("facts", "eventID", "finds", "occurrenceID")
+    return spark.createDataFrame([(k.source_dataset, k.source_field, k.target_dataset, k.target_field) for k in [declared, *infer(_SHAPES, [declared])]], "source string, field string, target string, target_field string")
+
+
+@_add("targets_first", "SELECT * FROM (VALUES (1, 'events'), (2, 'finds'), (3, 'facts')) t(place, name)")
+def _targets_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(targets_first([s.name for s in _SHAPES], infer(_SHAPES)), 1)), "place int, name string")
+
+
+# A whole workspace
+
+_WORKSPACE = {
+    "standard": {"base": "darwin-core", "variant": "obis"},
+    "datasetRules": [{"ruleType": "dependency", "dataset": "events", "when": {"field": "o_orderstatus", "equals": "P"}, "require": ["o_missing"]}, {"ruleType": "dependency", "dataset": "events", "when": {"field": "o_orderstatus", "equals": "P"}, "require": ["o_orderstatus", "o_orderpriority"]}],
+    "validation": {
+        "maxViolationsPerField": 1_000_000,
+        "datasets": [
+            {"name": "events", "class": "Event", "path": "orders.parquet", "fieldMappings": [{"originName": "o_orderkey", "targetName": "eventID"}, {"originName": "o_totalprice", "targetName": "maximumDepthInMeters", "constraints": [{"type": "range", "max": 300000}]}, {"originName": "o_orderpriority", "targetName": "locality", "constraints": [{"type": "pattern", "pattern": "^[1-4]-"}]}]},
+            {"name": "finds", "class": "Occurrence", "path": "lineitem.parquet", "fieldMappings": [{"originName": "l_orderkey", "targetName": "eventID"}, {"originName": "l_returnflag", "targetName": "basisOfRecord"}, {"originName": "l_quantity", "targetName": "individualCount", "preset": "month"}]},
+        ],
+    },
+}
+
+
+@_add(
+    "workspace_violations",
+    """
+WITH m AS (SELECT * FROM orders)
+SELECT 'events' AS dataset, 'RangeViolation' AS tag, 'maximumDepthInMeters' AS target_name, count(*) FILTER (o_totalprice > 11000) + count(*) FILTER (o_totalprice > 300000) AS n FROM m
+UNION ALL SELECT 'events', 'PatternViolation', 'locality', count(*) FILTER (NOT regexp_matches(o_orderpriority, '^[1-4]-')) FROM m
+UNION ALL SELECT 'finds', 'EnumViolation', 'basisOfRecord', count(*) FROM lineitem
+UNION ALL SELECT 'finds', 'RangeViolation', 'individualCount', count(*) FILTER (l_quantity > 12 OR l_quantity < 1) FROM lineitem
+""",
+)
+def _workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = validate.validate(spark, config.decode(_WORKSPACE), sf_dir)
+    found = results.datasets[0].violations.unionByName(results.datasets[1].violations)
+    return found.groupBy("dataset", "tag", "target_name").agg(F.count("severity").alias("n"))

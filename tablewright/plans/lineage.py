@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import posixpath
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the session's spark.checkpoint.dir (to a temporary folder only where that is unset, as in tests)."""
-    context = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return posixpath.join(shared(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
