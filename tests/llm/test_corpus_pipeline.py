@@ -28,6 +28,19 @@ def test_stages_keep_columns_and_clean_documents(spark):
     assert {r["doc_id"] for r in placed.collect()} == {r["doc_id"] for r in docs.collect()}
 
 
+def test_stages_take_odd_rows(spark):
+    line = " ".join(f"w{k}" for k in range(70))
+    rows = [(1, line, None, "s", 3), (1, line, None, "s", 3), (2, line, "en", None, None), (None, line, None, None, None), (3, None, None, None, 0), (4, "", None, None, 0), (5, "all else here", None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(DATA)).count() <= len(rows), name
+    near = [r["doc_id"] for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, str(DATA)).collect()]
+    assert sorted(near, key=str) == [1, 3, 5, None]
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(DATA)).count() == 0, name
+
+
 def test_pipeline_takes_effect(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     items = [r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
