@@ -32,7 +32,7 @@ def as_text(value: Column, data_type: str = "string") -> Column:
 
 def trimmed(text: Column) -> Column:
     """Without spaces and no-break spaces at the ends; tabs and line ends stay."""
-    return F.regexp_replace(text, "^[  ]+|[  ]+$", "")
+    return F.btrim(text, F.lit(" \u00a0"))
 
 
 def is_blank(text: Column) -> Column:

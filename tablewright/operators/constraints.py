@@ -38,9 +38,9 @@ class Range:
     def broken(self, text: Column, number: Column | None = None) -> Column:
         """Only values that are numbers can break a range. number: the value where its column is numeric, which spares its text."""
         x = tx.to_double(text) if number is None else number
-        low = F.lit(False) if self.min is None else x < self.min if self.inclusive else x <= self.min
-        high = F.lit(False) if self.max is None else x > self.max if self.inclusive else x >= self.max
-        return x.isNotNull() & (low | high)
+        low = None if self.min is None else x < self.min if self.inclusive else x <= self.min
+        high = None if self.max is None else x > self.max if self.inclusive else x >= self.max
+        return low if high is None else high if low is None else low | high
 
     def explain(self, text: Column, field: str) -> Column:
         return F.lit(self.message or "Value out of range")
@@ -63,7 +63,7 @@ class Format:
     def broken(self, text: Column, number: Column | None = None) -> Column:
         if number is not None and self.format == "decimal-degrees":
             return F.lit(False)
-        return tx.is_present(text) & ~F.coalesce(tx.has_format(text, self.format), F.lit(False))
+        return tx.is_present(text) & ~tx.has_format(text, self.format)
 
     def explain(self, text: Column, field: str) -> Column:
         return F.lit(self.message) if self.message else F.concat(F.lit('Value "'), text, F.lit(f'" is not of format {self.format}'))

@@ -70,10 +70,18 @@ def _of_type(text: Column, kind: str) -> Column:
     return F.lit(True)
 
 
+def _comparable(df: DataFrame, column: str, parents: DataFrame, key: str) -> tuple[Column, Column]:
+    """Both columns as they are where their types are equal, else their texts."""
+    if dict(df.dtypes)[column] == dict(parents.dtypes)[key]:
+        return F.col(f"`{column}`"), F.col(f"`{key}`")
+    return _text(df, column), _text(parents, key)
+
+
 def orphans(df: DataFrame, column: str, parents: DataFrame, key: str) -> DataFrame:
     """The rows of df whose non-null column is no key of parents. An anti-join needs no distinct keys, and without them Spark can split a key that many rows refer to."""
-    keys = parents.select(F.col(key).cast("string").alias("_parent_key")).filter("_parent_key is not null")
-    return df.filter(F.col(column).isNotNull()).join(keys, F.col(column).cast("string") == F.col("_parent_key"), "left_anti")
+    own, other = _comparable(df, column, parents, key)
+    keys = parents.select(other.alias("_parent_key")).filter("_parent_key is not null")
+    return df.filter(F.col(f"`{column}`").isNotNull()).join(keys, own == F.col("_parent_key"), "left_anti")
 
 
 def duplicate_keys(df: DataFrame, column: str) -> DataFrame:
@@ -94,9 +102,10 @@ def judge(df: DataFrame, rules: Rules, row: str = ROW) -> DataFrame:
     for k, r in enumerate(rules.references):
         if r.target_dataset == rules.dataset:
             continue  # within the table itself: see self_accepted
-        parents = rules.parents[r.target_dataset].select(F.col(f"`{r.target_field}`").cast("string").alias(f"_to{k}")).filter(F.col(f"_to{k}").isNotNull()).distinct().withColumn(f"_hit{k}", F.lit(True))
-        out = out.join(cut(parents), _text(df, r.column) == F.col(f"_to{k}"), "left")
-        misses.append((k, _text(df, r.column).isNotNull() & F.col(f"_hit{k}").isNull()))
+        own, other = _comparable(df, r.column, rules.parents[r.target_dataset], r.target_field)
+        parents = rules.parents[r.target_dataset].select(other.alias(f"_to{k}")).filter(F.col(f"_to{k}").isNotNull()).distinct().withColumn(f"_hit{k}", F.lit(True))
+        out = out.join(cut(parents), own == F.col(f"_to{k}"), "left")
+        misses.append((k, F.col(f"`{r.column}`").isNotNull() & F.col(f"_hit{k}").isNull()))
     fk = F.coalesce(*[F.when(m, F.lit(k)) for k, m in misses]) if misses else F.lit(None).cast("int")
     out = out.withColumn("_fk", fk)
     key_null = F.col("_key").isNull() if rules.key else F.lit(False)

@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 
 ROW = "_row_number"
 NULLS = ("NA", "N/A", "", "NULL", "null")
