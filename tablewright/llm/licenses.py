@@ -19,7 +19,6 @@ from dataclasses import dataclass, field
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
