@@ -30,6 +30,7 @@ WORD = re.compile(r"[^\W_]+")
 BITS = 22
 MAX_ROWS = 8_000
 MAX_TERMS = 8_192
+CHI = 20.0  # a chance of about 1e-5, one term of the 1e5 that are tried
 THRESHOLD = 0.7
 CACHED = 200_000
 
@@ -82,7 +83,7 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, allowed: Column, max_rows
 
 
 def fit(rows: list[tuple[bytes, int]], max_terms: int = MAX_TERMS, rank: int = 4, epochs: int = 150, rate: float = 0.05, decay: float = 1e-3, seed: int = 11) -> Machine:
-    """Logistic loss, Adam over the whole sample. Terms: the max_terms with the largest chi-square against the label, in three rows at least. One class only, or no rows: a constant score, that of the class (0.5 without rows)."""
+    """Logistic loss, Adam over the whole sample. Terms: the max_terms with the largest chi-square against the label, CHI at least, in three rows at least. One class only, or no rows: a constant score, that of the class (0.5 without rows)."""
     y = np.array([x[1] for x in rows], dtype=np.float64)
     positive = y.mean() if len(y) else 0.5
     bias = float(np.log((positive + 0.01) / (1 - positive + 0.01)))
@@ -97,7 +98,7 @@ def fit(rows: list[tuple[bytes, int]], max_terms: int = MAX_TERMS, rank: int = 4
     a = np.bincount(at, y[row], len(present))
     chi = np.where(n >= 3, (a - n * positive) ** 2 / (n * positive * (1 - positive)), 0)
     best = np.sort(np.argsort(-chi, kind="stable")[:max_terms])
-    best = best[chi[best] > 4]
+    best = best[chi[best] > CHI]
     if not len(best):
         return empty
     kept = present[best]
