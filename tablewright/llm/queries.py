@@ -70,6 +70,23 @@ def _is(kind: str):
     return lambda s: s["kind"] == kind
 
 
+OP7_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(v, r) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, reach.r FROM reach JOIN links l ON l.a = reach.v
+), least AS (SELECT v, min(r) AS component_id FROM reach GROUP BY v),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least.component_id, e.vec_id = least.component_id AS kept
+FROM embeddings e JOIN least ON least.v = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id
+"""
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +95,31 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("expressions")
 
 
+# The shortest runs with 50 words from each line onward and up to each line; of equal runs all but the first are cut.
+OP9_SQL = r"""
+WITH docs AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+each AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM docs),
+counted AS (SELECT doc_id, i, len(regexp_extract_all(line, '\S+')) AS words FROM each),
+summed AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM counted),
+runs AS (
+  SELECT a.doc_id, a.i AS first, b.i AS last FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.i >= a.i
+    AND b.upto - (a.upto - a.words) >= 50 AND b.upto - b.words - (a.upto - a.words) < 50
+  UNION
+  SELECT a.doc_id, a.i, b.i FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.i >= a.i
+    AND b.upto - (a.upto - a.words) >= 50 AND b.upto - a.upto < 50
+), placed AS (
+  SELECT r.doc_id, r.first, r.last, row_number() OVER (PARTITION BY array_to_string(d.lines[r.first:r.last], chr(10)) ORDER BY r.doc_id, r.first) AS copy
+  FROM runs r JOIN docs d ON d.doc_id = r.doc_id
+), cut AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM placed WHERE copy > 1),
+per AS (
+  SELECT e.doc_id, count(c.i) AS deleted_lines, coalesce(string_agg(e.line, chr(10) ORDER BY e.i) FILTER (c.i IS NULL), '') AS kept
+  FROM each e LEFT JOIN cut c ON c.doc_id = e.doc_id AND c.i = e.i GROUP BY e.doc_id
+)
+SELECT d.doc_id, per.deleted_lines, CASE WHEN d.text IS NOT NULL THEN length(per.kept) END AS left_chars, md5(per.kept) AS text_md5
+FROM docs d JOIN per ON per.doc_id = d.doc_id
+"""
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "deleted_lines", F.length("text").cast("long").alias("left_chars"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
@@ -101,4 +143,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracles() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"op4_url_filters": OP4_SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
+    return {"op4_url_filters": OP4_SQL, "op7_embedding_near_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
