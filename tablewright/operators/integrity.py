@@ -150,7 +150,7 @@ def self_accepted(judged: DataFrame, number: int, r: Reference, key: str, row: s
     raise ValueError(f"{r.column} is nested deeper than {rounds}")
 
 
-def integrity_violations(judged: DataFrame, rules: Rules, row: str = ROW) -> DataFrame:
+def integrity_violations(judged: DataFrame, rules: Rules, row: str = ROW, suggest: bool = True) -> DataFrame:
     """One violation per rejected row (none for a wrong type), and for each key that was taken all rows of that key."""
     number = F.col(row).cast("bigint").alias("row_number")
     parts = []
@@ -160,7 +160,7 @@ def integrity_violations(judged: DataFrame, rules: Rules, row: str = ROW) -> Dat
 
     for k, v in enumerate(rules.vocabularies):
         text = _text(judged, v.column)
-        near = nearest(text, v.values)
+        near = nearest(text, v.values) if suggest else F.lit(None).cast("string")
         message = F.concat(F.lit('Invalid value "'), text, F.lit('".'), F.coalesce(F.concat(F.lit(' Did you mean "'), near, F.lit('"?')), F.lit("")))
         add(judged.filter((F.col("kind") == "enum") & (F.col("at") == k)), "EnumViolation", F.lit(v.severity), F.lit(v.column), F.lit(v.target), text, message, {"enumType": F.lit(v.name or v.target), "allowedValues": F.lit(", ".join(v.values)), "suggestedValue": near})
     if rules.key:

@@ -179,7 +179,7 @@ def validate(spark: SparkSession, config: Config, base: str = ".", fail_fast: bo
 def _dataset(d: DatasetConfig, table: DataFrame, spec: profiles.Resolved, fields: dict[str, ResolvedField], judged: DataFrame, rules: Rules, config: Config, limit: int) -> DatasetResult:
     columns = [c for c in table.columns if c != ROW]
     checked = {f.origin: (t, list(f.constraints)) for t, f in fields.items() if f.origin in columns and t in spec.base.fields}
-    parts = [integrity_violations(judged, rules), field_violations(table, checked, limit)]
+    parts = [integrity_violations(judged, rules, suggest=config.validation.suggestions), field_violations(table, checked, limit)]
     for origin, (target, constraints) in checked.items():
         if not spec.base.is_key(target):
             parts += [unique_violations(table, origin, target, c, limit) for c in constraints if isinstance(c, Unique)]

@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 
 import pytest
 
@@ -54,6 +55,11 @@ def test_ranges_formats_and_vocabularies(spark, tmp_path):
     assert found(results, "occurrences", "EnumViolation") == [(2, "basisOfRecord", "HumanObservatio")]
     row = results.datasets[1].violations.filter("tag = 'EnumViolation'").first()
     assert row["params"]["suggestedValue"] == "HumanObservation"
+    quiet = replace(config, validation=replace(config.validation, suggestions=False, fail_fast=True))
+    results = validate(spark, quiet, str(tmp_path))
+    assert [d.name for d in results.datasets] == ["events"]
+    one = validate(spark, quiet, str(tmp_path), fail_fast=False)
+    assert one.datasets[1].violations.filter("tag = 'EnumViolation'").first()["params"]["suggestedValue"] is None
 
 
 def test_renamed_references(spark, tmp_path):
