@@ -20,13 +20,12 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT = "allow"
 ROWS_PER_RANGE = 100_000
-MAX_RANGES = 4_096
+MAX_RANGES = 16_384
 
 
 def _lower(text: Column) -> Column:
@@ -77,38 +76,47 @@ class Level:
         return k
 
 
-def sweep(rules: list[tuple[str, str, str, str]], urls: list[tuple[str, str]]) -> list[tuple[str | None, str | None]]:
-    """rules (key, host, path, verdict) and urls (key, path), each sorted; (rule, verdict) of each url: of the rules that fit, the longest by host and path together, of equally long ones that of the longer host."""
-    levels, at = [], 0
-    while at < len(rules):
-        end = at
-        while end < len(rules) and rules[end][0] == rules[at][0]:
-            end += 1
-        levels.append(Level(rules[at][0], rules[at][1], [r[2:] for r in rules[at:end]]))
-        at = end
-    out, stack, coming = [], [], 0
-    for key, path in urls:
-        while coming < len(levels) and levels[coming].key <= key:
-            while stack and not levels[coming].key.startswith(stack[-1].key):
-                stack.pop()
-            stack.append(levels[coming])
-            coming += 1
-        while stack and not key.startswith(stack[-1].key):
-            stack.pop()
+class Sweep:
+    """Takes rules and urls of one range in the order of their keys, rules before urls of an equal key."""
+
+    def __init__(self) -> None:
+        self.stack: list[Level] = []
+        self.host: tuple[str, str] = ("", "")
+        self.rules: list[tuple[str, str]] = []  # of the last host, not yet on the stack
+
+    def add(self, key: str, host: str, path: str, verdict: str) -> None:
+        if self.rules and key != self.host[0]:
+            self._open()
+        self.host = (key, host)
+        self.rules.append((path, verdict))
+
+    def _open(self) -> None:
+        self._close(self.host[0])
+        self.stack.append(Level(*self.host, self.rules))
+        self.rules = []
+
+    def _close(self, key: str) -> None:
+        while self.stack and not key.startswith(self.stack[-1].key):
+            self.stack.pop()
+
+    def judge(self, key: str, path: str) -> tuple[str | None, str | None]:
+        """(rule, verdict): of the rules that fit, the longest by host and path together, of equally long ones that of the longer host."""
+        if self.rules:
+            self._open()
+        self._close(key)
         best: tuple[int, int, str | None, str | None] = (-1, -1, None, None)
-        for level in stack:
+        for level in self.stack:
             if (k := level.longest(path)) >= 0:
                 best = max(best, (len(level.host) + len(level.paths[k]), len(level.host), level.host + level.paths[k], level.verdicts[k]), key=lambda b: b[:2])
-        out.append(best[2:])
-    return out
+        return best[2:]
 
 
 def bounds_of(keys: DataFrame, ranges: int) -> list[str]:
-    """ranges - 1 sorted bounds, with repeats, from a sample of at most about 100 keys a range."""
+    """ranges - 1 sorted bounds, with repeats, from a sample of about 100 keys a range, fewer for many ranges."""
     n = keys.count()
     if ranges < 2 or not n:
         return []
-    drawn = keys.sample(fraction=min(1.0, 100 * ranges / n), seed=5).toArrow().column(0).to_pylist()
+    drawn = keys.sample(fraction=min(1.0, max(20, min(100, 400_000 // ranges)) * ranges / n), seed=5).toArrow().column(0).to_pylist()
     drawn.sort()
     return [drawn[k * len(drawn) // ranges] for k in range(1, ranges)] if drawn else []
 
@@ -160,12 +168,20 @@ def judge(pages: DataFrame, rules: DataFrame, ranges: int | None = None, default
     none = F.lit(None)
     together = placed_rules.select("range", "key", F.lit(0).alias("kind"), none.cast(id_type).alias("page_id"), "host", "path", "verdict").unionByName(placed.select("range", "key", F.lit(1).alias("kind"), "page_id", "host", "path", none.cast("string").alias("verdict")))
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.take(pc.sort_indices(group, sort_keys=[("key", "ascending"), ("path", "ascending")]))
-        kind = group.column("kind")
-        pages, rules = group.filter(pc.equal(kind, 1)), group.filter(pc.equal(kind, 0))
-        rows = lambda t, *names: list(zip(*(t.column(c).to_pylist() for c in names)))
-        found = sweep(rows(rules, "key", "host", "path", "verdict"), rows(pages, "key", "path"))
-        return pa.table({**{c: pages.column(c) for c in ("page_id", "host", "path")}, "rule": pa.array([f[0] for f in found], pa.string()), "verdict": pa.array([f[1] or default for f in found], pa.string())})
-
-    return together.groupBy("range").applyInArrow(run, f"page_id {id_type}, host string, path string, rule string, verdict string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sweep = None, Sweep()
+        for batch in batches:
+            rows, found = [], []
+            for k, (r, key, kind, host, path, verdict) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("range", "key", "kind", "host", "path", "verdict")))):
+                if r != at:
+                    at, sweep = r, Sweep()
+                if kind:
+                    rows.append(k)
+                    found.append(sweep.judge(key, path))
+                else:
+                    sweep.add(key, host, path, verdict)
+            own = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("page_id", "host", "path")), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] or default for f in found], pa.string())], ["page_id", "host", "path", "rule", "verdict"])
+
+    swept = together.repartition(n, "range").sortWithinPartitions("range", "key", "kind", "path")
+    return swept.mapInArrow(run, f"page_id {id_type}, host string, path string, rule string, verdict string")
