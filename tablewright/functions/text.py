@@ -58,15 +58,12 @@ def to_integer(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), F.round(F.regexp_replace(F.trim(text), "_", "").try_cast("double")).try_cast("int"))
 
 
-def _calendar_day(text: Column) -> Column:
-    return F.try_to_date(text, "y-M-d").isNotNull()
-
-
 def is_iso8601(text: Column) -> Column:
-    """A year, a year and month, a day, a day with a time, or two days joined by a slash."""
-    own = F.regexp_replace(text, r"^\s+|\s+$", "")
+    """A year, a year and month, a day, a day with a time, or two days joined by a slash; one look at the shape, and the calendar only where there is a day."""
+    own = F.btrim(text, F.lit(" \t\n\r\f\v"))
     day = F.regexp_extract(own, f"^({DAY})", 1)
-    return (own.rlike(f"^{DAY}$") & _calendar_day(own)) | (own.rlike(f"^{DAY}{CLOCK}$") & _calendar_day(day)) | own.rlike(r"^[0-9]{1,4}-(0?[1-9]|1[0-2])$") | own.rlike(r"^[0-9]{1,4}$") | text.rlike(DAY_SPAN)
+    shaped = F.when(own.rlike(f"^({DAY}({CLOCK})?|[0-9]{{1,4}}-(0?[1-9]|1[0-2])|[0-9]{{1,4}})$"), (day == "") | F.try_to_date(day, "y-M-d").isNotNull())
+    return F.coalesce(shaped, F.lit(False)) | text.rlike(DAY_SPAN)
 
 
 def has_format(text: Column, name: str) -> Column:
