@@ -412,7 +412,7 @@ _WORKSPACE = {
     "standard": {"base": "darwin-core", "variant": "obis"},
     "datasetRules": [{"ruleType": "dependency", "dataset": "events", "when": {"field": "o_orderstatus", "equals": "P"}, "require": ["o_missing"]}, {"ruleType": "dependency", "dataset": "events", "when": {"field": "o_orderstatus", "equals": "P"}, "require": ["o_orderstatus", "o_orderpriority"]}],
     "validation": {
-        "maxViolationsPerField": 1_000_000,
+        "maxViolationsPerField": None,
         "datasets": [
             {"name": "events", "class": "Event", "path": "orders.parquet", "fieldMappings": [{"originName": "o_orderkey", "targetName": "eventID"}, {"originName": "o_totalprice", "targetName": "maximumDepthInMeters", "constraints": [{"type": "range", "max": 300000}]}, {"originName": "o_orderpriority", "targetName": "locality", "constraints": [{"type": "pattern", "pattern": "^[1-4]-"}]}]},
             {"name": "finds", "class": "Occurrence", "path": "lineitem.parquet", "fieldMappings": [{"originName": "l_orderkey", "targetName": "eventID"}, {"originName": "l_returnflag", "targetName": "basisOfRecord"}, {"originName": "l_quantity", "targetName": "individualCount", "preset": "month"}]},

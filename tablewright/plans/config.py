@@ -41,7 +41,7 @@ class ValidationConfig:
     fail_fast: bool = False
     debug: bool = False
     suggestions: bool = True
-    limit: int = 100
+    limit: int | None = 100  # violations a constraint; None: all
     output_dir: str | None = None
 
 
@@ -213,7 +213,7 @@ def decode(raw: Any) -> Config:
             r.get(v, "failFast", bool, "validation", False),
             r.get(v, "debug", bool, "validation", False),
             r.get(v, "enableSuggestions", bool, "validation", True),
-            r.get(v, "maxViolationsPerField", int, "validation", 100),
+            None if v.get("maxViolationsPerField", 100) is None else r.get(v, "maxViolationsPerField", int, "validation", 100),  # null: no cap
             r.get(v, "outputDir", str, "validation"),
         )
     if (t := r.get(raw, "transform", dict, "config")) is not None:
@@ -255,7 +255,7 @@ def json_schema() -> dict:
             "version": text,
             "standard": {"anyOf": [text, {"type": "object", "properties": {"base": text, "variant": text}}]},
             "datasetRules": {"type": "array", "items": {"type": "object", "required": ["ruleType"], "properties": {"ruleType": {"enum": ["foreignKey", "dependency"]}}}},
-            "validation": {"type": "object", "properties": {"datasets": {"type": "array", "items": dataset}, "nullValues": {"type": "array", "items": text}, "failFast": {"type": "boolean"}, "maxViolationsPerField": {"type": "integer"}}},
+            "validation": {"type": "object", "properties": {"datasets": {"type": "array", "items": dataset}, "nullValues": {"type": "array", "items": text}, "failFast": {"type": "boolean"}, "maxViolationsPerField": {"type": ["integer", "null"]}}},
             "transform": {"type": "object", "properties": {"inputs": {"type": "object"}, "postImportTransforms": {"type": "array", "items": text}, "datasets": {"type": "array", "items": part}, "output": {"type": "object"}}},
         },
     }

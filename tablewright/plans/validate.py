@@ -176,7 +176,7 @@ def validate(spark: SparkSession, config: Config, base: str = ".", fail_fast: bo
     return Results(out, [warning] if warning else [], notes, time.time() - began)
 
 
-def _dataset(d: DatasetConfig, table: DataFrame, spec: profiles.Resolved, fields: dict[str, ResolvedField], judged: DataFrame, rules: Rules, config: Config, limit: int) -> DatasetResult:
+def _dataset(d: DatasetConfig, table: DataFrame, spec: profiles.Resolved, fields: dict[str, ResolvedField], judged: DataFrame, rules: Rules, config: Config, limit: int | None) -> DatasetResult:
     columns = [c for c in table.columns if c != ROW]
     checked = {f.origin: (t, list(f.constraints)) for t, f in fields.items() if f.origin in columns and t in spec.base.fields}
     parts = [integrity_violations(judged, rules, suggest=config.validation.suggestions), field_violations(table, checked, limit)]

@@ -8,7 +8,7 @@ from tablewright.functions.dialect import adapt
 from tablewright.operators.constraints import Range, Required, strictest
 from tablewright.operators.dependency import Dependency
 from tablewright.plans import config as cfg
-from tablewright.plans import dictionary, profiles, report, schema_import
+from tablewright.plans import catalogue, dictionary, profiles, report, schema_import
 from tablewright.plans.relations import AmbiguousRelation, ForeignKey, Shape, infer, targets_first
 from tablewright.plans.resolution import Diagnostic, Mapping, active_variant, added, overlaid, resolve_fields
 from tablewright.plans.transform import TransformError, after_import, project, transform
@@ -259,3 +259,14 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(60)
     assert [r["n"] for r in spark.sql("SELECT n FROM counts").collect()] == [1, 1]
     assert Dependency(("a",)).fields == ["a"]
+
+
+def test_null_cap_returns_all_violations(spark, tmp_path):
+    spark.range(1, 251).selectExpr("cast(id as string) AS eventID", "1000.0 + id AS lat").write.parquet(str(tmp_path / "e.parquet"))
+    dataset = {"name": "events", "class": "Event", "path": "e.parquet", "fieldMappings": [{"originName": "lat", "targetName": "decimalLatitude"}]}
+    found = {}
+    for cap in ({}, {"maxViolationsPerField": 7}, {"maxViolationsPerField": None}):
+        results = validate(spark, cfg.decode({"standard": {"base": "darwin-core"}, "validation": {"datasets": [dataset], **cap}}), str(tmp_path))
+        found[str(cap)] = results.datasets[0].violations.filter("tag = 'RangeViolation'").count()
+    assert list(found.values()) == [100, 7, 250]
+    assert cfg.decode(catalogue._WORKSPACE).validation.limit is None
