@@ -1,3 +1,4 @@
+import random
 from pathlib import Path
 
 import duckdb
@@ -5,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from tablewright.llm import near_copies
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
@@ -66,3 +68,29 @@ def test_query_returns_all_rows(spark, name):
     ids = [r[key] for r in spark.read.parquet(f"{DATA}/{table}.parquet").select(key).collect()]
     found = [r[key] for r in entry.queries()[name](spark, str(DATA)).collect()]
     assert set(found) == set(ids) and (name.startswith("op1_") or len(found) == len(ids))
+
+
+@pytest.mark.parametrize("at_once", [64, 3])
+def test_near_dedup_links_all_of_similarity_four_fifths(spark, monkeypatch, at_once):
+    monkeypatch.setattr(near_copies, "LIST", at_once)
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 300))]
+        for edits in (0, 1, 1, 2, 3, 4, 6, 9):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()} == dict(enumerate(root))
+    left = {r["doc_id"] for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()}
+    assert left == set(root) and len(left) < len(texts) / 2
