@@ -1,23 +1,22 @@
 """Cross-entropy difference of a target and a background bigram model.
 
-Both models share one vocabulary of hashed words (and one table of hashed word
-pairs), the same smoothing and the same order, so a document's losses under the
-two differ only by what was counted: the target's documents, or all others.
-The score is the mean over tokens of target loss less background loss; low
-means like the target. A document's own counts are taken out of the model that
-it belongs to before it is scored (each of identical documents still sees the
-others).
-
-Counting covers all documents. Each task counts into tables of fixed size and
-passes on, block by block, what it has found; blocks are added up in a tree, at
-most ``FAN`` to a task, so no task or group grows with the input. The two
-models are 2 * (2^PAIR_BITS + 2^WORD_BITS) 32-bit numbers however large the
-corpus is, and are broadcast.
+Both models share one vocabulary of words, the same smoothing and the same
+order, so a document's losses under the two differ only by what was counted:
+the target's documents, or all others. The score is the mean over tokens of
+target loss less background loss; low means like the target. A document's own
+counts are taken out of the model that it belongs to before it is scored (each
+of identical documents still sees the others).
+
+Counting covers all documents, words and pairs of words, by hashes of 64 bits;
+no table has a fixed size. Documents are dealt into chunks of some ``CHUNK``
+characters by their content. A chunk sends its distinct words and pairs with
+its own counts to the part of each, where the chunks' counts are added up, and
+is sent back the sums of those that other chunks hold as well. Then it has the
+corpus' counts of all that its documents need and scores them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,29 +27,25 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, text_or_empty
 
-WORD_BITS = 18
-PAIR_BITS = 22
-BLOCK_BITS = 16
-FAN = 64
-START = 0  # the word before a document's first; words have numbers from 1
+WORD_BITS = 18  # the smoothing allows for so many words at least
+CHUNK = 16_000_000
+FAN = 12  # parts at least that words and pairs are dealt to
+START = 0  # the word before a document's first; its count is that of documents with words
+TOKENS = 1  # its count is that of all words
 ADD = 0.1  # to each word's count
 PRIOR = 20.0  # weight of the word's own probability among the pairs of its predecessor
 CACHED = 100_000
 BROADCAST_IDS = 2_000_000  # 8 bytes each, some 50 MB as a hash table
-FLUSH = 300_000  # tokens that a task holds before it counts them
-
-_BLOCKS = 1 << (PAIR_BITS - BLOCK_BITS)
-_WORD_BLOCKS = 1 << (WORD_BITS - BLOCK_BITS)
 
 
 class Vocabulary(dict):
-    """Word to number, from 1 below 2^WORD_BITS, by hash; remembers a bounded number of words."""
+    """Word to its hash, 2 or more or negative; remembers a bounded number of words."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHED:
             self.clear()
-        number = 1 + xxhash.xxh32_intdigest(word.encode("utf-8", "replace")) % ((1 << WORD_BITS) - 1)
-        self[word] = number
+        number = xxhash.xxh64_intdigest(word.encode("utf-8", "replace")) - (1 << 63)
+        self[word] = number = number if number not in (START, TOKENS) else number + 2
         return number
 
 
@@ -60,152 +55,174 @@ def numbers(text: str | None, vocabulary: Vocabulary) -> np.ndarray:
 
 
 def pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        mixed = (before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    mixed = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    mixed = (mixed + word.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(32)
+    return (mixed * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def _before(words: np.ndarray) -> np.ndarray:
     return np.concatenate([[START], words[:-1]]).astype(np.int64)
 
 
-@dataclass(frozen=True)
-class Models:
-    """words[m], pairs[m]: counts of the background (m = 0) and the target (m = 1); words[m][START] counts documents."""
-
-    words: np.ndarray
-    pairs: np.ndarray
-
-    def losses(self, words: np.ndarray, target: bool) -> tuple[float, float]:
-        """Mean loss a token under target and background, natural logarithm; (0, 0) without tokens."""
-        if not len(words):
-            return 0.0, 0.0
-        before = _before(words)
-        pair = pairs(before, words)
-        out = []
-        for m in (1, 0):
-            word_n, before_n = self.words[m][words].astype(float), self.words[m][before].astype(float)
-            pair_n, total = self.pairs[m][pair].astype(float), self.totals[m]
-            if m == int(target):  # less its own
-                _, at, own = np.unique(words, return_inverse=True, return_counts=True)
-                own_words = own[at]
-                before_n = before_n - np.concatenate([[1], own_words[:-1]])
-                _, at, own = np.unique(pair, return_inverse=True, return_counts=True)
-                word_n, pair_n, total = word_n - own_words, pair_n - own[at], total - len(words)
-            p = (np.maximum(word_n, 0) + ADD) / (max(total, 0) + ADD * (1 << WORD_BITS))
-            before_n = np.maximum(before_n, 0)
-            p = (np.minimum(np.maximum(pair_n, 0), before_n) + PRIOR * p) / (before_n + PRIOR)
-            out.append(float(-np.log(p).mean()))
-        return out[0], out[1]
+def _tally(keys: list[np.ndarray], targets: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their counts, [background, target], of documents."""
+    flat = np.concatenate([np.empty(0, np.int64), *keys])
+    once, at = np.unique(flat, return_inverse=True)
+    target = np.repeat(np.array(targets, bool), [len(k) for k in keys])
+    return once, np.stack([np.bincount(at[~target], minlength=len(once)), np.bincount(at[target], minlength=len(once))])
 
-    @property
-    def totals(self) -> tuple[float, float]:
-        found = self.__dict__.get("_totals")
-        if found is None:
-            found = tuple(float(w[1:].sum(dtype=np.float64)) for w in self.words)
-            self.__dict__["_totals"] = found
-        return found
 
+def _tables(texts: list[str], targets: list[bool]) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+    """The documents' words, and the tallies of words (with START and TOKENS) and pairs."""
+    vocabulary = Vocabulary()
+    words = [numbers(t, vocabulary) for t in texts]
+    keys, counts = _tally(words, targets)
+    more = np.zeros((2, 2), np.int64)
+    for own, target in zip(words, targets):
+        more[int(target)] += (len(own) > 0, len(own))
+    at = np.searchsorted(keys, START)
+    both = np.insert(keys, at, [START, TOKENS]), np.insert(counts, [at, at], more, axis=1)
+    return words, [both, _tally([pairs(_before(w), w) if len(w) else w for w in words], targets)]
 
-def _packed(values: np.ndarray) -> bytes:
-    """Places and values of what isn't zero, or all values where that is shorter."""
-    at = np.flatnonzero(values)
-    if len(at) * 10 < len(values) * 8:
-        return b"s" + at.astype("<u2").tobytes() + values[at].astype("<i8").tobytes()
-    return b"d" + values.astype("<i8").tobytes()
 
+def _packed(counts: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(counts, "<i8").tobytes(), codec="zstd", asbytes=True)
 
-def _add(packed: bytes, into: np.ndarray) -> None:
-    if packed[:1] == b"d":
-        into += np.frombuffer(packed, "<i8", offset=1)
-        return
-    n = (len(packed) - 1) // 10
-    into[np.frombuffer(packed, "<u2", n, 1)] += np.frombuffer(packed, "<i8", n, 1 + 2 * n)
 
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, 16 * n, codec="zstd", asbytes=True), "<i8").reshape(2, n)
 
-def count(docs: DataFrame) -> Models:
-    """docs (doc_id, text, target boolean), all of them; a null target counts as false, a null text as empty."""
-    slim = docs.select(text_or_empty().alias("text"), F.coalesce("target", F.lit(False)).alias("target"))
-    block = 1 << BLOCK_BITS
-
-    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary()
-        words, both = np.zeros((2, 1 << WORD_BITS), np.int64), np.zeros((2, 1 << PAIR_BITS), np.int32)
-        seen = False
-        for batch in batches:
-            waiting: list[list[np.ndarray]] = [[], []]
-            size = 0
-
-            def flush() -> None:
-                for m in (0, 1):
-                    if waiting[m]:
-                        own = np.concatenate(waiting[m])
-                        before = np.concatenate([_before(w) for w in waiting[m] if len(w)] or [own])
-                        words[m] += np.bincount(own, minlength=1 << WORD_BITS)
-                        words[m][START] += sum(len(w) > 0 for w in waiting[m])
-                        place, n = np.unique(pairs(before, own), return_counts=True)
-                        both[m][place] += n
-                        waiting[m].clear()
-
-            for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist()):
-                seen = True
-                waiting[target].append(own := numbers(text, vocabulary))
-                size += len(own)
-                if size > FLUSH:
-                    flush()
-                    size = 0
-            flush()
-        if seen:
-            names = [(m, b) for m in (0, 1) for b in range(_WORD_BLOCKS + _BLOCKS)]
-            for m, b in names:
-                values = words[m][b * block : (b + 1) * block] if b < _WORD_BLOCKS else both[m][(b - _WORD_BLOCKS) * block : (b + 1 - _WORD_BLOCKS) * block]
-                yield pa.RecordBatch.from_arrays([pa.array([m * 1000 + b], pa.int32()), pa.array([_packed(values)], pa.binary())], ["block", "counts"])
-
-    found = checkpoint(slim.mapInArrow(tables, "block int, counts binary").withColumn("part", F.spark_partition_id()))
-    parts = (found.agg(F.max("part")).first()[0] or 0) + 1
-
-    def merge(group: pa.Table) -> pa.Table:
-        total = np.zeros(block, np.int64)
-        for packed in group.column("counts"):
-            _add(packed.as_py(), total)
-        return pa.table({"block": group.column("block")[:1], "counts": pa.array([_packed(total)], pa.binary()), "part": group.column("up")[:1]})
-
-    while True:
-        found = found.withColumn("up", (F.col("part") / FAN).cast("int")).groupBy("block", "up").applyInArrow(merge, "block int, counts binary, part int")
-        parts = -(-parts // FAN)
-        if parts <= 1:
-            break
-        found = checkpoint(found)
-    words, both = np.zeros((2, 1 << WORD_BITS)), np.zeros((2, 1 << PAIR_BITS))
-    for row in found.select("block", "counts").toLocalIterator():
-        m, b = divmod(row["block"], 1000)
-        total = np.zeros(block, np.int64)
-        _add(bytes(row["counts"]), total)
-        if b < _WORD_BLOCKS:
-            words[m][b * block : (b + 1) * block] = total
-        else:
-            both[m][(b - _WORD_BLOCKS) * block : (b + 1 - _WORD_BLOCKS) * block] = total
-    return Models(words.astype(np.float32), both.astype(np.float32))
-
-
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """One row per row of docs (doc_id, text, target): doc_id, tokens, target_loss, background_loss, difference. Texts without words: zeros. Other columns are not carried."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+_ROW = "kind int, part int, chunk int, keys binary, counts binary"
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) or [()] * 5
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.table({name.split()[0]: pa.array(c, k) for name, c, k in zip(_ROW.split(", "), columns, kinds)})
+
+
+def _chunked(docs: DataFrame, chunks: int) -> DataFrame:
     slim = docs.select("doc_id", text_or_empty().alias("text"), F.coalesce("target", F.lit(False)).alias("target"))
+    return slim.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, models = Vocabulary(), shared.value
-        for batch in batches:
-            rows = []
-            for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist()):
-                words = numbers(text, vocabulary)
-                a, b = models.losses(words, target)
-                rows.append((len(words), a, b, a - b))
-            columns = list(zip(*rows)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[1:])], ["doc_id", "tokens", "target_loss", "background_loss", "difference"])
-
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, tokens long, target_loss double, background_loss double, difference double")
+
+@dataclass(frozen=True)
+class Counts:
+    """own: each chunk's tallies. shared: for each chunk the sums of its keys that others hold as well. vocabulary: the number of distinct words."""
+
+    own: DataFrame
+    shared: DataFrame
+    chunks: int
+    vocabulary: int
+
+    def _all(self, kind: int) -> np.ndarray:
+        """Sums in the order of the keys, gathered: for small corpora."""
+        total: dict[int, np.ndarray] = {}
+        for row in self.own.filter(F.col("kind") == kind).toLocalIterator():
+            keys = np.frombuffer(row["keys"], "<i8")
+            for k, n in zip(keys.tolist(), _unpacked(bytes(row["counts"]), len(keys)).T):
+                total[k] = total.get(k, 0) + n
+        tokens = total.pop(TOKENS, None) if kind == 0 else None
+        first = [START] if tokens is not None else []
+        return np.array([total[k] for k in [*first, *sorted(k for k in total if k not in first)]]).T
+
+    @property
+    def words(self) -> np.ndarray:
+        return self._all(0)
+
+    @property
+    def pairs(self) -> np.ndarray:
+        return self._all(1)
+
+
+def count(docs: DataFrame) -> Counts:
+    """docs (doc_id, text, target boolean), all of them; a null target counts as false, a null text as empty."""
+    chunks = int((docs.agg(F.sum(F.length(text_or_empty()))).first()[0] or 0) // CHUNK) + 1
+    parts = max(FAN, chunks)
+
+    def tables(group: pa.Table) -> pa.Table:
+        chunk = group.column("chunk")[0].as_py()
+        _, found = _tables(group.column("text").to_pylist(), group.column("target").to_pylist())
+        rows = []
+        for kind, (keys, counts) in enumerate(found):
+            part = (keys.view(np.uint64) >> np.uint64(16)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[order], np.arange(parts + 1).astype(np.uint64))
+            for p in range(parts):
+                own = order[ends[p] : ends[p + 1]]
+                if len(own):
+                    rows.append((kind, p, chunk, keys[own].astype("<i8").tobytes(), _packed(counts[:, own])))
+        return _rows(rows)
+
+    own = _chunked(docs, chunks).groupBy("chunk").applyInArrow(tables, _ROW)
+
+    def add(group: pa.Table) -> pa.Table:
+        kind, part = group.column("kind")[0].as_py(), group.column("part")[0].as_py()
+        keys = [np.frombuffer(x.as_py(), "<i8") for x in group.column("keys")]
+        counts = [_unpacked(x.as_py(), len(k)) for x, k in zip(group.column("counts"), keys)]
+        once, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros((2, len(once)), np.int64)
+        place = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
+        for own, n in zip(place, counts):
+            total[:, own] += n  # a chunk's keys are distinct
+        rows = [(kind, part, -1, b"", len(once).to_bytes(8, "little"))]
+        for chunk, k, own, n in zip(group.column("chunk").to_pylist(), keys, place, counts):
+            more = (total[:, own] != n).any(axis=0)
+            if more.any():
+                rows.append((kind, part, chunk, k[more].tobytes(), _packed(total[:, own[more]])))
+        return _rows(rows)
+
+    found = checkpoint(own.groupBy("kind", "part").applyInArrow(add, _ROW))
+    vocabulary = sum(int.from_bytes(r["counts"], "little") for r in found.filter("chunk = -1 and kind = 0").select("counts").toLocalIterator()) - 2
+    return Counts(own, found.filter("chunk >= 0"), chunks, vocabulary)
+
+
+def _losses(words: np.ndarray, target: bool, tables: list[tuple[np.ndarray, np.ndarray]], vocabulary: int) -> tuple[float, float]:
+    """Mean loss a token under target and background, natural logarithm; (0, 0) without tokens."""
+    if not len(words):
+        return 0.0, 0.0
+    before = _before(words)
+    pair = pairs(before, words)
+    (keys, counts), (pair_keys, pair_counts) = tables
+    of_word, of_before, of_pair = np.searchsorted(keys, words), np.searchsorted(keys, before), np.searchsorted(pair_keys, pair)
+    tokens = np.searchsorted(keys, TOKENS)
+    out = []
+    for m in (1, 0):
+        word_n, before_n = counts[m][of_word].astype(float), counts[m][of_before].astype(float)
+        pair_n, total = pair_counts[m][of_pair].astype(float), float(counts[m][tokens])
+        if m == int(target):  # less its own
+            _, at, own = np.unique(of_word, return_inverse=True, return_counts=True)
+            own_words = own[at]
+            before_n = before_n - np.concatenate([[1], own_words[:-1]])
+            _, at, own = np.unique(of_pair, return_inverse=True, return_counts=True)
+            word_n, pair_n, total = word_n - own_words, pair_n - own[at], total - len(words)
+        p = (word_n + ADD) / (total + ADD * vocabulary)
+        p = (np.minimum(pair_n, before_n) + PRIOR * p) / (before_n + PRIOR)
+        out.append(float(-np.log(p).mean()))
+    return out[0], out[1]
+
+
+def score(docs: DataFrame, counts: Counts) -> DataFrame:
+    """One row per row of docs (doc_id, text, target), those that were counted: doc_id, tokens, target_loss, background_loss, difference. Texts without words: zeros. Other columns are not carried."""
+    slim = _chunked(docs, counts.chunks)
+    vocabulary = max(1 << WORD_BITS, counts.vocabulary)
+
+    def run(group: pa.Table, shared: pa.Table) -> pa.Table:
+        targets = group.column("target").to_pylist()
+        words, tables = _tables(group.column("text").to_pylist(), targets)
+        for kind, packed, sums in zip(shared.column("kind").to_pylist(), shared.column("keys"), shared.column("counts")):
+            keys = np.frombuffer(packed.as_py(), "<i8")
+            tables[kind][1][:, np.searchsorted(tables[kind][0], keys)] = _unpacked(sums.as_py(), len(keys))
+        found = [_losses(w, t, tables, vocabulary) for w, t in zip(words, targets)]
+        columns = [[len(w) for w in words], [a for a, _ in found], [b for _, b in found], [a - b for a, b in found]]
+        kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        return pa.table([group.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "tokens", "target_loss", "background_loss", "difference"])
+
+    schema = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, tokens long, target_loss double, background_loss double, difference double"
+    return slim.groupBy("chunk").cogroup(counts.shared.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -162,6 +162,30 @@ def test_counts_merge_in_a_tree(spark, monkeypatch):
     assert (one.words == many.words).all() and (one.pairs == many.pairs).all() and one.words[:, 1:].sum() == 400
 
 
+def test_counts_are_of_the_words_themselves(spark, monkeypatch):
+    """More words than 2^18: counted by hand on the words, in one chunk and in many."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(600_000)}" for _ in range(20_000)) for _ in range(30)] + ["w1 w2 w1 w3", "w5 w1 w2"]
+    target = [k % 3 == 0 for k in range(len(texts))]
+    split = [t.split() for t in texts]
+    singles, doubles = ([Counter(w for k, own in enumerate(split) if target[k] == m for w in own) for m in (False, True)], [Counter(p for k, own in enumerate(split) if target[k] == m for p in zip([None, *own], own)) for m in (False, True)])
+    vocabulary = len({w for own in split for w in own})
+    assert vocabulary > 1 << lm_score.WORD_BITS
+    docs = spark.createDataFrame([(k, t, target[k]) for k, t in enumerate(texts)], "doc_id long, text string, target boolean").repartition(4)
+    for size in (lm_score.CHUNK, 500_000):
+        monkeypatch.setattr(lm_score, "CHUNK", size)
+        rows = {r["doc_id"]: r for r in lm_score.score(docs, lm_score.count(docs)).collect()}
+        for k in (0, 1, 30, 31):
+            for m, name in ((True, "target_loss"), (False, "background_loss")):
+                own, own_pairs = (Counter(split[k]), Counter(zip([None, *split[k]], split[k]))) if target[k] == m else (Counter(), Counter())
+                total, starts, loss = sum(singles[m].values()) - sum(own.values()), target.count(m) - (target[k] == m), 0.0
+                for before, w in zip([None, *split[k]], split[k]):
+                    q = (singles[m][w] - own[w] + lm_score.ADD) / (total + lm_score.ADD * vocabulary)
+                    n = starts if before is None else singles[m][before] - own[before]
+                    loss -= math.log((min(doubles[m][before, w] - own_pairs[before, w], n) + lm_score.PRIOR * q) / (n + lm_score.PRIOR))
+                assert rows[k][name] == pytest.approx(loss / len(split[k]), rel=1e-9)
+
+
 def test_odd_texts_and_targets(spark):
     labels = spark.createDataFrame([(0, 1), (0, 0), (3, 1), (None, 1)], "doc_id long, quality int")
     docs = lm_score.with_target(documents(spark, ODD), labels)
