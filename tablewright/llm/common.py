@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Texts that a task holds as Python values at a time.
+SLICE = 512
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,3 +51,17 @@ def fresh(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = f"_{wanted}"
     return wanted
+
+
+def kept_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """df with the rows that run leaves, all columns as they were; run sees names that aren't plain words, which mapInArrow can't take, as others."""
+    plain = df.toDF(*[c if re.fullmatch(r"\w+", c) else f"_column_{k}" for k, c in enumerate(df.columns)])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """batches in slices, so that a task holds few texts as Python values; at the end unused memory is given back, as workers stay for later stages."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()

@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import checkpoint, kept_rows, sliced, text_or_empty
 
 Q = 12
 BUDGET = 0.06
 PART_CHARS = 4_000_000
+LISTED = 1 << 20
 TABLE_BITS = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -58,20 +59,21 @@ def edit_budget(m: int, budget: float = BUDGET, q: int = Q) -> int:
 
 @dataclass(frozen=True)
 class Items:
-    """ids and normalized texts of benchmark items; keys: sorted q-gram values, with item and place of each; seen: a bit table of the keys."""
+    """ids and normalized texts of benchmark items; keys: sorted q-gram values, with item and place of each; seen: a bit table of the keys; short: items without a q-gram."""
 
-    ids: list
+    ids: pa.Array
     texts: list[str]
     keys: np.ndarray
     item: np.ndarray
     place: np.ndarray
     seen: np.ndarray
     short: list[int]
+    lengths: np.ndarray
 
 
-def index(ids: list, texts: list[str | None], q: int = Q) -> Items:
+def index(ids: pa.Array, texts: list[str | None], q: int = Q) -> Items:
     """Items without text after normalization match nothing and are left out; of items with equal text each is kept."""
-    both = [(i, n) for i, t in zip(ids, texts) if (n := normalize(t))]
+    both = [(i, n) for i, t in enumerate(texts) if (n := normalize(t))]
     parts = [grams(_codes(t), q) for _, t in both]
     keys = np.concatenate([np.zeros(0, np.uint64), *parts])
     item = np.repeat(np.arange(len(both)), [len(p) for p in parts])
@@ -79,7 +81,8 @@ def index(ids: list, texts: list[str | None], q: int = Q) -> Items:
     order = np.argsort(keys, kind="stable")
     seen = np.zeros(1 << TABLE_BITS, bool)
     seen[(keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-    return Items([i for i, _ in both], [t for _, t in both], keys[order], item[order], place[order], seen, [k for k, (_, t) in enumerate(both) if len(t) < q])
+    own = ids.take(pa.array([i for i, _ in both], pa.int64()))
+    return Items(own, [t for _, t in both], keys[order], item[order], place[order], seen, [k for k, (_, t) in enumerate(both) if len(t) < q], np.array([len(t) for _, t in both], np.int64))
 
 
 def _codes(text: str) -> np.ndarray:
@@ -115,6 +118,56 @@ def align(item: str, region: str, diagonal: int, width: int) -> tuple[int, int,
     return int(min(cost[k], big)), int(start[k]), int(np.clip(offsets[k] + m, 0, n))
 
 
+def _added(item: np.ndarray, step: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (item, step) with their numbers added up."""
+    order = np.lexsort((step, item))
+    item, step = item[order], step[order]
+    first = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (step[1:] != step[:-1])]) if len(item) else np.zeros(0, np.int64)
+    return item[first], step[first], np.add.reduceat(number[order], first) if len(first) else number
+
+
+def _counted(values: np.ndarray, at: np.ndarray, items: Items, half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, step, number): how many of the document's q-grams (values, at their places) equal one of item on a diagonal in step; steps are half an item's band wide.
+
+    Pairs of places are listed at most ``LISTED`` at a time. Where a value is so
+    frequent in both texts that its pairs alone are more, they are counted by a
+    correlation of its places instead, so that memory and time follow the texts'
+    lengths and not their product.
+    """
+    low = np.searchsorted(items.keys, values, "left")
+    count = np.searchsorted(items.keys, values, "right") - low
+    hit = count > 0
+    values, at, low, count = values[hit], at[hit], low[hit], count[hit]
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    _, first, of, times = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
+    often = times * count[first] > LISTED
+    for v in np.flatnonzero(often):
+        places, rows = at[of == v], slice(int(low[first[v]]), int(low[first[v]] + count[first[v]]))
+        for k in np.unique(items.item[rows]).tolist():
+            own = items.place[rows][items.item[rows] == k]
+            n, m = int(places[-1]) + 1, int(own.max()) + 1
+            size = 1 << (n + m).bit_length()
+            here, there = np.bincount(places, minlength=size), np.bincount(m - 1 - own, minlength=size)
+            both = np.rint(np.fft.irfft(np.fft.rfft(here) * np.fft.rfft(there), size)[: n + m - 1]).astype(np.int64)
+            diagonal = np.flatnonzero(both)
+            parts.append((np.full(len(diagonal), k), (diagonal - (m - 1)) // half[k], both[diagonal]))
+    rare = ~often[of]
+    at, low, count = at[rare], low[rare], count[rare]
+    ends = np.cumsum(count)
+    begin = 0
+    while begin < len(at):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + LISTED, "right")))
+        n = count[begin:end]
+        pick = np.repeat(low[begin:end] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        item = items.item[pick]
+        step = (np.repeat(at[begin:end], n) - items.place[pick]) // half[item]
+        parts.append(_added(item, step, np.ones(len(item), np.int64)))
+        begin = end
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return parts[0] if len(parts) == 1 else _added(*(np.concatenate(x) for x in zip(*parts)))
+
+
 def find(text: str | None, items: Items, budget: float = BUDGET, q: int = Q) -> list[tuple[int, int, int, int]]:
     """(item, edits, start, end) of the best match of each item in the normalized text, by item; of equally good ones the first."""
     doc = normalize(text)
@@ -123,42 +176,29 @@ def find(text: str | None, items: Items, budget: float = BUDGET, q: int = Q) ->
         if (at := doc.find(items.texts[k])) >= 0:
             out[k] = (0, at, at + len(items.texts[k]))
     values = grams(_codes(doc), q)
-    at = np.flatnonzero(items.seen[(values >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]) if len(values) else []
+    at = np.flatnonzero(items.seen[(values >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]) if len(values) else np.zeros(0, np.int64)
     if len(at):
-        low = np.searchsorted(items.keys, values[at], "left")
-        count = np.searchsorted(items.keys, values[at], "right") - low
-        total = int(count.sum())
-        if total:
-            pick = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(total)
-            item, diagonal = items.item[pick], np.repeat(at, count) - items.place[pick]
-            lengths = np.array([len(t) for t in items.texts])
-            edits = np.maximum(0, np.minimum((budget * lengths).astype(np.int64), (lengths - q) // q))
-            need = lengths - q + 1 - edits * q
-            half = edits[item] + 1
-            step = diagonal // half  # two steps in turn make a band
-            regions: dict[int, set[int]] = {}
-            for shift in (0, 1):
-                order = np.lexsort((step - shift, item))
-                band = (step - shift)[order] // 2 if shift else step[order] // 2
-                own = item[order]
-                order = np.lexsort((band, own))
-                band, own = band[order], own[order]
-                first = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (own[1:] != own[:-1])])
-                number = np.diff(np.r_[first, len(band)])
-                for f in first[number >= need[own[first]]]:
-                    k = int(own[f])
-                    regions.setdefault(k, set()).add((2 * int(band[f]) + 1 + shift) * int(edits[k] + 1))
-            for k, middles in regions.items():
-                own, most = items.texts[k], int(edits[k])
-                for middle in sorted(middles):
-                    begin = max(0, middle - 3 * (most + 1))
-                    region = doc[begin : middle + 3 * (most + 1) + len(own)]
-                    if (found := region.find(own)) >= 0:
-                        cost, start, end = 0, found, found + len(own)
-                    else:
-                        cost, start, end = align(own, region, middle - begin, 2 * (most + 1))
-                    if cost <= most and (k not in out or (cost, begin + start) < out[k][:2]):
-                        out[k] = (cost, begin + start, begin + end)
+        edits = np.maximum(0, np.minimum((budget * items.lengths).astype(np.int64), (items.lengths - q) // q))
+        item, step, number = _counted(values[at], at, items, edits + 1)
+        need = items.lengths - q + 1 - edits * q
+        regions: dict[int, set[int]] = {}
+        for shift in (0, 1):  # two steps in turn make a band
+            own, band, total = _added(item, (step - shift) // 2, number)
+            for k, b in zip(*(x[total >= need[own]].tolist() for x in (own, band))):
+                regions.setdefault(k, set()).add((2 * b + 1 + shift) * int(edits[k] + 1))
+        for k, middles in regions.items():
+            own, most = items.texts[k], int(edits[k])
+            for middle in sorted(middles):
+                begin = max(0, middle - 3 * (most + 1))
+                region = doc[begin : middle + 3 * (most + 1) + len(own)]
+                if (found := region.find(own)) >= 0:
+                    cost, start, end = 0, found, found + len(own)
+                else:
+                    cost, start, end = align(own, region, middle - begin, 2 * (most + 1))
+                if cost <= most and (k not in out or (cost, begin + start) < out[k][:2]):
+                    out[k] = (cost, begin + start, begin + end)
+                if not cost:
+                    break  # none is better, and none before it as good
     return [(k, *out[k]) for k in sorted(out)]
 
 
@@ -169,7 +209,7 @@ def parts(benchmark: DataFrame, part_chars: int = PART_CHARS) -> Iterator[Items]
     n = max(1, -(-total // part_chars))
     for k in range(n):
         own = slim.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("item_id", "text").toArrow()
-        yield index(own.column("item_id").to_pylist(), own.column("text").to_pylist())
+        yield index(own.column("item_id").combine_chunks(), own.column("text").to_pylist())
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
@@ -187,24 +227,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> Da
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
-            for batch in batches:
+            for batch in sliced(batches):
                 rows = [(k, *hit) for k, t in enumerate(batch.column("text").to_pylist()) for hit in find(t, items, budget)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([items.ids[r[1]] for r in rows], item_type), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64())], ["doc_id", "item_id", "edits", "start", "finish"])
+                at, item, edits, start, finish = (pa.array(x, kind) for x, kind in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), items.ids.take(item), edits, start, finish], ["doc_id", "item_id", "edits", "start", "finish"])
 
-        item_type = pa.int32() if "int" == benchmark.schema["item_id"].dataType.simpleString() else pa.string() if "string" == benchmark.schema["item_id"].dataType.simpleString() else pa.int64()
         own = slim.mapInArrow(run, schema)
         result = own if result is None else result.union(own)
     return result
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """docs without the rows that hold a benchmark item; all columns as they were."""
+    """docs without the rows that hold a benchmark item; all columns as they were. What a part of the benchmark leaves is written before the next, so a task holds one part's index."""
+    left = None
     for items in parts(benchmark):
+        left = docs if left is None else checkpoint(left)
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 yield batch.filter(pa.array([not find(t, shared.value, budget) for t in batch.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        left = kept_rows(left, run)
+    return left

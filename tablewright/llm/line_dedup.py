@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, fresh, text_or_empty
 
 MIN_WORDS = 50
+SENT_BYTES = 32 << 20  # of the places to delete; up to so much is sent to the tasks
 _OTHER = 0x5BD1E995  # a second seed, for ids of 128 bits
 
 
@@ -115,22 +116,26 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return whole.unionByName(inside)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text less the later copies of repeated runs of lines, and deleted_lines (int).
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, count: str | None = "deleted_lines") -> DataFrame:
+    """docs with text less the later copies of repeated runs of lines, and their number (int) in the column that count names, unless that is None.
 
     Every row stays, wholly deleted texts as ''. A null text stays null. Rows
     with equal doc_id and text count as one document and get the same text.
     Ties: of equal runs the one with the least (doc_id, text hash, line) stays;
-    a null doc_id is least. Other columns are kept as they are; a column named
-    deleted_lines is replaced. No rows: no rows.
+    a null doc_id is least. Other columns are kept as they are; a column that
+    has the count's name is replaced. No rows: no rows.
     """
-    docs = docs.drop("deleted_lines")
+    docs = docs.drop(count) if count else docs
     per = repeated_runs(docs, min_words).groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "last")).alias("cut"))
     id_, version, cut = (fresh(docs, x) for x in ("cut_id", "cut_version", "cut_lines"))
     per = checkpoint(per.select(F.col("doc_id").alias(id_), F.col("version").alias(version), F.array_distinct(F.flatten(F.transform("cut", lambda r: F.sequence(r["first"], r["last"])))).alias(cut)))
+    size = per.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(cut)), F.lit(0)).alias("lines")).first()
+    if 64 * size["n"] + 4 * size["lines"] <= SENT_BYTES:
+        per = F.broadcast(per)  # else the texts are shuffled
     joined = docs.join(per, docs["doc_id"].eqNullSafe(per[id_]) & (F.xxhash64(text_or_empty()) == per[version]), "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cut)
     left = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(left)
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.when(F.col(cut).isNull(), 0).otherwise(F.size(cut)).alias("deleted_lines"))
+    deleted = [F.when(F.col(cut).isNull(), 0).otherwise(F.size(cut)).alias(count)] if count else []
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], *deleted)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh, text_or_empty
+from .common import checkpoint, fresh, sliced, text_or_empty
 
 CAPACITY = 1024
 END = 2
@@ -67,7 +67,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, tokenizer:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, ranks)
-        for batch in batches:
+        for batch in sliced(batches):
             row, piece, start, length, ids = [], [], [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 tokens = np.array([*encode(text), end], dtype="<u4")

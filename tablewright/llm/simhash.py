@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions, text_or_empty
+from .common import checkpoint, partitions, sliced, text_or_empty
 from .components import components
 
 DISTANCE = 3
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp long) for each row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
 

@@ -8,8 +8,9 @@ stands with the mention of a group can weigh more than the two alone, which a
 sum of single weights can't say.
 
 The model is fitted in numpy on at most ``max_rows`` labelled documents (the
-least by a hash of doc_id), whose terms come to the driver as 32-bit hashes;
-everything else, scoring included, runs in tasks over all documents.
+least by a hash of doc_id), of whose terms at most ``ROW_TERMS`` each (the least
+hashes) come to the driver, of 32 bits; everything else, scoring included, runs
+in tasks over all documents.
 """
 
 from __future__ import annotations
@@ -24,15 +25,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import checkpoint, kept_rows, sliced, text_or_empty
 
 WORD = re.compile(r"[^\W_]+")
 BITS = 22
 MAX_ROWS = 8_000
 MAX_TERMS = 8_192
+ROW_TERMS = 8_192
 CHI = 20.0  # a chance of about 1e-5, one term of the 1e5 that are tried
 THRESHOLD = 0.7
-CACHED = 200_000
+CACHED = 32_768
 
 
 @dataclass(frozen=True)
@@ -68,18 +70,22 @@ def words_of(text: str) -> set[str]:
 
 
 def labelled_terms(docs: DataFrame, labels: DataFrame, allowed: Column, max_rows: int = MAX_ROWS, seed: int = 7) -> list[tuple[bytes, int]]:
-    """Hashed terms and label of at most max_rows documents that have a label and satisfy allowed."""
-    marks = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    few = marks.filter(allowed).orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(max_rows)
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    """Hashed terms and label of at most max_rows documents that have a label and satisfy allowed. Of several texts under one doc_id the one of the least hash counts; of several labels, 1."""
+    marks = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(allowed)
+    few = checkpoint(marks.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(max_rows))
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", F.col("toxic").cast("int").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms = [np.unique(np.array([h for w in words_of(t) for h in word_terms(w)], dtype=np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
+        for batch in sliced(batches):
+            terms = [np.unique(np.array([h for w in words_of(t) for h in word_terms(w)], dtype=np.uint32))[:ROW_TERMS].tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), batch.column("toxic")], ["terms", "toxic"])
 
     found = texts.mapInArrow(run, "terms binary, toxic int").toArrow()
-    return sorted(zip(found.column("terms").to_pylist(), found.column("toxic").to_pylist()))
+    rows = sorted(zip(found.column("terms").to_pylist(), found.column("toxic").to_pylist()))
+    del found
+    pa.default_memory_pool().release_unused()
+    return rows
 
 
 def fit(rows: list[tuple[bytes, int]], max_terms: int = MAX_TERMS, rank: int = 4, epochs: int = 150, rate: float = 0.05, decay: float = 1e-3, seed: int = 11) -> Machine:
@@ -161,7 +167,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer(batch.column("text").to_pylist()))], ["doc_id", "score"])
 
     slim = docs.select("doc_id", text_or_empty().alias("text"))
@@ -174,7 +180,7 @@ def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(scorer(batch.column("text").to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return kept_rows(docs, run)

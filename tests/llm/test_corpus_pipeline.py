@@ -3,6 +3,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -36,8 +37,14 @@ def test_stages_take_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(DATA)).count() <= len(rows), name
+    docs = docs.union(spark.createDataFrame([(1, "quite another text of its own, no copy", "xx", None, None), (2, "quite another text of its own, no copy", "xx", None, None)], docs.schema))
     near = [r["doc_id"] for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, str(DATA)).collect()]
-    assert sorted(near, key=str) == [1, 3, 5, None]
+    assert sorted(near, key=str) == [1, 1, 3, 5, None]
+    clash = docs.withColumns({c: F.lit(c) for c in ("deleted_lines", "near_id", "Version", "root", "fingerprint", "cut_lines", "a.b")})
+    clash = clash.union(clash.limit(1).withColumn("text", F.lit("one very long line " * 60_000)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clash, str(DATA))
+        assert out.columns == clash.columns and out.filter("deleted_lines <> 'deleted_lines' or `a.b` <> 'a.b'").isEmpty() and out.count() > 3, name
     none = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(DATA)).count() == 0, name
@@ -73,6 +80,8 @@ def test_query_returns_all_rows(spark, name):
 @pytest.mark.parametrize("at_once", [64, 3])
 def test_near_dedup_links_all_of_similarity_four_fifths(spark, monkeypatch, at_once):
     monkeypatch.setattr(near_copies, "LIST", at_once)
+    monkeypatch.setattr(near_copies, "BLOCK", at_once // 2)
+    monkeypatch.setattr(near_copies, "STARS", 1)
     rng = random.Random(11)
     texts = []
     for _ in range(12):
