@@ -11,8 +11,10 @@ Counting covers all documents, words and pairs of words, by hashes of 64 bits;
 no table has a fixed size. Documents are dealt into chunks of some ``CHUNK``
 characters by their content. A chunk sends its distinct words and pairs with
 its own counts to the part of each, where the chunks' counts are added up, and
-is sent back the sums of those that other chunks hold as well. Then it has the
-corpus' counts of all that its documents need and scores them.
+is sent back, in the order in which it sent them, what the other chunks have of
+each. Then it has the corpus' counts of all that its documents need and scores
+them. Keys travel as differences of sorted hashes, both they and the counts
+with equal places of their bytes together, which packs well.
 """
 
 from __future__ import annotations
@@ -87,12 +89,32 @@ def _tables(texts: list[str], targets: list[bool]) -> tuple[list[np.ndarray], li
     return words, [both, _tally([pairs(_before(w), w) if len(w) else w for w in words], targets)]
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(counts, "<i8").tobytes(), codec="zstd", asbytes=True)
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers of 64 bits, the first bytes of all before the second ones."""
+    own = np.ascontiguousarray(numbers, "<i8").reshape(-1).view(np.uint8).reshape(-1, 8)
+    return pa.compress(np.ascontiguousarray(own.T).tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(packed: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(packed, 16 * n, codec="zstd", asbytes=True), "<i8").reshape(2, n)
+    own = np.frombuffer(pa.decompress(packed, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(own.T).reshape(-1).view("<i8")
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys."""
+    own = keys.astype("<i8").view("<u8")
+    return len(own).to_bytes(8, "little") + _packed(np.diff(own, prepend=np.uint64(0)).view("<i8"))
+
+
+def _unpacked_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(packed[8:], int.from_bytes(packed[:8], "little")).view("<u8"), dtype=np.uint64).view("<i8")
+
+
+def _dealt(keys: np.ndarray, parts: int) -> list[np.ndarray]:
+    """The places of the keys of each part."""
+    part = (keys.view(np.uint64) >> np.uint64(16)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    return np.split(order, np.searchsorted(part[order], np.arange(1, parts).astype(np.uint64)))
 
 
 _ROW = "kind int, part int, chunk int, keys binary, counts binary"
@@ -111,19 +133,20 @@ def _chunked(docs: DataFrame, chunks: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Counts:
-    """own: each chunk's tallies. shared: for each chunk the sums of its keys that others hold as well. vocabulary: the number of distinct words."""
+    """own: each chunk's tallies by parts. others: for each chunk and part what the other chunks count of its keys, in their order. vocabulary: the number of distinct words."""
 
     own: DataFrame
-    shared: DataFrame
+    others: DataFrame
     chunks: int
+    parts: int
     vocabulary: int
 
     def _all(self, kind: int) -> np.ndarray:
         """Sums in the order of the keys, gathered: for small corpora."""
         total: dict[int, np.ndarray] = {}
         for row in self.own.filter(F.col("kind") == kind).toLocalIterator():
-            keys = np.frombuffer(row["keys"], "<i8")
-            for k, n in zip(keys.tolist(), _unpacked(bytes(row["counts"]), len(keys)).T):
+            keys = _unpacked_keys(bytes(row["keys"]))
+            for k, n in zip(keys.tolist(), _unpacked(bytes(row["counts"]), 2 * len(keys)).reshape(2, -1).T):
                 total[k] = total.get(k, 0) + n
         tokens = total.pop(TOKENS, None) if kind == 0 else None
         first = [START] if tokens is not None else []
@@ -148,36 +171,27 @@ def count(docs: DataFrame) -> Counts:
         _, found = _tables(group.column("text").to_pylist(), group.column("target").to_pylist())
         rows = []
         for kind, (keys, counts) in enumerate(found):
-            part = (keys.view(np.uint64) >> np.uint64(16)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(parts + 1).astype(np.uint64))
-            for p in range(parts):
-                own = order[ends[p] : ends[p + 1]]
-                if len(own):
-                    rows.append((kind, p, chunk, keys[own].astype("<i8").tobytes(), _packed(counts[:, own])))
+            rows += [(kind, p, chunk, _packed_keys(keys[own]), _packed(counts[:, own])) for p, own in enumerate(_dealt(keys, parts)) if len(own)]
         return _rows(rows)
 
     own = _chunked(docs, chunks).groupBy("chunk").applyInArrow(tables, _ROW)
 
     def add(group: pa.Table) -> pa.Table:
         kind, part = group.column("kind")[0].as_py(), group.column("part")[0].as_py()
-        keys = [np.frombuffer(x.as_py(), "<i8") for x in group.column("keys")]
-        counts = [_unpacked(x.as_py(), len(k)) for x, k in zip(group.column("counts"), keys)]
+        keys = [_unpacked_keys(x.as_py()) for x in group.column("keys")]
+        counts = [_unpacked(x.as_py(), 2 * len(k)).reshape(2, -1) for x, k in zip(group.column("counts"), keys)]
         once, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.zeros((2, len(once)), np.int64)
         place = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
         for own, n in zip(place, counts):
             total[:, own] += n  # a chunk's keys are distinct
         rows = [(kind, part, -1, b"", len(once).to_bytes(8, "little"))]
-        for chunk, k, own, n in zip(group.column("chunk").to_pylist(), keys, place, counts):
-            more = (total[:, own] != n).any(axis=0)
-            if more.any():
-                rows.append((kind, part, chunk, k[more].tobytes(), _packed(total[:, own[more]])))
+        rows += [(kind, part, chunk, b"", _packed(total[:, own] - n)) for chunk, own, n in zip(group.column("chunk").to_pylist(), place, counts)]
         return _rows(rows)
 
     found = checkpoint(own.groupBy("kind", "part").applyInArrow(add, _ROW))
     vocabulary = sum(int.from_bytes(r["counts"], "little") for r in found.filter("chunk = -1 and kind = 0").select("counts").toLocalIterator()) - 2
-    return Counts(own, found.filter("chunk >= 0"), chunks, vocabulary)
+    return Counts(own, found.filter("chunk >= 0"), chunks, parts, vocabulary)
 
 
 def _losses(words: np.ndarray, target: bool, tables: list[tuple[np.ndarray, np.ndarray]], vocabulary: int) -> tuple[float, float]:
@@ -208,21 +222,23 @@ def _losses(words: np.ndarray, target: bool, tables: list[tuple[np.ndarray, np.n
 def score(docs: DataFrame, counts: Counts) -> DataFrame:
     """One row per row of docs (doc_id, text, target), those that were counted: doc_id, tokens, target_loss, background_loss, difference. Texts without words: zeros. Other columns are not carried."""
     slim = _chunked(docs, counts.chunks)
+    parts = counts.parts
     vocabulary = max(1 << WORD_BITS, counts.vocabulary)
 
-    def run(group: pa.Table, shared: pa.Table) -> pa.Table:
+    def run(group: pa.Table, others: pa.Table) -> pa.Table:
         targets = group.column("target").to_pylist()
         words, tables = _tables(group.column("text").to_pylist(), targets)
-        for kind, packed, sums in zip(shared.column("kind").to_pylist(), shared.column("keys"), shared.column("counts")):
-            keys = np.frombuffer(packed.as_py(), "<i8")
-            tables[kind][1][:, np.searchsorted(tables[kind][0], keys)] = _unpacked(sums.as_py(), len(keys))
+        places = [_dealt(keys, parts) for keys, _ in tables]
+        for kind, part, more in zip(others.column("kind").to_pylist(), others.column("part").to_pylist(), others.column("counts")):
+            own = places[kind][part]
+            tables[kind][1][:, own] += _unpacked(more.as_py(), 2 * len(own)).reshape(2, -1)
         found = [_losses(w, t, tables, vocabulary) for w, t in zip(words, targets)]
         columns = [[len(w) for w in words], [a for a, _ in found], [b for _, b in found], [a - b for a, b in found]]
         kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         return pa.table([group.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "tokens", "target_loss", "background_loss", "difference"])
 
     schema = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, tokens long, target_loss double, background_loss double, difference double"
-    return slim.groupBy("chunk").cogroup(counts.shared.groupBy("chunk")).applyInArrow(run, schema)
+    return slim.groupBy("chunk").cogroup(counts.others.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
