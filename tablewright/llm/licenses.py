@@ -2,9 +2,11 @@
 
 Texts are scanned as their lower-cased words, joined by single spaces, so that
 line breaks and punctuation inside a phrase don't matter. One automaton holds
-the notice phrases and the identifier tag; what follows a tag in the text is
+the notice phrases and the identifier tag; what follows a tag in its line is
 read as an expression of licence names, ``and``, ``or``, ``with`` and brackets
-by a shunting-yard parser, and adds the labels of its names.
+by a shunting-yard parser. An expression counts if it names a known licence; it
+adds the labels of the known ones and is evaluated against the accepted
+licences: a text is permitted if all its expressions hold.
 
 The score is the chance that a text is under a licence of the found kinds, from
 the strength of the evidence: 1 - product of (1 - weight) over distinct labels.
@@ -20,7 +22,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_or_empty
+from .common import sliced, text_or_empty
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -57,9 +59,16 @@ TAG = "spdx license identifier"
 # How strongly a phrase, and a parsed expression, speak for a licence.
 WEIGHTS = {"phrase": 0.7, "expression": 0.95}
 
+# Licence identifiers that an expression can name, lower-case, and exceptions.
+KNOWN = frozenset("0bsd afl-3.0 agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.1 apache-2.0 artistic-2.0 bsd-2-clause bsd-3-clause bsd-4-clause bsl-1.0 cc-by-3.0 cc-by-4.0 cc-by-nc-4.0 cc-by-nc-nd-4.0 cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-sa-3.0 cc-by-sa-4.0 cc0-1.0 cddl-1.0 cecill-2.1 cpl-1.0 ecl-2.0 epl-1.0 epl-2.0 eupl-1.2 gfdl-1.3 gpl-2.0 gpl-2.0+ gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0+ gpl-3.0-only gpl-3.0-or-later isc lgpl-2.1 lgpl-2.1+ lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later mit mit-0 mpl-1.1 mpl-2.0 ms-pl ncsa odbl-1.0 ofl-1.1 openssl osl-3.0 postgresql psf-2.0 python-2.0 ruby unlicense upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1".split())
+EXCEPTIONS = frozenset("autoconf-exception-3.0 bison-exception-2.2 classpath-exception-2.0 font-exception-2.0 gcc-exception-3.1 linux-syscall-note llvm-exception openjdk-assembly-exception-1.0 swift-exception".split())
+# The licences that are accepted unless others are named.
+ACCEPTED = frozenset("0bsd apache-2.0 bsd-2-clause bsd-3-clause bsl-1.0 cc-by-3.0 cc-by-4.0 cc0-1.0 isc mit mit-0 ncsa postgresql psf-2.0 python-2.0 unlicense upl-1.0 x11 zlib".split())
+
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+_-]*")
 _RANK = {"or": 1, "and": 2, "with": 3}
-_AFTER_TAG = re.compile(r"spdx[^0-9a-zA-Z\x80-\U0010FFFF]*license[^0-9a-zA-Z\x80-\U0010FFFF]*identifier[^0-9a-zA-Z\x80-\U0010FFFF(]*([^\n]*)", re.IGNORECASE)
+_AFTER_TAG = re.compile(r"spdx[^0-9a-zA-Z\x80-\U0010FFFF]+license[^0-9a-zA-Z\x80-\U0010FFFF]+identifier[^0-9a-zA-Z\x80-\U0010FFFF(\r\n]*", re.IGNORECASE)
+_BLANKS = re.compile(r"[^\S\r\n]*")
 
 
 @dataclass(frozen=True)
@@ -73,7 +82,7 @@ class Expression:
         """Licences and exceptions, in the order of the text."""
         return [t for t in self.postfix if t not in _RANK]
 
-    def holds(self, accepted: set[str]) -> bool:
+    def holds(self, accepted: frozenset[str]) -> bool:
         """Whether accepted names satisfy it; ``a with e`` needs the licence a only, an exception takes nothing away."""
         stack: list[bool] = []
         for t in self.postfix:
@@ -85,22 +94,21 @@ class Expression:
         return stack[0]
 
 
-def parse(text: str) -> Expression | None:
-    """The longest start of text that is an expression; None without one. Operators bind with, and, or; those of one kind to the left; names are lower-cased."""
-    tokens = []
-    at = 0
-    while m := re.compile(r"\s*").match(text, at):
-        at = m.end()
-        if not (t := _TOKEN.match(text, at)):
-            break
-        tokens.append(t[0].lower().rstrip("."))
+def _tokens(text: str, at: int) -> Iterator[str]:
+    """Names, operators and brackets from at on, up to the line's end or anything else."""
+    while t := _TOKEN.match(text, _BLANKS.match(text, at).end()):
+        yield t[0].lower().rstrip(".")
         at = t.end()
+
+
+def parse(text: str, at: int = 0) -> Expression | None:
+    """The longest expression that begins at a place of text and ends in its line; None without one. Operators bind with, and, or; those of one kind to the left; names are lower-cased."""
     best = None
     out: list[str] = []
     waiting: list[str] = []
     operand = False  # whether the last token ended an operand
     depth = 0
-    for t in tokens:
+    for t in _tokens(text, at):
         if t == "(":
             if operand:
                 break
@@ -139,7 +147,11 @@ class Scan:
 
     @property
     def labels(self) -> set[str]:
-        return {x for _, _, x in [*self.hits, *self.more]} | {n for e in self.expressions for n in e.names}
+        return {x for _, _, x in [*self.hits, *self.more]} | {n for e in self.expressions for n in e.names if n in KNOWN}
+
+    def permitted(self, accepted: frozenset[str]) -> bool | None:
+        """Whether accepted licences satisfy all expressions; None without any."""
+        return all(e.holds(accepted) for e in self.expressions) if self.expressions else None
 
     @property
     def score(self) -> float:
@@ -167,6 +179,7 @@ class Scanner:
         out = Scan(words=len(words))
         joined = f" {' '.join(words)} "
         counted = at = 0
+        tagged = False
         for end, (size, n, own) in self.automaton.iter(joined):
             start = end - size + 1
             if start >= at:
@@ -178,23 +191,27 @@ class Scanner:
                 if kind == "tag":
                     continue
                 (out.hits if kind == "base" else out.more).append((first, n, label))
-            if own[0][0] == "tag" and not out.expressions:
-                out.expressions = [e for m in _AFTER_TAG.finditer(text) if (e := parse(m[1]))]
+            tagged |= own[0][0] == "tag"
+        if tagged:
+            found = [e for m in _AFTER_TAG.finditer(text) if (e := parse(text, m.end()))]
+            out.expressions = [e for e in found if any(n in KNOWN for n in e.names)]
         return out
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, expressions (array of their postfix forms), score.
+def scan(docs: DataFrame, accepted: frozenset[str] = ACCEPTED) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, expressions (array of their postfix forms), permitted, score.
 
     Null texts are empty. Without hits the counts and the score are 0, first_word and
-    last_word null, labels ''. Repeated rows each keep a row. Other columns are
-    not carried.
+    last_word null, labels ''; without expressions permitted is null. A tag
+    whose line ends after it, or that no expression with a known licence
+    follows, counts for nothing. Repeated rows each keep a row. Other columns
+    are not carried.
     """
     slim = docs.select("doc_id", text_or_empty().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
-        for batch in batches:
+        for batch in sliced(batches):
             found = [scanner(t) for t in batch.column("text").to_pylist()]
             starts = [[h[0] for h in f.hits] for f in found]
             yield pa.RecordBatch.from_arrays(
@@ -207,9 +224,10 @@ def scan(docs: DataFrame) -> DataFrame:
                     pa.array([",".join(sorted({h[2] for h in f.hits})) for f in found], pa.string()),
                     pa.array([",".join(sorted(f.labels)) for f in found], pa.string()),
                     pa.array([[" ".join(e.postfix) for e in f.expressions] for f in found], pa.list_(pa.string())),
+                    pa.array([f.permitted(accepted) for f in found], pa.bool_()),
                     pa.array([f.score for f in found], pa.float64()),
                 ],
-                ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "expressions", "score"],
+                ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "expressions", "permitted", "score"],
             )
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, expressions array<string>, score double")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, expressions array<string>, permitted boolean, score double")

@@ -2,15 +2,18 @@
 
 The patterns (e-mail, IP address, card number, phone) are found in linear time
 over the whole text and always stay. The tagger reads characters and adds what
-they miss, such as phone numbers without a plus sign. An added span must hold a
-digit or an @, so text further than ``CONTEXT`` characters from any of those
+they miss: secrets such as keys, tokens and passwords, a kind of their own, phone
+numbers without a plus sign, addresses with letters that the pattern lacks. An
+added span must hold a digit or an @, so text further than ``CONTEXT`` characters from any of those
 decodes to nothing and only stretches about them are run through the network:
 cut into overlapping windows, each character's emissions averaged over its
 windows (those where it is central weigh more), and the whole stretch decoded
 at once, so no span depends on where a window ended.
 
 The tagger is trained in numpy on labelled spans: at most ``SAMPLE`` windows of
-the corpus, labelled by the patterns, and as many made-up ones.
+the corpus, labelled by the patterns and left out where their digits belong to
+no pattern's span, so that what the patterns miss isn't taught as clean, and
+``MADE`` made-up ones, of which those without a span are look-alikes.
 """
 
 from __future__ import annotations
@@ -24,13 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bilstm_crf import Tagger
-from .common import text_or_empty
+from .common import sliced, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 1_500
+TAGGED = (*KINDS, "secret")
+SAMPLE = 1_000
+MADE = 2_500
 CONTEXT = 24
 WINDOW = 64
 STRIDE = 32
+FEW = 3  # digits of a window outside the patterns' spans, at most, for it to be taught as labelled
 SURE = 0.4
 _BATCH = 2_048
 
@@ -126,7 +132,7 @@ def tags_of(spans: list[tuple[str, int, int]], start: int, end: int) -> np.ndarr
     for kind, s, e in spans:
         lo, hi = max(s, start) - start, min(e, end) - start
         if lo < hi and not out[lo:hi].any():
-            out[lo:hi] = 2 + 2 * KINDS.index(kind)
+            out[lo:hi] = 2 + 2 * TAGGED.index(kind)
             if s >= start:
                 out[lo] -= 1
     return out
@@ -139,6 +145,10 @@ def made_up(n: int, seed: int = 9) -> list[tuple[str, list[tuple[str, int, int]]
     digits = lambda k: "".join(str(d) for d in rng.integers(0, 10, k))
     word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(2, 9))))
 
+    def drawn(letters: str, k: int) -> str:
+        own = "".join(letters[int(i)] for i in rng.integers(0, len(letters), k - 2))
+        return own + digits(1) + letters[int(rng.integers(len(letters)))]
+
     def card() -> str:
         own = digits(15)
         return next(own + str(k) for k in range(10) if luhn(own + str(k)))
@@ -151,15 +161,21 @@ def made_up(n: int, seed: int = 9) -> list[tuple[str, list[tuple[str, int, int]]
         "ip": [lambda: ".".join(str(int(x)) for x in rng.integers(1, 256, 4))],
         "card": [card, lambda: grouped(card(), " "), lambda: grouped(card(), "-")],
         "phone": [lambda: f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"+{digits(2)} {digits(3)} {digits(7)}"],
-        "": [lambda: digits(int(rng.integers(1, 5))), lambda: f"v{digits(1)}.{digits(1)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"AKIA{digits(3)}{word().upper()}{digits(4)}", lambda: f"{word()}{digits(3)}{word()}{digits(5)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"@{word()}", lambda: digits(12), lambda: f"{digits(1)}.{digits(2)}"],
+        "secret": [lambda: drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 20), lambda: "AKIA" + drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: drawn("0123456789abcdef", int(rng.integers(16, 41))), lambda: drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_", int(rng.integers(20, 41)))],
+        "": [lambda: digits(int(rng.integers(1, 5))), lambda: f"v{digits(1)}.{digits(1)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{word().upper()}{digits(2)}", lambda: f"{word()}{digits(int(rng.integers(1, 4)))}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"@{word()}", lambda: digits(12), lambda: f"{digits(1)}.{digits(2)}", lambda: f"{word()}-{digits(2)}-{word()}", lambda: f"{word()}={digits(2)}"],
     }
+    named = ["", "", "password=", "passwd: ", "pwd=", "token = \"", "token: ", "secret='", "api_key=", "apikey: \"", "Authorization: ", "key="]
     out = []
     for _ in range(n):
-        kind = pick([*KINDS, "", ""])
+        kind = pick([*TAGGED, "secret", "", "", ""])
         before = " ".join(word() for _ in range(int(rng.integers(0, 5))))
         before += pick([" ", ". ", ", ", ": ", "\n"]) if before else ""
         own = pick(makers[kind])()
-        text = before + own + pick([" ", ". ", ", ", "\n", ""])
+        close = ""
+        if kind == "secret":
+            name = pick(named)
+            before, close = before + name, name[-1:] if name[-1:] in "'\"" else ""
+        text = before + own + close + pick([" ", ". ", ", ", "\n", ""])
         if text[-1:].isspace():
             text += " ".join(word() for _ in range(int(rng.integers(0, 5))))
         out.append((text[:WINDOW], [(kind, len(before), len(before) + len(own))] if kind else []))
@@ -171,14 +187,19 @@ def sample(docs: DataFrame, size: int = SAMPLE, seed: int = 13) -> list[tuple[st
     slim = docs.select(text_or_empty().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for text in batch.column("text").to_pylist():
                 if own := stretches(text):
                     spans = base_spans(text)
+                    known = classes(text) == 1
+                    for _, s, e in spans:
+                        known[s:e] = False
                     for s, e in own:
                         for w in windows(e - s):
                             lo, hi = s + w, min(e, s + w + WINDOW)
+                            if known[lo:hi].sum() > FEW:
+                                continue
                             rows.append((text[lo:hi], tags_of(spans, lo, hi).tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["text", "tags"])
 
@@ -186,14 +207,14 @@ def sample(docs: DataFrame, size: int = SAMPLE, seed: int = 13) -> list[tuple[st
     return list(zip(few.column("text").to_pylist(), few.column("tags").to_pylist()))
 
 
-def train(labelled: list[tuple[str, list[int]]], made: int = SAMPLE, steps: int = 600) -> Tagger:
+def train(labelled: list[tuple[str, list[int]]], made: int = MADE, steps: int = 600) -> Tagger:
     rows = labelled + [(t, tags_of(s, 0, len(t)).tolist()) for t, s in made_up(made)]
     x, y = (np.zeros((len(rows), WINDOW), np.int64) for _ in "xy")
     mask = np.zeros((len(rows), WINDOW), bool)
     for k, (text, tags) in enumerate(rows):
         n = min(len(text), WINDOW)
         x[k, :n], y[k, :n], mask[k, :n] = classes(text)[:n], tags[:n], True
-    tagger = Tagger.fresh(CLASSES, 1 + 2 * len(KINDS))
+    tagger = Tagger.fresh(CLASSES, 1 + 2 * len(TAGGED))
     tagger.fit(x, y, mask, steps=steps)
     return tagger
 
@@ -207,6 +228,8 @@ def _plausible(kind: str, text: str) -> bool:
         return [p.isascii() and p.isdigit() for p in text.split(".")] == [True] * 4
     if kind == "card":
         return 12 <= digits <= 19 and luhn(re.sub(r"[^0-9]", "", text)) and not re.search(r"[^0-9 -]", text)
+    if kind == "secret":
+        return len(text) >= 12 and digits > 0 and not re.search(r"[^A-Za-z0-9_+/=.-]", text) and bool(re.search(r"[A-Za-z]", text))
     return 9 <= digits <= 15 and not re.search(r"[^0-9 ().+-]", text)
 
 
@@ -215,7 +238,7 @@ def tagged(texts: list[str], tagger: Tagger, sure: float = SURE) -> list[list[tu
     parts = [(k, s, e) for k, text in enumerate(texts) for s, e in stretches(text)]
     codes: dict[int, np.ndarray] = {}
     weight = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.float32) + 1
-    tags = 1 + 2 * len(KINDS)
+    tags = 1 + 2 * len(TAGGED)
     totals = {n: (np.zeros((e - s, tags), np.float32), np.zeros((e - s, 1), np.float32)) for n, (_, s, e) in enumerate(parts)}
     waiting: list[tuple[int, int, np.ndarray]] = []
 
@@ -256,8 +279,8 @@ def tagged(texts: list[str], tagger: Tagger, sure: float = SURE) -> list[list[tu
             while end < len(path) and path[end] == 2 + 2 * kind:
                 end += 1
             own = texts[k][s + at : s + end]
-            if chance[at:end].mean() >= sure and _plausible(KINDS[kind], own):
-                out[k].append((KINDS[kind], s + at, s + end))
+            if chance[at:end].mean() >= sure and _plausible(TAGGED[kind], own):
+                out[k].append((TAGGED[kind], s + at, s + end))
             at = end
     return out
 
@@ -274,7 +297,7 @@ def find(docs: DataFrame, tagger: Tagger) -> DataFrame:
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("finish", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             base = [base_spans(t) for t in texts]
             added = [[a for a in own if not any(a[1] < b[2] and b[1] < a[2] for b in known)] for own, known in zip(tagged(texts, shared.value), base)]

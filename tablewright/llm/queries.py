@@ -59,11 +59,11 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.find(docs, pii.train(pii.sample(docs)))
-    order = F.array(*[F.lit(k) for k in pii.KINDS])
+    order = F.array(*[F.lit(k) for k in pii.TAGGED])
     ranked = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"), s["finish"].alias("finish"), s["kind"].alias("kind"))))
     text = lambda spans: F.array_join(F.transform(ranked(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["finish"])), ",")
     counts = [F.size(F.filter("base", _is(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", "added")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"), F.size(F.filter("added", _is("secret"))).cast("long").alias("n_secret"))
 
 
 def _is(kind: str):
@@ -92,7 +92,7 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents")).drop("expressions")
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumn("expressions", F.array_join("expressions", "; "))
 
 
 # The shortest runs with 50 words from each line onward and up to each line; of equal runs all but the first are cut.
