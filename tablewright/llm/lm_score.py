@@ -7,8 +7,8 @@ target loss less background loss; low means like the target. A document's own
 counts are taken out of the model that it belongs to before it is scored (each
 of identical documents still sees the others).
 
-Counting covers all documents, words and pairs of words, by hashes of 64 bits;
-no table has a fixed size. Documents are dealt into chunks of some ``CHUNK``
+Counting covers all documents, words by hashes of 64 bits and pairs of words by
+hashes of 56 (of 10^11 pairs one in a million shares its hash); no table has a fixed size. Documents are dealt into chunks of some ``CHUNK``
 characters by their content. A chunk sends its distinct words and pairs with
 its own counts to the part of each, where the chunks' counts are added up, and
 is sent back, in the order in which it sent them, what the other chunks have of
@@ -36,6 +36,7 @@ START = 0  # the word before a document's first; its count is that of documents
 TOKENS = 1  # its count is that of all words
 ADD = 0.1  # to each word's count
 PRIOR = 20.0  # weight of the word's own probability among the pairs of its predecessor
+BITS = (64, 56)  # of the hashes of words and of pairs
 CACHED = 100_000
 BROADCAST_IDS = 2_000_000  # 8 bytes each, some 50 MB as a hash table
 
@@ -61,32 +62,35 @@ def pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     mixed ^= mixed >> np.uint64(32)
     mixed = (mixed + word.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
     mixed ^= mixed >> np.uint64(32)
-    return (mixed * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    return (mixed * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS[1])).view(np.int64)
 
 
 def _before(words: np.ndarray) -> np.ndarray:
     return np.concatenate([[START], words[:-1]]).astype(np.int64)
 
 
-def _tally(keys: list[np.ndarray], targets: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their counts, [background, target], of documents."""
+def _tally(keys: list[np.ndarray], targets: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, their counts, [background, target], of documents, and the place of each key of the documents."""
     flat = np.concatenate([np.empty(0, np.int64), *keys])
     once, at = np.unique(flat, return_inverse=True)
     target = np.repeat(np.array(targets, bool), [len(k) for k in keys])
-    return once, np.stack([np.bincount(at[~target], minlength=len(once)), np.bincount(at[target], minlength=len(once))])
+    return once, np.stack([np.bincount(at[~target], minlength=len(once)), np.bincount(at[target], minlength=len(once))]), at
 
 
-def _tables(texts: list[str], targets: list[bool]) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
-    """The documents' words, and the tallies of words (with START and TOKENS) and pairs."""
+def _tables(texts: list[str], targets: list[bool]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]], int]:
+    """The places of each document's words and pairs in the tallies of words (with START and, after it, TOKENS) and pairs; these; the place of START."""
     vocabulary = Vocabulary()
     words = [numbers(t, vocabulary) for t in texts]
-    keys, counts = _tally(words, targets)
+    keys, counts, of_word = _tally(words, targets)
     more = np.zeros((2, 2), np.int64)
     for own, target in zip(words, targets):
         more[int(target)] += (len(own) > 0, len(own))
-    at = np.searchsorted(keys, START)
+    at = int(np.searchsorted(keys, START))
     both = np.insert(keys, at, [START, TOKENS]), np.insert(counts, [at, at], more, axis=1)
-    return words, [both, _tally([pairs(_before(w), w) if len(w) else w for w in words], targets)]
+    of_word += 2 * (of_word >= at)
+    pair_keys, pair_counts, of_pair = _tally([pairs(_before(w), w) if len(w) else w for w in words], targets)
+    ends = np.cumsum([len(w) for w in words])[:-1]
+    return list(zip(np.split(of_word, ends), np.split(of_pair, ends))), [both, (pair_keys, pair_counts)], at
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -110,9 +114,9 @@ def _unpacked_keys(packed: bytes) -> np.ndarray:
     return np.cumsum(_unpacked(packed[8:], int.from_bytes(packed[:8], "little")).view("<u8"), dtype=np.uint64).view("<i8")
 
 
-def _dealt(keys: np.ndarray, parts: int) -> list[np.ndarray]:
-    """The places of the keys of each part."""
-    part = (keys.view(np.uint64) >> np.uint64(16)) % np.uint64(parts)
+def _dealt(keys: np.ndarray, parts: int, kind: int) -> list[np.ndarray]:
+    """The places of the keys of each part, a range of hashes."""
+    part = (keys.view(np.uint64) >> np.uint64(BITS[kind] - 32)) * np.uint64(parts) >> np.uint64(32)
     order = np.argsort(part, kind="stable")
     return np.split(order, np.searchsorted(part[order], np.arange(1, parts).astype(np.uint64)))
 
@@ -168,10 +172,10 @@ def count(docs: DataFrame) -> Counts:
 
     def tables(group: pa.Table) -> pa.Table:
         chunk = group.column("chunk")[0].as_py()
-        _, found = _tables(group.column("text").to_pylist(), group.column("target").to_pylist())
+        _, found, _ = _tables(group.column("text").to_pylist(), group.column("target").to_pylist())
         rows = []
         for kind, (keys, counts) in enumerate(found):
-            rows += [(kind, p, chunk, _packed_keys(keys[own]), _packed(counts[:, own])) for p, own in enumerate(_dealt(keys, parts)) if len(own)]
+            rows += [(kind, p, chunk, _packed_keys(keys[own]), _packed(counts[:, own])) for p, own in enumerate(_dealt(keys, parts, kind)) if len(own)]
         return _rows(rows)
 
     own = _chunked(docs, chunks).groupBy("chunk").applyInArrow(tables, _ROW)
@@ -194,25 +198,21 @@ def count(docs: DataFrame) -> Counts:
     return Counts(own, found.filter("chunk >= 0"), chunks, parts, vocabulary)
 
 
-def _losses(words: np.ndarray, target: bool, tables: list[tuple[np.ndarray, np.ndarray]], vocabulary: int) -> tuple[float, float]:
-    """Mean loss a token under target and background, natural logarithm; (0, 0) without tokens."""
-    if not len(words):
+def _losses(of_word: np.ndarray, of_pair: np.ndarray, start: int, target: bool, counts: np.ndarray, pair_counts: np.ndarray, vocabulary: int) -> tuple[float, float]:
+    """Mean loss a token under target and background, natural logarithm, of a document's places in the counts; (0, 0) without tokens."""
+    if not len(of_word):
         return 0.0, 0.0
-    before = _before(words)
-    pair = pairs(before, words)
-    (keys, counts), (pair_keys, pair_counts) = tables
-    of_word, of_before, of_pair = np.searchsorted(keys, words), np.searchsorted(keys, before), np.searchsorted(pair_keys, pair)
-    tokens = np.searchsorted(keys, TOKENS)
+    of_before = np.concatenate([[start], of_word[:-1]])
     out = []
     for m in (1, 0):
         word_n, before_n = counts[m][of_word].astype(float), counts[m][of_before].astype(float)
-        pair_n, total = pair_counts[m][of_pair].astype(float), float(counts[m][tokens])
+        pair_n, total = pair_counts[m][of_pair].astype(float), float(counts[m][start + 1])
         if m == int(target):  # less its own
             _, at, own = np.unique(of_word, return_inverse=True, return_counts=True)
             own_words = own[at]
             before_n = before_n - np.concatenate([[1], own_words[:-1]])
             _, at, own = np.unique(of_pair, return_inverse=True, return_counts=True)
-            word_n, pair_n, total = word_n - own_words, pair_n - own[at], total - len(words)
+            word_n, pair_n, total = word_n - own_words, pair_n - own[at], total - len(of_word)
         p = (word_n + ADD) / (total + ADD * vocabulary)
         p = (np.minimum(pair_n, before_n) + PRIOR * p) / (before_n + PRIOR)
         out.append(float(-np.log(p).mean()))
@@ -227,13 +227,13 @@ def score(docs: DataFrame, counts: Counts) -> DataFrame:
 
     def run(group: pa.Table, others: pa.Table) -> pa.Table:
         targets = group.column("target").to_pylist()
-        words, tables = _tables(group.column("text").to_pylist(), targets)
-        places = [_dealt(keys, parts) for keys, _ in tables]
+        documents, tables, start = _tables(group.column("text").to_pylist(), targets)
+        places = [_dealt(keys, parts, kind) for kind, (keys, _) in enumerate(tables)]
         for kind, part, more in zip(others.column("kind").to_pylist(), others.column("part").to_pylist(), others.column("counts")):
             own = places[kind][part]
             tables[kind][1][:, own] += _unpacked(more.as_py(), 2 * len(own)).reshape(2, -1)
-        found = [_losses(w, t, tables, vocabulary) for w, t in zip(words, targets)]
-        columns = [[len(w) for w in words], [a for a, _ in found], [b for _, b in found], [a - b for a, b in found]]
+        found = [_losses(w, p, start, t, tables[0][1], tables[1][1], vocabulary) for (w, p), t in zip(documents, targets)]
+        columns = [[len(w) for w, _ in documents], [a for a, _ in found], [b for _, b in found], [a - b for a, b in found]]
         kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         return pa.table([group.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "tokens", "target_loss", "background_loss", "difference"])
 
