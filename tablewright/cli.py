@@ -60,14 +60,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             kind = "table"
         for w in results.warnings:
             print(w, file=sys.stderr)
-        text = report.as_json(results) if kind == "json" else report.as_table(results, args.debug) if kind == "table" else report.as_markdown(results)
+        parts = report.json_parts(results) if kind == "json" else [report.as_table(results, args.debug) if kind == "table" else report.as_markdown(results)]
         folder = args.output_dir or ("./validation_results" if kind == "markdown_summary_action" else None)
         if folder:
             name = "validation-results.md" if kind == "markdown_summary_action" else f"validation-{stamp()}.{'json' if kind == 'json' else 'md' if kind == 'markdown' else 'txt'}"
             Path(folder).mkdir(parents=True, exist_ok=True)
-            (Path(folder) / name).write_text(text, encoding="utf-8")
+            with open(Path(folder) / name, "w", encoding="utf-8") as file:
+                file.writelines(parts)
         else:
-            print(text, end="")
+            sys.stdout.writelines(parts)
         return report.exit_code(results, args.strict)
     except (cfg.ConfigError, InvalidDataset, TransformError, MissingInput, OSError, ValueError, PySparkException) as e:
         print(f"error: {e}", file=sys.stderr)

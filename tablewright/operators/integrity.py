@@ -126,28 +126,26 @@ def judge(df: DataFrame, rules: Rules, row: str = ROW) -> DataFrame:
     return judged
 
 
-def self_accepted(judged: DataFrame, number: int, r: Reference, key: str, row: str = ROW, rounds: int = 64) -> DataFrame:
+def self_accepted(judged: DataFrame, number: int, r: Reference, key: str, row: str = ROW) -> DataFrame:
     """judged with kind fk where the reference into the table itself names no earlier accepted row.
 
-    Rows are accepted generation by generation: roots, then those whose parent is
-    accepted and comes earlier, until none is added; a hierarchy deeper than
-    rounds is an error, not a wrong result.
+    A row points to the earlier row that holds its parent's key; without a
+    parent it is accepted, without such a row it is not. Pointers are doubled
+    until all have come to such a row, whose verdict holds for all that lead to
+    it: as many rounds as the logarithm of the deepest hierarchy. Parents come
+    earlier, so no pointers go round.
     """
     text = F.col(f"`{r.column}`").cast("string")
-    open_rows = cut(judged.filter("kind = 'ok'").select(F.col(row).alias("_n"), F.col(f"`{key}`").cast("string").alias("_k"), text.alias("_p")))
-    accepted = open_rows.filter("_p is null").select("_n", "_k")
-    waiting = open_rows.filter("_p is not null")
-    for _ in range(rounds):
-        parents = accepted.select(F.col("_n").alias("_pn"), F.col("_k").alias("_pk"))
-        found = cut(waiting.join(parents, (F.col("_p") == F.col("_pk")) & (F.col("_pn") < F.col("_n")), "left_semi"))
-        if found.isEmpty():
-            good = accepted.select(F.col("_n"), F.lit(True).alias("_good"))
-            out = judged.join(good, F.col(row) == F.col("_n"), "left")
-            lost = (F.col("kind") == "ok") & F.col("_good").isNull()
-            return out.select(*[F.col(f"`{c}`") for c in judged.columns if c not in ("kind", "at")], F.when(lost, "fk").otherwise(F.col("kind")).alias("kind"), F.when(lost, F.lit(number)).otherwise(F.col("at")).alias("at"))
-        waiting = waiting.join(found.select("_n"), "_n", "left_anti")
-        accepted = cut(accepted.union(found.select("_n", "_k")))
-    raise ValueError(f"{r.column} is nested deeper than {rounds}")
+    rows = cut(judged.filter("kind = 'ok'").select(F.col(row).alias("_n"), F.col(f"`{key}`").cast("string").alias("_k"), text.alias("_p")))
+    parents = rows.select(F.col("_n").alias("_up"), F.col("_k").alias("_pk"))
+    met = rows.join(parents, (F.col("_p") == F.col("_pk")) & (F.col("_up") < F.col("_n")), "left")
+    state = cut(met.select("_n", "_up", F.when(F.col("_up").isNull(), F.col("_p").isNull()).alias("_good")))
+    while not state.filter("_good is null").isEmpty():
+        above = state.select(F.col("_n").alias("_at"), F.col("_up").alias("_next"), F.col("_good").alias("_found"))
+        state = cut(state.join(above, F.col("_up") == F.col("_at"), "left").select("_n", F.when(F.col("_found").isNull(), F.col("_next")).alias("_up"), F.coalesce("_good", "_found").alias("_good")))
+    out = judged.join(state.filter("_good").select("_n", "_good"), F.col(row) == F.col("_n"), "left")
+    lost = (F.col("kind") == "ok") & F.col("_good").isNull()
+    return out.select(*[F.col(f"`{c}`") for c in judged.columns if c not in ("kind", "at")], F.when(lost, "fk").otherwise(F.col("kind")).alias("kind"), F.when(lost, F.lit(number)).otherwise(F.col("at")).alias("at"))
 
 
 def integrity_violations(judged: DataFrame, rules: Rules, row: str = ROW, suggest: bool = True) -> DataFrame:

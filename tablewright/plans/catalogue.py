@@ -306,6 +306,29 @@ def _rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customerID"), F.col("c_name").alias("label"))
 
 
+@_add("dependency_limited", "SELECT 'DependencyViolation' AS tag, 'error' AS severity, o_orderkey AS row_number, 'Fields [priority] are required' AS error_message FROM orders WHERE o_orderkey % 7 = 0 ORDER BY o_orderkey LIMIT 20")
+def _dependency_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS priority")
+    return dependency_violations(rows, Dependency(("priority",)), 20, row="o_orderkey").select("tag", "severity", F.col("row_number").cast("bigint").alias("row_number"), "error_message")
+
+
+def _dialect(name: str, delimiter: str, label: str, sql: str) -> None:
+    """Customers written with a delimiter of their own, and read with what is found in the file."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = folder(spark, name)
+        own = _table(spark, sf_dir, "customer").select("c_custkey", F.expr(label).alias("label"))
+        own.write.csv(path, sep=delimiter, header=True, quote='"', escape='"')
+        return read_csv(spark, path).select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "label")
+
+    QUERIES[name], ORACLES[name] = query, f"SELECT CAST(c_custkey AS BIGINT) AS c_custkey, {sql} AS label FROM customer"
+
+
+_dialect("csv_semicolon", ";", "concat(c_name, '; ', c_mktsegment)", "concat(c_name, '; ', c_mktsegment)")
+_dialect("csv_tab", "\t", "concat(c_name, ', ', c_mktsegment)", "concat(c_name, ', ', c_mktsegment)")
+_dialect("csv_multiline", ",", "concat(c_name, '\\n', c_mktsegment, ' \"x\"')", "concat(c_name, chr(10), c_mktsegment, ' \"x\"')")
+
+
 @_add("drop_null_columns", "SELECT c_custkey, c_name FROM customer")
 def _drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_null_columns(_table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name", "CAST(NULL AS STRING) AS remarks", "nullif(c_acctbal, c_acctbal) AS gone"))
@@ -326,6 +349,10 @@ _transform(
     {"who": "concat_ws('-', o_custkey, o_orderstatus)", "lo": "lo", "hi": "hi", "idLength": "length(ids)"},
     "SELECT concat_ws('-', o_custkey, o_orderstatus) AS who, min(o_totalprice) AS lo, max(o_totalprice) AS hi, length(string_agg(CAST(o_orderkey AS VARCHAR), ',')) AS idLength FROM orders GROUP BY o_custkey, o_orderstatus",
 )
+_transform("transform_inner_join", {"t": "(SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)"}, {"number": "o_orderkey", "who": "c_name"}, "SELECT o_orderkey AS number, c_name AS who FROM orders JOIN customer ON o_custkey = c_custkey")
+_transform("transform_largest", {"t": "(SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)"}, {"number": "o_orderkey", "price": "o_totalprice"}, "SELECT o_orderkey AS number, o_totalprice AS price FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
+_transform("transform_quoted_names", {"t": '(SELECT c_custkey AS "order", c_name FROM customer)'}, {"number": '"order"', "who": "c_name"}, "SELECT c_custkey AS number, c_name AS who FROM customer")
+_transform("transform_today", {"n": "nation"}, {"place": "n_name", "now": "today() = current_date()"}, "SELECT n_name AS place, today() = current_date AS now FROM nation")
 _transform("transform_distinct", {"t": "(SELECT DISTINCT c_mktsegment, c_nationkey FROM customer)"}, {"segment": "c_mktsegment", "nation": "c_nationkey"}, "SELECT DISTINCT c_mktsegment AS segment, c_nationkey AS nation FROM customer")
 _transform("transform_left_join", {"t": "(SELECT n.n_name, r.r_name, s.s_name FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey AND r.r_name LIKE 'A%' LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey)"}, {"place": "n_name", "part": "r_name", "supplier": "s_name"}, "SELECT n.n_name AS place, r.r_name AS part, s.s_name AS supplier FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey AND r.r_name LIKE 'A%' LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey")
 _transform("transform_case_alias", {"p": "part"}, {"kind": "CASE WHEN p_type LIKE '%STEEL%' THEN 'steel' ELSE 'other' END", "unit": "CASE WHEN kind = 'steel' THEN 'kg' ELSE 'piece' END", "id": "p_partkey"}, "SELECT CASE WHEN p_type LIKE '%STEEL%' THEN 'steel' ELSE 'other' END AS kind, CASE WHEN p_type LIKE '%STEEL%' THEN 'kg' ELSE 'piece' END AS unit, p_partkey AS id FROM part")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import functions as F
 
@@ -19,24 +20,29 @@ def exit_code(results: Results, strict: bool = False) -> int:
     return 0 if results.status == "warn" and not strict else CODES[results.status]
 
 
-def _rows(d: DatasetResult, limit: int) -> list[dict]:
-    """At most limit violations of a dataset, for a report; the table has all."""
-    rows = d.violations.orderBy("tag", "field_name", "row_number").limit(limit).collect()
-    return [r.asDict() for r in rows]
+def _rows(d: DatasetResult) -> Iterator[dict]:
+    """All violations of a dataset, a partition at a time."""
+    for r in d.violations.orderBy("tag", "field_name", "row_number").toLocalIterator():
+        yield r.asDict()
 
 
-def as_json(results: Results, limit: int = 10_000) -> str:
-    return json.dumps(
-        {
-            "status": results.status,
-            "summary": results.summary(),
-            "warnings": results.warnings,
-            "totalProcessingTimeMs": round(results.seconds * 1000),
-            "datasets": [{"name": d.name, "class": d.class_name, "rows": d.rows, "status": d.status, "counts": d.counts, "processingTimeMs": round(d.seconds * 1000), "schemaViolations": [vars(v) for v in d.schema], "violations": _rows(d, limit)} for d in results.datasets],
-        },
-        indent=2,
-        ensure_ascii=False,
-    )
+def json_parts(results: Results) -> Iterator[str]:
+    """The JSON of results with all violations, in parts, so that none of it need be held whole."""
+    text = lambda x: json.dumps(x, indent=2, ensure_ascii=False)
+    head = {"status": results.status, "summary": results.summary(), "warnings": results.warnings, "totalProcessingTimeMs": round(results.seconds * 1000)}
+    yield text(head).removesuffix("\n}") + ',\n  "datasets": ['
+    for k, d in enumerate(results.datasets):
+        own = {"name": d.name, "class": d.class_name, "rows": d.rows, "status": d.status, "counts": d.counts, "processingTimeMs": round(d.seconds * 1000), "schemaViolations": [vars(v) for v in d.schema]}
+        yield ("," if k else "") + "\n" + text(own).removesuffix("\n}") + ',\n  "violations": ['
+        for n, row in enumerate(_rows(d)):
+            yield ("," if n else "") + "\n" + text(row)
+        yield "]}"
+    yield "]}\n"
+
+
+def as_json(results: Results) -> str:
+    """All in one text; for many violations json_parts."""
+    return "".join(json_parts(results))
 
 
 def as_markdown(results: Results) -> str:
@@ -55,18 +61,20 @@ def as_markdown(results: Results) -> str:
 
 
 def as_table(results: Results, debug: bool = False) -> str:
-    """A grid, then examples by severity; unless debug, one line a kind and field."""
+    """A grid, then by severity one line a kind and field, with its first violation and their number; with debug all violations."""
     grid = [("Dataset", "Class", "Rows", "Status", "Errors", "Warnings", "Infos")] + [(d.name, d.class_name, str(d.rows), d.status, *(str(d.counts[s]) for s in ("error", "warning", "info"))) for d in results.datasets]
     widths = [max(len(r[k]) for r in grid) for k in range(len(grid[0]))]
     out = ["  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in grid]
     for d in results.datasets:
-        rows = [vars(v) for v in d.schema] + _rows(d, 1000)
+        if debug:
+            rows = list(_rows(d))
+        else:
+            first = F.min_by(F.struct("error_message", "row_number"), "row_number").alias("first")
+            rows = [{**r.asDict(), **r["first"].asDict()} for r in d.violations.groupBy("severity", "tag", "field_name").agg(first, F.count("tag").alias("n")).orderBy("tag", "field_name").collect()]
         for severity in ("error", "warning", "info"):
-            seen, lines = set(), []
+            lines = [f"  {v.field_name}: {v.error_message}" for v in d.schema if v.severity == severity]
             for r in rows:
-                kind = (r["tag"], r["field_name"])
-                if r["severity"] == severity and (debug or kind not in seen):
-                    seen.add(kind)
-                    lines.append(f"  {r['field_name']}: {r['error_message']}" + (f" (row {r['row_number']})" if "row_number" in r else ""))
+                if r["severity"] == severity:
+                    lines.append(f"  {r['field_name']}: {r['error_message']} (row {r['row_number']})" + (f" and {r['n'] - 1} more" if r.get("n", 1) > 1 else ""))
             out += [f"{d.name}: {severity}", *lines] if lines else []
     return "\n".join(out) + "\n"

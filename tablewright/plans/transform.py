@@ -14,6 +14,7 @@ from ..operators.integrity import Rules, Vocabulary, integrity_violations, judge
 from ..sources import sinks
 from ..sources.tables import ROW, check_inputs, numbered, read_csv, table_name, typed
 from . import dictionary
+from .lineage import cut
 from .config import TransformConfig
 
 Value = str | float | int | None
@@ -122,7 +123,7 @@ def _check(name: str, df: DataFrame, spec: dictionary.ClassSpec) -> None:
     key = spec.key if spec.key in df.columns else None
     words = tuple(Vocabulary(f.name, f.name, f.values) for f in spec.fields.values() if f.enforced and f.name in df.columns)
     rules = Rules(name, (key, key) if key else None, vocabularies=words)
-    df = numbered(df)
+    df = numbered(cut(df))  # counted and numbered in two jobs, which over a shuffle may differ in their partitions
     first = integrity_violations(judge(df, rules), rules).orderBy("row_number").limit(1).collect()
     if first:
         raise TransformError(f"{name}: {first[0]['error_message']} (row {first[0]['row_number']})")

@@ -136,7 +136,7 @@ def integrity_rules(d: DatasetConfig, spec: profiles.Resolved, variant: str, fie
     return Rules(d.name, (own[key], key) if key else None, nulls, tuple(words), tuple(types), references, parents)
 
 
-def validate(spark: SparkSession, config: Config, base: str = ".", fail_fast: bool | None = None, classes: dict[str, dictionary.ClassSpec] | None = None, multiline: bool = False) -> Results:
+def validate(spark: SparkSession, config: Config, base: str = ".", fail_fast: bool | None = None, classes: dict[str, dictionary.ClassSpec] | None = None, multiline: bool | None = None) -> Results:
     """Datasets are judged with those they refer to first, so that a child of a rejected row is rejected too, and told in the order of the configuration."""
     began = time.time()
     v = config.validation

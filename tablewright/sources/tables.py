@@ -29,7 +29,7 @@ def check_inputs(spark: SparkSession, inputs: dict[str, str]) -> None:
 
 
 def numbered(df: DataFrame, name: str = ROW) -> DataFrame:
-    """df with dense row numbers from 1 in file order.
+    """df with dense row numbers from 1 in file order. df is a scan or a checkpoint: its rows must lie in the same partitions each time.
 
     Spark's increasing ids are dense within a partition; the rows of earlier
     partitions are added from a table of one row a partition, so the rows are
@@ -48,15 +48,36 @@ def numbered(df: DataFrame, name: str = ROW) -> DataFrame:
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.coalesce("_before", F.lit(0)) + low + 1).alias(name))
 
 
-def read_csv(spark: SparkSession, path: str, nulls: Sequence[str] = NULLS, multiline: bool = False) -> DataFrame:
-    """All columns as text, null tokens as nulls, with row numbers. multiline: quoted line ends inside values, at the price of one task a file."""
-    df = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=multiline, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="\0", emptyValue="")
+# What may stand between values, the most usual first.
+DELIMITERS = (",", ";", "\t", "|")
+HEAD = 50
+
+
+def delimiter_of(lines: Sequence[str]) -> str:
+    """The delimiter of CSV lines, the first being the header: that which the header holds most often outside quotes; of equals the one that as many stand of in most lines, then the most usual."""
+    plain = [re.sub(r'"[^"]*"', "", x) for x in lines if x.strip()] or [""]
+    return max(DELIMITERS, key=lambda d: (plain[0].count(d), sum(x.count(d) == plain[0].count(d) for x in plain), -DELIMITERS.index(d)))
+
+
+def read_csv(spark: SparkSession, path: str, nulls: Sequence[str] = NULLS, multiline: bool | None = None, delimiter: str | None = None) -> DataFrame:
+    """All columns as text, null tokens as nulls, with row numbers.
+
+    delimiter: None finds it in the first lines. multiline: quoted line ends
+    inside values, at the price of one task a file; None: where any line holds
+    an odd number of quotes, which one pass over the lines tells.
+    """
+    lines = spark.read.text(path)
+    if delimiter is None:
+        delimiter = delimiter_of([r["value"] for r in lines.head(HEAD)])
+    if multiline is None:
+        multiline = not lines.filter((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).isEmpty()
+    df = spark.read.csv(path, sep=delimiter, header=True, inferSchema=False, quote='"', escape='"', multiLine=multiline, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="\0", emptyValue="")
     if nulls:
         df = df.select(*[F.when(F.col(f"`{c}`").isin(*nulls), None).otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
     return numbered(df)
 
 
-def read_table(spark: SparkSession, path: str, nulls: Sequence[str] = NULLS, multiline: bool = False) -> DataFrame:
+def read_table(spark: SparkSession, path: str, nulls: Sequence[str] = NULLS, multiline: bool | None = None) -> DataFrame:
     """Parquet by its suffix, else CSV."""
     return numbered(spark.read.parquet(path)) if path.lower().endswith(".parquet") else read_csv(spark, path, nulls, multiline)
 

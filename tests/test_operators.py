@@ -173,3 +173,14 @@ def test_fused_checks_scan_once(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "t"))
     plan = field_violations(df, {"a": ("a", [Range(0, 50), Required()]), "b": ("b", [Length(1, 1), Format("integer")])}, row="id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "unread" not in plan and plan.count("Exchange") == 1
+
+
+def test_self_references_of_any_depth(spark):
+    """A chain of 3,000, a row before its parent and those below it, a loop and a lost parent."""
+    from tablewright.operators.integrity import Reference, Rules, judge
+
+    chain = [(k, f"k{k}", f"k{k - 1}" if k > 1 else None) for k in range(1, 3001)]
+    more = [(4001, "a", "b"), (4002, "b", None), (4003, "c", "a"), (4004, "d", "d"), (4005, "e", "nowhere"), (4006, "f", "b")]
+    df = spark.createDataFrame(chain + more, "_row_number long, id string, parent string")
+    judged = judge(df, Rules("t", ("id", "id"), references=(Reference("parent", "parent", "t", "id"),)))
+    assert {r["id"] for r in judged.filter("kind = 'fk'").collect()} == {"a", "c", "d", "e"} and judged.filter("kind = 'ok'").count() == 3002

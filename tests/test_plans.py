@@ -270,3 +270,43 @@ def test_null_cap_returns_all_violations(spark, tmp_path):
         found[str(cap)] = results.datasets[0].violations.filter("tag = 'RangeViolation'").count()
     assert list(found.values()) == [100, 7, 250]
     assert cfg.decode(catalogue._WORKSPACE).validation.limit is None
+
+
+def test_csv_dialects(spark, tmp_path):
+    from tablewright.sources.tables import delimiter_of, read_csv
+
+    for k, (text, want) in enumerate([("a;b\n1,5;x\n", [("1,5", "x")]), ("a\tb\n1\t2\n", [("1", "2")]), ('a,b\n"x\ny",2\n3,4\n', [("x\ny", "2"), ("3", "4")]), ("a|b\n1|NA\n", [("1", None)]), ("a\n1\n", [("1",)])]):
+        (tmp_path / f"{k}.csv").write_text(text)
+        df = read_csv(spark, str(tmp_path / f"{k}.csv"))
+        assert [tuple(r)[:-1] for r in df.orderBy("_row_number").collect()] == want
+    assert delimiter_of([]) == "," and delimiter_of(['"a;b;c",d']) == ","
+
+
+def test_reports_tell_every_kind_and_violation(spark):
+    from pyspark.sql import functions as F
+    from tablewright.operators.checks import VIOLATION
+    from tablewright.plans import report
+    from tablewright.plans.validate import DatasetResult, Results
+
+    rows = spark.range(12_000).selectExpr("'d' AS dataset", "if(id < 10500, 'A', 'B') AS tag", "'error' AS severity", "'f' AS field_name", "'f' AS target_name", "id AS row_number", "'v' AS value", "concat('m', id) AS error_message", "cast(map() as map<string,string>) AS params")
+    none = spark.createDataFrame([], VIOLATION).select(F.lit("e").alias("dataset"), "*")
+    results = Results([DatasetResult("d", "Event", 12_000, rows, []), DatasetResult("e", "Event", 0, none, [])], [], {})
+    own = json.loads(report.as_json(results))
+    assert len(own["datasets"][0]["violations"]) == 12_000 and own["datasets"][1]["violations"] == [] and own["status"] == "fail"
+    text = report.as_table(results)
+    assert "m0 (row 0) and 10499 more" in text and "m10500 (row 10500) and 1499 more" in text and report.as_table(results, debug=True).count("(row ") == 12_000
+
+
+def test_keys_are_checked_over_shuffled_results(spark):
+    """Row numbers of a joined result are distinct whatever adaptive execution makes of its partitions."""
+    from tablewright.plans.lineage import cut
+    from tablewright.sources.tables import numbered
+
+    own = spark.range(60_000).selectExpr("id", "id % 977 AS k", "repeat('x', 20) AS t")
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        joined = own.join(own.select("id", "t").withColumnRenamed("t", "u").hint("merge"), "id")
+        assert numbered(cut(joined)).select("_row_number").distinct().count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
