@@ -93,16 +93,15 @@ def field_violations(df: DataFrame, fields: Mapping[str, tuple[str, Sequence[Con
 
 
 def duplicate_groups(df: DataFrame, key: str, limit: int | None = LIMIT, row: str = ROW) -> DataFrame:
-    """(value, count, rows): the values that occur more than once, the most frequent limit of them, ties by value; rows sorted.
+    """(value, count, row_number), a row for each row of the values that occur more than once, the most frequent limit of them, ties by value.
 
-    The list of rows is gathered only for the limit groups that are returned,
-    whose size the data decide.
+    Nothing is gathered in lists: the few repeated values are written and joined.
     """
     text = _text(df, key)
     counted = df.select(text.alias("value")).filter("value is not null").groupBy("value").agg(F.count("value").alias("count")).filter("count > 1")
     top = counted if limit is None else counted.orderBy(F.desc("count"), "value").limit(limit)
     member = df.select(text.alias("value"), F.col(row).cast("bigint").alias("row_number"))
-    return member.join(top, "value").groupBy("value", "count").agg(F.sort_array(F.collect_list("row_number")).alias("rows"))
+    return member.join(cut(top), "value").select("value", "count", "row_number")
 
 
 def unique_violations(df: DataFrame, field: str, target: str | None = None, constraint: Unique | None = None, limit: int | None = LIMIT, row: str = ROW) -> DataFrame:

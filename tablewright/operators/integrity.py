@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.suggest import nearest
 from ..plans.lineage import cut
-from .checks import ROW, _params
+from .checks import ROW, VIOLATION, _params
 
 
 @dataclass(frozen=True)
@@ -149,36 +149,52 @@ def self_accepted(judged: DataFrame, number: int, r: Reference, key: str, row: s
 
 
 def integrity_violations(judged: DataFrame, rules: Rules, row: str = ROW, suggest: bool = True) -> DataFrame:
-    """One violation per rejected row (none for a wrong type), and for each key that was taken all rows of that key."""
+    """One violation per rejected row (none for a wrong type), and for each key that was taken all rows of that key.
+
+    However many rules there are, rejected rows are read in one pass, and told by the rule that rejected them; taken keys take another.
+    """
     number = F.col(row).cast("bigint").alias("row_number")
-    parts = []
+    told = []
+
+    def violation(tag: str, severity: str, column: str, target: str, value: Column, message: Column, params: dict[str, Column]) -> Column:
+        return F.struct(F.lit(tag).alias("tag"), F.lit(severity).alias("severity"), F.lit(column).alias("field_name"), F.lit(target).alias("target_name"), number, F.coalesce(value, F.lit("")).alias("value"), message.alias("error_message"), _params(params).alias("params"))
 
-    def add(df: DataFrame, tag: str, severity: Column, field_name: Column, target: Column, value: Column, message: Column, params: dict[str, Column]) -> None:
-        parts.append(df.select(F.lit(tag).alias("tag"), severity.alias("severity"), field_name.alias("field_name"), target.alias("target_name"), number, F.coalesce(value, F.lit("")).alias("value"), message.alias("error_message"), _params(params).alias("params")))
+    def add(kind: str, at: int | None, *parts) -> None:
+        fault = F.col("kind") == kind
+        told.append(F.when(fault if at is None else fault & (F.col("at") == at), violation(*parts)))
 
     for k, v in enumerate(rules.vocabularies):
         text = _text(judged, v.column)
         near = nearest(text, v.values) if suggest else F.lit(None).cast("string")
         message = F.concat(F.lit('Invalid value "'), text, F.lit('".'), F.coalesce(F.concat(F.lit(' Did you mean "'), near, F.lit('"?')), F.lit("")))
-        add(judged.filter((F.col("kind") == "enum") & (F.col("at") == k)), "EnumViolation", F.lit(v.severity), F.lit(v.column), F.lit(v.target), text, message, {"enumType": F.lit(v.name or v.target), "allowedValues": F.lit(", ".join(v.values)), "suggestedValue": near})
+        add("enum", k, "EnumViolation", v.severity, v.column, v.target, text, message, {"enumType": F.lit(v.name or v.target), "allowedValues": F.lit(", ".join(v.values)), "suggestedValue": near})
+    repeated = None
     if rules.key:
         column, target = rules.key
         taken = judged.filter("kind = 'pk'").select(F.col(f"`{column}`").alias("_taken")).distinct()
         counted = judged.groupBy(F.col(f"`{column}`").alias("_taken")).agg(F.count(F.lit(1)).alias("_n"))
         rows = judged.join(cut(counted.join(taken, "_taken")), F.col(f"`{column}`") == F.col("_taken"))
         text = _text(judged, column)
-        add(rows, "PrimaryKeyViolation", F.lit("error"), F.lit(column), F.lit(target), text, F.concat(F.lit('Duplicate primary key: "'), text, F.lit('"')), {"constraintType": F.lit("primary-key"), "duplicateCount": F.col("_n").cast("string")})
-        add(judged.filter("kind = 'key_null'"), "NotNullViolation", F.lit("error"), F.lit(column), F.lit(target), F.lit(""), F.lit(f'Required field "{column}" cannot be NULL'), {})
+        message = F.concat(F.lit('Duplicate primary key: "'), text, F.lit('"'))
+        repeated = rows.select(violation("PrimaryKeyViolation", "error", column, target, text, message, {"constraintType": F.lit("primary-key"), "duplicateCount": F.col("_n").cast("string")}).alias("_told"))
+        add("key_null", None, "NotNullViolation", "error", column, target, F.lit(""), F.lit(f'Required field "{column}" cannot be NULL'), {})
     for k, (column, target) in enumerate(rules.not_null):
-        add(judged.filter((F.col("kind") == "null") & (F.col("at") == k)), "NotNullViolation", F.lit("error"), F.lit(column), F.lit(target), F.lit(""), F.lit(f'Required field "{column}" cannot be NULL'), {})
+        add("null", k, "NotNullViolation", "error", column, target, F.lit(""), F.lit(f'Required field "{column}" cannot be NULL'), {})
     for k, r in enumerate(rules.references):
         text = _text(judged, r.column)
         message = F.concat(F.lit(f"Foreign key violation in '{rules.dataset}': {r.column} value \""), text, F.lit(f'" does not exist in {r.target_dataset}.{r.target_field}'))
-        add(judged.filter((F.col("kind") == "fk") & (F.col("at") == k)), "ForeignKeyViolation", F.lit(r.severity), F.lit(r.column), F.lit(r.target), text, message, {"targetDataset": F.lit(r.target_dataset), "targetField": F.lit(r.target_field)})
-    out = parts[0] if parts else judged.limit(0).select(F.lit("").alias("tag"), F.lit("").alias("severity"), F.lit("").alias("field_name"), F.lit("").alias("target_name"), number, F.lit("").alias("value"), F.lit("").alias("error_message"), _params({}).alias("params"))
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        add("fk", k, "ForeignKeyViolation", r.severity, r.column, r.target, text, message, {"targetDataset": F.lit(r.target_dataset), "targetField": F.lit(r.target_field)})
+    if not told:
+        return judged.sparkSession.createDataFrame([], VIOLATION)
+    found = judged.filter(F.col("kind").isin("enum", "null", "fk", "key_null")).select(F.coalesce(*told).alias("_told"))
+    return (found.unionByName(repeated) if repeated is not None else found).select("_told.*")
+
+
+def used_columns(rules: Rules, row: str = ROW) -> list[str]:
+    """The columns of a judged table that integrity_violations reads."""
+    named = [rules.key[0]] if rules.key else []
+    named += [v.column for v in rules.vocabularies] + [c for c, _ in rules.not_null] + [r.column for r in rules.references]
+    return list(dict.fromkeys([row, *named, "kind", "at"]))
 
 
 def accepted(judged: DataFrame, columns: Sequence[tuple[str, str]]) -> DataFrame:

@@ -147,9 +147,9 @@ def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unique_violations(_table(spark, sf_dir, "documents"), "text", limit=None, row="doc_id").select(F.col("row_number").alias("key"), "tag")
 
 
-@_add("unique_topk", "SELECT CAST(user_id AS VARCHAR) AS value, count(*) AS count, CAST(list(event_id ORDER BY event_id) AS VARCHAR) AS rows FROM events GROUP BY user_id HAVING count(*) > 1 ORDER BY count(*) DESC, CAST(user_id AS VARCHAR) LIMIT 10")
+@_add("unique_topk", "SELECT t.value, t.count, e.event_id AS row_number FROM events e JOIN (SELECT user_id, CAST(user_id AS VARCHAR) AS value, count(*) AS count FROM events GROUP BY user_id HAVING count(*) > 1 ORDER BY count(*) DESC, CAST(user_id AS VARCHAR) LIMIT 10) t ON t.user_id = e.user_id")
 def _unique_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_groups(_table(spark, sf_dir, "events"), "user_id", limit=10, row="event_id").select("value", "count", F.concat(F.lit("["), F.array_join("rows", ", "), F.lit("]")).alias("rows"))
+    return duplicate_groups(_table(spark, sf_dir, "events"), "user_id", limit=10, row="event_id")
 
 
 @_add("primary_key_dups", "SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS duplicate_count FROM lineitem QUALIFY duplicate_count > 1")

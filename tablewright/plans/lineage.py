@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """The session's spark.checkpoint.dir. Where that is unset, a temporary folder if all runs in one JVM, as in tests; on a cluster that is an error, as executors wouldn't share it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.match(r"local(\[(\d+|\*)(,\d+)?\])?$", context.master):
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -26,3 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder."""
     shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet to the shared folder, so that later scans read only the columns they use."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

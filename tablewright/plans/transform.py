@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dialect import adapt, add_functions
+from ..functions.dialect import adapt, add_functions, with_places
 from ..operators.integrity import Rules, Vocabulary, integrity_violations, judge
 from ..sources import sinks
 from ..sources.tables import ROW, check_inputs, numbered, read_csv, table_name, typed
@@ -18,6 +19,7 @@ from .lineage import cut
 from .config import TransformConfig
 
 Value = str | float | int | None
+PLACE = "_place"
 
 
 class TransformError(ValueError):
@@ -31,13 +33,22 @@ def _expression(value: Value) -> str:
 def project(spark: SparkSession, tables: Mapping[str, DataFrame], sources: Mapping[str, str], fields: Mapping[str, Value]) -> DataFrame:
     """SELECT the fields' expressions FROM the sources, comma-joined: each alias is a table's name or a bracketed subquery.
 
-    Fields may use those listed before them.
+    Fields may use those listed before them. Unordered row numbers of a single
+    source are numbers of its rows, sorted by ranges and written, so that no
+    task sees all of them; of several sources they are a window over all rows.
     """
     add_functions(spark)
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    select = ", ".join(f"{adapt(_expression(v))} AS `{k}`" for k, v in fields.items())
+    told = {k: _expression(v) for k, v in fields.items()}
     froms = ", ".join(f"{adapt(s)} AS `{alias}`" if re.search(r"\s", s.strip()) else f"`{s.strip()}` AS `{alias}`" for alias, s in sources.items())
+    places = {k: with_places(v, PLACE) for k, v in told.items()}
+    if len(sources) == 1 and places != told:
+        rows = spark.sql(f"SELECT * FROM {froms}")
+        view = f"places_{uuid.uuid4().hex}"
+        numbered(cut(rows.orderBy(ROW) if ROW in rows.columns else rows), PLACE).createOrReplaceTempView(view)
+        told, froms = places, f"`{view}` AS `{next(iter(sources))}`"
+    select = ", ".join(f"{adapt(v)} AS `{k}`" for k, v in told.items())
     return spark.sql(f"SELECT {select} FROM {froms}")
 
 

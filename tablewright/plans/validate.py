@@ -13,11 +13,11 @@ from ..functions.suggest import nearest_name
 from ..operators.checks import ROW, field_violations, unique_violations
 from ..operators.constraints import SEVERITY, Unique
 from ..operators.dependency import dependency_violations
-from ..operators.integrity import Reference, Rules, Vocabulary, accepted, integrity_violations, judge
-from ..sources.tables import check_inputs, read_table
+from ..operators.integrity import Reference, Rules, Vocabulary, accepted, integrity_violations, judge, used_columns
+from ..sources.tables import check_inputs, is_parquet, read_table
 from . import dictionary, profiles
 from .config import Config, DatasetConfig
-from .lineage import cut
+from .lineage import cut, staged
 from .relations import ForeignKey, Shape, infer, targets_first
 from .resolution import Diagnostic, ResolvedField, active_variant, resolve_fields
 
@@ -40,7 +40,7 @@ class SchemaViolation:
 
 @dataclass
 class DatasetResult:
-    """violations: all of the dataset's, as a table; counted once, when severities or status are asked for."""
+    """violations: all of the dataset's, as a table that is written once and that counts and reports read."""
 
     name: str
     class_name: str
@@ -153,7 +153,8 @@ def validate(spark: SparkSession, config: Config, base: str = ".", fail_fast: bo
             raise InvalidDataset(f"'{d.class_name}' is not a valid class." + (f" Did you mean '{near}'?" if near else ""))
         specs[d.name], notes[d.name] = spec, []
         fields[d.name] = resolve_fields(spec, variant, d.mappings, notes[d.name])
-        tables[d.name] = read_table(spark, path(d.path), v.nulls, multiline)
+        own = read_table(spark, path(d.path), v.nulls, multiline)
+        tables[d.name] = own if is_parquet(d.path) else staged(own, "input")  # text is parsed once, not for each check
     shapes = [Shape(d.name, d.class_name, tuple(t for t, f in fields[d.name].items() if f.origin in tables[d.name].columns)) for d in v.datasets]
     keys = [*config.keys, *infer(shapes, config.keys)]
     targets = {k.target_dataset for k in keys}
@@ -162,9 +163,11 @@ def validate(spark: SparkSession, config: Config, base: str = ".", fail_fast: bo
     for name in targets_first(list(by_name), keys):
         columns = [c for c in tables[name].columns if c != ROW]
         rules[name] = integrity_rules(by_name[name], specs[name], variant, fields[name], columns, keys, dict(parents))
-        judged[name] = judge(tables[name], rules[name])
+        referred = [(f.origin, t) for t, f in fields[name].items() if f.origin in columns and t in {k.target_field for k in keys}] if name in targets else []
+        read = list(dict.fromkeys([*used_columns(rules[name]), *(origin for origin, _ in referred)]))
+        judged[name] = staged(judge(tables[name], rules[name]).select(*[F.col(f"`{c}`") for c in read]), "judged")  # judged once; only what violations and children read
         if name in targets:
-            parents[name] = cut(accepted(judged[name], [(f.origin, t) for t, f in fields[name].items() if f.origin in columns and t in {k.target_field for k in keys}]))
+            parents[name] = accepted(judged[name], referred)
     out = []
     for d in v.datasets:
         since = time.time()
@@ -188,4 +191,4 @@ def _dataset(d: DatasetConfig, table: DataFrame, spec: profiles.Resolved, fields
     for p in parts[1:]:
         found = found.unionByName(p)
     found = found.select(F.lit(d.name).alias("dataset"), "*")
-    return DatasetResult(d.name, d.class_name, table.count(), found, schema_violations(d, spec, fields, columns))
+    return DatasetResult(d.name, d.class_name, judged.count(), cut(found), schema_violations(d, spec, fields, columns))

@@ -92,7 +92,15 @@ def test_unique(spark):
     assert sorted(r["row_number"] for r in unique_violations(ids, "val").collect()) == [1, 2, 3, 5]
     assert unique_violations(table(spark, ["a", "b"]), "val").count() == 0
     top = duplicate_groups(table(spark, ["a", "b", "a", "b", "a"]), "val", limit=1).collect()
-    assert [(r["value"], r["count"], r["rows"]) for r in top] == [("a", 3, [1, 3, 5])]
+    assert sorted((r["value"], r["count"], r["row_number"]) for r in top) == [("a", 3, 1), ("a", 3, 3), ("a", 3, 5)]
+
+
+def test_rejected_rows_are_told_in_one_pass(spark):
+    rules = Rules("t", vocabularies=tuple(Vocabulary(c, c, ("x",)) for c in "abc"), not_null=(("d", "d"), ("e", "e")))
+    df = spark.createDataFrame([(1, "x", "y", "x", "1", "1"), (2, "x", "x", "z", "1", "1"), (3, "x", "x", "x", "1", None), (4, "x", "x", "x", "1", "1")], "_row_number long, a string, b string, c string, d string, e string")
+    found = integrity_violations(judge(df, rules), rules)
+    assert sorted((r["row_number"], r["tag"], r["field_name"]) for r in found.collect()) == [(1, "EnumViolation", "b"), (2, "EnumViolation", "c"), (3, "NotNullViolation", "e")]
+    assert found._jdf.queryExecution().executedPlan().toString().count("ExistingRDD") == 1
 
 
 def test_suggestions(spark):

@@ -8,7 +8,7 @@ from tablewright.functions.dialect import adapt
 from tablewright.operators.constraints import Range, Required, strictest
 from tablewright.operators.dependency import Dependency
 from tablewright.plans import config as cfg
-from tablewright.plans import catalogue, dictionary, profiles, report, schema_import
+from tablewright.plans import catalogue, dictionary, lineage, profiles, report, schema_import
 from tablewright.plans.relations import AmbiguousRelation, ForeignKey, Shape, infer, targets_first
 from tablewright.plans.resolution import Diagnostic, Mapping, active_variant, added, overlaid, resolve_fields
 from tablewright.plans.transform import TransformError, after_import, project, transform
@@ -310,3 +310,27 @@ def test_keys_are_checked_over_shuffled_results(spark):
         assert numbered(cut(joined)).select("_row_number").distinct().count() == 60_000
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+
+
+def test_row_numbers_of_one_source_need_no_window_over_all_rows(spark):
+    tables = {"t": spark.createDataFrame([(30, "c"), (10, "a"), (20, "b")], "_row_number long, v string")}
+    made = project(spark, tables, {"t": "t"}, {"id": "concat('n', row_number() OVER ())", "said": "'row_number() over ()'", "v": "t.v"})
+    assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in made.collect()) == [(f"n{k}", "row_number() over ()", v) for k, v in enumerate("abc", 1)]
+
+
+def test_a_folder_must_be_named_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lineage.shared(Session())
