@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut as checkpoint
+from ..plans.lineage import shared as checkpoint_dir
+
+__all__ = ["checkpoint", "checkpoint_dir", "fresh", "kept_rows", "partitions", "remove", "sliced", "table", "text_or_empty"]
+
 #: Texts that a task holds as Python values at a time.
 SLICE = 512
 
@@ -18,20 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests in one JVM) a temporary folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and cuts its lineage there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def remove(spark: SparkSession, path: str) -> None:
     own = spark._jvm.org.apache.hadoop.fs.Path(path)
     own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
