@@ -6,7 +6,11 @@ from keys by arithmetic; the oracle derives the same.
 
 from __future__ import annotations
 
+import json
+import tempfile
 from collections.abc import Callable
+from datetime import datetime, timezone
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +22,11 @@ from ..operators.dependency import Dependency, When, dependency_violations
 from ..operators.integrity import Reference, Rules, Vocabulary, accepted, duplicate_keys, integrity_violations, judge, orphans
 from ..operators.constraints import strictest
 from ..sources import sinks
-from ..sources.tables import read_csv, read_table, typed
-from . import config, profiles, validate
+from ..sources.tables import read_csv, read_table, table_name, typed
+from . import config, profiles, report, schema_import, validate
 from .lineage import folder
 from .relations import ForeignKey, Shape, infer, targets_first
-from .resolution import Mapping, resolve_fields
+from .resolution import Mapping, active_variant, resolve_fields
 from .transform import after_import, drop_null_columns, project
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -433,6 +437,78 @@ def _targets_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(targets_first([s.name for s in _SHAPES], infer(_SHAPES)), 1)), "place int, name string")
 
 
+# Sinks, names and imported dictionaries
+
+
+@_add("csv_single_file", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_nationkey + 1 AS BIGINT) AS row_number FROM nation")
+def _csv_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey")
+    path = sinks.write_csv(own, folder(spark, "nation") + ".csv", single=True)
+    return read_table(spark, path).select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name", F.col("_row_number").alias("row_number"))
+
+
+@_add("database_sink", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def _database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sinks.write_database({"supplier": _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")}, folder(spark, "database"))
+    return spark.read.parquet(f"{made}/supplier")
+
+
+@_add("names", "SELECT * FROM (VALUES ('stamp', '2024-01-02T03-04-05-678Z'), ('table', 'my_file_v2'), ('label', 'Event Date')) t(kind, name)")
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moment = datetime(2024, 1, 2, 3, 4, 5, 678000, timezone.utc)
+    return spark.createDataFrame([("stamp", sinks.stamp(moment)), ("table", table_name("my-file.v2")), ("label", schema_import.label("eventDate"))], "kind string, name string")
+
+
+@_add("active_variants", "SELECT * FROM (VALUES ('obis', 'obis', FALSE), ('gbif', 'gbif', FALSE), ('other', 'obis', TRUE), (NULL, 'obis', TRUE)) t(asked, variant, warned)")
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(asked, *active_variant(asked)) for asked in ("obis", "gbif", "other", None)]
+    return spark.createDataFrame([(asked, variant, warning is not None) for asked, variant, warning in rows], "asked string, variant string, warned boolean")
+
+
+_XML = '<extension name="Event" rowType="r" xmlns:d="d"><property name="eventID"/><property name="kind" d:thesaurus="kinds"/><property name="decimalLatitude" type="decimal"/></extension>'
+_THESAURUS = '<thesaurus xmlns:d="d"><concept d:identifier="one"/><concept d:identifier="two"/></thesaurus>'
+
+
+@_add("dictionary_import", "SELECT * FROM (VALUES ('eventID', 'string', '', 'required', TRUE), ('kind', 'controlled-vocabulary', 'one,two', 'optional', FALSE), ('decimalLatitude', 'decimal', '', 'recommended', FALSE)) t(field, type, allowed, obligation, key)")
+def _import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with tempfile.TemporaryDirectory() as made:  # read on the driver only
+        texts = {"event.xml": _XML, "kinds.xml": _THESAURUS, "list.csv": "Term,OBIS Required\neventID,Required\n decimalLatitude ,recommended\n"}
+        for name, text in texts.items():
+            (Path(made) / name).write_text(text, encoding="utf-8")
+        built = schema_import.build([f"{made}/event.xml"], f"{made}/list.csv", {"kinds": schema_import.vocabulary(f"{made}/kinds.xml")})
+    rows = [(n, f["type"], ",".join(f["values"]), f["obligations"]["obis"], f["unique"] == "true") for n, f in built["Event"]["fields"].items()]
+    return spark.createDataFrame(rows, "field string, type string, allowed string, obligation string, key boolean")
+
+
+_NATIONS = {
+    "standard": {"base": "darwin-core", "variant": "obis"},
+    "validation": {"maxViolationsPerField": None, "datasets": [{"name": "nations", "class": "Event", "path": "nation.parquet", "fieldMappings": [{"originName": "n_nationkey", "targetName": "eventID"}, {"originName": "n_name", "targetName": "locality", "constraints": [{"type": "pattern", "pattern": "^NATION_1"}]}]}]},
+}
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> validate.Results:
+    return validate.validate(spark, config.decode(_NATIONS), sf_dir)
+
+
+@_add("report_json", "SELECT 'nations' AS dataset, 'PatternViolation' AS tag, n_name AS value, CAST(n_nationkey + 1 AS BIGINT) AS row_number FROM nation WHERE NOT starts_with(n_name, 'NATION_1')")
+def _report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = json.loads(report.as_json(_nations(spark, sf_dir)))
+    rows = [(d["name"], v["tag"], v["value"], v["row_number"]) for d in told["datasets"] for v in d["violations"]]
+    return spark.createDataFrame(rows, "dataset string, tag string, value string, row_number long")
+
+
+@_add("report_markdown", "SELECT '- error: `n_name` PatternViolation (' || count(*) || ')' AS line FROM nation WHERE NOT starts_with(n_name, 'NATION_1')")
+def _report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = report.as_markdown(_nations(spark, sf_dir)).splitlines()
+    return spark.createDataFrame([(x,) for x in lines if "PatternViolation" in x], "line string")
+
+
+@_add("unmapped_columns", "SELECT 'UnmappedColumn' AS tag, 'info' AS severity, column_name AS field_name FROM (DESCRIBE nation) WHERE column_name NOT IN ('n_nationkey', 'n_name')")
+def _unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = [(v.tag, v.severity, v.field_name) for v in _nations(spark, sf_dir).datasets[0].schema if v.tag == "UnmappedColumn"]
+    return spark.createDataFrame(own, "tag string, severity string, field_name string")
+
+
 # A whole workspace
 
 _WORKSPACE = {
