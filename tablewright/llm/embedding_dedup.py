@@ -11,21 +11,27 @@ double precision. Within the probed lists nothing is lost; ``PROBES`` lists
 suffice for a recall that tests hold against brute force.
 
 Centroids and codewords are fitted in numpy on at most ``SAMPLE`` vectors (the
-least by a hash); all vectors are indexed and all are queries. Only vectors of
-equal label and length are compared. Equal vectors are one class and compared
-once. A list's vectors and queries are dealt into blocks of about ``BLOCK``;
-each task holds one block of either, so a dense list becomes many small tasks.
-A task returns counts of links and, for the components, a spanning forest of
-its links; pairs are never listed.
+least by a hash); all vectors are indexed and all are queries. There is a list
+for every ``PER_LIST`` vectors: where the sample is too small for as many
+centroids, a second level of them is fitted on what the first leaves, shared by
+all lists of the first, so that a list is a pair of centroids and their number
+is the product of both levels. Only vectors of equal label and length are
+compared. Equal vectors are one class and compared once. A list's vectors are
+dealt into blocks of about ``BLOCK``, its queries into blocks of ``ASKING``
+times as many; a group holds one block of either, so a dense list becomes many
+small groups. It returns counts of links and, for the components, a spanning
+forest of its links; pairs are never listed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,27 +45,44 @@ PER_LIST = 400
 MAX_LISTS = 4_096
 SUBSPACES = 8
 CODEWORDS = 32
-BLOCK = 256
+BLOCK = 1_024
+ASKING = 4
+STEP = 512  # queries compared at a time
 
 
 @dataclass(frozen=True)
 class Quantizer:
-    """centroids (lists, dimensions), unit vectors; codebooks: for each subspace its slice and codewords."""
+    """centroids (first level, dimensions), unit vectors; finer (second level, dimensions); codebooks: for each subspace its slice and codewords."""
 
     centroids: np.ndarray
+    finer: np.ndarray
     codebooks: list[tuple[slice, np.ndarray]]
 
+    @cached_property
+    def _level(self) -> np.ndarray:
+        """(first, second): half the square of a centre's length, less that of the first level's."""
+        return self.centroids @ self.finer.T + (self.finer * self.finer).sum(axis=1) / 2
+
+    def centre(self, own: np.ndarray | int) -> np.ndarray:
+        return self.centroids[own // len(self.finer)] + self.finer[own % len(self.finer)]
+
     def lists(self, unit: np.ndarray, probes: int) -> np.ndarray:
-        """The nearest lists of each vector, the nearest first."""
-        near = unit @ self.centroids.T
-        probes = min(probes, near.shape[1])
-        top = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
-        order = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
-        return np.take_along_axis(top, order, 1)
+        """The nearest lists of each vector, the nearest first; with two levels among those of its nearest probes of the first."""
+        first, score = _top(unit @ self.centroids.T, probes)
+        if len(self.finer) == 1:
+            return first
+        out = np.zeros((len(unit), min(probes, first.shape[1] * len(self.finer))), np.int64)
+        for at in range(0, len(unit), STEP):
+            own = first[at : at + STEP]
+            near = score[at : at + STEP, :, None] + (unit[at : at + STEP] @ self.finer.T)[:, None, :] - self._level[own]
+            place, _ = _top(near.reshape(len(own), -1), probes)
+            which, second = np.divmod(place, len(self.finer))
+            out[at : at + STEP] = np.take_along_axis(own, which, 1) * len(self.finer) + second
+        return out
 
     def encode(self, unit: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of what is left of unit vectors in their lists, and the length of the error."""
-        rest = unit - self.centroids[own]
+        rest = unit - self.centre(own)
         codes = np.zeros((len(unit), len(self.codebooks)), np.uint8)
         error = np.zeros(len(unit))
         for k, (part, words) in enumerate(self.codebooks):
@@ -71,12 +94,21 @@ class Quantizer:
 
     def approximate(self, queries: np.ndarray, own: int, codes: np.ndarray) -> np.ndarray:
         """(queries, vectors of the list own): cosines with the coded vectors."""
-        total = np.repeat((queries @ self.centroids[own])[:, None], len(codes), axis=1)
+        total = np.repeat((queries @ self.centre(own))[:, None], len(codes), axis=1)
         for k, (part, words) in enumerate(self.codebooks):
             total += (queries[:, part] @ words.T)[:, codes[:, k]]
         return total
 
 
+def _top(near: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the n greatest of each row, the greatest first."""
+    n = min(n, near.shape[1])
+    top = np.argpartition(-near, n - 1, axis=1)[:, :n]
+    own = np.take_along_axis(near, top, 1)
+    order = np.argsort(-own, axis=1, kind="stable")
+    return np.take_along_axis(top, order, 1), np.take_along_axis(own, order, 1)
+
+
 def _means(points: np.ndarray, k: int, rounds: int, rng: np.random.Generator, unit: bool) -> np.ndarray:
     centers = points[rng.permutation(len(points))[:k]].copy()
     for _ in range(rounds):
@@ -91,12 +123,16 @@ def _means(points: np.ndarray, k: int, rounds: int, rng: np.random.Generator, un
 
 
 def fit(sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, codewords: int = CODEWORDS, seed: int = 17) -> Quantizer:
+    """A level holds at most MAX_LISTS centroids and one for eight of the sample; a second level makes up for the rest of lists."""
     rng = np.random.default_rng(seed)
-    centroids = _means(sample, max(1, min(lists, len(sample))), 8, rng, True)
-    own = (sample @ centroids.T).argmax(axis=1)
-    rest = sample - centroids[own]
+    most = max(1, min(MAX_LISTS, len(sample) // 8))
+    centroids = _means(sample, max(1, min(lists, most)), 8, rng, True)
+    rest = sample - centroids[(sample @ centroids.T).argmax(axis=1)]
+    second = min(most, -(-lists // most))
+    finer = _means(rest, second, 8, rng, False) if second > 1 else np.zeros((1, sample.shape[1]))
+    rest = sample - (plain := Quantizer(centroids, finer, [])).centre(plain.lists(sample, 1)[:, 0])
     edges = np.linspace(0, sample.shape[1], min(subspaces, sample.shape[1]) + 1).astype(int)
-    return Quantizer(centroids, [(slice(a, b), _means(rest[:, a:b], min(codewords, len(rest)), 8, rng, False)) for a, b in zip(edges[:-1], edges[1:])])
+    return Quantizer(centroids, finer, [(slice(a, b), _means(rest[:, a:b], min(codewords, len(rest)), 8, rng, False)) for a, b in zip(edges[:-1], edges[1:])])
 
 
 def usable(values: list | None) -> bool:
@@ -158,10 +194,12 @@ def _of_size(classes: DataFrame, kind: type, least: float, probes: int) -> tuple
     """(cls, links) in parts to be added up, and edges (a, b), among the classes whose vectors take size bytes."""
     spark = classes.sparkSession
     total = classes.count()
-    drawn = classes.orderBy("h", "g", "label").limit(SAMPLE).select("raw").toArrow()
+    # Hashes are spread evenly, so that this share of them holds some more than SAMPLE rows: only those are sorted.
+    few = classes.filter(F.shiftrightunsigned("h", 1) < int(min(1.0, 1.2 * SAMPLE / max(total, 1)) * (2**63 - 1))) if total > 2 * SAMPLE else classes
+    drawn = few.orderBy("h", "g", "label").limit(SAMPLE).select("raw").toArrow()
     sample = _matrix(drawn.column("raw"), kind)
-    quantizer = fit(sample, max(1, min(MAX_LISTS, len(sample) // 8, total // PER_LIST)))
-    shared = spark.sparkContext.broadcast(quantizer)  # at most MAX_LISTS centroids
+    quantizer = fit(sample, total // PER_LIST)
+    shared = spark.sparkContext.broadcast(quantizer)  # at most MAX_LISTS centroids a level
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,37 +215,40 @@ def _of_size(classes: DataFrame, kind: type, least: float, probes: int) -> tuple
     queries = indexed.select("cls", "label", "n", "raw", "own", F.explode("near").alias("list"))
     have = indexed.groupBy("label", F.col("own").alias("list")).agg(F.count("cls").alias("have"))
     ask = queries.groupBy("label", "list").agg(F.count("cls").alias("ask"))
-    sizes = checkpoint(have.join(ask, ["label", "list"]).select("label", "list", F.ceil(F.col("have") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("ask") / BLOCK).cast("int").alias("askers")))
+    sizes = checkpoint(have.join(ask, ["label", "list"]).select("label", "list", F.ceil(F.col("have") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("ask") / (BLOCK * ASKING)).cast("int").alias("askers")))
     turn = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(n)).cast("int")
     stored = indexed.withColumnRenamed("own", "list").join(sizes, ["label", "list"]).select("label", "list", turn("blocks", 1).alias("block"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("asker"), F.lit(False).alias("asks"), "cls", "n", "raw", F.col("list").alias("own"), "near", "codes", "error")
     asking = queries.join(sizes, ["label", "list"]).select("label", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), turn("askers", 2).alias("asker"), F.lit(True).alias("asks"), "cls", "n", "raw", "own", F.lit(None).cast("array<int>").alias("near"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"))
 
     def compare(group: pa.Table) -> pa.Table:
-        asks = np.array(group.column("asks").to_pylist(), bool)
-        q, x = group.filter(pa.array(asks)), group.filter(pa.array(~asks))
+        asks = group.column("asks")
+        q, x = group.filter(asks), group.filter(pc.invert(asks))
         out: list[tuple[int, int | None, int]] = []
         if q.num_rows and x.num_rows:
             here = x.column("list")[0].as_py()
-            qu, xu = _matrix(q.column("raw"), kind), _matrix(x.column("raw"), kind)
-            codes = np.stack([np.frombuffer(c, np.uint8) for c in x.column("codes").to_pylist()])
-            error = x.column("error").to_numpy()
-            qi, xi = q.column("cls").to_numpy(), x.column("cls").to_numpy()
-            maybe = shared.value.approximate(qu, here, codes) >= least - error[None, :] - 1e-9
-            maybe &= qi[:, None] != xi[None, :]
-            rows, columns = np.nonzero(maybe)
-            linked = np.zeros(maybe.shape, bool)
-            for at in range(0, len(rows), 65_536):
-                r, c = rows[at : at + 65_536], columns[at : at + 65_536]
-                linked[r, c] = np.einsum("ij,ij->i", qu[r], xu[c]) >= least
-            if linked.any():
-                qn, xn = q.column("n").to_numpy(), x.column("n").to_numpy()
-                own = q.column("own").to_numpy()
-                probed = np.array([[o in near for o in set(own.tolist())] for near in map(set, x.column("near").to_pylist())], bool)
-                place = {o: k for k, o in enumerate(set(own.tolist()))}
-                back = probed[:, [place[o] for o in own.tolist()]].T  # the stored vector asks in the asker's list too
-                for ids, counts in ((qi, linked @ xn), (xi, (linked & ~back).T @ qn)):
-                    out += [(i, None, c) for i, c in zip(ids.tolist(), counts.tolist()) if c]
-                out += [(a, b, 0) for a, b in _forest(linked, qi, xi)]
+            xu = _matrix(x.column("raw"), kind)
+            codes = np.frombuffer(b"".join(x.column("codes").to_pylist()), np.uint8).reshape(len(xu), -1)
+            near = x.column("near").combine_chunks().flatten().to_numpy().reshape(len(xu), -1)
+            error, xi, xn = (x.column(c).to_numpy() for c in ("error", "cls", "n"))
+            stored_links = np.zeros(len(xu), np.int64)
+            for start in range(0, q.num_rows, STEP):
+                part = q.slice(start, STEP)
+                qu = _matrix(part.column("raw"), kind)
+                qi, qn, own = (part.column(c).to_numpy() for c in ("cls", "n", "own"))
+                maybe = shared.value.approximate(qu, here, codes) >= least - error[None, :] - 1e-9
+                maybe &= qi[:, None] != xi[None, :]
+                rows, columns = np.nonzero(maybe)
+                linked = np.zeros(maybe.shape, bool)
+                for at in range(0, len(rows), 16_384):
+                    r, c = rows[at : at + 16_384], columns[at : at + 16_384]
+                    linked[r, c] = np.einsum("ij,ij->i", qu[r], xu[c]) >= least
+                if linked.any():
+                    out += [(i, None, c) for i, c in zip(qi.tolist(), (linked @ xn).tolist()) if c]
+                    out += [(a, b, 0) for a, b in _forest(linked, qi, xi)]
+                    r, c = np.nonzero(linked)
+                    once = ~(near[c] == own[r][:, None]).any(axis=1)  # else the stored vector asks in the asker's list too
+                    np.add.at(stored_links, c[once], qn[r[once]])
+            out += [(i, None, c) for i, c in zip(xi.tolist(), stored_links.tolist()) if c]
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64()), "links": pa.array([o[2] for o in out], pa.int64())})
 
     found = checkpoint(stored.unionByName(asking).groupBy("label", "list", "block", "asker").applyInArrow(compare, "a long, b long, links long"))

@@ -466,9 +466,10 @@ def brute_links(rows):
     return [(r[0], sum(linked[k]), label[k], r[0] == label[k]) for k, r in enumerate(rows)]
 
 
-def test_vectors_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "PER_LIST", 30)
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+@pytest.mark.parametrize("small", [{"PER_LIST": 30, "BLOCK": 16}, {"PER_LIST": 30, "BLOCK": 16, "ASKING": 2, "STEP": 7, "MAX_LISTS": 4, "SAMPLE": 120}])
+def test_vectors_equal_brute_force(spark, monkeypatch, small):
+    for name, value in small.items():  # the second has two levels of centroids, a drawn sample and several steps a block
+        monkeypatch.setattr(embedding_dedup, name, value)
     rng = np.random.default_rng(9)
     rows, centers = [], rng.normal(size=(30, 16))
     for k in range(330):
@@ -485,6 +486,20 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert found[-9:] == want[-9:]
 
 
+def test_two_levels_of_lists():
+    rng = np.random.default_rng(21)
+    unit = embedding_dedup.units(rng.normal(size=(400, 8)))
+    quantizer = embedding_dedup.fit(unit, 300)
+    assert len(quantizer.centroids) == 50 and len(quantizer.finer) == 6
+    far = ((unit[:, None, :] - quantizer.centre(np.arange(300))[None]) ** 2).sum(axis=2)
+    assert (quantizer.lists(unit, 300)[:, :6] == np.argsort(far, axis=1)[:, :6]).all()  # with all probes the order is that of all centres
+    own = quantizer.lists(unit, 6)[:, 0]
+    codes, error = quantizer.encode(unit, own)
+    for k in range(0, 400, 40):
+        off = np.abs(quantizer.approximate(unit, int(own[k]), codes[[k]])[:, 0] - unit @ unit[k])
+        assert (off <= error[k] + 1e-9).all()
+
+
 def test_repeated_and_missing_vectors(spark):
     kind = "vec_id long, embedding array<float>, label int"
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], kind)).count() == 0
