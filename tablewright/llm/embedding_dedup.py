@@ -48,6 +48,7 @@ CODEWORDS = 32
 BLOCK = 1_024
 ASKING = 4
 STEP = 512  # queries compared at a time
+MAX_SENT = 200_000  # rows (label, list, two counts) that are sent to all tasks; more are joined by a shuffle
 
 
 @dataclass(frozen=True)
@@ -215,10 +216,15 @@ def _of_size(classes: DataFrame, kind: type, least: float, probes: int) -> tuple
     queries = indexed.select("cls", "label", "n", "raw", "own", F.explode("near").alias("list"))
     have = indexed.groupBy("label", F.col("own").alias("list")).agg(F.count("cls").alias("have"))
     ask = queries.groupBy("label", "list").agg(F.count("cls").alias("ask"))
-    sizes = checkpoint(have.join(ask, ["label", "list"]).select("label", "list", F.ceil(F.col("have") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("ask") / (BLOCK * ASKING)).cast("int").alias("askers")))
-    turn = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(n)).cast("int")
-    stored = indexed.withColumnRenamed("own", "list").join(sizes, ["label", "list"]).select("label", "list", turn("blocks", 1).alias("block"), F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("asker"), F.lit(False).alias("asks"), "cls", "n", "raw", F.col("list").alias("own"), "near", "codes", "error")
-    asking = queries.join(sizes, ["label", "list"]).select("label", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), turn("askers", 2).alias("asker"), F.lit(True).alias("asks"), "cls", "n", "raw", "own", F.lit(None).cast("array<int>").alias("near"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"))
+    blocks, askers = F.ceil(F.coalesce("have", F.lit(0)) / BLOCK).cast("int"), F.ceil(F.col("ask") / (BLOCK * ASKING)).cast("int")
+    # Only lists that aren't one block of either; an asked list without vectors has no block. Few, as a rule: then vectors needn't be shuffled to meet them.
+    sizes = checkpoint(ask.join(have, ["label", "list"], "left").select("label", "list", blocks.alias("blocks"), askers.alias("askers")).filter("blocks <> 1 or askers <> 1"))
+    if sizes.count() <= MAX_SENT:
+        sizes = F.broadcast(sizes)
+    turn = lambda n, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.coalesce(n, F.lit(1))).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    stored = indexed.withColumnRenamed("own", "list").join(sizes, ["label", "list"], "left").select("label", "list", turn("blocks", 1).alias("block"), each("askers").alias("asker"), F.lit(False).alias("asks"), "cls", "n", "raw", F.col("list").alias("own"), "near", "codes", "error")
+    asking = queries.join(sizes, ["label", "list"], "left").filter("blocks is null or blocks > 0").select("label", "list", each("blocks").alias("block"), turn("askers", 2).alias("asker"), F.lit(True).alias("asks"), "cls", "n", "raw", "own", F.lit(None).cast("array<int>").alias("near"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"))
 
     def compare(group: pa.Table) -> pa.Table:
         asks = group.column("asks")

@@ -466,7 +466,7 @@ def brute_links(rows):
     return [(r[0], sum(linked[k]), label[k], r[0] == label[k]) for k, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("small", [{"PER_LIST": 30, "BLOCK": 16}, {"PER_LIST": 30, "BLOCK": 16, "ASKING": 2, "STEP": 7, "MAX_LISTS": 4, "SAMPLE": 120}])
+@pytest.mark.parametrize("small", [{"PER_LIST": 30, "BLOCK": 16}, {"PER_LIST": 30, "BLOCK": 16, "ASKING": 2, "STEP": 7, "MAX_LISTS": 4, "SAMPLE": 120, "MAX_SENT": 0}])
 def test_vectors_equal_brute_force(spark, monkeypatch, small):
     for name, value in small.items():  # the second has two levels of centroids, a drawn sample and several steps a block
         monkeypatch.setattr(embedding_dedup, name, value)
