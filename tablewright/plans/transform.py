@@ -140,10 +140,10 @@ def _check(name: str, df: DataFrame, spec: dictionary.ClassSpec) -> None:
         raise TransformError(f"{name}: {first[0]['error_message']} (row {first[0]['row_number']})")
 
 
-def transform(spark: SparkSession, config: TransformConfig, base: str = ".", out_base: str = ".", single_files: bool = True, check: bool = True) -> TransformResult:
+def transform(spark: SparkSession, config: TransformConfig, base: str = ".", out_base: str = ".", single_files: bool | None = None, check: bool = True) -> TransformResult:
     paths = {alias: _under(base, p) for alias, p in config.inputs.items()}
     check_inputs(spark, paths)
-    tables = {table_name(a): typed(read_csv(spark, p, nulls=("",))) for a, p in paths.items()}
+    tables = {table_name(a): typed(read_csv(spark, p, ("",), config.multiline, config.delimiter)) for a, p in paths.items()}
     tables = after_import(spark, tables, config.statements)
     by_class: dict[str, list[DataFrame]] = {}
     for d in config.datasets:
@@ -164,7 +164,7 @@ def transform(spark: SparkSession, config: TransformConfig, base: str = ".", out
         for name, df in targets.items():
             used = {c for d in config.datasets if d.class_name.lower() == name for c in d.fields}
             out = drop_null_columns(df) if config.drop_null_columns else df.select(*[F.col(f"`{c}`") for c in df.columns if c in used])
-            files.append(sinks.write_csv(out.drop(ROW), f"{folder}/{name}{suffix}.csv", single_files))
+            files.append(sinks.write_csv(out.drop(ROW), f"{folder}/{name}{suffix}.csv", config.single_files if single_files is None else single_files))
         if config.export_db:
             database = sinks.write_database(targets, f"{folder}/{config.db_name}")
     return TransformResult(targets, files, database)

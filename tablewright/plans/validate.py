@@ -153,7 +153,7 @@ def validate(spark: SparkSession, config: Config, base: str = ".", fail_fast: bo
             raise InvalidDataset(f"'{d.class_name}' is not a valid class." + (f" Did you mean '{near}'?" if near else ""))
         specs[d.name], notes[d.name] = spec, []
         fields[d.name] = resolve_fields(spec, variant, d.mappings, notes[d.name])
-        own = read_table(spark, path(d.path), v.nulls, multiline)
+        own = read_table(spark, path(d.path), v.nulls, v.multiline if multiline is None else multiline, v.delimiter)
         tables[d.name] = own if is_parquet(d.path) else staged(own, "input")  # text is parsed once, not for each check
     shapes = [Shape(d.name, d.class_name, tuple(t for t, f in fields[d.name].items() if f.origin in tables[d.name].columns)) for d in v.datasets]
     keys = [*config.keys, *infer(shapes, config.keys)]

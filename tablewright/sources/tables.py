@@ -81,9 +81,9 @@ def is_parquet(path: str) -> bool:
     return path.lower().endswith(".parquet")
 
 
-def read_table(spark: SparkSession, path: str, nulls: Sequence[str] = NULLS, multiline: bool | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, nulls: Sequence[str] = NULLS, multiline: bool | None = None, delimiter: str | None = None) -> DataFrame:
     """Parquet by its suffix, else CSV."""
-    return numbered(spark.read.parquet(path)) if is_parquet(path) else read_csv(spark, path, nulls, multiline)
+    return numbered(spark.read.parquet(path)) if is_parquet(path) else read_csv(spark, path, nulls, multiline, delimiter)
 
 
 def _shapes(text: Column) -> dict[str, Column]:

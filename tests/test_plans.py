@@ -282,6 +282,20 @@ def test_csv_dialects(spark, tmp_path):
     assert delimiter_of([]) == "," and delimiter_of(['"a;b;c",d']) == ","
 
 
+def test_csv_options_of_a_configuration(spark, tmp_path):
+    (tmp_path / "e.csv").write_text('eventID~note\ne1~"a\nb"\ne2~c\n')
+    own = {"csvDelimiter": "~", "csvMultiline": True}
+    dataset = {"name": "events", "class": "Event", "path": "e.csv", "fieldMappings": [{"originName": "eventID", "targetName": "eventID"}]}
+    part = {"class": "Event", "source": "e", "fields": {"eventID": "eventID"}}
+    raw = {"validation": {"datasets": [dataset], **own}, "transform": {"inputs": {"e": "e.csv"}, "datasets": [part], "output": {"outputDir": "out", "outputFilesWithTimestamp": False, "singleFiles": False}, **own}}
+    config = cfg.decode(raw)
+    assert validate(spark, config, str(tmp_path)).datasets[0].rows == 2
+    done = transform(spark, config.transform, str(tmp_path), str(tmp_path))
+    assert (tmp_path / "out" / "event.csv").is_dir() and read_csv(spark, done.files[0]).count() == 2
+    with pytest.raises(cfg.ConfigError, match="csvMultiline"):
+        cfg.decode({"transform": {"csvMultiline": "yes"}})
+
+
 def test_reports_tell_every_kind_and_violation(spark):
     from pyspark.sql import functions as F
     from tablewright.operators.checks import VIOLATION
