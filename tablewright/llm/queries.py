@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, licenses, line_dedup, lm_score, packing, pii, simhash, toxicity, url_rules
+from . import byte_bpe, decontaminate, embedding_dedup, hard_negatives, licenses, line_dedup, lm_score, packing, pii, simhash, toxicity, url_rules, vector_codes
 from .common import table
 
 
@@ -133,6 +133,63 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+OP11_SQL = """
+WITH r AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM r a JOIN r b ON len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id))::INTEGER AS rank,
+       n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql() -> str:
+    """The rounds one after the other; a vector's parts have an equal number of components."""
+    out = [
+        """v AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS n, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        "x AS MATERIALIZED (SELECT v.n, r.p, v.q[r.p * (len(v.q) // 4) + 1 : (r.p + 1) * (len(v.q) // 4)] AS x FROM v, range(4) r(p))",
+        "c0 AS MATERIALIZED (SELECT p, n AS entry, x AS c FROM x WHERE n < 256)",
+    ]
+    for k in range(vector_codes.ROUNDS + 1):
+        # Distances are integers: the least of distance * 256 + entry has the first of the nearest entries.
+        out.append(f"a{k} AS MATERIALIZED (SELECT x.n, x.p, min((list_inner_product(x.x, x.x) - 2 * list_inner_product(x.x, c.c) + list_inner_product(c.c, c.c))::BIGINT * 256 + c.entry) AS best FROM x JOIN c{k} c ON c.p = x.p GROUP BY x.n, x.p)")
+        if k < vector_codes.ROUNDS:
+            out.append(f"m{k} AS (SELECT a.p, a.best % 256 AS entry, i.i, floor(sum(x.x[i.i]) / count(*)) AS mean FROM a{k} a JOIN x ON x.n = a.n AND x.p = a.p, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM x))) AS i) i GROUP BY ALL)")
+            out.append(f"c{k + 1} AS MATERIALIZED (SELECT c.p, c.entry, coalesce(m.c, c.c) AS c FROM c{k} c LEFT JOIN (SELECT p, entry, list(mean ORDER BY i) AS c FROM m{k} GROUP BY p, entry) m ON m.p = c.p AND m.entry = c.entry)")
+    last = vector_codes.ROUNDS
+    return f"""WITH {", ".join(out)},
+coded AS (SELECT n, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error FROM a{last} GROUP BY n),
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda v: v::BIGINT), ','), ',' ORDER BY p, entry)) AS codebooks_sha256 FROM c{last})
+SELECT v.vec_id, coded.code, coded.error, (sum(coded.error) OVER (PARTITION BY v.label))::BIGINT AS label_error, books.codebooks_sha256
+FROM v JOIN coded ON coded.n = v.n, books"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    told = vector_codes.label_errors(codes)
+    code = F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return told.select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.fingerprint(books)).alias("codebooks_sha256"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -143,4 +200,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracles() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"op4_url_filters": OP4_SQL, "op7_embedding_near_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
+    return {"op4_url_filters": OP4_SQL, "op7_embedding_near_dedup": OP7_SQL, "op9_line_dedup": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_vector_codes": _op12_sql(), **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
