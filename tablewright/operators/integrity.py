@@ -6,6 +6,11 @@ an accepted row holds already, a null where none may be, a reference to no
 accepted row, and a null key. The plan below finds the same without order: only
 rows with nothing else wrong can hold a key, and of these the least row number
 does. Rejected rows are no targets, so their children are rejected too.
+
+References within the table itself make both rules depend on each other: a row
+holds its key if none before it does, and it is accepted if an earlier row holds
+its parent's key. Which row first holds a key that others refer to is settled in
+rounds over the rows still open (see first_holders).
 """
 
 from __future__ import annotations
@@ -98,17 +103,30 @@ def judge(df: DataFrame, rules: Rules, row: str = ROW) -> DataFrame:
     types = [_text(df, c).isNotNull() & ~_of_type(_text(df, c), kind) for c, kind in rules.types]
     nulls = [F.col(f"`{c}`").isNull() for c, _ in rules.not_null]
     out = out.withColumns({"_enum": first(enums), "_type": first(types), "_null": first(nulls), "_key": _text(df, rules.key[0]) if rules.key else F.lit(None).cast("string")})
-    misses = []
+    misses, own_keys = [], []
     for k, r in enumerate(rules.references):
         if r.target_dataset == rules.dataset:
-            continue  # within the table itself: see self_accepted
+            own_keys += [(k, r)] if rules.key else []
+            continue
         own, other = _comparable(df, r.column, rules.parents[r.target_dataset], r.target_field)
         parents = rules.parents[r.target_dataset].select(other.alias(f"_to{k}")).filter(F.col(f"_to{k}").isNotNull()).distinct().withColumn(f"_hit{k}", F.lit(True))
         out = out.join(cut(parents), own == F.col(f"_to{k}"), "left")
         misses.append((k, F.col(f"`{r.column}`").isNotNull() & F.col(f"_hit{k}").isNull()))
-    fk = F.coalesce(*[F.when(m, F.lit(k)) for k, m in misses]) if misses else F.lit(None).cast("int")
-    out = out.withColumn("_fk", fk)
     key_null = F.col("_key").isNull() if rules.key else F.lit(False)
+    if own_keys:
+        parents = {f"_p{k}": _text(df, r.column) for k, r in own_keys}
+        clean = F.col("_enum").isNull() & F.col("_type").isNull() & F.col("_null").isNull() & ~key_null
+        for _, m in misses:
+            clean = clean & ~m
+        slim = cut(out.select(F.col(row).alias("_n"), F.col("_key").alias("_k"), clean.alias("_clean"), *[p.alias(c) for c, p in parents.items()]))
+        asked = slim.select(F.explode(F.array_compact(F.array(*parents))).alias("_asked")).distinct()
+        first = first_holders(slim.filter("_clean").drop("_clean"), asked, list(parents))
+        for k, r in own_keys:
+            held = first.select(F.col("_k").alias(f"_to{k}"), F.col("_first").alias(f"_hit{k}"))
+            out = out.join(held, parents[f"_p{k}"] == F.col(f"_to{k}"), "left")
+            misses.append((k, F.col(f"`{r.column}`").isNotNull() & ~F.coalesce(F.col(f"_hit{k}") < F.col(row), F.lit(False))))
+    fk = F.coalesce(*[F.when(m, F.lit(k)) for k, m in sorted(misses, key=lambda x: x[0])]) if misses else F.lit(None).cast("int")
+    out = out.withColumn("_fk", fk)
     clean = F.col("_enum").isNull() & F.col("_type").isNull() & F.col("_null").isNull() & F.col("_fk").isNull() & ~key_null
     if rules.key:
         # Only repeated keys can be taken: a small table, written so that the join with it is one that Spark can broadcast or split.
@@ -119,33 +137,54 @@ def judge(df: DataFrame, rules: Rules, row: str = ROW) -> DataFrame:
         taken = F.lit(False)
     kind = F.when(F.col("_enum").isNotNull(), "enum").when(F.col("_type").isNotNull(), "type").when(taken, "pk").when(F.col("_null").isNotNull(), "null").when(F.col("_fk").isNotNull(), "fk").when(key_null, "key_null").otherwise("ok")
     at = F.when(F.col("_enum").isNotNull(), F.col("_enum")).when(F.col("_type").isNotNull() | taken, F.lit(None).cast("int")).when(F.col("_null").isNotNull(), F.col("_null")).otherwise(F.col("_fk"))
-    judged = out.select(*[F.col(f"`{c}`") for c in df.columns], kind.alias("kind"), at.alias("at"))
-    for k, r in enumerate(rules.references):
-        if r.target_dataset == rules.dataset and rules.key:
-            judged = self_accepted(judged, k, r, rules.key[0], row)
-    return judged
-
-
-def self_accepted(judged: DataFrame, number: int, r: Reference, key: str, row: str = ROW) -> DataFrame:
-    """judged with kind fk where the reference into the table itself names no earlier accepted row.
-
-    A row points to the earlier row that holds its parent's key; without a
-    parent it is accepted, without such a row it is not. Pointers are doubled
-    until all have come to such a row, whose verdict holds for all that lead to
-    it: as many rounds as the logarithm of the deepest hierarchy. Parents come
-    earlier, so no pointers go round.
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], kind.alias("kind"), at.alias("at"))
+
+
+def _followed(links: DataFrame) -> DataFrame:
+    """links (_n, _k, _good, _to) with pointers followed until they come to a row whose verdict is known, which is taken over, or to one that has no pointer."""
+    state = links.withColumn("_moves", F.col("_good").isNull() & F.col("_to").isNotNull())
+    while not state.filter("_moves").isEmpty():
+        up = state.select(F.col("_n").alias("_at"), F.col("_good").alias("_found"), F.col("_to").alias("_next"))
+        on = state.filter("_moves").join(up, F.col("_to") == F.col("_at"))
+        on = on.select("_n", "_k", F.col("_found").alias("_good"), F.coalesce("_next", "_to").alias("_to"), (F.col("_found").isNull() & F.col("_next").isNotNull()).alias("_moves"))
+        state = cut(state.filter("not _moves").unionByName(on))
+    return state.select("_n", "_k", "_good")
+
+
+def first_holders(rows: DataFrame, asked: DataFrame, parents: Sequence[str]) -> DataFrame:
+    """(_k, _first): for each key that is asked for the first row that holds it, if any does.
+
+    rows: those that may hold their key, with _n (row number), _k and parents,
+    columns of keys that earlier rows must hold; asked: all keys that any row
+    refers to. A row holds its key once all its parents are held by earlier
+    rows; later rows of the key no longer matter. In each round the keys' first
+    holders and open rows are counted up, and an open row learns that a parent
+    is held before it, or that no open row before it could hold it. Where just
+    one open row could, its verdict is that row's: such pointers are doubled, so
+    a hierarchy of any depth takes one round. A further round is needed for each
+    level of parents with several open rows. The least open row is settled in
+    each, so rounds end.
     """
-    text = F.col(f"`{r.column}`").cast("string")
-    rows = cut(judged.filter("kind = 'ok'").select(F.col(row).alias("_n"), F.col(f"`{key}`").cast("string").alias("_k"), text.alias("_p")))
-    parents = rows.select(F.col("_n").alias("_up"), F.col("_k").alias("_pk"))
-    met = rows.join(parents, (F.col("_p") == F.col("_pk")) & (F.col("_up") < F.col("_n")), "left")
-    state = cut(met.select("_n", "_up", F.when(F.col("_up").isNull(), F.col("_p").isNull()).alias("_good")))
-    while not state.filter("_good is null").isEmpty():
-        above = state.select(F.col("_n").alias("_at"), F.col("_up").alias("_next"), F.col("_good").alias("_found"))
-        state = cut(state.join(above, F.col("_up") == F.col("_at"), "left").select("_n", F.when(F.col("_found").isNull(), F.col("_next")).alias("_up"), F.coalesce("_good", "_found").alias("_good")))
-    out = judged.join(state.filter("_good").select("_n", "_good"), F.col(row) == F.col("_n"), "left")
-    lost = (F.col("kind") == "ok") & F.col("_good").isNull()
-    return out.select(*[F.col(f"`{c}`") for c in judged.columns if c not in ("kind", "at")], F.when(lost, "fk").otherwise(F.col("kind")).alias("kind"), F.when(lost, F.lit(number)).otherwise(F.col("at")).alias("at"))
+    inner = cut(rows.join(asked, F.col("_k") == F.col("_asked"), "left_semi"))
+    root = F.lit(True)
+    for p in parents:
+        root = root & F.col(p).isNull()
+    first = cut(inner.filter(root).groupBy("_k").agg(F.min("_n").alias("_first")))
+    left = lambda rows: cut(rows.join(first, "_k", "left").filter("_first is null or _n < _first").drop("_first"))
+    still = left(inner.filter(~root))
+    while not still.isEmpty():
+        waiting = still.groupBy("_k").agg(F.count("_n").alias("_open"), F.min("_n").alias("_least"), F.max("_n").alias("_most"))
+        keys = first.join(waiting, "_k", "full_outer").withColumnRenamed("_k", "_p")
+        asks = still.select("_n", "_k", F.explode(F.array_compact(F.array(*parents))).alias("_p")).join(keys, "_p", "left")
+        held, lost = F.coalesce(F.col("_first") < F.col("_n"), F.lit(False)), F.coalesce(F.col("_least") >= F.col("_n"), F.col("_least").isNull())
+        one = (F.col("_open") == 1) | (F.col("_open") == 2) & (F.col("_most") >= F.col("_n"))
+        told = asks.groupBy("_n", "_k").agg(F.bool_or(~held & lost).alias("_lost"), F.count_if(~held & ~lost).alias("_waits"), F.max(F.when(~held & ~lost & one, F.col("_least"))).alias("_to"))
+        good = F.when(F.col("_lost"), False).when(F.col("_waits") == 0, True)
+        links = cut(told.select("_n", "_k", good.alias("_good"), F.when(good.isNull() & (F.col("_waits") == 1), F.col("_to")).alias("_to")))
+        done = _followed(links)
+        first = cut(first.unionByName(done.filter("_good").groupBy("_k").agg(F.min("_n").alias("_first"))).groupBy("_k").agg(F.min("_first").alias("_first")))
+        still = left(still.join(done.filter("_good is null").select("_n"), "_n", "left_semi"))
+    return first
 
 
 def integrity_violations(judged: DataFrame, rules: Rules, row: str = ROW, suggest: bool = True) -> DataFrame:

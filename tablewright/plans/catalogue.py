@@ -216,6 +216,25 @@ def _self(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity_violations(judge(df, rules, "c_custkey"), rules, "c_custkey").filter("tag = 'ForeignKeyViolation'").select(F.col("row_number").alias("key"), "value")
 
 
+_TREE = "SELECT o_orderkey AS rn, o_custkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN -1 ELSE CAST(floor(o_custkey / 2) AS BIGINT) END AS up, CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS st FROM orders"
+
+
+@_add(
+    "accepted_hierarchy",
+    f"""
+WITH RECURSIVE raw AS ({_TREE}),
+good AS (SELECT rn, id FROM raw WHERE up IS NULL AND st <> 'X' UNION SELECT r.rn, r.id FROM raw r JOIN good g ON r.up = g.id AND g.rn < r.rn WHERE r.st <> 'X'),
+held AS (SELECT id, min(rn) AS first FROM good GROUP BY id)
+SELECT r.rn, CASE WHEN r.st = 'X' THEN 'enum' WHEN r.rn > own.first THEN 'pk' WHEN r.up IS NOT NULL AND NOT coalesce(above.first < r.rn, FALSE) THEN 'fk' ELSE 'ok' END AS kind
+FROM raw r LEFT JOIN held own ON own.id = r.id LEFT JOIN held above ON above.id = r.up
+""",
+)
+def _hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.sql(_TREE.replace("FROM orders", "FROM {orders}"), orders=_table(spark, sf_dir, "orders"))
+    rules = Rules("orders", ("id", "id"), vocabularies=(Vocabulary("st", "st", ("O", "F", "P")),), references=(Reference("up", "up", "orders", "id"),))
+    return judge(raw, rules, "rn").select("rn", "kind")
+
+
 # Dependencies
 
 _FACTS = "SELECT event_id, event_type, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(user_id AS {text}) END AS who, CASE WHEN event_id % 3 = 0 THEN ' ' ELSE CAST(value AS {text}) END AS amount FROM events"

@@ -192,3 +192,40 @@ def test_self_references_of_any_depth(spark):
     df = spark.createDataFrame(chain + more, "_row_number long, id string, parent string")
     judged = judge(df, Rules("t", ("id", "id"), references=(Reference("parent", "parent", "t", "id"),)))
     assert {r["id"] for r in judged.filter("kind = 'fk'").collect()} == {"a", "c", "d", "e"} and judged.filter("kind = 'ok'").count() == 3002
+
+
+def inserted(rows, words, parents):
+    """Rows (number, key, word, need, fk, up, other) one by one: the first failure, and of references the first that fails."""
+    taken, out = set(), []
+    for n, key, word, need, fk, up, other in rows:
+        lost = [k for k, bad in enumerate([up is not None and up not in taken, fk is not None and fk not in parents, other is not None and other not in taken]) if bad]
+        kind = "enum" if word is not None and word not in words else "pk" if key is not None and key in taken else "null" if need is None else "fk" if lost else "key_null" if key is None else "ok"
+        if kind == "ok":
+            taken.add(key)
+        out.append((n, kind, lost[0] if kind == "fk" else None))
+    return out
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_keys_and_self_references_equal_row_by_row_acceptance(spark, two):
+    """500 random tables in one: their keys are apart."""
+    rng = random.Random(77 + two)
+    pick = lambda *xs: rng.choice(xs)
+    rows, n = [], 0
+    for t in range(500):
+        keys = [f"{t}:{c}" for c in "abcdefgh"[: rng.randrange(2, 9)]]
+        for _ in range(rng.randrange(1, 25)):
+            n += 1
+            other = pick(None, None, *keys) if two else None
+            rows.append((n, pick(*keys, *keys, None), pick("x", "x", "x", "x", "z", None), pick("1", "1", "1", "1", None), pick("p", "p", "p", "lost", None), pick(*keys, None, None), other))
+    df = spark.createDataFrame(rows, "_row_number long, id string, word string, need string, fk string, up string, other string")
+    references = (Reference("up", "up", "t", "id"), Reference("fk", "fk", "p", "k"), *([Reference("other", "other", "t", "id")] if two else []))
+    rules = Rules("t", ("id", "id"), (("need", "need"),), (Vocabulary("word", "word", ("x", "y")),), (), references, {"p": spark.createDataFrame([("p",), (None,)], "k string")})
+    got = sorted((r["_row_number"], r["kind"], r["at"] if r["kind"] == "fk" else None) for r in judge(df, rules).collect())
+    assert got == inserted(rows, {"x", "y"}, {"p"})
+
+
+def test_a_row_behind_a_rejected_holder_is_accepted(spark):
+    df = spark.createDataFrame([(1, "a", "zzz"), (2, "a", None), (3, "b", "a")], "_row_number long, id string, up string")
+    rules = Rules("t", ("id", "id"), references=(Reference("up", "up", "t", "id"),))
+    assert [(r["_row_number"], r["kind"]) for r in judge(df, rules).orderBy("_row_number").collect()] == [(1, "fk"), (2, "ok"), (3, "ok")]
