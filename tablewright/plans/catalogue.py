@@ -22,9 +22,9 @@ from ..operators.dependency import Dependency, When, dependency_violations
 from ..operators.integrity import Reference, Rules, Vocabulary, accepted, duplicate_keys, integrity_violations, judge, orphans
 from ..operators.constraints import strictest
 from ..sources import sinks
-from ..sources.tables import read_csv, read_table, table_name, typed
+from ..sources.tables import dialect_of, read_csv, read_table, table_name, typed
 from . import config, profiles, report, schema_import, validate
-from .lineage import folder
+from .lineage import folder, staged
 from .relations import ForeignKey, Shape, infer, targets_first
 from .resolution import Mapping, active_variant, resolve_fields
 from .transform import after_import, drop_null_columns, project
@@ -352,6 +352,36 @@ _dialect("csv_tab", "\t", "concat(c_name, ', ', c_mktsegment)", "concat(c_name,
 _dialect("csv_multiline", ",", "concat(c_name, '\\n', c_mktsegment, ' \"x\"')", "concat(c_name, chr(10), c_mktsegment, ' \"x\"')")
 
 
+@_add("csv_headerless", "SELECT 'column0' AS key_name, 'column2' AS balance_name, c_custkey, c_name, c_acctbal FROM customer")
+def _headerless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written without a header, with ' as the quote: both are found, and places are the names."""
+    path = folder(spark, "headerless")
+    _table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit("; x")).alias("c_name"), "c_acctbal").write.csv(path, sep=";", quote="'", escape="'", quoteAll=True, header=False)
+    own = typed(read_csv(spark, path))
+    return own.select(F.lit(own.columns[0]).alias("key_name"), F.lit(own.columns[2]).alias("balance_name"), F.col(own.columns[0]).alias("c_custkey"), F.expr("split_part(column1, '; x', 1)").alias("c_name"), F.col(own.columns[2]).alias("c_acctbal"))
+
+
+_ODD_ROWS = "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN concat(c_custkey, ',\"', c_name, '\",', c_nationkey, ',EXTRA') WHEN 1 THEN concat(c_custkey, ',', c_name) ELSE concat(c_custkey, ',', c_name, ',', c_nationkey) END AS value FROM customer"
+
+
+@_add("csv_rejects", f"SELECT 'RowShapeViolation' AS tag, 'error' AS severity, value, 'Row does not fit the file''s 3 columns' AS error_message FROM ({_ODD_ROWS}) WHERE c_custkey % 5 < 2")
+def _csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with surplus and lacking values become violations."""
+    path = folder(spark, "rejects")
+    spark.sql(_ODD_ROWS.replace("FROM customer", "FROM {customer}"), customer=_table(spark, sf_dir, "customer")).select("value").write.text(path)
+    rows = staged(read_csv(spark, path, rejected=validate.REJECTED, dialect=dialect_of(spark, path, header=False)), "rejects")
+    return validate.rejected_rows(rows, 3).select("tag", "severity", "value", "error_message")
+
+
+@_add("csv_multiline_split", "SELECT doc_id, length(text) AS chars, md5(text) AS text_md5 FROM documents")
+def _multiline_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, whose line ends are quoted, cut by as many tasks as the files have blocks."""
+    path = folder(spark, "split")
+    _table(spark, sf_dir, "documents").select("doc_id", "text").write.csv(path, header=True, quote='"', escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    own = read_csv(spark, path, (), multiline=True)
+    return own.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("text_md5"))
+
+
 @_add("drop_null_columns", "SELECT c_custkey, c_name FROM customer")
 def _drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_null_columns(_table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name", "CAST(NULL AS STRING) AS remarks", "nullif(c_acctbal, c_acctbal) AS gone"))

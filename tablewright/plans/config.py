@@ -43,7 +43,10 @@ class ValidationConfig:
     suggestions: bool = True
     limit: int | None = 100  # violations a constraint; None: all
     output_dir: str | None = None
-    delimiter: str | None = None  # of CSV inputs; None: found in their first lines
+    delimiter: str | None = None  # of CSV inputs; None: found on samples of them, as the next three
+    quote: str | None = None  # "": none
+    escape: str | None = None
+    header: bool | None = None
     multiline: bool | None = None  # quoted line ends in CSV inputs; None: found by a pass over their lines
 
 
@@ -65,6 +68,9 @@ class TransformConfig:
     db_name: str = "workspace.db"
     drop_null_columns: bool = False
     delimiter: str | None = None
+    quote: str | None = None
+    escape: str | None = None
+    header: bool | None = None
     multiline: bool | None = None
     single_files: bool = True  # one CSV file a class, written by one task; else folders of part files
 
@@ -221,6 +227,9 @@ def decode(raw: Any) -> Config:
             None if v.get("maxViolationsPerField", 100) is None else r.get(v, "maxViolationsPerField", int, "validation", 100),  # null: no cap
             r.get(v, "outputDir", str, "validation"),
             r.get(v, "csvDelimiter", str, "validation"),
+            r.get(v, "csvQuote", str, "validation"),
+            r.get(v, "csvEscape", str, "validation"),
+            r.get(v, "csvHeader", bool, "validation"),
             r.get(v, "csvMultiline", bool, "validation"),
         )
     if (t := r.get(raw, "transform", dict, "config")) is not None:
@@ -240,6 +249,9 @@ def decode(raw: Any) -> Config:
             r.get(out, "exportDBFileName", str, "transform.output", "workspace.db"),
             r.get(out, "dropNullColumns", bool, "transform.output", False),
             r.get(t, "csvDelimiter", str, "transform"),
+            r.get(t, "csvQuote", str, "transform"),
+            r.get(t, "csvEscape", str, "transform"),
+            r.get(t, "csvHeader", bool, "transform"),
             r.get(t, "csvMultiline", bool, "transform"),
             r.get(out, "singleFiles", bool, "transform.output", True),
         )
@@ -265,7 +277,7 @@ def json_schema() -> dict:
             "version": text,
             "standard": {"anyOf": [text, {"type": "object", "properties": {"base": text, "variant": text}}]},
             "datasetRules": {"type": "array", "items": {"type": "object", "required": ["ruleType"], "properties": {"ruleType": {"enum": ["foreignKey", "dependency"]}}}},
-            "validation": {"type": "object", "properties": {"datasets": {"type": "array", "items": dataset}, "nullValues": {"type": "array", "items": text}, "failFast": {"type": "boolean"}, "csvDelimiter": text, "csvMultiline": {"type": "boolean"}, "maxViolationsPerField": {"type": ["integer", "null"]}}},
-            "transform": {"type": "object", "properties": {"inputs": {"type": "object"}, "postImportTransforms": {"type": "array", "items": text}, "datasets": {"type": "array", "items": part}, "csvDelimiter": text, "csvMultiline": {"type": "boolean"}, "output": {"type": "object"}}},
+            "validation": {"type": "object", "properties": {"datasets": {"type": "array", "items": dataset}, "nullValues": {"type": "array", "items": text}, "failFast": {"type": "boolean"}, "csvDelimiter": text, "csvQuote": text, "csvEscape": text, "csvHeader": {"type": "boolean"}, "csvMultiline": {"type": "boolean"}, "maxViolationsPerField": {"type": ["integer", "null"]}}},
+            "transform": {"type": "object", "properties": {"inputs": {"type": "object"}, "postImportTransforms": {"type": "array", "items": text}, "datasets": {"type": "array", "items": part}, "csvDelimiter": text, "csvQuote": text, "csvEscape": text, "csvHeader": {"type": "boolean"}, "csvMultiline": {"type": "boolean"}, "output": {"type": "object"}}},
         },
     }

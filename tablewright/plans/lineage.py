@@ -32,8 +32,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet to the shared folder, so that later scans read only the columns they use."""
+def staged(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """df, written once as Parquet to the shared folder, so that later scans read only the columns they use. Its path is added to made, for removed()."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.parquet(path)
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes what staged() has written, once nothing reads it any more."""
+    for path in paths:
+        own = spark._jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)

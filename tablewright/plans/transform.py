@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from ..functions.dialect import adapt, add_functions, with_places
 from ..operators.integrity import Rules, Vocabulary, integrity_violations, judge
 from ..sources import sinks
-from ..sources.tables import ROW, check_inputs, numbered, read_csv, table_name, typed
+from ..sources.tables import ROW, check_inputs, dialect_of, numbered, read_csv, table_name, typed
 from . import dictionary
-from .lineage import cut
+from .lineage import cut, staged
 from .config import TransformConfig
 
 Value = str | float | int | None
 PLACE = "_place"
+REJECTED = "_rejected"
 
 
 class TransformError(ValueError):
@@ -143,7 +144,14 @@ def _check(name: str, df: DataFrame, spec: dictionary.ClassSpec) -> None:
 def transform(spark: SparkSession, config: TransformConfig, base: str = ".", out_base: str = ".", single_files: bool | None = None, check: bool = True) -> TransformResult:
     paths = {alias: _under(base, p) for alias, p in config.inputs.items()}
     check_inputs(spark, paths)
-    tables = {table_name(a): typed(read_csv(spark, p, ("",), config.multiline, config.delimiter)) for a, p in paths.items()}
+    tables, made = {}, []
+    for a, p in paths.items():
+        how = dialect_of(spark, p, ("",), config.delimiter, config.quote, config.escape, config.header)
+        rows = staged(read_csv(spark, p, ("",), config.multiline, rejected=REJECTED, dialect=how), "input", made)
+        first = rows.filter(F.col(REJECTED).isNotNull()).agg(F.min(F.struct(ROW, REJECTED)).alias("first")).first()["first"]
+        if first is not None:
+            raise TransformError(f"{a}: row {first[ROW]} does not fit the file's {len(how.names)} columns: {first[REJECTED][:200]!r}")
+        tables[table_name(a)] = typed(rows.drop(REJECTED))
     tables = after_import(spark, tables, config.statements)
     by_class: dict[str, list[DataFrame]] = {}
     for d in config.datasets:

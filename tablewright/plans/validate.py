@@ -14,13 +14,14 @@ from ..operators.checks import ROW, field_violations, unique_violations
 from ..operators.constraints import SEVERITY, Unique
 from ..operators.dependency import dependency_violations
 from ..operators.integrity import Reference, Rules, Vocabulary, accepted, integrity_violations, judge, used_columns
-from ..sources.tables import check_inputs, is_parquet, read_table
+from ..sources.tables import check_inputs, dialect_of, is_parquet, read_table
 from . import dictionary, profiles
 from .config import Config, DatasetConfig
-from .lineage import cut, staged
+from .lineage import cut, removed, staged
 from .relations import ForeignKey, Shape, infer, targets_first
 from .resolution import Diagnostic, ResolvedField, active_variant, resolve_fields
 
+REJECTED = "_rejected"
 VERBS = {"required": "requires", "recommended": "strongly recommends", "optional": "recommends"}
 
 
@@ -99,7 +100,7 @@ def schema_violations(d: DatasetConfig, spec: profiles.Resolved, fields: Mapping
             out.append(SchemaViolation("MissingMapping", "error", m.origin, m.target, f"Field '{m.origin}' is specified in config but not found in the data." + (f" Possible alternative fields: {near}" if near else "")))
     used = {f.origin for f in fields.values()}
     for c in columns:
-        if c not in used and c != ROW:
+        if c not in used and c not in (ROW, REJECTED):
             near = nearest_name(c, origins)
             out.append(SchemaViolation("UnmappedColumn", "info", c, c, f"Source column '{c}' is not mapped to any Darwin Core field and will be ignored." + (f" Possible alternative columns: {near}" if near else "")))
     told = {m.target for m in d.mappings}
@@ -146,6 +147,7 @@ def validate(spark: SparkSession, config: Config, base: str = ".", fail_fast: bo
     path = lambda p: p if p.startswith("/") or "://" in p else f"{base.rstrip('/')}/{p}"
     check_inputs(spark, {d.name: path(d.path) for d in v.datasets})
     tables, specs, fields, notes = {}, {}, {}, {}
+    told, made = [warning] if warning else [], []
     for d in v.datasets:
         spec = profiles.resolve(d.class_name, variant, classes)
         if spec is None:
@@ -153,19 +155,25 @@ def validate(spark: SparkSession, config: Config, base: str = ".", fail_fast: bo
             raise InvalidDataset(f"'{d.class_name}' is not a valid class." + (f" Did you mean '{near}'?" if near else ""))
         specs[d.name], notes[d.name] = spec, []
         fields[d.name] = resolve_fields(spec, variant, d.mappings, notes[d.name])
-        own = read_table(spark, path(d.path), v.nulls, v.multiline if multiline is None else multiline, v.delimiter)
-        tables[d.name] = own if is_parquet(d.path) else staged(own, "input")  # text is parsed once, not for each check
+        if is_parquet(d.path):
+            tables[d.name] = read_table(spark, path(d.path))
+            continue
+        how = dialect_of(spark, path(d.path), v.nulls, v.delimiter, v.quote, v.escape, v.header)
+        if how.renamed:
+            told.append(f"{d.name}: column names that stand twice or are empty were changed: {', '.join(map(repr, how.renamed))}")
+        own = read_table(spark, path(d.path), v.nulls, v.multiline if multiline is None else multiline, rejected=REJECTED, dialect=how)
+        tables[d.name] = staged(own, "input", made)  # text is parsed once, not for each check
     shapes = [Shape(d.name, d.class_name, tuple(t for t, f in fields[d.name].items() if f.origin in tables[d.name].columns)) for d in v.datasets]
     keys = [*config.keys, *infer(shapes, config.keys)]
     targets = {k.target_dataset for k in keys}
     judged, rules, parents = {}, {}, {}
     by_name = {d.name: d for d in v.datasets}
     for name in targets_first(list(by_name), keys):
-        columns = [c for c in tables[name].columns if c != ROW]
+        columns = [c for c in tables[name].columns if c not in (ROW, REJECTED)]
         rules[name] = integrity_rules(by_name[name], specs[name], variant, fields[name], columns, keys, dict(parents))
         referred = [(f.origin, t) for t, f in fields[name].items() if f.origin in columns and t in {k.target_field for k in keys}] if name in targets else []
         read = list(dict.fromkeys([*used_columns(rules[name]), *(origin for origin, _ in referred)]))
-        judged[name] = staged(judge(tables[name], rules[name]).select(*[F.col(f"`{c}`") for c in read]), "judged")  # judged once; only what violations and children read
+        judged[name] = staged(judge(tables[name], rules[name]).select(*[F.col(f"`{c}`") for c in read]), "judged", made)  # judged once; only what violations and children read
         if name in targets:
             parents[name] = accepted(judged[name], referred)
     out = []
@@ -176,17 +184,28 @@ def validate(spark: SparkSession, config: Config, base: str = ".", fail_fast: bo
         out.append(result)
         if (v.fail_fast if fail_fast is None else fail_fast) and result.status == "fail":
             break
-    return Results(out, [warning] if warning else [], notes, time.time() - began)
+    removed(spark, made)  # violations are tables of their own
+    return Results(out, told, notes, time.time() - began)
+
+
+def rejected_rows(table: DataFrame, columns: int, limit: int | None = None) -> DataFrame:
+    """One violation per row of a text file that doesn't fit its columns, the first limit of them; its value is the row's whole text."""
+    rows = table.filter(F.col(REJECTED).isNotNull())
+    rows = rows if limit is None else rows.orderBy(ROW).limit(limit)
+    told = F.lit(f"Row does not fit the file's {columns} columns")
+    return rows.select(F.lit("RowShapeViolation").alias("tag"), F.lit("error").alias("severity"), F.lit("").alias("field_name"), F.lit("").alias("target_name"), F.col(ROW).cast("bigint").alias("row_number"), F.col(REJECTED).alias("value"), told.alias("error_message"), F.expr("cast(map() as map<string,string>)").alias("params"))
 
 
 def _dataset(d: DatasetConfig, table: DataFrame, spec: profiles.Resolved, fields: dict[str, ResolvedField], judged: DataFrame, rules: Rules, config: Config, limit: int | None) -> DatasetResult:
-    columns = [c for c in table.columns if c != ROW]
+    columns = [c for c in table.columns if c not in (ROW, REJECTED)]
     checked = {f.origin: (t, list(f.constraints)) for t, f in fields.items() if f.origin in columns and t in spec.base.fields}
     parts = [integrity_violations(judged, rules, suggest=config.validation.suggestions), field_violations(table, checked, limit)]
     for origin, (target, constraints) in checked.items():
         if not spec.base.is_key(target):
             parts += [unique_violations(table, origin, target, c, limit) for c in constraints if isinstance(c, Unique)]
     parts += [dependency_violations(table, r, limit) for r in [*spec.rules, *(r for r in config.dependencies if r.dataset in (None, d.name))] if all(f in columns for f in r.fields)]
+    if REJECTED in table.columns:
+        parts.append(rejected_rows(table, len(columns), limit))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from .delimited import Dialect, find_dialect, quoted_line_ends, records, samples
 
 ROW = "_row_number"
 NULLS = ("NA", "N/A", "", "NULL", "null")
@@ -48,42 +50,57 @@ def numbered(df: DataFrame, name: str = ROW) -> DataFrame:
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.coalesce("_before", F.lit(0)) + low + 1).alias(name))
 
 
-# What may stand between values, the most usual first.
-DELIMITERS = (",", ";", "\t", "|")
-HEAD = 50
-
-
-def delimiter_of(lines: Sequence[str]) -> str:
-    """The delimiter of CSV lines, the first being the header: that which the header holds most often outside quotes; of equals the one that as many stand of in most lines, then the most usual."""
-    plain = [re.sub(r'"[^"]*"', "", x) for x in lines if x.strip()] or [""]
-    return max(DELIMITERS, key=lambda d: (plain[0].count(d), sum(x.count(d) == plain[0].count(d) for x in plain), -DELIMITERS.index(d)))
-
-
-def read_csv(spark: SparkSession, path: str, nulls: Sequence[str] = NULLS, multiline: bool | None = None, delimiter: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, nulls: Sequence[str] = NULLS, multiline: bool | None = None, delimiter: str | None = None, rejected: str | None = None, dialect: Dialect | None = None) -> DataFrame:
     """All columns as text, null tokens as nulls, with row numbers.
 
-    delimiter: None finds it in the first lines. multiline: quoted line ends
-    inside values, at the price of one task a file; None: where any line holds
-    an odd number of quotes, which one pass over the lines tells.
+    dialect: None finds it on samples, its delimiter as given. multiline: quoted
+    line ends inside values; None: where any line holds an odd number of quotes,
+    which one pass over the lines tells. Then records are cut by blocks.
+
+    rejected names a column for the whole text of rows that have fewer or more
+    values than the file has columns, or a quoted value that doesn't end; null
+    for all others. Such rows keep the values that there are. Spark wants the
+    result written before that column is read without the others. An empty file
+    has no columns.
     """
-    lines = spark.read.text(path)
-    if delimiter is None:
-        delimiter = delimiter_of([r["value"] for r in lines.head(HEAD)])
+    d = dialect or dialect_of(spark, path, nulls, delimiter)
+    if not d.names:
+        return spark.createDataFrame([], f"{ROW} long" + (f", `{rejected}` string" if rejected else ""))
+    whole = rejected or "_rejected"
+    fields = [*d.names, whole]
+    options = {**d.options(), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": whole}
     if multiline is None:
-        multiline = not lines.filter((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).isEmpty()
-    df = spark.read.csv(path, sep=delimiter, header=True, inferSchema=False, quote='"', escape='"', multiLine=multiline, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="\0", emptyValue="")
+        multiline = quoted_line_ends(spark.read.text(path), d)
+    if multiline and d.quote:
+        schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in fields)
+        rows = records(spark, path, d).select(F.from_csv("record", schema, {k: str(v) for k, v in {**options, "multiLine": True}.items()}).alias("r"), "record", "place", "unclosed")
+        told = F.coalesce(F.col(f"r.`{whole}`"), F.when(F.col("unclosed"), F.col("record")))
+        df = rows.select(*[F.col("r").getField(c).alias(c) for c in d.names], told.alias(whole), F.col("place").alias(ROW))
+    else:
+        df = spark.read.csv(path, schema=StructType([StructField(c, StringType()) for c in fields]), header=d.header, **options)
     if nulls:
-        df = df.select(*[F.when(F.col(f"`{c}`").isin(*nulls), None).otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
-    return numbered(df)
+        df = df.select(*[F.when(F.col(f"`{c}`").isin(*nulls), None).otherwise(F.col(f"`{c}`")).alias(c) if c in d.names else F.col(f"`{c}`") for c in df.columns])
+    out = df if multiline and d.quote else numbered(df)
+    return out if rejected else out.drop(whole)
+
+
+def dialect_of(spark: SparkSession, path: str, nulls: Sequence[str] = NULLS, delimiter: str | None = None, quote: str | None = None, escape: str | None = None, header: bool | None = None) -> Dialect:
+    """The dialect of a file, searched on samples of it but for what is given."""
+    return find_dialect(samples(spark, path), nulls, delimiter, quote, escape, header)
+
+
+def delimiter_of(lines: Sequence[str]) -> str:
+    """The delimiter of CSV lines, the first being the start of their file."""
+    return find_dialect(["\n".join(lines)] if lines else []).delimiter
 
 
 def is_parquet(path: str) -> bool:
     return path.lower().endswith(".parquet")
 
 
-def read_table(spark: SparkSession, path: str, nulls: Sequence[str] = NULLS, multiline: bool | None = None, delimiter: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, nulls: Sequence[str] = NULLS, multiline: bool | None = None, delimiter: str | None = None, rejected: str | None = None, dialect: Dialect | None = None) -> DataFrame:
     """Parquet by its suffix, else CSV."""
-    return numbered(spark.read.parquet(path)) if is_parquet(path) else read_csv(spark, path, nulls, multiline, delimiter)
+    return numbered(spark.read.parquet(path)) if is_parquet(path) else read_csv(spark, path, nulls, multiline, delimiter, rejected, dialect)
 
 
 def _shapes(text: Column) -> dict[str, Column]:
