@@ -50,6 +50,49 @@ def numbered(df: DataFrame, name: str = ROW) -> DataFrame:
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.coalesce("_before", F.lit(0)) + low + 1).alias(name))
 
 
+FOOTERS = 1_000
+
+
+def parquet_offsets(spark: SparkSession, files: Sequence[str]) -> dict[str, int]:
+    """For each file, in the order of names, the rows of those before it. Footers tell them: the driver reads up to FOOTERS of them, more are read by tasks."""
+    files, same = sorted(files), lambda f: re.sub("^file:/+", "file:/", f)
+    if len(files) <= FOOTERS:
+        hadoop, parquet = spark._jvm.org.apache.hadoop, spark._jvm.org.apache.parquet.hadoop
+        counts = {}
+        for f in files[:-1]:
+            path = hadoop.fs.Path(spark._jvm.java.net.URI(f))
+            reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(path, spark._jsc.hadoopConfiguration()))
+            counts[same(f)] = reader.getRecordCount()
+            reader.close()
+    else:
+        counts = {same(r["f"]): r["n"] for r in spark.read.parquet(*files).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    out, total = {}, 0
+    for f in files:
+        out[f] = total
+        total += counts.get(same(f), 0)
+    return out
+
+
+def numbered_parquet(spark: SparkSession, path: str, name: str = ROW) -> DataFrame:
+    """A Parquet table with dense row numbers from 1 in the order of its files' names: a row's place in its file, which the reader knows, and the rows of the files before it.
+
+    Nothing is counted by a job, and as numbers don't depend on how the table
+    is read, filters on its columns reach the scan.
+    """
+    df = spark.read.parquet(path)
+    files = df.inputFiles()
+    if not files or "_metadata" in {c.lower() for c in df.columns}:
+        return numbered(df, name)
+    place = F.col("_metadata.row_index") + 1
+    if len(files) == 1:
+        return df.select("*", place.alias(name))
+    same = lambda f: F.regexp_replace(f, "^file:/+", "file:/")
+    before = spark.createDataFrame(list(parquet_offsets(spark, files).items()), "_file string, _before long").withColumn("_file", same("_file"))  # one row a file
+    own = df.select("*", same(F.col("_metadata.file_path")).alias("_own_file"), place.alias(name))
+    joined = own.join(F.broadcast(before), F.col("_own_file") == F.col("_file"))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col(name)).alias(name))
+
+
 def read_csv(spark: SparkSession, path: str, nulls: Sequence[str] = NULLS, multiline: bool | None = None, delimiter: str | None = None, rejected: str | None = None, dialect: Dialect | None = None) -> DataFrame:
     """All columns as text, null tokens as nulls, with row numbers.
 
@@ -100,7 +143,7 @@ def is_parquet(path: str) -> bool:
 
 def read_table(spark: SparkSession, path: str, nulls: Sequence[str] = NULLS, multiline: bool | None = None, delimiter: str | None = None, rejected: str | None = None, dialect: Dialect | None = None) -> DataFrame:
     """Parquet by its suffix, else CSV."""
-    return numbered(spark.read.parquet(path)) if is_parquet(path) else read_csv(spark, path, nulls, multiline, delimiter, rejected, dialect)
+    return numbered_parquet(spark, path) if is_parquet(path) else read_csv(spark, path, nulls, multiline, delimiter, rejected, dialect)
 
 
 def _shapes(text: Column) -> dict[str, Column]:
