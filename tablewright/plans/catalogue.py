@@ -430,6 +430,28 @@ def _after_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after_import(spark, tables, statements)["customer"].select("c_custkey", "c_name", "note")
 
 
+_transform("transform_slices", {"c": "customer"}, {"key": "c_custkey", "head": "upper(c_name)[0:2]", "tail": "c_name[-3:]", "middle": "concat(c_name, c_mktsegment)[c_custkey % 4 + 1:-2]"}, "SELECT c_custkey AS key, upper(c_name)[0:2] AS head, c_name[-3:] AS tail, concat(c_name, c_mktsegment)[c_custkey % 4 + 1:-2] AS middle FROM customer")
+_transform("transform_dates", {"o": "orders"}, {"key": "o_orderkey", "day": "strftime(o_orderdate, '%-d/%-m/%Y')", "told": "strftime(o_orderdate, '%A, %-d %B at %I %p, it''s day %j T')"}, "SELECT o_orderkey AS key, strftime(o_orderdate, '%-d/%-m/%Y') AS day, strftime(o_orderdate, '%A, %-d %B at %I %p, it''s day %j T') AS told FROM orders")
+_transform(
+    "transform_rownum_sources",
+    {"c": "(SELECT *, c_custkey AS _row_number FROM customer)", "e": "(SELECT max(c_acctbal) AS most FROM customer)", "n": "(SELECT a.n_nationkey, b.r_name, a.n_nationkey AS _row_number, row_number() OVER () AS place FROM (SELECT *, n_nationkey AS _row_number FROM nation) a JOIN region b ON a.n_regionkey = b.r_regionkey)"},
+    {"id": "row_number() OVER ()", "pair": "c.c_custkey * 100 + n.n_nationkey", "place": "place", "most": "e.most"},
+    "SELECT row_number() OVER (ORDER BY c_custkey, n_nationkey) AS id, c_custkey * 100 + n_nationkey AS pair, row_number() OVER (PARTITION BY c_custkey ORDER BY n_nationkey) AS place, (SELECT max(c_acctbal) FROM customer) AS most FROM customer, nation",
+)
+
+
+def _statements(name: str, oracle: str, *own: str) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return after_import(spark, {t: _table(spark, sf_dir, t) for t in ("customer", "orders", "nation")}, list(own))["customer"].select("c_custkey", "c_name", "c_acctbal")
+
+    QUERIES[name], ORACLES[name] = query, oracle
+
+
+_statements("after_import_delete", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE NOT (c_acctbal < 0 OR c_mktsegment = 'BUILDING')", "DELETE FROM customer WHERE c_acctbal < 0; DELETE FROM customer WHERE c_mktsegment = 'BUILDING'")
+_statements("after_import_insert", "SELECT c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT o_orderkey + 1000000, o_orderpriority, NULL FROM orders WHERE o_orderstatus = 'P' UNION ALL VALUES (-1, 'it''s one', 2.5)", "INSERT INTO customer (c_name, c_custkey) SELECT o_orderpriority, o_orderkey + 1000000 FROM orders WHERE o_orderstatus = 'P'", "INSERT INTO customer (c_custkey, c_name, c_acctbal) VALUES (-1, 'it''s one', 2.5)")
+_statements("after_import_update_from", "SELECT c_custkey, coalesce(n_name, c_name) AS c_name, CASE WHEN n_name IS NULL THEN c_acctbal ELSE c_acctbal + n_nationkey END AS c_acctbal FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey < 3", "UPDATE customer SET c_name = n.n_name, c_acctbal = c_acctbal + n.n_nationkey FROM nation n WHERE n.n_nationkey = customer.c_nationkey AND n.n_regionkey < 3")
+
+
 # Sources and sinks
 
 
