@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from ..functions.suggest import nearest
 from ..operators.checks import duplicate_groups, field_violations, unique_violations
-from ..operators.constraints import Format, Length, Pattern, Range, Required
+from ..operators.constraints import Format, Length, Pattern, Range, Required, Unique
 from ..operators.dependency import Dependency, When, dependency_violations
 from ..operators.integrity import Reference, Rules, Vocabulary, accepted, duplicate_keys, integrity_violations, judge, orphans
 from ..operators.constraints import strictest
+from ..operators.repeats import repeated_values
 from ..sources import sinks
 from ..sources.tables import dialect_of, read_csv, read_table, table_name, typed
 from . import config, profiles, report, schema_import, validate
@@ -156,6 +157,22 @@ def _unique_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(_table(spark, sf_dir, "events"), "user_id", limit=10, row="event_id")
 
 
+@_add(
+    "unique_fields",
+    """
+WITH v AS (SELECT o_orderkey AS row_number, 'o_custkey' AS field_name, CAST(o_custkey AS VARCHAR) AS value FROM orders UNION ALL SELECT o_orderkey, 'o_orderkey', CAST(o_orderkey AS VARCHAR) FROM orders
+  UNION ALL SELECT o_orderkey, 'clerk', CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey // 8 AS VARCHAR) END FROM orders),
+top AS (SELECT field_name, value FROM v WHERE value IS NOT NULL GROUP BY field_name, value HAVING count(*) > 1 QUALIFY row_number() OVER (PARTITION BY field_name ORDER BY count(*) DESC, value) <= 500)
+SELECT 'UniquenessViolation' AS tag, v.field_name, v.value, v.row_number, 'Duplicate value: "' || v.value || '"' AS error_message FROM v JOIN top USING (field_name, value)
+""",
+)
+def _unique_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three unique fields behind one sketch, the 500 most repeated values of each."""
+    orders = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey div 8 AS STRING) END AS clerk")
+    found = repeated_values(orders, [(c, c, Unique()) for c in ("o_orderkey", "o_custkey", "clerk")], 500, "o_orderkey")
+    return found.select("tag", "field_name", "value", "row_number", "error_message")
+
+
 @_add("primary_key_dups", "SELECT l_orderkey, l_linenumber, l_partkey, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS duplicate_count FROM lineitem QUALIFY duplicate_count > 1")
 def _primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.struct("l_orderkey", "l_linenumber").alias("key"))
