@@ -60,7 +60,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             kind = "table"
         for w in results.warnings:
             print(w, file=sys.stderr)
-        parts = report.json_parts(results) if kind == "json" else [report.as_table(results, args.debug) if kind == "table" else report.as_markdown(results)]
+        parts = report.json_parts(results) if kind == "json" else report.table_parts(results, args.debug) if kind == "table" else [report.as_markdown(results)]
         folder = args.output_dir or ("./validation_results" if kind == "markdown_summary_action" else None)
         if folder:
             name = "validation-results.md" if kind == "markdown_summary_action" else f"validation-{stamp()}.{'json' if kind == 'json' else 'md' if kind == 'markdown' else 'txt'}"

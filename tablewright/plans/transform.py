@@ -408,12 +408,15 @@ def transform(spark: SparkSession, config: TransformConfig, base: str = ".", out
     if config.output_dir is not None:
         folder = _under(out_base, config.output_dir)
         suffix = f"_{sinks.stamp()}" if config.timestamped else ""
-        for name, df in targets.items():
-            used = {c for d in config.datasets if d.class_name.lower() == name for c in d.fields}
-            out = drop_null_columns(df) if config.drop_null_columns else df.select(*[F.col(f"`{c}`") for c in df.columns if c in used])
-            files.append(sinks.write_csv(out.drop(ROW), f"{folder}/{name}{suffix}.csv", config.single_files if single_files is None else single_files))
-        if config.export_db:
-            database = sinks.write_database(targets, f"{folder}/{config.db_name}")
+        with sinks.Output(spark) as staged_output:  # all is switched once all is written
+            for name, df in targets.items():
+                used = {c for d in config.datasets if d.class_name.lower() == name for c in d.fields}
+                out = drop_null_columns(df) if config.drop_null_columns else df.select(*[F.col(f"`{c}`") for c in df.columns if c in used])
+                files.append(f"{folder}/{name}{suffix}.csv")
+                sinks.stage_csv(out.drop(ROW), files[-1], staged_output, config.single_files if single_files is None else single_files)
+            if config.export_db:
+                database = f"{folder}/{config.db_name}"
+                sinks.stage_database(targets, database, staged_output)
     return TransformResult(targets, files, database)
 
 

@@ -139,7 +139,11 @@ def integrity_rules(d: DatasetConfig, spec: profiles.Resolved, variant: str, fie
 
 
 def validate(spark: SparkSession, config: Config, base: str = ".", fail_fast: bool | None = None, classes: dict[str, dictionary.ClassSpec] | None = None, multiline: bool | None = None) -> Results:
-    """Datasets are judged with those they refer to first, so that a child of a rejected row is rejected too, and told in the order of the configuration."""
+    """Datasets are judged with those they refer to first, so that a child of a rejected row is rejected too, and told in the order of the configuration.
+
+    A dataset is read when its turn comes, or when one before it refers to it:
+    under fail_fast those behind a failed one aren't read beyond their columns' names.
+    """
     began = time.time()
     v = config.validation
     if v is None:
@@ -147,7 +151,7 @@ def validate(spark: SparkSession, config: Config, base: str = ".", fail_fast: bo
     variant, warning = active_variant(config.variant)
     path = lambda p: p if p.startswith("/") or "://" in p else f"{base.rstrip('/')}/{p}"
     check_inputs(spark, {d.name: path(d.path) for d in v.datasets})
-    tables, specs, fields, notes = {}, {}, {}, {}
+    specs, fields, notes, known, how = {}, {}, {}, {}, {}
     told, made = [warning] if warning else [], []
     for d in v.datasets:
         spec = profiles.resolve(d.class_name, variant, classes)
@@ -157,29 +161,43 @@ def validate(spark: SparkSession, config: Config, base: str = ".", fail_fast: bo
         specs[d.name], notes[d.name] = spec, []
         fields[d.name] = resolve_fields(spec, variant, d.mappings, notes[d.name])
         if is_parquet(d.path):
-            tables[d.name] = read_table(spark, path(d.path))
-            continue
-        how = dialect_of(spark, path(d.path), v.nulls, v.delimiter, v.quote, v.escape, v.header)
-        if how.renamed:
-            told.append(f"{d.name}: column names that stand twice or are empty were changed: {', '.join(map(repr, how.renamed))}")
-        own = read_table(spark, path(d.path), v.nulls, v.multiline if multiline is None else multiline, rejected=REJECTED, dialect=how)
-        tables[d.name] = staged(own, "input", made)  # text is parsed once, not for each check
-    shapes = [Shape(d.name, d.class_name, tuple(t for t, f in fields[d.name].items() if f.origin in tables[d.name].columns)) for d in v.datasets]
+            known[d.name] = spark.read.parquet(path(d.path)).columns
+        else:
+            how[d.name] = dialect_of(spark, path(d.path), v.nulls, v.delimiter, v.quote, v.escape, v.header)
+            known[d.name] = list(how[d.name].names)
+            if how[d.name].renamed:
+                told.append(f"{d.name}: column names that stand twice or are empty were changed: {', '.join(map(repr, how[d.name].renamed))}")
+    shapes = [Shape(d.name, d.class_name, tuple(t for t, f in fields[d.name].items() if f.origin in known[d.name])) for d in v.datasets]
     keys = [*config.keys, *infer(shapes, config.keys)]
     targets = {k.target_dataset for k in keys}
-    judged, rules, parents = {}, {}, {}
+    tables, judged, rules, parents = {}, {}, {}, {}
     by_name = {d.name: d for d in v.datasets}
-    for name in targets_first(list(by_name), keys):
+    order = targets_first(list(by_name), keys)
+
+    def judge_now(name: str) -> None:
+        """Reads and judges a dataset, those it refers to before it; others aren't read."""
+        if name in judged:
+            return
+        for k in keys:
+            if k.source_dataset == name and k.target_dataset in by_name and order.index(k.target_dataset) < order.index(name):
+                judge_now(k.target_dataset)
+        d = by_name[name]
+        if is_parquet(d.path):
+            tables[name] = read_table(spark, path(d.path))
+        else:  # text is parsed once, not for each check
+            tables[name] = staged(read_table(spark, path(d.path), v.nulls, v.multiline if multiline is None else multiline, rejected=REJECTED, dialect=how[name]), "input", made)
         columns = [c for c in tables[name].columns if c not in (ROW, REJECTED)]
-        rules[name] = integrity_rules(by_name[name], specs[name], variant, fields[name], columns, keys, dict(parents))
+        rules[name] = integrity_rules(d, specs[name], variant, fields[name], columns, keys, dict(parents))
         referred = [(f.origin, t) for t, f in fields[name].items() if f.origin in columns and t in {k.target_field for k in keys}] if name in targets else []
         read = list(dict.fromkeys([*used_columns(rules[name]), *(origin for origin, _ in referred)]))
         judged[name] = staged(judge(tables[name], rules[name]).select(*[F.col(f"`{c}`") for c in read]), "judged", made)  # judged once; only what violations and children read
         if name in targets:
             parents[name] = accepted(judged[name], referred)
+
     out = []
     for d in v.datasets:
         since = time.time()
+        judge_now(d.name)
         result = _dataset(d, tables[d.name], specs[d.name], fields[d.name], judged[d.name], rules[d.name], config, v.limit)
         result.seconds = time.time() - since
         out.append(result)
