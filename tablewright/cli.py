@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 
 from .plans import config as cfg
 from .plans import report, schema_import
+from .plans.deploy import ship_package
 from .plans.transform import TransformError, transform
 from .plans.validate import InvalidDataset, validate
 from .sources.sinks import stamp
@@ -47,6 +48,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         path = cfg.discover(args.path)
         config = cfg.load(path)
         spark = spark or SparkSession.builder.getOrCreate()
+        ship_package(spark)
         if args.command == "transform":
             if config.transform is None:
                 raise cfg.ConfigError(["transform: is missing"])

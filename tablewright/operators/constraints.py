@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,6 +75,25 @@ class Format:
         return {"format": F.lit(self.format)}
 
 
+def _automaton_takes(pattern: str) -> bool:
+    try:
+        pc.match_substring_regex(pa.array([""]), pattern)
+    except pa.ArrowInvalid:
+        return False
+    return True
+
+
+@lru_cache(maxsize=256)
+def _by_automaton(pattern: str):
+    """A column function that tells whether pattern is found anywhere in a text; null for null."""
+
+    @F.arrow_udf("boolean")
+    def found(texts: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(texts, pattern)
+
+    return found
+
+
 @dataclass(frozen=True)
 class Pattern:
     pattern: str
@@ -88,11 +110,18 @@ class Pattern:
 
     @property
     def usable(self) -> bool:
-        """Look-around and back-references pass the config but not the matcher of the checks, which is linear in the text."""
-        return not re.search(r"\(\?<?[=!]|\\[1-9]", self.pattern)
+        """Look-around and back-references pass the config but not the matchers of the checks, nor what an automaton can't be made of."""
+        return not re.search(r"\(\?<?[=!]|\\[1-9]", self.pattern) and (not self.repeats_groups or _automaton_takes(self.pattern))
+
+    @property
+    def repeats_groups(self) -> bool:
+        """Whether a group is repeated without a small bound. Java's matcher recurses for each turn of such a repeat, and may try all ways through nested ones."""
+        plain = re.sub(r"\[\^?\]?[^\]]*\]", "x", re.sub(r"\\.", "x", self.pattern, flags=re.S))
+        return bool(re.search(r"\)([*+]|\{\d+,\}|\{(\d+,)?\d{2,}\})", plain))
 
     def broken(self, text: Column, number: Column | None = None) -> Column:
-        return tx.is_present(text) & ~text.rlike(self.pattern)
+        """Simple patterns stay in the JVM; those that repeat groups are matched by an automaton over Arrow batches, in linear time and without a stack."""
+        return tx.is_present(text) & ~(_by_automaton(self.pattern)(text) if self.repeats_groups else text.rlike(self.pattern))
 
     def explain(self, text: Column, field: str) -> Column:
         return F.lit(self.message) if self.message else F.concat(F.lit('Value "'), text, F.lit(f'" does not match pattern /{self.pattern}/'))

@@ -18,13 +18,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.suggest import nearest
 from ..plans.lineage import cut
 from .checks import ROW, VIOLATION, _params
+from .vocabulary import nearest_words, sized, words_table
+
+
+FEW = 500  # words of a vocabulary that plans hold
 
 
 @dataclass(frozen=True)
@@ -34,6 +38,12 @@ class Vocabulary:
     values: tuple[str, ...]
     name: str = ""
     severity: str = "warning"
+    table: DataFrame | None = None  # (word, ordinal), in place of values
+
+    @property
+    def large(self) -> bool:
+        """Whether its words are a table that rows are joined with; few words are part of the plan."""
+        return self.table is not None or len(self.values) > FEW
 
 
 @dataclass(frozen=True)
@@ -95,11 +105,20 @@ def duplicate_keys(df: DataFrame, column: str) -> DataFrame:
     return df.join(cut(counted), column)
 
 
+def words_of(spark: SparkSession, v: Vocabulary) -> DataFrame:
+    return v.table if v.table is not None else words_table(spark, v.values)
+
+
 def judge(df: DataFrame, rules: Rules, row: str = ROW) -> DataFrame:
     """df with kind (ok, type, enum, pk, null, fk, key_null) and at (number of the vocabulary, not-null column or reference at fault)."""
     first = lambda flags: F.coalesce(*[F.when(f, F.lit(k)) for k, f in enumerate(flags)]) if flags else F.lit(None).cast("int")
-    out = df
-    enums = [_text(df, v.column).isNotNull() & ~_text(df, v.column).isin(*v.values) for v in rules.vocabularies]
+    out, enums = df, []
+    for k, v in enumerate(rules.vocabularies):
+        text = _text(df, v.column)
+        if v.large:
+            words = sized(words_of(df.sparkSession, v)).select(F.col("word").alias(f"_word{k}"))
+            out = out.join(words, text == F.col(f"_word{k}"), "left")
+        enums.append(text.isNotNull() & (F.col(f"_word{k}").isNull() if v.large else ~text.isin(*v.values)))
     types = [_text(df, c).isNotNull() & ~_of_type(_text(df, c), kind) for c, kind in rules.types]
     nulls = [F.col(f"`{c}`").isNull() for c, _ in rules.not_null]
     out = out.withColumns({"_enum": first(enums), "_type": first(types), "_null": first(nulls), "_key": _text(df, rules.key[0]) if rules.key else F.lit(None).cast("string")})
@@ -202,8 +221,12 @@ def integrity_violations(judged: DataFrame, rules: Rules, row: str = ROW, sugges
         fault = F.col("kind") == kind
         told.append(F.when(fault if at is None else fault & (F.col("at") == at), violation(*parts)))
 
+    parts = []
     for k, v in enumerate(rules.vocabularies):
         text = _text(judged, v.column)
+        if v.large:
+            parts.append(_unknown_words(judged, k, v, text, violation, suggest))
+            continue
         near = nearest(text, v.values) if suggest else F.lit(None).cast("string")
         message = F.concat(F.lit('Invalid value "'), text, F.lit('".'), F.coalesce(F.concat(F.lit(' Did you mean "'), near, F.lit('"?')), F.lit("")))
         add("enum", k, "EnumViolation", v.severity, v.column, v.target, text, message, {"enumType": F.lit(v.name or v.target), "allowedValues": F.lit(", ".join(v.values)), "suggestedValue": near})
@@ -223,10 +246,30 @@ def integrity_violations(judged: DataFrame, rules: Rules, row: str = ROW, sugges
         text = _text(judged, r.column)
         message = F.concat(F.lit(f"Foreign key violation in '{rules.dataset}': {r.column} value \""), text, F.lit(f'" does not exist in {r.target_dataset}.{r.target_field}'))
         add("fk", k, "ForeignKeyViolation", r.severity, r.column, r.target, text, message, {"targetDataset": F.lit(r.target_dataset), "targetField": F.lit(r.target_field)})
-    if not told:
+    if told:
+        own = F.coalesce(*told)
+        parts.append(judged.filter(F.col("kind").isin("enum", "null", "fk", "key_null")).select(own.alias("_told")).filter("_told is not null"))
+    if repeated is not None:
+        parts.append(repeated)
+    if not parts:
         return judged.sparkSession.createDataFrame([], VIOLATION)
-    found = judged.filter(F.col("kind").isin("enum", "null", "fk", "key_null")).select(F.coalesce(*told).alias("_told"))
-    return (found.unionByName(repeated) if repeated is not None else found).select("_told.*")
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found.select("_told.*")
+
+
+def _unknown_words(judged: DataFrame, number: int, v: Vocabulary, text: Column, violation, suggest: bool) -> DataFrame:
+    """The violations of a large vocabulary: nearest words are looked up once for each different value."""
+    bad = judged.filter((F.col("kind") == "enum") & (F.col("at") == number)).withColumn("value", text)
+    words = words_of(judged.sparkSession, v)
+    if suggest:
+        bad = bad.join(cut(nearest_words(bad, words)), "value", "left")
+    else:
+        bad = bad.withColumn("nearest", F.lit(None).cast("string"))
+    message = F.concat(F.lit('Invalid value "'), F.col("value"), F.lit('".'), F.coalesce(F.concat(F.lit(' Did you mean "'), F.col("nearest"), F.lit('"?')), F.lit("")))
+    params = {"enumType": F.lit(v.name or v.target), "allowedValues": F.lit(f"{words.count()} words"), "suggestedValue": F.col("nearest")}
+    return bad.select(violation("EnumViolation", v.severity, v.column, v.target, F.col("value"), message, params).alias("_told"))
 
 
 def used_columns(rules: Rules, row: str = ROW) -> list[str]:

@@ -203,6 +203,35 @@ def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "nation").select("n_nationkey", "n_name", nearest(F.col("n_name"), ["FRANCES", "NATION_2", "KENIA"]).alias("suggested"))
 
 
+_TYPO = "CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN replace(c_name, 'tom', 'ot') WHEN 2 THEN concat(left(c_name, 9), 'x', substring(c_name, 10)) ELSE concat('no such ', c_name) END"
+
+
+@_add(
+    "enum_large_vocabulary",
+    f"""
+WITH bad AS (SELECT c_custkey AS key, {_TYPO} AS value FROM customer),
+words AS (SELECT c_name AS word, c_custkey AS ordinal FROM customer),
+near AS (SELECT b.value, arg_min(w.word, levenshtein(b.value, w.word) * 1000000 + w.ordinal) AS suggested FROM (SELECT DISTINCT value FROM bad) b JOIN words w ON abs(length(b.value) - length(w.word)) < 3 AND levenshtein(b.value, w.word) < 3 GROUP BY b.value)
+SELECT b.key, b.value, n.suggested, 'Invalid value "' || b.value || '".' || coalesce(' Did you mean "' || n.suggested || '"?', '') AS error_message
+FROM bad b LEFT JOIN near n ON n.value = b.value WHERE b.value NOT IN (SELECT word FROM words)
+""",
+)
+def _large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers' names as a vocabulary, a table, and misspelt ones as values."""
+    customer = _table(spark, sf_dir, "customer")
+    words = customer.select(F.col("c_name").alias("word"), F.col("c_custkey").alias("ordinal"))
+    rules = Rules("customer", vocabularies=(Vocabulary("name", "name", (), table=words),))
+    judged = judge(customer.select("c_custkey", F.expr(_TYPO).alias("name")), rules, "c_custkey")
+    return integrity_violations(judged, rules, "c_custkey").select(F.col("row_number").alias("key"), "value", F.col("params")["suggestedValue"].alias("suggested"), "error_message")
+
+
+@_add("pattern_of_groups", "SELECT CAST(p_partkey AS BIGINT) AS key, p_type AS value FROM part WHERE NOT regexp_matches(p_type, '^(([A-Z]+|%) ?)*$') OR NOT regexp_matches(p_type, '(E|S)(T|E)+')")
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns that repeat groups, matched by an automaton."""
+    rules = [Pattern("^(([A-Z]+|%) ?)*$"), Pattern("(E|S)(T|E)+")]
+    return field_violations(_table(spark, sf_dir, "part"), {"p_type": ("p_type", rules)}, limit=None, row="p_partkey").select(F.col("row_number").alias("key"), "value").distinct()
+
+
 # References
 
 
