@@ -66,6 +66,8 @@ class Rules:
     types: tuple[tuple[str, str], ...] = ()  # column, integer, date, double or boolean
     references: tuple[Reference, ...] = ()
     parents: dict[str, DataFrame] = field(default_factory=dict)  # dataset to its accepted rows, columns named by target
+    kind: str = "kind"  # the names of the columns that tell a row's verdict; others where a table has such columns
+    at: str = "at"
 
 
 def _text(df: DataFrame, name: str) -> Column:
@@ -156,7 +158,7 @@ def judge(df: DataFrame, rules: Rules, row: str = ROW) -> DataFrame:
         taken = F.lit(False)
     kind = F.when(F.col("_enum").isNotNull(), "enum").when(F.col("_type").isNotNull(), "type").when(taken, "pk").when(F.col("_null").isNotNull(), "null").when(F.col("_fk").isNotNull(), "fk").when(key_null, "key_null").otherwise("ok")
     at = F.when(F.col("_enum").isNotNull(), F.col("_enum")).when(F.col("_type").isNotNull() | taken, F.lit(None).cast("int")).when(F.col("_null").isNotNull(), F.col("_null")).otherwise(F.col("_fk"))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], kind.alias("kind"), at.alias("at"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], kind.alias(rules.kind), at.alias(rules.at))
 
 
 def _followed(links: DataFrame) -> DataFrame:
@@ -218,14 +220,14 @@ def integrity_violations(judged: DataFrame, rules: Rules, row: str = ROW, sugges
         return F.struct(F.lit(tag).alias("tag"), F.lit(severity).alias("severity"), F.lit(column).alias("field_name"), F.lit(target).alias("target_name"), number, F.coalesce(value, F.lit("")).alias("value"), message.alias("error_message"), _params(params).alias("params"))
 
     def add(kind: str, at: int | None, *parts) -> None:
-        fault = F.col("kind") == kind
-        told.append(F.when(fault if at is None else fault & (F.col("at") == at), violation(*parts)))
+        fault = F.col(rules.kind) == kind
+        told.append(F.when(fault if at is None else fault & (F.col(rules.at) == at), violation(*parts)))
 
     parts = []
     for k, v in enumerate(rules.vocabularies):
         text = _text(judged, v.column)
         if v.large:
-            parts.append(_unknown_words(judged, k, v, text, violation, suggest))
+            parts.append(_unknown_words(judged, (F.col(rules.kind) == "enum") & (F.col(rules.at) == k), v, text, violation, suggest))
             continue
         near = nearest(text, v.values) if suggest else F.lit(None).cast("string")
         message = F.concat(F.lit('Invalid value "'), text, F.lit('".'), F.coalesce(F.concat(F.lit(' Did you mean "'), near, F.lit('"?')), F.lit("")))
@@ -233,7 +235,7 @@ def integrity_violations(judged: DataFrame, rules: Rules, row: str = ROW, sugges
     repeated = None
     if rules.key:
         column, target = rules.key
-        taken = judged.filter("kind = 'pk'").select(F.col(f"`{column}`").alias("_taken")).distinct()
+        taken = judged.filter(F.col(rules.kind) == "pk").select(F.col(f"`{column}`").alias("_taken")).distinct()
         counted = judged.groupBy(F.col(f"`{column}`").alias("_taken")).agg(F.count(F.lit(1)).alias("_n"))
         rows = judged.join(cut(counted.join(taken, "_taken")), F.col(f"`{column}`") == F.col("_taken"))
         text = _text(judged, column)
@@ -248,7 +250,7 @@ def integrity_violations(judged: DataFrame, rules: Rules, row: str = ROW, sugges
         add("fk", k, "ForeignKeyViolation", r.severity, r.column, r.target, text, message, {"targetDataset": F.lit(r.target_dataset), "targetField": F.lit(r.target_field)})
     if told:
         own = F.coalesce(*told)
-        parts.append(judged.filter(F.col("kind").isin("enum", "null", "fk", "key_null")).select(own.alias("_told")).filter("_told is not null"))
+        parts.append(judged.filter(F.col(rules.kind).isin("enum", "null", "fk", "key_null")).select(own.alias("_told")).filter("_told is not null"))
     if repeated is not None:
         parts.append(repeated)
     if not parts:
@@ -259,9 +261,9 @@ def integrity_violations(judged: DataFrame, rules: Rules, row: str = ROW, sugges
     return found.select("_told.*")
 
 
-def _unknown_words(judged: DataFrame, number: int, v: Vocabulary, text: Column, violation, suggest: bool) -> DataFrame:
+def _unknown_words(judged: DataFrame, wrong: Column, v: Vocabulary, text: Column, violation, suggest: bool) -> DataFrame:
     """The violations of a large vocabulary: nearest words are looked up once for each different value."""
-    bad = judged.filter((F.col("kind") == "enum") & (F.col("at") == number)).withColumn("value", text)
+    bad = judged.filter(wrong).withColumn("value", text)
     words = words_of(judged.sparkSession, v)
     if suggest:
         bad = bad.join(cut(nearest_words(bad, words)), "value", "left")
@@ -276,9 +278,9 @@ def used_columns(rules: Rules, row: str = ROW) -> list[str]:
     """The columns of a judged table that integrity_violations reads."""
     named = [rules.key[0]] if rules.key else []
     named += [v.column for v in rules.vocabularies] + [c for c, _ in rules.not_null] + [r.column for r in rules.references]
-    return list(dict.fromkeys([row, *named, "kind", "at"]))
+    return list(dict.fromkeys([row, *named, rules.kind, rules.at]))
 
 
-def accepted(judged: DataFrame, columns: Sequence[tuple[str, str]]) -> DataFrame:
+def accepted(judged: DataFrame, columns: Sequence[tuple[str, str]], kind: str = "kind") -> DataFrame:
     """The accepted rows, columns renamed to their targets."""
-    return judged.filter("kind = 'ok'").select(*[F.col(f"`{c}`").alias(t) for c, t in columns])
+    return judged.filter(F.col(kind) == "ok").select(*[F.col(f"`{c}`").alias(t) for c, t in columns])

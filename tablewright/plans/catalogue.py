@@ -101,9 +101,11 @@ def _pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return field_violations(_table(spark, sf_dir, "part"), {"p_brand": ("p_brand", [Pattern("^Brand#1")])}, limit=None, row="p_partkey").select(F.col("row_number").alias("key"), "value", "tag")
 
 
-@_add("pattern_unusable", "SELECT CAST(0 AS BIGINT) AS row_number, 'PatternViolation' AS tag, '' AS value")
+@_add("pattern_unusable", "SELECT CAST(0 AS BIGINT) AS row_number, 'PatternViolation' AS tag, '' AS value UNION ALL SELECT p_partkey, 'PatternViolation', p_brand FROM part WHERE NOT regexp_matches(p_brand, '^Brand#[1-3]')")
 def _pattern_unusable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return field_violations(_table(spark, sf_dir, "part"), {"p_brand": ("p_brand", [Pattern("(?<=x)y")])}, row="p_partkey").select("row_number", "tag", "value")
+    """One violation for the pattern that the matcher can't run, beside those of another."""
+    rules = [Pattern("(?<=x)y"), Pattern("^Brand#[1-3]")]
+    return field_violations(_table(spark, sf_dir, "part"), {"p_brand": ("p_brand", rules)}, limit=None, row="p_partkey").select("row_number", "tag", "value")
 
 
 @_add("length", "SELECT CAST(p_partkey AS BIGINT) AS key, CAST(length(p_name) AS VARCHAR) AS actual FROM part WHERE length(p_name) < 9 OR length(p_name) > 9")
@@ -528,30 +530,79 @@ def _csv_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Rules that are resolved on the driver
 
 
-@_add("presets", "SELECT * FROM (VALUES ('latitude', 'range,format'), ('longitude', 'range,format'), ('depth', 'range'), ('isoDate', 'format'), ('uniqueId', 'required,unique'), ('requiredText', 'required'), ('url', 'format'), ('uuid', 'format'), ('countryCode', 'pattern'), ('year', 'range,format'), ('month', 'range,format'), ('day', 'range,format')) t(name, types)")
+_PRESET_FAULTS = {"latitude": "abs(v) > 90", "longitude": "abs(v) > 180", "depth": "v < 0", "isoDate": "v < 0", "uniqueId": "repeated > 1", "requiredText": "v IS NULL", "url": "TRUE", "uuid": "TRUE", "countryCode": "TRUE", "year": "v < 1000 OR v > 2100", "month": "v < 1 OR v > 12", "day": "v < 1 OR v > 31"}
+_PRESET_TYPES = {"latitude": "range,format", "longitude": "range,format", "depth": "range", "isoDate": "format", "uniqueId": "required,unique", "requiredText": "required", "url": "format", "uuid": "format", "countryCode": "pattern", "year": "range,format", "month": "range,format", "day": "range,format"}
+
+
+@_add("presets", "WITH d AS (SELECT c_nationkey * 20 - 100 AS v, count(*) OVER (PARTITION BY c_nationkey) AS repeated FROM customer) " + " UNION ALL ".join(f"SELECT '{n}' AS name, '{_PRESET_TYPES[n]}' AS types, count(*) AS n FROM d WHERE {bad}" for n, bad in _PRESET_FAULTS.items()))
 def _presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n, ",".join(c.type for c in own)) for n, own in profiles.PRESETS.items()], "name string, types string")
+    """Each preset's constraints, and how many violations they find in one column of the customers."""
+    rows = _table(spark, sf_dir, "customer").selectExpr("c_custkey", "CAST(c_nationkey * 20 - 100 AS INT) AS v")
+    rows = rows.select("c_custkey", *[F.col("v").alias(n) for n in profiles.PRESETS])
+    found = field_violations(rows, {n: (n, own) for n, own in profiles.PRESETS.items()}, limit=None, row="c_custkey")
+    unique = [(n, n, c) for n, own in profiles.PRESETS.items() for c in own if isinstance(c, Unique)]
+    counts = found.unionByName(repeated_values(rows, unique, None, "c_custkey")).groupBy("target_name").agg(F.count("tag").alias("found"))
+    named = spark.createDataFrame([(n, ",".join(c.type for c in own)) for n, own in profiles.PRESETS.items()], "name string, types string")
+    return named.join(counts, F.col("name") == F.col("target_name"), "left").select("name", "types", F.coalesce("found", F.lit(0)).cast("bigint").alias("n"))
+
+
+_RESOLVED = "SELECT o_orderkey AS rn, o_orderkey AS eventID, CASE WHEN o_orderkey % 7 > 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) END AS `when`, o_orderkey % 400 - 200 AS decimalLatitude, o_orderkey % 300 * 50 AS deep FROM {orders}"
 
 
-@_add("resolved_fields", "SELECT * FROM (VALUES ('eventDate', 'when', 'required', 'format,required'), ('decimalLatitude', 'decimalLatitude', 'required', 'range,required'), ('maximumDepthInMeters', 'deep', 'required', 'range,required,range,required'), ('eventID', 'eventID', 'required', 'unique,required')) t(target, origin, level, types)")
+@_add(
+    "resolved_fields",
+    """
+SELECT 'eventDate' AS target, 'when' AS origin, 'required' AS level, 'format,required' AS types, count(*) AS n FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL SELECT 'decimalLatitude', 'decimalLatitude', 'required', 'range,required', count(*) FROM orders WHERE abs(o_orderkey % 400 - 200) > 90
+UNION ALL SELECT 'maximumDepthInMeters', 'deep', 'required', 'range,required,range,required', 2 * count(*) FROM orders WHERE o_orderkey % 300 * 50 > 11000
+UNION ALL SELECT 'eventID', 'eventID', 'required', 'unique,required', 0
+""",
+)
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules resolved from the dictionary, a profile and mappings, and the violations that they find in the orders."""
     fields = resolve_fields(profiles.resolve("Event", "obis"), "obis", [Mapping("when", "eventDate", "optional"), Mapping("deep", "maximumDepthInMeters", "required", preset="depth")])
-    rows = [(t, f.origin, strictest(f.constraints).level, ",".join(c.type for c in f.constraints)) for t, f in fields.items() if t in ("eventDate", "decimalLatitude", "maximumDepthInMeters", "eventID")]
-    return spark.createDataFrame(rows, "target string, origin string, level string, types string")
+    own = {t: fields[t] for t in ("eventDate", "decimalLatitude", "maximumDepthInMeters", "eventID")}
+    rows = spark.sql(_RESOLVED, orders=_table(spark, sf_dir, "orders"))
+    counts = field_violations(rows, {f.origin: (t, f.constraints) for t, f in own.items()}, limit=None, row="rn").groupBy("target_name").agg(F.count("tag").alias("found"))
+    named = spark.createDataFrame([(t, f.origin, strictest(f.constraints).level, ",".join(c.type for c in f.constraints)) for t, f in own.items()], "target string, origin string, level string, types string")
+    return named.join(counts, F.col("target") == F.col("target_name"), "left").select("target", "origin", "level", "types", F.coalesce("found", F.lit(0)).cast("bigint").alias("n"))
 
 
 _SHAPES = [Shape("facts", "ExtendedMeasurementOrFact", ("measurementID", "eventID", "occurrenceID")), Shape("finds", "Occurrence", ("occurrenceID", "eventID")), Shape("events", "Event", ("eventID", "parentEventID"))]
 
 
-@_add("relations_inferred", "SELECT * FROM (VALUES ('facts', 'eventID', 'finds', 'occurrenceID'), ('facts', 'occurrenceID', 'finds', 'occurrenceID'), ('finds', 'eventID', 'events', 'eventID'), ('events', 'parentEventID', 'events', 'eventID')) t(source, field, target, target_field)")
+_DATASETS = {
+    "events": "SELECT o_orderkey AS eventID, CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey - 1 END AS parentEventID FROM {orders}",
+    "finds": "SELECT l_orderkey * 10 + l_linenumber AS occurrenceID, CASE WHEN l_linenumber = 7 THEN -l_orderkey ELSE l_orderkey END AS eventID FROM {lineitem}",
+    "facts": "SELECT event_id AS measurementID, event_id * 10 + 1 AS eventID, event_id * 10 + 2 AS occurrenceID FROM {events}",
+}
+_DATASETS_SQL = ", ".join(f"{n} AS ({q.replace('{', '').replace('}', '')})" for n, q in {f"d_{k}": v for k, v in _DATASETS.items()}.items())
+
+
+def _datasets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    tables = {t: _table(spark, sf_dir, t) for t in ("orders", "lineitem", "events")}
+    return {n: spark.sql(q, **{t: df for t, df in tables.items() if f"{{{t}}}" in q}) for n, q in _DATASETS.items()}
+
+
+@_add("relations_inferred", f"WITH {_DATASETS_SQL} " + " UNION ALL ".join(f"SELECT '{s}' AS source, '{f}' AS field, '{t}' AS target, '{tf}' AS target_field, count(*) AS orphans FROM d_{s} s WHERE s.{f} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_{t} t WHERE t.{tf} = s.{f})" for s, f, t, tf in [("facts", "eventID", "finds", "occurrenceID"), ("facts", "occurrenceID", "finds", "occurrenceID"), ("finds", "eventID", "events", "eventID"), ("events", "parentEventID", "events", "eventID")]))
 def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    declared = ForeignKey("facts", "eventID", "finds", "occurrenceID")
-    return spark.createDataFrame([(k.source_dataset, k.source_field, k.target_dataset, k.target_field) for k in [declared, *infer(_SHAPES, [declared])]], "source string, field string, target string, target_field string")
+    """References, declared and inferred, and the orphans of each."""
+    declared, tables, out = ForeignKey("facts", "eventID", "finds", "occurrenceID"), _datasets(spark, sf_dir), None
+    for k in [declared, *infer(_SHAPES, [declared])]:
+        lost = orphans(tables[k.source_dataset], k.source_field, tables[k.target_dataset], k.target_field).agg(F.count(F.lit(1)).alias("orphans"))
+        told = lost.select(F.lit(k.source_dataset).alias("source"), F.lit(k.source_field).alias("field"), F.lit(k.target_dataset).alias("target"), F.lit(k.target_field).alias("target_field"), "orphans")
+        out = told if out is None else out.unionByName(told)
+    return out
 
 
-@_add("targets_first", "SELECT * FROM (VALUES (1, 'events'), (2, 'finds'), (3, 'facts')) t(place, name)")
+@_add("targets_first", "SELECT 1 AS place, 'events' AS name, count(*) AS rows FROM orders UNION ALL SELECT 2, 'finds', count(*) FROM lineitem UNION ALL SELECT 3, 'facts', count(*) FROM events")
 def _targets_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(targets_first([s.name for s in _SHAPES], infer(_SHAPES)), 1)), "place int, name string")
+    """Datasets in the order in which they are judged, with their rows."""
+    tables, out = _datasets(spark, sf_dir), None
+    for place, name in enumerate(targets_first([s.name for s in _SHAPES], infer(_SHAPES)), 1):
+        told = tables[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(place).alias("place"), F.lit(name).alias("name"), "rows")
+        out = told if out is None else out.unionByName(told)
+    return out
 
 
 # Sinks, names and imported dictionaries
@@ -570,31 +621,45 @@ def _database(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{made}/supplier")
 
 
-@_add("names", "SELECT * FROM (VALUES ('stamp', '2024-01-02T03-04-05-678Z'), ('table', 'my_file_v2'), ('label', 'Event Date')) t(kind, name)")
+@_add("names", "SELECT n_nationkey AS my_file_v2, n_name AS \"Event Date\", '2024-01-02T03-04-05-678Z' AS stamp FROM nation")
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations under names that are made of file and field names."""
     moment = datetime(2024, 1, 2, 3, 4, 5, 678000, timezone.utc)
-    return spark.createDataFrame([("stamp", sinks.stamp(moment)), ("table", table_name("my-file.v2")), ("label", schema_import.label("eventDate"))], "kind string, name string")
+    return _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias(table_name("my-file.v2")), F.col("n_name").alias(schema_import.label("eventDate")), F.lit(sinks.stamp(moment)).alias("stamp"))
 
 
-@_add("active_variants", "SELECT * FROM (VALUES ('obis', 'obis', FALSE), ('gbif', 'gbif', FALSE), ('other', 'obis', TRUE), (NULL, 'obis', TRUE)) t(asked, variant, warned)")
+@_add("active_variants", "WITH n AS (SELECT count(*) AS n FROM orders WHERE o_orderkey % 7 = 0) SELECT asked, variant, warned, severity, n FROM (VALUES ('obis', 'obis', FALSE, 'error'), ('gbif', 'gbif', FALSE, 'error'), ('other', 'obis', TRUE, 'error'), (NULL, 'obis', TRUE, 'error')) t(asked, variant, warned, severity), n")
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(asked, *active_variant(asked)) for asked in ("obis", "gbif", "other", None)]
-    return spark.createDataFrame([(asked, variant, warning is not None) for asked, variant, warning in rows], "asked string, variant string, warned boolean")
+    """What a missing date of an order is, under each variant that a configuration may ask for."""
+    rows, out = spark.sql(_RESOLVED, orders=_table(spark, sf_dir, "orders")), None
+    for asked in ("obis", "gbif", "other", None):
+        variant, warning = active_variant(asked)
+        own = resolve_fields(profiles.resolve("Event", variant), variant, [])["eventDate"]
+        found = field_violations(rows, {"when": ("eventDate", own.constraints)}, limit=None, row="rn").agg(F.max("severity").alias("severity"), F.count("tag").alias("n"))
+        told = found.select(F.lit(asked).cast("string").alias("asked"), F.lit(variant).alias("variant"), F.lit(warning is not None).alias("warned"), "severity", "n")
+        out = told if out is None else out.unionByName(told)
+    return out
 
 
-_XML = '<extension name="Event" rowType="r" xmlns:d="d"><property name="eventID"/><property name="kind" d:thesaurus="kinds"/><property name="decimalLatitude" type="decimal"/></extension>'
-_THESAURUS = '<thesaurus xmlns:d="d"><concept d:identifier="one"/><concept d:identifier="two"/></thesaurus>'
+_XML = '<extension name="Event" rowType="r" xmlns:d="d"><property name="eventID"/><property name="eventType" d:thesaurus="kinds"/><property name="decimalLatitude" type="decimal"/></extension>'
+_THESAURUS = '<thesaurus xmlns:d="d"><concept d:identifier="click"/><concept d:identifier="view"/></thesaurus>'
 
 
-@_add("dictionary_import", "SELECT * FROM (VALUES ('eventID', 'string', '', 'required', TRUE), ('kind', 'controlled-vocabulary', 'one,two', 'optional', FALSE), ('decimalLatitude', 'decimal', '', 'recommended', FALSE)) t(field, type, allowed, obligation, key)")
+@_add("dictionary_import", "SELECT field, type, allowed, obligation, key, CASE WHEN field = 'eventType' THEN (SELECT count(*) FROM events WHERE event_type NOT IN ('click', 'view')) ELSE 0 END AS n FROM (VALUES ('eventID', 'string', '', 'required', TRUE), ('eventType', 'controlled-vocabulary', 'click,view', 'optional', FALSE), ('decimalLatitude', 'decimal', '', 'recommended', FALSE)) t(field, type, allowed, obligation, key)")
 def _import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary from XML and a checklist, and the events that break its vocabulary."""
     with tempfile.TemporaryDirectory() as made:  # read on the driver only
         texts = {"event.xml": _XML, "kinds.xml": _THESAURUS, "list.csv": "Term,OBIS Required\neventID,Required\n decimalLatitude ,recommended\n"}
         for name, text in texts.items():
             (Path(made) / name).write_text(text, encoding="utf-8")
         built = schema_import.build([f"{made}/event.xml"], f"{made}/list.csv", {"kinds": schema_import.vocabulary(f"{made}/kinds.xml")})
-    rows = [(n, f["type"], ",".join(f["values"]), f["obligations"]["obis"], f["unique"] == "true") for n, f in built["Event"]["fields"].items()]
-    return spark.createDataFrame(rows, "field string, type string, allowed string, obligation string, key boolean")
+    fields = built["Event"]["fields"]
+    events = _table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("eventType"))
+    rules = Rules("events", vocabularies=tuple(Vocabulary(n, n, tuple(f["values"])) for n, f in fields.items() if f["values"]))
+    counts = integrity_violations(judge(events, rules, "event_id"), rules, "event_id").groupBy("target_name").agg(F.count("tag").alias("found"))
+    rows = [(n, f["type"], ",".join(f["values"]), f["obligations"]["obis"], f["unique"] == "true") for n, f in fields.items()]
+    named = spark.createDataFrame(rows, "field string, type string, allowed string, obligation string, key boolean")
+    return named.join(counts, F.col("field") == F.col("target_name"), "left").select("field", "type", "allowed", "obligation", "key", F.coalesce("found", F.lit(0)).cast("bigint").alias("n"))
 
 
 _NATIONS = {

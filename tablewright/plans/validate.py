@@ -135,7 +135,7 @@ def integrity_rules(d: DatasetConfig, spec: profiles.Resolved, variant: str, fie
         for k in keys
         if k.source_dataset == d.name and k.source_field in own and (k.target_dataset == d.name and key or k.target_dataset in parents and k.target_field in parents[k.target_dataset].columns)
     )
-    return Rules(d.name, (own[key], key) if key else None, nulls, tuple(words), tuple(types), references, parents)
+    return Rules(d.name, (own[key], key) if key else None, nulls, tuple(words), tuple(types), references, parents, "_kind", "_at")
 
 
 def validate(spark: SparkSession, config: Config, base: str = ".", fail_fast: bool | None = None, classes: dict[str, dictionary.ClassSpec] | None = None, multiline: bool | None = None) -> Results:
@@ -192,7 +192,7 @@ def validate(spark: SparkSession, config: Config, base: str = ".", fail_fast: bo
         read = list(dict.fromkeys([*used_columns(rules[name]), *(origin for origin, _ in referred)]))
         judged[name] = staged(judge(tables[name], rules[name]).select(*[F.col(f"`{c}`") for c in read]), "judged", made)  # judged once; only what violations and children read
         if name in targets:
-            parents[name] = accepted(judged[name], referred)
+            parents[name] = accepted(judged[name], referred, rules[name].kind)
 
     out = []
     for d in v.datasets:

@@ -348,3 +348,12 @@ def test_a_folder_must_be_named_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         lineage.shared(Session())
+
+
+def test_columns_named_like_verdicts(spark, tmp_path):
+    """A table may have columns named kind, at and value, of which one has a vocabulary's values and one holds keys."""
+    (tmp_path / "o.csv").write_text("at,kind,value\no1,HumanObservation,x\no1,nothing,y\no1,HumanObservation,z\n")
+    dataset = {"name": "o", "class": "Occurrence", "path": "o.csv", "fieldMappings": [{"originName": "at", "targetName": "occurrenceID"}, {"originName": "kind", "targetName": "basisOfRecord"}]}
+    results = validate(spark, cfg.decode({"validation": {"datasets": [dataset]}}), str(tmp_path))
+    found = sorted((r["tag"], r["row_number"], r["field_name"]) for r in results.datasets[0].violations.collect() if r["tag"] in ("EnumViolation", "PrimaryKeyViolation"))
+    assert found == [("EnumViolation", 2, "kind"), ("PrimaryKeyViolation", 1, "at"), ("PrimaryKeyViolation", 2, "at"), ("PrimaryKeyViolation", 3, "at")]
