@@ -23,7 +23,20 @@ from .relations import ForeignKey, Shape, infer, targets_first
 from .resolution import Diagnostic, ResolvedField, active_variant, resolve_fields
 
 REJECTED = "_rejected"
+# The words of messages.
 VERBS = {"required": "requires", "recommended": "strongly recommends", "optional": "recommends"}
+# The texts of messages on columns and fields.
+TEXTS = {
+    "preset": "Unknown preset \"{name}\" for field '{target}'.",
+    "preset_near": ' Did you mean "{near}"?',
+    "origin": "Field '{name}' is specified in config but not found in the data.",
+    "origin_near": " Possible alternative fields: {near}",
+    "unmapped": "Source column '{name}' is not mapped to any Darwin Core field and will be ignored.",
+    "unmapped_near": " Possible alternative columns: {near}",
+    "unknown": "Unknown field '{name}' in profile '{profile}'",
+    "not_found": "Field '{name}' is specified in config fieldMappings but not found in the dataset",
+    "not_mapped": "Profile '{profile}' {verb} field '{name}' but it is not mapped in the dataset",
+}
 
 
 class InvalidDataset(ValueError):
@@ -89,30 +102,34 @@ class Results:
         }
 
 
+def _told(text: str, near: str | None = None, **parts: str) -> str:
+    return TEXTS[text].format(**parts) + (TEXTS[f"{text}_near"].format(near=near) if near else "")
+
+
 def schema_violations(d: DatasetConfig, spec: profiles.Resolved, fields: MappingType[str, ResolvedField], columns: list[str]) -> list[SchemaViolation]:
     out = []
     origins = [m.origin for m in d.mappings]
     for m in d.mappings:
         if m.preset and m.preset not in profiles.PRESETS and m.origin in columns:
             near = nearest_name(m.preset, list(profiles.PRESETS))
-            out.append(SchemaViolation("MissingMapping", "error", m.origin, m.target, f"Unknown preset \"{m.preset}\" for field '{m.target}'." + (f' Did you mean "{near}"?' if near else "")))
+            out.append(SchemaViolation("MissingMapping", "error", m.origin, m.target, _told("preset", near, name=m.preset, target=m.target)))
         if m.origin not in columns:
             near = nearest_name(m.origin, columns)
-            out.append(SchemaViolation("MissingMapping", "error", m.origin, m.target, f"Field '{m.origin}' is specified in config but not found in the data." + (f" Possible alternative fields: {near}" if near else "")))
+            out.append(SchemaViolation("MissingMapping", "error", m.origin, m.target, _told("origin", near, name=m.origin)))
     used = {f.origin for f in fields.values()}
     for c in columns:
         if c not in used and c not in (ROW, REJECTED):
             near = nearest_name(c, origins)
-            out.append(SchemaViolation("UnmappedColumn", "info", c, c, f"Source column '{c}' is not mapped to any Darwin Core field and will be ignored." + (f" Possible alternative columns: {near}" if near else "")))
+            out.append(SchemaViolation("UnmappedColumn", "info", c, c, _told("unmapped", near, name=c)))
     told = {m.target for m in d.mappings}
     for name, f in fields.items():
         if f.origin in columns:
             if name not in spec.base.fields:
-                out.append(SchemaViolation("UnknownField", "error", f.origin, name, f"Unknown field '{name}' in profile '{spec.name}'", {"profileId": spec.id}))
+                out.append(SchemaViolation("UnknownField", "error", f.origin, name, _told("unknown", name=name, profile=spec.name), {"profileId": spec.id}))
         elif name in told:
-            out.append(SchemaViolation("MissingField", "error", name, name, f"Field '{name}' is specified in config fieldMappings but not found in the dataset", {"reason": "not_mapped"}))
+            out.append(SchemaViolation("MissingField", "error", name, name, _told("not_found", name=name), {"reason": "not_mapped"}))
         elif f.level:
-            out.append(SchemaViolation("MissingField", SEVERITY[f.level], name, name, f"Profile '{spec.name}' {VERBS[f.level]} field '{name}' but it is not mapped in the dataset", {"reason": "not_mapped"}))
+            out.append(SchemaViolation("MissingField", SEVERITY[f.level], name, name, _told("not_mapped", name=name, profile=spec.name, verb=VERBS[f.level]), {"reason": "not_mapped"}))
     return out
 
 
