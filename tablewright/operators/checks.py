@@ -1,9 +1,9 @@
-"""Violations of field constraints, all row-local ones of a table in one scan.
+"""Violations of field constraints and of rules between fields, all row-local ones of a table in one scan.
 
-Each (field, constraint) pair is one boolean expression. Rows that break none
-are dropped by one filter over all of them, which reaches the scan where it is
-simple enough; values, messages and parameters are made for broken pairs only.
-So K constraints cost one pass over the columns they read. The cap per
+Each (field, constraint) pair and each rule is one boolean expression. Rows that
+break none are dropped by one filter over all of them, which reaches the scan
+where it is simple enough; values, messages and parameters are made for broken
+pairs only. So K constraints and rules cost one pass over the columns they read. The cap per
 constraint is a window limit that Spark applies before and after the exchange,
 so at most ``limit`` rows a constraint and task are shuffled.
 """
@@ -11,6 +11,7 @@ so at most ``limit`` rows a constraint and task are shuffled.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,12 +53,50 @@ def _constant(values: Sequence[str]) -> Column:
     return F.lit(values[0]) if len(set(values)) == 1 else F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_check"))
 
 
-def field_violations(df: DataFrame, fields: Mapping[str, tuple[str, Sequence[Constraint]]], limit: int | None = LIMIT, row: str = ROW) -> DataFrame:
+@dataclass(frozen=True)
+class Check:
+    """One judgement of a row: reads names the columns that value, message and params are made from."""
+
+    broken: Column
+    tag: str
+    severity: str
+    field: str
+    target: str
+    value: Column
+    message: Column
+    params: Column
+    reads: tuple[str, ...] = ()
+
+
+def row_violations(df: DataFrame, checks: Sequence[Check], limit: int | None = LIMIT, row: str = ROW) -> DataFrame:
+    """The violations of all checks in one scan of df; at most limit per check, the least row numbers; None: all. A check that is null for a row isn't broken by it."""
+    some = checks[0].broken
+    for c in checks[1:]:
+        some = some | c.broken
+    hits = F.array_compact(F.array(*[F.when(c.broken, F.lit(k)) for k, c in enumerate(checks, 1)]))
+    used = list(dict.fromkeys([row, *(name for c in checks for name in c.reads)]))
+    found = df.filter(some).select(*[F.col(f"`{c}`") for c in used], F.explode(hits).alias("_check"))
+    number = F.col(f"`{row}`").cast("bigint")
+    if limit is not None:
+        found = found.withColumn("_place", F.row_number().over(Window.partitionBy("_check").orderBy(number))).filter(F.col("_place") <= limit)
+    return found.select(
+        _constant([c.tag for c in checks]).alias("tag"),
+        _constant([c.severity for c in checks]).alias("severity"),
+        _constant([c.field for c in checks]).alias("field_name"),
+        _constant([c.target for c in checks]).alias("target_name"),
+        number.alias("row_number"),
+        F.coalesce(_by_check([c.value for c in checks]), F.lit("")).alias("value"),
+        _by_check([c.message for c in checks]).alias("error_message"),
+        _by_check([c.params for c in checks]).alias("params"),
+    )
+
+
+def field_violations(df: DataFrame, fields: Mapping[str, tuple[str, Sequence[Constraint]]], limit: int | None = LIMIT, row: str = ROW, rules: Sequence[Check] = ()) -> DataFrame:
     """Row-local violations of df, whose column row numbers its rows.
 
     fields: column to (target name, constraints). At most limit per constraint,
     the least row numbers; None: all. A pattern that the matcher can't run gives
-    one violation with row number 0.
+    one violation with row number 0. rules are judged in the same scan.
     """
     checks, unusable = [], []
     for name, (target, constraints) in fields.items():
@@ -65,30 +104,15 @@ def field_violations(df: DataFrame, fields: Mapping[str, tuple[str, Sequence[Con
             if isinstance(c, Pattern) and not c.usable:
                 unusable.append((c.tag, "error", name, target, 0, "", f'Invalid regex pattern "/{c.pattern}/"', {"pattern": c.pattern}))
             else:
-                checks.append((name, target, c, _text(df, name)))
+                text = _text(df, name)
+                severity = c.severity if isinstance(c, Required) else "error"
+                # broken is null where a value is: no violation
+                checks.append(Check(c.broken(text, _number(df, name)), c.tag, severity, name, target, text, c.explain(text, name), _params(c.params(text)), (name,)))
+    checks += rules
     out = df.sparkSession.createDataFrame(unusable, VIOLATION)
     if not checks:
         return out
-    broken = [c.broken(text, _number(df, name)) for name, _, c, text in checks]  # null where a value is: no violation
-    some = broken[0]
-    for b in broken[1:]:
-        some = some | b
-    hits = F.array_compact(F.array(*[F.when(b, F.lit(k)) for k, b in enumerate(broken, 1)]))
-    used = list(dict.fromkeys([row, *(name for name, _, _, _ in checks)]))
-    found = df.filter(some).select(*[F.col(f"`{c}`") for c in used], F.explode(hits).alias("_check"))
-    number = F.col(f"`{row}`").cast("bigint")
-    if limit is not None:
-        found = found.withColumn("_place", F.row_number().over(Window.partitionBy("_check").orderBy(number))).filter(F.col("_place") <= limit)
-    found = found.select(
-        _constant([c.tag for _, _, c, _ in checks]).alias("tag"),
-        _constant([c.severity if isinstance(c, Required) else "error" for _, _, c, _ in checks]).alias("severity"),
-        _constant([name for name, _, _, _ in checks]).alias("field_name"),
-        _constant([target for _, target, _, _ in checks]).alias("target_name"),
-        number.alias("row_number"),
-        F.coalesce(_by_check([text for _, _, _, text in checks]), F.lit("")).alias("value"),
-        _by_check([c.explain(text, name) for name, _, c, text in checks]).alias("error_message"),
-        _by_check([_params(c.params(text)) for _, _, c, text in checks]).alias("params"),
-    )
+    found = row_violations(df, checks, limit, row)
     return found.unionByName(out) if unusable else found
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .checks import LIMIT, ROW, _params
+from .checks import LIMIT, ROW, VIOLATION, Check, _params, row_violations
 from .constraints import SEVERITY
 
 
@@ -63,14 +63,12 @@ class Dependency:
             out = (out & a) if self.one_of else (out | a)
         return out & self.when.holds() if self.when else out
 
+    def check(self) -> Check:
+        name = ", ".join(self.require)
+        return Check(self.broken(), "DependencyViolation", SEVERITY[self.level], name, name, F.lit(""), F.lit(self.told()), _params({}))
 
-def dependency_violations(df: DataFrame, rule: Dependency, limit: int | None = LIMIT, row: str = ROW) -> DataFrame:
-    """The rows that break rule, by row number; nothing where df lacks one of its fields."""
-    if not all(f in df.columns for f in rule.fields):
-        df = df.limit(0)
-        rows = df.select(F.lit(0).cast("bigint").alias("row_number"))
-    else:
-        rows = df.filter(rule.broken()).select(F.col(row).cast("bigint").alias("row_number"))
-        rows = rows if limit is None else rows.orderBy("row_number").limit(limit)
-    name = ", ".join(rule.require)
-    return rows.select(F.lit("DependencyViolation").alias("tag"), F.lit(SEVERITY[rule.level]).alias("severity"), F.lit(name).alias("field_name"), F.lit(name).alias("target_name"), "row_number", F.lit("").alias("value"), F.lit(rule.told()).alias("error_message"), _params({}).alias("params"))
+
+def dependency_violations(df: DataFrame, *rules: Dependency, limit: int | None = LIMIT, row: str = ROW) -> DataFrame:
+    """The rows that break rules, in one scan whatever their number, at most limit a rule by row number; nothing for a rule of which df lacks a field."""
+    checks = [r.check() for r in rules if all(f in df.columns for f in r.fields)]
+    return row_violations(df, checks, limit, row) if checks else df.sparkSession.createDataFrame([], VIOLATION)

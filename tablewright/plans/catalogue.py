@@ -121,18 +121,18 @@ def _length_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GAPS = "CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  ' ELSE o_orderpriority END"
 
 
-def _required(name: str, rule: Required, bad: str) -> None:
+def _required(name: str, rule: Required, bad: str, severity: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_GAPS} AS gap")
         return field_violations(df, {"gap": ("gap", [rule])}, limit=None, row="o_orderkey").select(F.col("row_number").alias("key"), "severity", "value", "error_message")
 
     QUERIES[name] = query
-    ORACLES[name] = f"SELECT o_orderkey AS key, '{rule.severity}' AS severity, coalesce(gap, '') AS value, 'Required field \"gap\" is empty or null' AS error_message FROM (SELECT o_orderkey, {_GAPS} AS gap FROM orders) WHERE {bad}"
+    ORACLES[name] = f"SELECT o_orderkey AS key, '{severity}' AS severity, coalesce(gap, '') AS value, 'Required field \"gap\" is empty or null' AS error_message FROM (SELECT o_orderkey, {_GAPS} AS gap FROM orders) WHERE {bad}"
 
 
-_required("required_strict", Required("required"), "gap IS NULL OR trim(gap) = ''")
-_required("required_allow_empty", Required("recommended", allow_empty=True), "gap IS NULL OR (length(gap) > 0 AND trim(gap) = '')")
-_required("required_allow_blank", Required("optional", allow_empty=True, allow_whitespace=True), "gap IS NULL")
+_required("required_strict", Required("required"), "gap IS NULL OR trim(gap) = ''", "error")
+_required("required_allow_empty", Required("recommended", allow_empty=True), "gap IS NULL OR (length(gap) > 0 AND trim(gap) = '')", "warning")
+_required("required_allow_blank", Required("optional", allow_empty=True, allow_whitespace=True), "gap IS NULL", "info")
 
 
 @_add("required_strictest", f"SELECT o_orderkey AS key, 'error' AS severity FROM (SELECT o_orderkey, {_GAPS} AS gap FROM orders) WHERE gap IS NULL OR trim(gap) = ''")
@@ -289,22 +289,38 @@ _FACTS = "SELECT event_id, event_type, CASE WHEN event_id % 4 = 0 THEN NULL ELSE
 _FACTS_SQL = _FACTS.format(text="VARCHAR")
 
 
-def _dependency(name: str, rule: Dependency, bad: str) -> None:
+def _dependency(name: str, rule: Dependency, bad: str, severity: str, message: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "events")
         facts = spark.sql(_FACTS.format(text="STRING").replace("FROM events", "FROM {events}"), events=_table(spark, sf_dir, "events"))
         return dependency_violations(facts, rule, limit=None, row="event_id").select(F.col("row_number").alias("key"), "severity", "error_message")
 
     QUERIES[name] = query
-    ORACLES[name] = f"SELECT event_id AS key, '{'error' if rule.level == 'required' else 'warning'}' AS severity, '{rule.told().replace(chr(39), chr(39) * 2)}' AS error_message FROM ({_FACTS_SQL}) WHERE {bad}"
+    ORACLES[name] = f"SELECT event_id AS key, '{severity}' AS severity, '{message}' AS error_message FROM ({_FACTS_SQL}) WHERE {bad}"
 
 
 _NO_WHO, _NO_AMOUNT = "(who IS NULL OR trim(who) = '')", "(amount IS NULL OR trim(amount) = '')"
-_dependency("dependency_oneof", Dependency(("who", "amount"), one_of=True), f"{_NO_WHO} AND {_NO_AMOUNT}")
-_dependency("dependency_allof", Dependency(("who", "amount"), level="recommended"), f"{_NO_WHO} OR {_NO_AMOUNT}")
-_dependency("dependency_when_equals", Dependency(("amount",), when=When("event_type", equals="purchase")), f"event_type = 'purchase' AND {_NO_AMOUNT}")
-_dependency("dependency_when_in", Dependency(("who",), when=When("event_type", among=("click", "view"))), f"event_type IN ('click', 'view') AND {_NO_WHO}")
-_dependency("dependency_when_present", Dependency(("who",), when=When("amount")), f"NOT {_NO_AMOUNT} AND {_NO_WHO}")
+_dependency("dependency_oneof", Dependency(("who", "amount"), one_of=True), f"{_NO_WHO} AND {_NO_AMOUNT}", "error", "At least one of [who, amount] must be present")
+_dependency("dependency_allof", Dependency(("who", "amount"), level="recommended"), f"{_NO_WHO} OR {_NO_AMOUNT}", "warning", "Fields [who, amount] are required")
+_dependency("dependency_when_equals", Dependency(("amount",), when=When("event_type", equals="purchase")), f"event_type = 'purchase' AND {_NO_AMOUNT}", "error", "[amount] required when event_type equals ''purchase''")
+_dependency("dependency_when_in", Dependency(("who",), when=When("event_type", among=("click", "view"))), f"event_type IN ('click', 'view') AND {_NO_WHO}", "error", "[who] required when event_type is one of [click, view]")
+_dependency("dependency_when_present", Dependency(("who",), when=When("amount")), f"NOT {_NO_AMOUNT} AND {_NO_WHO}", "error", "[who] required when amount is present")
+
+
+@_add(
+    "fields_and_rules",
+    f"""
+WITH f AS ({_FACTS_SQL})
+SELECT event_id AS key, 'RequiredFieldViolation' AS tag, 'warning' AS severity, 'who' AS field_name, coalesce(who, '') AS value, 'Required field "who" is empty or null' AS error_message FROM f WHERE {_NO_WHO}
+UNION ALL SELECT event_id, 'DependencyViolation', 'error', 'who, amount', '', 'At least one of [who, amount] must be present' FROM f WHERE {_NO_WHO} AND {_NO_AMOUNT}
+UNION ALL SELECT event_id, 'DependencyViolation', 'info', 'amount', '', '[amount] required when event_type equals ''click''' FROM f WHERE event_type = 'click' AND {_NO_AMOUNT}
+""",
+)
+def _fields_and_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = spark.sql(_FACTS.format(text="STRING").replace("FROM events", "FROM {events}"), events=_table(spark, sf_dir, "events"))
+    rules = [Dependency(("who", "amount"), one_of=True), Dependency(("amount",), when=When("event_type", equals="click"), level="optional")]
+    found = field_violations(facts, {"who": ("who", [Required("recommended")])}, limit=None, row="event_id", rules=[r.check() for r in rules])
+    return found.select(F.col("row_number").alias("key"), "tag", "severity", "field_name", "value", "error_message")
 
 
 # Several checks at once
@@ -380,7 +396,7 @@ def _rename(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_add("dependency_limited", "SELECT 'DependencyViolation' AS tag, 'error' AS severity, o_orderkey AS row_number, 'Fields [priority] are required' AS error_message FROM orders WHERE o_orderkey % 7 = 0 ORDER BY o_orderkey LIMIT 20")
 def _dependency_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS priority")
-    return dependency_violations(rows, Dependency(("priority",)), 20, row="o_orderkey").select("tag", "severity", F.col("row_number").cast("bigint").alias("row_number"), "error_message")
+    return dependency_violations(rows, Dependency(("priority",)), limit=20, row="o_orderkey").select("tag", "severity", F.col("row_number").cast("bigint").alias("row_number"), "error_message")
 
 
 def _dialect(name: str, delimiter: str, label: str, sql: str) -> None:

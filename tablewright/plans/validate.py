@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.suggest import nearest_name
 from ..operators.checks import ROW, field_violations
 from ..operators.constraints import SEVERITY, Unique
-from ..operators.dependency import dependency_violations
 from ..operators.integrity import Reference, Rules, Vocabulary, accepted, integrity_violations, judge, used_columns
 from ..operators.repeats import repeated_values
 from ..sources.tables import check_inputs, dialect_of, is_parquet, read_table
@@ -235,11 +234,11 @@ def rejected_rows(table: DataFrame, columns: int, limit: int | None = None) -> D
 def _dataset(d: DatasetConfig, table: DataFrame, spec: profiles.Resolved, fields: dict[str, ResolvedField], judged: DataFrame, rules: Rules, config: Config, limit: int | None) -> DatasetResult:
     columns = [c for c in table.columns if c not in (ROW, REJECTED)]
     checked = {f.origin: (t, list(f.constraints)) for t, f in fields.items() if f.origin in columns and t in spec.base.fields}
-    parts = [integrity_violations(judged, rules, suggest=config.validation.suggestions), field_violations(table, checked, limit)]
+    between = [r.check() for r in [*spec.rules, *(r for r in config.dependencies if r.dataset in (None, d.name))] if all(f in columns for f in r.fields)]
+    parts = [integrity_violations(judged, rules, suggest=config.validation.suggestions), field_violations(table, checked, limit, rules=between)]
     unique = [(origin, target, c) for origin, (target, constraints) in checked.items() if not spec.base.is_key(target) for c in constraints if isinstance(c, Unique)]
     if unique:
         parts.append(repeated_values(table, unique, limit))
-    parts += [dependency_violations(table, r, limit) for r in [*spec.rules, *(r for r in config.dependencies if r.dataset in (None, d.name))] if all(f in columns for f in r.fields)]
     if REJECTED in table.columns:
         parts.append(rejected_rows(table, len(columns), limit))
     found = parts[0]

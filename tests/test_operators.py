@@ -122,6 +122,8 @@ def test_dependencies(spark):
     assert rows(Dependency(("number", "basis"), one_of=True)) == []
     assert rows(Dependency(("number", "basis"))) == [2, 3]
     assert rows(Dependency(("gone",))) == []
+    both = dependency_violations(df, Dependency(("number",), message="no number"), Dependency(("gone",)), Dependency(("basis", "number"), level="optional"), limit=1)
+    assert [(r["row_number"], r["severity"], r["field_name"], r["error_message"]) for r in both.orderBy("severity").collect()] == [(2, "error", "number", "no number"), (2, "info", "basis, number", "Fields [basis, number] are required")]
     assert Dependency(("a", "b"), one_of=True).told() == "At least one of [a, b] must be present"
 
 
@@ -181,6 +183,9 @@ def test_fused_checks_scan_once(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "t"))
     plan = field_violations(df, {"a": ("a", [Range(0, 50), Required()]), "b": ("b", [Length(1, 1), Format("integer")])}, row="id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "unread" not in plan and plan.count("Exchange") == 1
+    rules = [Dependency(("a", "b")).check(), Dependency(("b",), when=When("a", equals="4")).check()]
+    plan = field_violations(df, {"a": ("a", [Range(0, 50)])}, row="id", rules=rules)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "unread" not in plan and plan.count("Exchange") == 1
 
 
 def test_self_references_of_any_depth(spark):
