@@ -565,6 +565,58 @@ def test_many_tags_that_do_not_parse():
     assert time.time() - began < 10
 
 
+def told(text, accepted=licenses.ACCEPTED):
+    found = licenses.Scanner()(text)
+    return "; ".join(" ".join(e.postfix) for e in found.expressions), found.permitted(accepted)
+
+
+def test_exceptions_and_unknown_names():
+    assert told("SPDX-License-Identifier: MIT WITH gpl-3.0") == ("mit gpl-3.0 with", False)
+    assert told("SPDX-License-Identifier: MIT WITH LLVM-exception") == ("mit llvm-exception with", True)
+    assert told("SPDX-License-Identifier: BSD-3-Clause-Clear") == ("bsd-3-clause-clear", False)
+    assert told("SPDX-License-Identifier: MIT OR CC-BY-NC-4.0, the ISC License") == ("mit cc-by-nc-4.0 or; isc", True)
+    assert told("SPDX-License-Identifier: LLVM-exception") == ("llvm-exception", False)
+    own = licenses.Scanner()("SPDX-License-Identifier: (MIT OR LicenseRef-Own) AND ISC WITH none-1.0")
+    assert own.labels == {"mit", "isc"} and own.unknown == {"licenseref-own", "none-1.0"} and not own.permitted(licenses.ACCEPTED)
+    assert licenses.Scanner()("SPDX-License-Identifier: MIT WITH GPL-3.0").labels == {"mit"}
+    assert licenses.Scanner()("BSD 3-Clause Clear, BSD 3-Clause").labels == {"bsd-3-clause", "bsd-3-clause-clear"} and licenses.Scanner()("BSD 3-Clause Clear").labels == {"bsd-3-clause-clear"}
+
+
+def test_notices_in_prose():
+    assert told("Licensed under the Apache License, Version 2.0 or the MIT License.") == ("apache-2.0 mit or", True)
+    assert told("under either the MIT License or (the ISC License and the GNU General Public License, version 3)") == ("mit isc gpl-3.0 and or", True)
+    assert told("(MIT License and Mozilla Public License 2.0) or ISC License") == ("mit mpl-2.0 and isc or", True)
+    gpl = "GNU General Public License v2 or (at your option) any later version, with the Classpath exception"
+    assert told(gpl) == ("gpl-2.0-or-later classpath-exception-2.0 with", False) and told(gpl, frozenset({"gpl-2.0-or-later"}))[1]
+    assert told("General Public License version 2 only, Lesser: GNU Lesser General Public License 2.1+")[0] == "gpl-2.0-only; lgpl-2.1-or-later"
+    assert told("CC BY-NC-ND 4.0 and/or CC0") == ("cc-by-nc-nd-4.0 cc0-1.0 or", True)
+    assert told("MIT License. And the ISC License") == ("mit; isc", True) == told("MIT License\n\nor ISC License")
+    assert told("MIT License or a pony or ISC License")[0] == "mit; isc" and told("MIT License with the Apache License")[0] == "mit; apache-2.0"
+    assert told("the linking exception, all rights reserved, public domain") == ("", None)
+    assert told("((MIT License or ISC License")[0] == "mit isc or" and told("or MIT License) and")[0] == "mit"
+    assert told("MIT License. " * 3) == ("mit", True)
+
+
+def test_notices_equal_their_tags():
+    """Random expressions, once as identifiers and once in words, are the same expression."""
+    rng = random.Random(12)
+    words = {"MIT": "the MIT License", "ISC": "the ISC license", "Apache-2.0": "the Apache License, Version 2.0", "MPL-2.0": "the terms of the Mozilla Public License 2.0", "GPL-3.0-only": "the GNU General Public License version 3 only"}
+    for _ in range(200):
+        tag = re.sub(r"\b[pqrs]\b", lambda m: rng.choice(list(words)), build(rng, 3))
+        prose = re.sub(r"[A-Z][A-Za-z0-9.-]+", lambda m: words[m[0]], tag)
+        assert licenses.Scanner()(f"Released under {prose}.").noticed == licenses.Scanner()(f"SPDX-License-Identifier: {tag}").tagged != []
+
+
+def test_very_long_notices():
+    import time
+
+    began = time.time()
+    for text in ("MIT License and " * 20_000, "MIT License or (" * 20_000, "(MIT License " * 20_000, "(" * 100_000 + "MIT License"):
+        assert licenses.Scanner()(text).labels == {"mit"}
+    assert len(licenses.parse("MIT and " * 20_000 + "ISC").postfix) == 40_001
+    assert time.time() - began < 30
+
+
 # 9 Lines
 
 
