@@ -8,9 +8,10 @@ stands with the mention of a group can weigh more than the two alone, which a
 sum of single weights can't say.
 
 The model is fitted in numpy on at most ``max_rows`` labelled documents (the
-least by a hash of doc_id), of whose terms at most ``ROW_TERMS`` each (the least
-hashes) come to the driver, of 32 bits; everything else, scoring included, runs
-in tasks over all documents.
+least by a hash of doc_id). All terms of their whole texts are counted by Spark,
+which picks those that tell the classes apart, at most ``max_terms``; only the
+picked ones of each document come to the driver. Everything else, scoring
+included, runs in tasks over all documents.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ WORD = re.compile(r"[^\W_]+")
 BITS = 22
 MAX_ROWS = 8_000
 MAX_TERMS = 8_192
-ROW_TERMS = 8_192
 CHI = 20.0  # a chance of about 1e-5, one term of the 1e5 that are tried
 THRESHOLD = 0.7
 CACHED = 32_768
@@ -69,23 +69,57 @@ def words_of(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def labelled_terms(docs: DataFrame, labels: DataFrame, allowed: Column, max_rows: int = MAX_ROWS, seed: int = 7) -> list[tuple[bytes, int]]:
-    """Hashed terms and label of at most max_rows documents that have a label and satisfy allowed. Of several texts under one doc_id the one of the least hash counts; of several labels, 1."""
+def telling_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> np.ndarray:
+    """Of rows (terms binary, toxic int), the max_terms terms with the largest chi-square against toxic, CHI at least, in three rows at least; ties by the term. None without rows of both classes.
+
+    A task adds its rows up in two dense counters, so it shuffles a term once.
+    """
+    size = rows.agg(F.count("toxic").alias("n"), F.avg("toxic").alias("positive")).first()
+    if not size["n"] or size["positive"] in (0, 1):
+        return np.zeros(0, np.uint32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 1 << BITS), np.int32)
+        for batch in batches:
+            for terms, toxic in zip(batch.column("terms").to_pylist(), batch.column("toxic").to_pylist()):
+                counts[toxic, np.frombuffer(terms, np.uint32)] += 1  # a row's terms differ
+        found = np.flatnonzero(counts[0] + counts[1])
+        for at in range(0, len(found), 65_536):
+            part = found[at : at + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[0, part].astype(np.int64)), pa.array(counts[1, part].astype(np.int64))], ["term", "clean", "toxic"])
+
+    counted = rows.mapInArrow(run, "term int, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    n, p = F.col("clean") + F.col("toxic"), size["positive"]
+    chi = (F.col("toxic") - n * p) * (F.col("toxic") - n * p) / (n * (p * (1 - p)))
+    best = counted.filter(n >= 3).select("term", chi.alias("chi")).filter(F.col("chi") > CHI).orderBy(F.desc("chi"), "term").limit(max_terms)
+    return np.sort(np.array([r["term"] for r in best.collect()], dtype=np.uint32))
+
+
+def labelled_terms(docs: DataFrame, labels: DataFrame, allowed: Column, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS, seed: int = 7) -> list[tuple[bytes, int]]:
+    """The telling terms (hashes) and the label of at most max_rows documents that have a label and satisfy allowed. Of several texts under one doc_id the one of the least hash counts; of several labels, 1."""
     marks = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(allowed)
     few = checkpoint(marks.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(max_rows))
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id")
     texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", F.col("toxic").cast("int").alias("toxic"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def all_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            terms = [np.unique(np.array([h for w in words_of(t) for h in word_terms(w)], dtype=np.uint32))[:ROW_TERMS].tobytes() for t in batch.column("text").to_pylist()]
+            terms = [np.unique(np.array([h for w in words_of(t) for h in word_terms(w)], dtype=np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), batch.column("toxic")], ["terms", "toxic"])
+
+    rows = checkpoint(texts.mapInArrow(all_terms, "terms binary, toxic int"))
+    kept = telling_terms(rows, max_terms)  # max_terms at most
+
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = [np.intersect1d(np.frombuffer(t, np.uint32), kept, assume_unique=True).tobytes() for t in batch.column("terms").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), batch.column("toxic")], ["terms", "toxic"])
 
-    found = texts.mapInArrow(run, "terms binary, toxic int").toArrow()
-    rows = sorted(zip(found.column("terms").to_pylist(), found.column("toxic").to_pylist()))
+    found = rows.mapInArrow(telling, "terms binary, toxic int").toArrow()
+    out = sorted(zip(found.column("terms").to_pylist(), found.column("toxic").to_pylist()))
     del found
     pa.default_memory_pool().release_unused()
-    return rows
+    return out
 
 
 def fit(rows: list[tuple[bytes, int]], max_terms: int = MAX_TERMS, rank: int = 4, epochs: int = 150, rate: float = 0.05, decay: float = 1e-3, seed: int = 11) -> Machine:

@@ -697,11 +697,32 @@ def test_scores_equal_all_pairs():
     assert toxicity.Scorer(machine)(texts) == pytest.approx([brute_score(machine, t) for t in texts])
 
 
+def test_all_terms_of_long_texts_are_counted(spark):
+    """Telling words anywhere in texts of 30,000 words, against all counts on the driver."""
+    rng = random.Random(13)
+    texts, marks = [], []
+    for k in range(60):
+        words = [f"{'r' if rng.random() < 0.5 else 'q'}{rng.randrange(60_000)}" for _ in range(30_000 if k < 6 else 40)]
+        marks.append(k % 2)
+        words.insert(rng.randrange(len(words)), "shouting" if k % 2 else "talking")
+        texts.append(" ".join(words))
+    docs, labels = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(k, 1, y) for k, y in enumerate(marks)], "doc_id long, quality int, toxic int")
+    sets = [{h for w in toxicity.words_of(t) for h in toxicity.word_terms(w)} for t in texts]
+    assert max(map(len, sets)) > 20_000
+    n, a = Counter(h for t in sets for h in t), Counter(h for t, y in zip(sets, marks) if y for h in t)
+    chosen = {h for h in n if n[h] >= 3 and (a[h] - n[h] / 2) ** 2 / (n[h] / 4) > toxicity.CHI}
+    rows = toxicity.labelled_terms(docs, labels, F.lit(True), 100)
+    assert {h for w in ("shouting", "talking") for h in toxicity.word_terms(w)} <= chosen
+    assert {h for t, _ in rows for h in np.frombuffer(t, np.uint32).tolist()} == chosen
+    assert sorted(rows) == sorted((np.array(sorted(s & chosen), np.uint32).tobytes(), y) for s, y in zip(sets, marks))
+
+
+
 def test_training_takes_one_text_of_each_id(spark):
     docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text")).unionAll(spark.createDataFrame([(2, " ".join(f"w{k}" for k in range(40_000))), (3, None)], "doc_id long, text string"))
     labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (2, 0, 0), (3, 1, 0), (9, 1, 1)], "doc_id long, quality int, toxic int")
     rows = toxicity.labelled_terms(docs, labels, F.lit(True), 10)
-    assert sorted(y for _, y in rows) == [0, 0, 1] and max(len(t) for t, _ in rows) == 4 * toxicity.ROW_TERMS
+    assert sorted(y for _, y in rows) == [0, 0, 1]
     assert rows == toxicity.labelled_terms(docs.repartition(7), labels, F.lit(True), 10)
     one = toxicity.fit([(t, 1) for t, _ in rows])
     assert toxicity.Scorer(one)(["x", ""])[0] > 0.9
