@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -29,6 +29,7 @@ from .vocabulary import nearest_words, sized, words_table
 
 
 FEW = 500  # words of a vocabulary that plans hold
+PIECE = 65_536  # row numbers of a key that one group holds
 
 
 @dataclass(frozen=True)
@@ -172,19 +173,40 @@ def _followed(links: DataFrame) -> DataFrame:
     return state.select("_n", "_k", "_good")
 
 
+def _before(rows: DataFrame, asks: DataFrame) -> DataFrame:
+    """asks (_n, _p) with what rows (_n, _k, _good) of key _p stand before row _n: _least and _latest (the first and last one's _n), _some (whether one is good).
+
+    Both are read once in their order, a key in pieces of ``PIECE`` row numbers, so that one key's rows needn't be one group.
+    """
+    none = F.lit(None)
+    own = rows.select(F.col("_k").alias("_p"), "_n", F.lit(1).alias("_row"), F.col("_n").alias("_m"), F.coalesce("_good", F.lit(False)).alias("_is"))
+    both = own.unionByName(asks.select("_p", "_n", F.lit(0).alias("_row"), none.cast(dict(rows.dtypes)["_n"]).alias("_m"), none.cast("boolean").alias("_is")))
+    both = both.withColumn("_piece", F.floor(F.col("_n") / PIECE))
+    told = lambda at, least, latest, some: [F.min(least).over(at).alias("_least"), F.max(latest).over(at).alias("_latest"), F.max(some).over(at).alias("_some")]
+    pieces = both.groupBy("_p", "_piece").agg(F.min("_m").alias("_low"), F.max("_m").alias("_high"), F.max("_is").alias("_any"))
+    earlier = Window.partitionBy("_p").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("_p", "_piece", *[c.alias(f"{x}_before") for c, x in zip(told(earlier, "_low", "_high", "_any"), ("_least", "_latest", "_some"))])
+    inside = Window.partitionBy("_p", "_piece").orderBy("_n", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.select("_p", "_piece", "_n", "_row", *told(inside, "_m", "_m", "_is")).filter("_row = 0").join(cut(pieces), ["_p", "_piece"])
+    return seen.select("_n", "_p", F.least("_least", "_least_before").alias("_least"), F.coalesce("_latest", "_latest_before").alias("_latest"), (F.coalesce("_some", F.lit(False)) | F.coalesce("_some_before", F.lit(False))).alias("_some"))
+
+
 def first_holders(rows: DataFrame, asked: DataFrame, parents: Sequence[str]) -> DataFrame:
     """(_k, _first): for each key that is asked for the first row that holds it, if any does.
 
     rows: those that may hold their key, with _n (row number), _k and parents,
     columns of keys that earlier rows must hold; asked: all keys that any row
     refers to. A row holds its key once all its parents are held by earlier
-    rows; later rows of the key no longer matter. In each round the keys' first
-    holders and open rows are counted up, and an open row learns that a parent
-    is held before it, or that no open row before it could hold it. Where just
-    one open row could, its verdict is that row's: such pointers are doubled, so
-    a hierarchy of any depth takes one round. A further round is needed for each
-    level of parents with several open rows. The least open row is settled in
-    each, so rounds end.
+    rows; later rows of the key no longer matter. In each round an open row
+    learns that a parent is held before it, or that no open row before it could
+    hold it. If it waits for one parent alone, and the open rows of that all
+    wait for one key too, the latest of them before it has its verdict: what
+    holds that key before an earlier one does so before the latest. So has the
+    one row that could hold the parent where no other could. Such pointers are
+    doubled, so hierarchies of any depth and any number of rows a key take one
+    round while a key's rows have the same parent. A further round is needed
+    for each level of keys whose rows wait for several. The least open row is
+    settled in each, so rounds end.
     """
     inner = cut(rows.join(asked, F.col("_k") == F.col("_asked"), "left_semi"))
     root = F.lit(True)
@@ -194,15 +216,20 @@ def first_holders(rows: DataFrame, asked: DataFrame, parents: Sequence[str]) ->
     left = lambda rows: cut(rows.join(first, "_k", "left").filter("_first is null or _n < _first").drop("_first"))
     still = left(inner.filter(~root))
     while not still.isEmpty():
-        waiting = still.groupBy("_k").agg(F.count("_n").alias("_open"), F.min("_n").alias("_least"), F.max("_n").alias("_most"))
-        keys = first.join(waiting, "_k", "full_outer").withColumnRenamed("_k", "_p")
-        asks = still.select("_n", "_k", F.explode(F.array_compact(F.array(*parents))).alias("_p")).join(keys, "_p", "left")
+        keys = still.groupBy("_k").agg(F.min("_n").alias("_least")).join(first, "_k", "full_outer").withColumnRenamed("_k", "_p")
+        asks = still.select("_n", "_k", F.explode(F.array_distinct(F.array_compact(F.array(*parents)))).alias("_p")).join(keys, "_p", "left")
         held, lost = F.coalesce(F.col("_first") < F.col("_n"), F.lit(False)), F.coalesce(F.col("_least") >= F.col("_n"), F.col("_least").isNull())
-        one = (F.col("_open") == 1) | (F.col("_open") == 2) & (F.col("_most") >= F.col("_n"))
-        told = asks.groupBy("_n", "_k").agg(F.bool_or(~held & lost).alias("_lost"), F.count_if(~held & ~lost).alias("_waits"), F.max(F.when(~held & ~lost & one, F.col("_least"))).alias("_to"))
-        good = F.when(F.col("_lost"), False).when(F.col("_waits") == 0, True)
-        links = cut(told.select("_n", "_k", good.alias("_good"), F.when(good.isNull() & (F.col("_waits") == 1), F.col("_to")).alias("_to")))
-        done = _followed(links)
+        told = asks.groupBy("_n", "_k").agg(F.bool_or(~held & lost).alias("_lost"), F.count_if(~held & ~lost).alias("_waits"), F.max(F.when(~held & ~lost, F.col("_p"))).alias("_p"))
+        told = cut(told.select("_n", "_k", "_waits", "_p", F.when(F.col("_lost"), False).when(F.col("_waits") == 0, True).alias("_good")))
+        could = told.filter("_good is null or _good")
+        waits = told.filter("_good is null and _waits = 1")
+        found = cut(_before(could, waits))
+        alike = could.filter("_good is null").groupBy(F.col("_k").alias("_p")).agg(((F.max("_waits") == 1) & (F.min("_p") == F.max("_p"))).alias("_alike"))
+        to = F.when(F.col("_alike") | (F.col("_least") == F.col("_latest")), F.col("_latest"))
+        good = F.when(F.col("_some"), True).when(F.col("_latest").isNull(), False)
+        now = waits.select("_n", "_k").join(found, "_n").join(alike, "_p", "left").select("_n", "_k", good.alias("_good"), F.when(good.isNull(), to).alias("_to"))
+        rest = told.filter("_good is not null or _waits > 1").select("_n", "_k", "_good", F.lit(None).cast(dict(told.dtypes)["_n"]).alias("_to"))
+        done = _followed(cut(now.unionByName(rest)))
         first = cut(first.unionByName(done.filter("_good").groupBy("_k").agg(F.min("_n").alias("_first"))).groupBy("_k").agg(F.min("_first").alias("_first")))
         still = left(still.join(done.filter("_good is null").select("_n"), "_n", "left_semi"))
     return first

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import text as tx
 from tablewright.functions.suggest import distance, nearest, nearest_name
+from tablewright.operators import integrity
 from tablewright.operators.checks import duplicate_groups, field_violations, unique_violations
 from tablewright.operators.constraints import ConstraintError, Format, Length, Pattern, Range, Required
 from tablewright.operators.dependency import Dependency, When, dependency_violations
@@ -234,3 +235,22 @@ def test_a_row_behind_a_rejected_holder_is_accepted(spark):
     df = spark.createDataFrame([(1, "a", "zzz"), (2, "a", None), (3, "b", "a")], "_row_number long, id string, up string")
     rules = Rules("t", ("id", "id"), references=(Reference("up", "up", "t", "id"),))
     assert [(r["_row_number"], r["kind"]) for r in judge(df, rules).orderBy("_row_number").collect()] == [(1, "fk"), (2, "ok"), (3, "ok")]
+
+
+@pytest.mark.parametrize("piece", [1 << 16, 3])
+def test_levels_of_keys_with_several_rows_take_no_round_each(spark, monkeypatch, piece):
+    """12 levels, in each of which all keys have several rows with one parent; written tables are counted."""
+    rng = random.Random(piece)
+    rows = [(None if k == 1 else k // 2, k) for k in range(1, 4096) for _ in range(rng.randrange(1, 4))] + [(1, 1)] * 50
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(n, up, k) for n, (up, k) in enumerate(rows)], "_row_number long, up long, id long")
+    written = []
+    monkeypatch.setattr(integrity, "PIECE", piece)
+    monkeypatch.setattr(integrity, "cut", lambda frame, own=integrity.cut: written.append(1) or own(frame))
+    got = {r["_row_number"]: r["kind"] for r in judge(df, Rules("t", ("id", "id"), references=(Reference("up", "up", "t", "id"),))).collect()}
+    held, want = set(), {}
+    for n, (up, k) in enumerate(rows):
+        want[n] = "pk" if k in held else "fk" if up is not None and up not in held else "ok"
+        if want[n] == "ok":
+            held.add(k)
+    assert got == want and len(written) < 20
