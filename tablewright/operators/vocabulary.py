@@ -1,14 +1,16 @@
 """Vocabularies as tables, and the nearest of their words.
 
 A vocabulary of any size is a table (word, ordinal). Values are told apart by a
-join with it: broadcast while its measured size is small, otherwise one that
-Spark can split where many rows hold the same value.
+join with it: broadcast while its measured size is small beside a driver's
+memory, otherwise one that Spark can split where many rows hold the same value.
 
 The nearest word within two edits is found by an index of what is left of words
 after deletions: two texts are that near only if some text can be made of both
 by up to two deletions. Long words are cut in three instead: two edits leave at
-least one part as it was, at most two places from where it stood. Candidates are
-verified by their edit distance; of equally near words the first counts.
+least one part as it was, at most two places from where it stood. Only 64-bit
+hashes of keys and texts are sent and met; each pair of candidates is joined with
+its texts once, so that hashes which collide lose nothing, and verified by its
+edit distance. Of equally near words the first counts.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from ..plans.lineage import cut
 
 EDITS = 2
 SHORT = 32  # the longest words whose deletions are indexed
-SENT = 64 << 20  # bytes of words that are sent to all tasks
+SENT = 4 << 20  # bytes of words that are sent to all tasks; the driver holds them several times over
 
 
 def words_table(spark: SparkSession, words: Sequence[str]) -> DataFrame:
@@ -33,7 +35,8 @@ def words_table(spark: SparkSession, words: Sequence[str]) -> DataFrame:
 
 
 def sized(words: DataFrame) -> DataFrame:
-    """words, marked to be broadcast if they are small."""
+    """The different words, marked to be broadcast if they are small."""
+    words = words.select("word").distinct()
     size = words.agg(F.sum(F.octet_length("word") + 32)).first()[0] or 0
     return F.broadcast(words) if size <= SENT else words
 
@@ -55,13 +58,16 @@ def _parts(text: Column, length: Column, moves: Sequence[int]) -> list[Column]:
 
 def nearest_words(values: DataFrame, words: DataFrame) -> DataFrame:
     """(value, nearest) of the different values that have a word within EDITS edits, the nearest one, and of equally near ones the first. values: a column value; words: (word, ordinal). Nulls have none."""
-    own = values.filter("value is not null").select("value").distinct()
-    short = words.filter(F.length("word") <= SHORT).select("word", "ordinal", F.explode(_deletions(F.col("word"))).alias("key"))
-    asked = own.filter(F.length("value") <= SHORT + EDITS).select("value", F.explode(_deletions(F.col("value"))).alias("key"))
-    long = words.filter(F.length("word") > SHORT).select("word", "ordinal", F.explode(F.array(*_parts(F.col("word"), F.length("word"), [0]))).alias("key"))
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else the few bytes of all words meet in a task that writes some hundred rows for each
+    own = cut(values.filter("value is not null").select("value").distinct().withColumn("asks", F.xxhash64("value")).repartition(tasks, "asks"))
+    words = cut(words.groupBy("word").agg(F.min("ordinal").alias("ordinal")).withColumn("has", F.xxhash64("word")).repartition(tasks, "has"))
+    hashed = lambda keys: F.explode(F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))).alias("key")
+    short = words.filter(F.length("word") <= SHORT).select("has", hashed(_deletions(F.col("word"))))
+    asked = own.filter(F.length("value") <= SHORT + EDITS).select("asks", hashed(_deletions(F.col("value"))))
+    long = words.filter(F.length("word") > SHORT).select("has", hashed(F.array(*_parts(F.col("word"), F.length("word"), [0]))))
     around = range(-EDITS, EDITS + 1)
     keys = F.array(*[k for d in around for k in _parts(F.col("value"), F.length("value") + d, list(around))])
-    asked_long = own.filter(F.length("value") > SHORT - EDITS).select("value", F.explode(F.array_distinct(keys)).alias("key"))
-    met = asked.join(short, "key").unionByName(asked_long.join(long, "key"))
-    edits = met.select("value", F.struct(F.levenshtein("value", "word", EDITS).alias("edits"), "ordinal", "word").alias("own")).filter("own.edits >= 0")
+    asked_long = own.filter(F.length("value") > SHORT - EDITS).select("asks", hashed(keys))
+    met = asked.join(short, "key").select("asks", "has").unionByName(asked_long.join(long, "key").select("asks", "has")).distinct()
+    edits = met.join(own, "asks").join(words, "has").select("value", F.struct(F.levenshtein("value", "word", EDITS).alias("edits"), "ordinal", "word").alias("own")).filter("own.edits >= 0")
     return edits.groupBy("value").agg(F.min("own").alias("own")).select("value", F.col("own.word").alias("nearest"))

@@ -77,3 +77,26 @@ def test_patterns_equal_duckdb(spark):
     for p in patterns:
         got = {r["row_number"] for r in field_violations(df, {"v": ("v", [Pattern(p)])}, None).collect()}
         assert got == {k for k, t in enumerate(texts) if t.strip() and not con.execute("SELECT regexp_matches(?, ?)", [t, p]).fetchone()[0]}
+
+
+def test_repeated_words_of_a_table_count_once(spark):
+    words = spark.createDataFrame([("able", 3), ("able", 1), ("cable", 2), ("cable", 4)] * 5, "word string, ordinal long")
+    df = spark.createDataFrame([(1, "able"), (2, "cable"), (3, "bable")], "_row_number long, v string")
+    rules = Rules("t", vocabularies=(Vocabulary("v", "v", (), table=words),))
+    judged = judge(df, rules)
+    assert sorted((r["_row_number"], r["kind"]) for r in judged.collect()) == [(1, "ok"), (2, "ok"), (3, "enum")]
+    assert [r["params"]["suggestedValue"] for r in integrity_violations(judged, rules).collect()] == ["able"]
+
+
+def test_a_small_table_of_words_is_indexed_by_many_tasks(spark):
+    """The index has a hundred rows and more for a word, so a file of a few bytes must not be one task's."""
+    words = spark.range(2_000).coalesce(1).selectExpr("concat('word', id) AS word", "id AS ordinal")
+    values = spark.range(2_000).coalesce(1).selectExpr("concat('wrd', id) AS value")
+    seen = []
+    own = vocabulary.cut
+    try:
+        vocabulary.cut = lambda df: seen.append(own(df)) or seen[-1]
+        assert vocabulary.nearest_words(values, words).count() == 2_000
+    finally:
+        vocabulary.cut = own
+    assert [x.rdd.getNumPartitions() for x in seen] == [8, 8]
