@@ -29,7 +29,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one document of each group of near copies (five-word Jaccard similarity 0.8 or more); of rows that repeat a doc_id and its text one stays."""
+    """docs with one document of each group of near copies (SimHash, then MinHash bands; links have a five-word Jaccard similarity of 0.8 or more); of rows that repeat a doc_id and its text one stays."""
     return near_copies.keep_one(docs)
 
 
@@ -46,7 +46,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("simhash_near_dedup", keep_one_of_near_copies), ("benchmark_decontamination", drop_contaminated), ("best_fit_packing", pack)]
 
-#: A fitted model, MinHash bands and a tokenizer have no SQL.
+#: A fitted model, SimHash and MinHash bands and a tokenizer have no SQL.
 ORACLE_SQL = None
 
 

@@ -1,12 +1,15 @@
 """Near copies by the exact Jaccard similarity of their sets of five-word shingles.
 
-Candidates come from MinHash bands: two sets of similarity s meet in one of
+The first candidates come from SimHash: five-word fingerprints that differ in at
+most three bits, found by the ball hashing of ``simhash``. That joins texts with
+few edits; at a similarity of 0.8 fingerprints differ in some 9.7 bits, so it
+can't reach all. The others come from MinHash bands: two sets of similarity s meet in one of
 ``BANDS`` bands of ``ROWS`` minima with probability 1 - (1 - s^ROWS)^BANDS, that
 is 99.995 % at 0.8 and more above. Every link is verified on the whole sets, of
 hashes of 64 bits, so nothing less similar is linked. Texts of equal sets are
 one node from the start.
 
-Buckets are first resolved by stars, which cost a multiple of their rows: a
+Buckets of bands are first resolved by stars, which cost a multiple of their rows: a
 bucket names the member with the most company in all its buckets, and every
 member is verified against at most ``STARS`` of those named in its buckets. That
 joins most of a large group of copies. Shingles that no other set still apart
@@ -30,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import checkpoint, fresh, sliced, text_or_empty
 from .components import components
 
@@ -72,16 +76,18 @@ def version() -> Column:
 
 
 def _prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, node, n, keys) for each row: a hash of its text, the name of its set, the set's size and its bands."""
+    """(doc_id, version, fp, node, n, keys) for each row: a hash of its text, its fingerprint, the name of its set, the set's size and its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            columns = [pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), *columns], ["doc_id", "version", "node", "n", "keys"])
+            texts = batch.column("text").to_pylist()
+            sets = [shingles(t) for t in texts]
+            fps = np.array([simhash.fingerprint(t, WORDS) for t in texts], np.uint64).view(np.int64)
+            columns = [pa.array(fps), pa.array([_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), *columns], ["doc_id", "version", "fp", "node", "n", "keys"])
 
     slim = docs.select("doc_id", version().alias("version"), text_or_empty().alias("text"))
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, version long, node long, n int, keys array<long>")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, version long, fp long, node long, n int, keys array<long>")
 
 
 def _sets(docs: DataFrame, prints: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -97,6 +103,16 @@ def _sets(docs: DataFrame, prints: DataFrame, nodes: DataFrame) -> DataFrame:
     return checkpoint(texts.mapInArrow(run, "node long, own array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
 
+def _alike(prints: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b: nodes whose fingerprints differ in few bits. All of a fingerprint are paired with its least node, and the least ones of near fingerprints."""
+    of = checkpoint(prints.filter("n > 0").select("fp", "node").distinct())
+    least = checkpoint(of.groupBy("fp").agg(F.min("node").alias("least")))
+    same = of.join(least, "fp").filter("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    a, b = (least.select(F.col("fp").alias(x), F.col("least").alias(f"least_{x}")) for x in "ab")
+    near = simhash.links(least).join(a, "a").join(b, "b").select(F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b"))
+    return checkpoint(same.union(near.filter("a < b")).distinct())
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose sets have the similarity or more."""
     a, b = (sets.select(F.col("node").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
@@ -196,8 +212,10 @@ def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     rows = checkpoint(nodes.select("node", "n", F.posexplode("keys").alias("band", "key")))
     full = checkpoint(rows.groupBy("band", "key").agg(F.count("node").alias("size")).filter("size > 1"))
     members = checkpoint(rows.join(full, ["band", "key"]).select("band", "key", "size", "node", "n"))
-    sets = _sets(docs, prints, checkpoint(members.select("node").distinct()))
-    found = _similar(checkpoint(_stars(members)), sets)
+    alike = _alike(prints)
+    named = members.select("node").union(alike.select("a")).union(alike.select("b"))
+    sets = _sets(docs, prints, checkpoint(named.distinct()))
+    found = _similar(checkpoint(_stars(members).union(alike).distinct()), sets)
     rooted = checkpoint(members.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")))
     live = checkpoint(_open(_sifted(_open(rooted), sets)))
     more = _compared(live.filter(F.col("size") <= LIST), sets)

@@ -103,3 +103,23 @@ def test_near_dedup_links_all_of_similarity_four_fifths(spark, monkeypatch, at_o
     assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()} == dict(enumerate(root))
     left = {r["doc_id"] for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()}
     assert left == set(root) and len(left) < len(texts) / 2
+
+
+def test_near_dedup_runs_simhash_and_verifies_its_links(spark, monkeypatch):
+    """Without the bands, fingerprints at most three bits apart alone link copies with an edited word; nothing less similar."""
+    rng = random.Random(5)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(800)) for _ in range(6)]
+    texts = [t for b in base for t in (b, b + " more", "else " + b, b + " " + b)]
+    prints = [near_copies.simhash.fingerprint(t, 5) for t in texts]
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = list(range(len(texts)))
+    for i, j in pairs:
+        a, b = sorted((root[i], root[j]))
+        root = [a if r == b else r for r in root]
+    assert len(set(root)) < len(texts)
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(near_copies, "_stars", lambda members: none)
+    monkeypatch.setattr(near_copies, "_compared", lambda rows, sets: none)
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()} == dict(enumerate(root))
