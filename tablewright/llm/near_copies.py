@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import checkpoint, fresh, sliced, text_or_empty
+from .common import checkpoint, fresh, release, sliced, text_or_empty
 from .components import components
 
 WORDS = 5
@@ -206,18 +206,39 @@ def _prefixes(large: DataFrame, sets: DataFrame) -> DataFrame:
     return checkpoint(first.filter("own.often > 1").select(F.lit(0).alias("band"), "own.key", "node", "n", "root"))
 
 
-def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes of prints that join all candidates of the similarity or more."""
+def _members(prints: DataFrame) -> DataFrame:
+    """(band, key, size, node, n) of the bands' buckets of more than one set."""
     nodes = prints.filter("n > 0").dropDuplicates(["node"])
     rows = checkpoint(nodes.select("node", "n", F.posexplode("keys").alias("band", "key")))
     full = checkpoint(rows.groupBy("band", "key").agg(F.count("node").alias("size")).filter("size > 1"))
-    members = checkpoint(rows.join(full, ["band", "key"]).select("band", "key", "size", "node", "n"))
+    return checkpoint(rows.join(full, ["band", "key"]).select("band", "key", "size", "node", "n"))
+
+
+def _rooted(members: DataFrame, found: DataFrame) -> DataFrame:
+    """members with root, the component that the links found join a node to."""
+    return checkpoint(members.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+
+def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Edges (a, b) between nodes of prints that join all candidates of the similarity or more.
+
+    Each step's shuffles and checkpoints are released after it, so that the disk
+    holds one step's at a time and not all.
+    """
+    spark = docs.sparkSession
+    members = _members(prints)
+    release(spark)
     alike = _alike(prints)
+    release(spark)
     named = members.select("node").union(alike.select("a")).union(alike.select("b"))
     sets = _sets(docs, prints, checkpoint(named.distinct()))
+    release(spark)
     found = _similar(checkpoint(_stars(members).union(alike).distinct()), sets)
-    rooted = checkpoint(members.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    release(spark)
+    rooted = _rooted(members, found)
+    release(spark)
     live = checkpoint(_open(_sifted(_open(rooted), sets)))
+    release(spark)
     more = _compared(live.filter(F.col("size") <= LIST), sets)
     large = live.filter(F.col("size") > LIST)
     if not large.isEmpty():
@@ -235,7 +256,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     rows: no rows. Other columns of docs are not carried.
     """
     prints = checkpoint(_prints(docs))
-    roots = components(links(docs, prints))
+    found = links(docs, prints)
+    release(docs.sparkSession)
+    roots = components(found)
+    release(docs.sparkSession)
     first = prints.groupBy("node").agg(F.min("doc_id").alias("first"))
     named = checkpoint(first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))

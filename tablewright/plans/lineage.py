@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import posixpath
 import re
 import tempfile
@@ -32,6 +33,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of frames that nothing refers to any more.
+
+    Its cleaner acts on what the driver's garbage collection finds, and a driver
+    with memory to spare may not collect in the whole of a job of many rounds.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def staged(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
     """df, written once as Parquet to the shared folder, so that later scans read only the columns they use. Its path is added to made, for removed()."""
     path = folder(df.sparkSession, name)

@@ -123,3 +123,30 @@ def test_near_dedup_runs_simhash_and_verifies_its_links(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "_compared", lambda rows, sets: none)
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()} == dict(enumerate(root))
+
+
+def test_near_dedup_gives_back_the_disk_of_its_steps(spark, monkeypatch):
+    """After each step, few of the shuffles that it wrote are left."""
+    import re
+    import time
+
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffles = lambda: {int(m[1]) for d in folders for f in Path(d).rglob("shuffle_*") if (m := re.match(r"shuffle_(\d+)_", f.name))}
+    spark.range(8).groupBy("id").count().collect()
+    before, left, give_back = max(shuffles(), default=-1), [], near_copies.release
+
+    def release(session):
+        give_back(session)
+        for _ in range(20):  # the cleaner has a thread of its own
+            own = sum(k > before for k in shuffles())
+            if own < 20:
+                break
+            time.sleep(0.5)
+        left.append(own)
+
+    monkeypatch.setattr(near_copies, "release", release)
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join([*base[: 7 * k], f"x{k}", *base[7 * k :]]) for k in range(20)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["component_id"] for r in near_copies.near_copies(docs).collect()} == {0}
+    assert len(left) > 5 and max(left) < 20
