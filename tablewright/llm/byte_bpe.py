@@ -8,11 +8,13 @@ literal of the plan: an array of small maps, dealt by the piece's checksum, so
 that a look-up reads one short map. A word that has a rank itself is that id.
 
 The fold runs once for each of the ``KNOWN`` most frequent distinct words of
-the corpus (all are counted), whose ids are sent to the tasks; in a document
-the words that aren't among them are folded where they stand, so nothing is
-shuffled but words and their counts, whatever the size of the vocabulary that
-a corpus has. The fold is quadratic in a word's length: words of more than
-``FOLDED`` bytes are merged in the same order by a heap of ranks instead.
+the corpus (all are counted), whose ids are sent to the tasks. A word that isn't
+among them is put together from the beginning of one and the end of another
+(``joined``) where it is known from yet another that the fold leaves the seam;
+the other words are folded where they stand, so nothing is shuffled but words
+and their counts, whatever the size of the vocabulary that a corpus has. The
+fold is quadratic in a word's length: words of more than ``FOLDED`` bytes are
+merged in the same order by a heap of ranks instead.
 
 Decoding looks the ids' pieces up in a literal array and joins them.
 """
@@ -37,6 +39,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 BUCKETS = 65_536
 KNOWN = 262_144
 FOLDED = 64
+CUTS = 2 * KNOWN
 NONE = 2**31 - 1
 
 
@@ -157,6 +160,47 @@ def frequent_words(docs: DataFrame, known: int = KNOWN, ranks: str = RANKS) -> d
     return {w: values[a:b] for w, a, b in zip(found.column("word").to_pylist(), edges[:-1].tolist(), edges[1:].tolist())}
 
 
+def cuts(known: dict[str, bytes], ranks: dict[bytes, int], most: int = CUTS) -> tuple[dict[bytes, bytes], dict[bytes, bytes], set[bytes]]:
+    """The beginnings and ends of folded words, cut between two of their pieces, with their ids; and all two ids side by side in a word.
+
+    The fold of such a part is the part of the fold: what it merges in the word
+    on one side of a place that is never merged across doesn't depend on the
+    other side. Words of one id are left out, as they may be ids without any
+    merge. There are some most parts, so that words of many pieces don't fill
+    the memory; words that lack one are folded.
+    """
+    sizes = {k: len(piece) for piece, k in ranks.items()}
+    heads, tails, seams = {}, {}, set()
+    for word, ids in known.items():
+        if len(heads) + len(tails) >= most:
+            break
+        if len(ids) > 4:
+            raw, at = word.encode(), 0
+            for k, own in enumerate(np.frombuffer(ids, "<i4")[:-1].tolist(), 1):
+                at += sizes[own]
+                heads.setdefault(raw[:at], ids[: 4 * k])
+                tails.setdefault(raw[at:], ids[4 * k :])
+                seams.add(ids[4 * k - 4 : 4 * k + 4])
+    return heads, tails, seams
+
+
+def joined(word: bytes, heads: dict[bytes, bytes], tails: dict[bytes, bytes], seams: set[bytes]) -> bytes | None:
+    """The ids of a word without a rank of its own, from a head and a tail whose ids at the seam are known to stay apart; None if there are no such two.
+
+    The first merge across a seam would be of pieces within the two ids beside
+    it, at a time when it has the least rank of all. Merges within the two ids
+    come in the same order in every word that holds them, so it would come in
+    the word, too, that the seam is known from.
+    """
+    for at in range(len(word) - 1, 0, -1):
+        head = heads.get(word[:at])
+        if head is not None:
+            tail = tails.get(word[at:])
+            if tail is not None and head[-4:] + tail[:4] in seams:
+                return head + tail
+    return None
+
+
 def encode(docs: DataFrame, known: int = KNOWN, ranks: str = RANKS) -> DataFrame:
     """docs with ids (array<int>), the tokens of text without special ones.
 
@@ -167,7 +211,8 @@ def encode(docs: DataFrame, known: int = KNOWN, ranks: str = RANKS) -> DataFrame
     import regex
 
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent_words(docs, known, ranks))  # at most known words of at most FOLDED bytes
+    folded = frequent_words(docs, known, ranks)
+    shared = spark.sparkContext.broadcast((folded, *cuts(folded, ranks_of(ranks))))  # of at most known words of at most FOLDED bytes
     rows = docs.drop("ids")
     own, parts = fresh(rows, "words_text"), fresh(rows, "words_parts")
     plain = rows.toDF(*[f"c{k}" for k in range(len(rows.columns))]).withColumn("words_text", text_or_empty(f"c{rows.columns.index('text')}"))
@@ -176,8 +221,8 @@ def encode(docs: DataFrame, known: int = KNOWN, ranks: str = RANKS) -> DataFrame
     split = pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = regex.compile(split), shared.value.get
-        table = None
+        words, (folded, *own_cuts) = regex.compile(split), shared.value
+        known, table = folded.get, ranks_of(ranks)
         for batch in sliced(batches):
             counts, sizes, ids, missing = [0], [0], [], []
             for text in batch.column("words_text").to_pylist():
@@ -187,9 +232,14 @@ def encode(docs: DataFrame, known: int = KNOWN, ranks: str = RANKS) -> DataFrame
                 for k in [*lost, len(codes)]:
                     own = b"".join(codes[start:k])
                     word = found[k] if k < len(codes) else None
-                    if word is not None and len(raw := word.encode()) > FOLDED:
-                        table = table or ranks_of(ranks)
-                        own, word = own + np.array(merge(raw, table), "<i4").tobytes(), None
+                    if word is not None:
+                        raw = word.encode()
+                        if len(raw) > FOLDED:
+                            more = np.array(merge(raw, table), "<i4").tobytes()
+                        else:
+                            more = None if raw in table else joined(raw, *own_cuts)
+                        if more is not None:
+                            own, word = own + more, None
                     ids.append(own)
                     sizes.append(len(own) // 4)
                     missing.append(word)
@@ -219,8 +269,9 @@ def _piece_literal(name: str) -> str:
 def decode(ids: Column, ranks: str = RANKS) -> Column:
     """The bytes that ids stand for, their pieces joined; null where an id is null or has no piece."""
     pieces = F.from_json(F.lit(_piece_literal(ranks)), "array<string>")
-    found = F.transform(ids, lambda k: F.get(pieces, k))
-    return F.when(~F.exists(found, lambda p: p.isNull()), F.encode(F.array_join(found, ""), "ISO-8859-1"))
+    least, most = (F.coalesce(of(ids), F.lit(0)) for of in (F.array_min, F.array_max))
+    known = ~F.array_contains(ids, F.lit(-1)) & (least >= 0) & (most <= max(ranks_of(ranks).values()))  # null if an id is
+    return F.when(known, F.encode(F.array_join(F.transform(ids, lambda k: F.get(pieces, k)), ""), "ISO-8859-1"))
 
 
 def digest(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:

@@ -215,3 +215,49 @@ def test_the_heap_merges_as_the_fold(library):
     for _ in range(500):
         word = bytes(rng.choice(b"abcdefghij etaoinshr\xc3\xa9") for _ in range(rng.randrange(1, 80)))
         assert byte_bpe.merge(word, ranks) == library._core_bpe.encode_single_piece(word)
+
+
+def ids_of(words, ranks):
+    return {w: np.array(byte_bpe.merge(w.encode(), ranks), "<i4").tobytes() for w in words}
+
+
+def test_words_joined_from_parts_equal_the_library(library):
+    """Most rare words need no fold of their own, and none that is joined differs."""
+    rng, ranks = random.Random(5), byte_bpe.ranks_of(byte_bpe.RANKS)
+    syllables = ["the", "tion", "ing", "é", "ón", "ü", "that", "er", "en", "ß", "que", "and", "ly", "ou", "eux", "日本"]
+    words = {" " * rng.randrange(2) + "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5))) for _ in range(30_000)}
+    words = sorted(words)
+    rng.shuffle(words)
+    parts = byte_bpe.cuts(ids_of(words[:3000], ranks), ranks)
+    rare = [w.encode() for w in words[3000:] if w.encode() not in ranks]
+    found = {w: byte_bpe.joined(w, *parts) for w in rare}
+    assert sum(ids is not None for ids in found.values()) > 0.7 * len(rare)
+    for w, ids in found.items():
+        assert ids is None or np.frombuffer(ids, "<i4").tolist() == library._core_bpe.encode_single_piece(w)
+
+
+def test_joined_words_are_exact_with_ranks_in_any_order():
+    """Ranks that no training gives: ids that no merges reach, longer pieces before their parts, equal neighbours."""
+    rng, joined = random.Random(8), 0
+    for _ in range(60):
+        pieces = {"".join(rng.choice("abc") for _ in range(rng.randrange(2, 6))).encode() for _ in range(rng.randrange(2, 40))}
+        pieces = [b"a", b"b", b"c", *pieces]
+        rng.shuffle(pieces)
+        ranks = {p: k for k, p in enumerate(pieces)}
+        words = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(400)}
+        words = sorted(words)
+        parts = byte_bpe.cuts(ids_of(rng.sample(words, 80), ranks), ranks)
+        for w in map(str.encode, words):
+            if w not in ranks and (ids := byte_bpe.joined(w, *parts)) is not None:
+                joined += 1
+                assert np.frombuffer(ids, "<i4").tolist() == byte_bpe.merge(w, ranks)
+    assert joined > 1000
+    assert byte_bpe.joined(b"ab", {}, {}, set()) is None and byte_bpe.joined(b"", *parts) is None
+
+
+def test_parts_of_long_words_stay_few():
+    rng, ranks = random.Random(9), byte_bpe.ranks_of(byte_bpe.RANKS)
+    known = ids_of({"".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(21)) for _ in range(200)}, ranks)
+    heads, tails, seams = byte_bpe.cuts(known, ranks, 500)
+    assert 500 <= len(heads) + len(tails) < 500 + 2 * byte_bpe.FOLDED and len(seams) <= 500
+    assert sum(map(len, byte_bpe.cuts(known, ranks)[:2])) > 5000
