@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut as checkpoint
 from ..plans.lineage import release
 from ..plans.lineage import shared as checkpoint_dir
+from ..plans.lineage import shuffled
 
-__all__ = ["checkpoint", "checkpoint_dir", "fresh", "kept_rows", "partitions", "release", "remove", "sliced", "table", "text_or_empty"]
+__all__ = ["checkpoint", "checkpoint_dir", "fresh", "kept_rows", "partitions", "release", "remove", "shuffled", "sliced", "table", "text_or_empty"]
 
 #: Texts that a task holds as Python values at a time.
 SLICE = 512

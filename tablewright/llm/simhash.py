@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions, sliced, text_or_empty
+from .common import checkpoint, partitions, shuffled, sliced, text_or_empty
 from .components import components
 
 DISTANCE = 3
@@ -124,7 +124,7 @@ def _part(piece: int, mask: int) -> Callable[[Column], Column]:
 def _met(rows: DataFrame, bucket: list[str], flips: str) -> DataFrame:
     """rows of buckets that are the own value of one fingerprint and met by another, with n. Two that meet by flips of both alone are two bits apart here and meet elsewhere."""
     met = rows.groupBy(*bucket).agg(F.count("fp").alias("n"), F.min(flips).alias("own")).filter("n > 1 and own = 0").drop("own")
-    return rows.join(met, bucket)
+    return shuffled(rows).join(met, bucket)  # rows are 66 for each fingerprint, sized as one
 
 
 def _listed(rows: DataFrame, bucket: list[str], own: Column) -> DataFrame:
@@ -147,7 +147,7 @@ def _balls(rows: DataFrame) -> DataFrame:
     ball = balls[0].unionByName(balls[1]).unionByName(balls[2]).unionByName(balls[3])
     least = ball.groupBy("word").agg(F.min(F.when(F.col("flips") <= 1, F.col("fp"))).alias("a"), F.min("fp").alias("low"), F.max("fp").alias("high"))
     least = least.filter("a is not null and low <> high").select("word", "a")
-    return ball.select("word", F.col("fp").alias("b")).join(least, "word").filter("a <> b").select("a", "b")
+    return shuffled(ball.select("word", F.col("fp").alias("b"))).join(least, "word").filter("a <> b").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:

@@ -33,6 +33,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, which Spark doesn't broadcast in a join, whatever size it takes it for.
+
+    For what an explode makes it takes the size of what goes in, and for an array
+    that of one element, so it would send a table to the driver that is many
+    times its limit.
+    """
+    return df.hint("merge")
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files and checkpoints of frames that nothing refers to any more.
 
