@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh, text_or_empty
+from .common import checkpoint, fresh, shuffled, text_or_empty
 
 MIN_WORDS = 50
 SENT_BYTES = 32 << 20  # of the places to delete; up to so much is sent to the tasks
@@ -77,22 +77,25 @@ def _ranked(keys: DataFrame) -> DataFrame:
 
 
 def intervals(segments: DataFrame, runs: DataFrame) -> DataFrame:
-    """runs (seg, i, n) with depth n and ranks a and b that name the interval of suffixes which share their first n lines."""
+    """runs (seg, i, n) with depth n and ranks a and b that name the interval of suffixes which share their first n lines.
+
+    No suffixes are broadcast: one plan joins them twice for each level, and the driver would hold all of these at once.
+    """
     lines = segments.select("seg", F.posexplode("ids").alias("i", "id")).select("seg", "i", "id.h", "id.g")
-    suffixes = checkpoint(lines.join(_ranked(lines.select("h", "g")), ["h", "g"]).select("seg", "i", "rank"))
+    suffixes = checkpoint(shuffled(lines).join(_ranked(lines.select("h", "g")), ["h", "g"]).select("seg", "i", "rank"))
     longest = runs.agg(F.max("n")).first()[0] or 0
     reach, out = 1, None
     while reach <= longest:
         own = runs.filter((F.col("n") >= reach) & (F.col("n") < 2 * reach))
-        here = own.join(suffixes.withColumnRenamed("rank", "a"), ["seg", "i"])
+        here = own.join(shuffled(suffixes.withColumnRenamed("rank", "a")), ["seg", "i"])
         there = suffixes.select("seg", F.col("i").alias("last"), F.col("rank").alias("b"))
-        level = here.withColumn("last", F.col("i") + F.col("n") - reach).join(there, ["seg", "last"]).select("seg", "i", "n", "a", "b")
+        level = here.withColumn("last", F.col("i") + F.col("n") - reach).join(shuffled(there), ["seg", "last"]).select("seg", "i", "n", "a", "b")
         out = level if out is None else out.unionByName(level)
         if 2 * reach <= longest:
             onward = Window.partitionBy("seg").orderBy("i")
             pairs = suffixes.withColumn("after", F.coalesce(F.lead("rank", reach).over(onward), F.lit(-1)))
             ranked = _ranked(pairs.select("rank", "after").withColumnRenamed("rank", "first"))
-            suffixes = checkpoint(pairs.withColumnRenamed("rank", "first").join(ranked, ["first", "after"]).select("seg", "i", "rank"))
+            suffixes = checkpoint(shuffled(pairs.withColumnRenamed("rank", "first")).join(ranked, ["first", "after"]).select("seg", "i", "rank"))
         reach *= 2
     return out if out is not None else runs.withColumns({"a": F.lit(0).cast("long"), "b": F.lit(0).cast("long")})
 

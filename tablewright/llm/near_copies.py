@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import checkpoint, fresh, release, sliced, text_or_empty
+from .common import checkpoint, fresh, release, shuffled, sliced, text_or_empty
 from .components import components
 
 WORDS = 5
@@ -91,7 +91,7 @@ def _prints(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, prints: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, own array<long>) of nodes; only texts of documents that stand for one are sent."""
+    """(node, own array<long>) of nodes, never broadcast; only texts of documents that stand for one are sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -100,7 +100,7 @@ def _sets(docs: DataFrame, prints: DataFrame, nodes: DataFrame) -> DataFrame:
 
     ids = checkpoint(prints.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("wanted")).select("wanted").distinct())
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["wanted"]), "left_semi").select(text_or_empty().alias("text"))
-    return checkpoint(texts.mapInArrow(run, "node long, own array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    return shuffled(checkpoint(texts.mapInArrow(run, "node long, own array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"])))
 
 
 def _alike(prints: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def _alike(prints: DataFrame) -> DataFrame:
     least = checkpoint(of.groupBy("fp").agg(F.min("node").alias("least")))
     same = of.join(least, "fp").filter("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
     a, b = (least.select(F.col("fp").alias(x), F.col("least").alias(f"least_{x}")) for x in "ab")
-    near = simhash.links(least).join(a, "a").join(b, "b").select(F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b"))
+    near = shuffled(simhash.links(least)).join(a, "a").join(b, "b").select(F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b"))
     return checkpoint(same.union(near.filter("a < b")).distinct())
 
 
@@ -211,7 +211,7 @@ def _members(prints: DataFrame) -> DataFrame:
     nodes = prints.filter("n > 0").dropDuplicates(["node"])
     rows = checkpoint(nodes.select("node", "n", F.posexplode("keys").alias("band", "key")))
     full = checkpoint(rows.groupBy("band", "key").agg(F.count("node").alias("size")).filter("size > 1"))
-    return checkpoint(rows.join(full, ["band", "key"]).select("band", "key", "size", "node", "n"))
+    return checkpoint(shuffled(rows).join(full, ["band", "key"]).select("band", "key", "size", "node", "n"))
 
 
 def _rooted(members: DataFrame, found: DataFrame) -> DataFrame:
