@@ -10,7 +10,8 @@ by up to two deletions. Long words are cut in three instead: two edits leave at
 least one part as it was, at most two places from where it stood. Only 64-bit
 hashes of keys and texts are sent and met; each pair of candidates is joined with
 its texts once, so that hashes which collide lose nothing, and verified by its
-edit distance. Of equally near words the first counts.
+edit distance. Of equally near words the first counts. Words within one edit are
+looked for first, among far fewer keys; only values that have none go on to two.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans import lineage
+from ..plans.lineage import cut, shuffled
 
 EDITS = 2
 SHORT = 32  # the longest words whose deletions are indexed
@@ -35,18 +37,18 @@ def words_table(spark: SparkSession, words: Sequence[str]) -> DataFrame:
 
 
 def sized(words: DataFrame) -> DataFrame:
-    """The different words, marked to be broadcast if they are small."""
+    """The different words, marked to be broadcast if they are small, and not to be if they aren't, as Spark may take a compressed file for the size of its words."""
     words = words.select("word").distinct()
     size = words.agg(F.sum(F.octet_length("word") + 32)).first()[0] or 0
-    return F.broadcast(words) if size <= SENT else words
+    return F.broadcast(words) if size <= SENT else shuffled(words)
 
 
-def _deletions(text: Column) -> Column:
-    """text and all that up to EDITS deletions leave of it."""
+def _deletions(text: Column, edits: int) -> Column:
+    """text and all that up to so many deletions, 1 or 2, leave of it."""
     none = F.array().cast("array<string>")
     once = lambda s: F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda k: F.concat(F.substring(s, F.lit(1), k - 1), F.substring(s, k + 1, F.length(s))))).otherwise(none)
     first = F.array_distinct(once(text))
-    return F.array_distinct(F.concat(F.array(text), first, F.flatten(F.transform(first, once))))
+    return F.array_distinct(F.concat(F.array(text), first, *([F.flatten(F.transform(first, once))] if edits > 1 else [])))
 
 
 def _parts(text: Column, length: Column, moves: Sequence[int]) -> list[Column]:
@@ -56,18 +58,26 @@ def _parts(text: Column, length: Column, moves: Sequence[int]) -> list[Column]:
     return [F.concat_ws(":", length, F.lit(k), F.substring(text, starts[k] + 1 + m, sizes[k])) for k in range(3) for m in moves if k or m >= 0]
 
 
+def _within(own: DataFrame, words: DataFrame, edits: int) -> DataFrame:
+    """(value, nearest) of own (value, asks) that have words (word, ordinal, has) within so many edits. Nothing is broadcast, as a text has some hundred keys that Spark sizes as one."""
+    hashed = lambda keys: F.explode(F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))).alias("key")
+    short = words.filter(F.length("word") <= SHORT).select("has", hashed(_deletions(F.col("word"), edits)))
+    asked = own.filter(F.length("value") <= SHORT + edits).select("asks", hashed(_deletions(F.col("value"), edits)))
+    long = words.filter(F.length("word") > SHORT).select("has", hashed(F.array(*_parts(F.col("word"), F.length("word"), [0]))))
+    around = range(-edits, edits + 1)
+    keys = F.array(*[k for d in around for k in _parts(F.col("value"), F.length("value") + d, list(around))])
+    asked_long = own.filter(F.length("value") > SHORT - edits).select("asks", hashed(keys))
+    met = [shuffled(asked).join(short, "key").select("asks", "has"), shuffled(asked_long).join(long, "key").select("asks", "has")]
+    pairs = shuffled(met[0].unionByName(met[1]).distinct()).join(own, "asks").join(shuffled(words), "has")
+    near = pairs.select("value", F.struct(F.levenshtein("value", "word", edits).alias("edits"), "ordinal", "word").alias("own")).filter("own.edits >= 0")
+    return near.groupBy("value").agg(F.min("own").alias("own")).select("value", F.col("own.word").alias("nearest"))
+
+
 def nearest_words(values: DataFrame, words: DataFrame) -> DataFrame:
     """(value, nearest) of the different values that have a word within EDITS edits, the nearest one, and of equally near ones the first. values: a column value; words: (word, ordinal). Nulls have none."""
     tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else the few bytes of all words meet in a task that writes some hundred rows for each
     own = cut(values.filter("value is not null").select("value").distinct().withColumn("asks", F.xxhash64("value")).repartition(tasks, "asks"))
     words = cut(words.groupBy("word").agg(F.min("ordinal").alias("ordinal")).withColumn("has", F.xxhash64("word")).repartition(tasks, "has"))
-    hashed = lambda keys: F.explode(F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))).alias("key")
-    short = words.filter(F.length("word") <= SHORT).select("has", hashed(_deletions(F.col("word"))))
-    asked = own.filter(F.length("value") <= SHORT + EDITS).select("asks", hashed(_deletions(F.col("value"))))
-    long = words.filter(F.length("word") > SHORT).select("has", hashed(F.array(*_parts(F.col("word"), F.length("word"), [0]))))
-    around = range(-EDITS, EDITS + 1)
-    keys = F.array(*[k for d in around for k in _parts(F.col("value"), F.length("value") + d, list(around))])
-    asked_long = own.filter(F.length("value") > SHORT - EDITS).select("asks", hashed(keys))
-    met = asked.join(short, "key").select("asks", "has").unionByName(asked_long.join(long, "key").select("asks", "has")).distinct()
-    edits = met.join(own, "asks").join(words, "has").select("value", F.struct(F.levenshtein("value", "word", EDITS).alias("edits"), "ordinal", "word").alias("own")).filter("own.edits >= 0")
-    return edits.groupBy("value").agg(F.min("own").alias("own")).select("value", F.col("own.word").alias("nearest"))
+    close = lineage.cut(_within(own, words, 1))
+    rest = own.join(close.select("value"), "value", "left_anti").repartition(tasks, "asks")
+    return close.unionByName(_within(lineage.cut(rest), words, EDITS))

@@ -100,3 +100,20 @@ def test_a_small_table_of_words_is_indexed_by_many_tasks(spark):
     finally:
         vocabulary.cut = own
     assert [x.rdd.getNumPartitions() for x in seen] == [8, 8]
+
+
+def test_neither_keys_nor_many_words_are_broadcast(spark, monkeypatch):
+    """Spark sizes an explode as what goes into it, so it would send the keys of some 50,000 words, millions of rows, to the driver."""
+    words = spark.range(300).selectExpr("concat('word', id) AS word", "id AS ordinal")
+    values = spark.range(300).selectExpr("IF(id % 2 = 0, concat('wrd', id), concat('wxrxd', id)) AS value")
+    near = vocabulary.nearest_words(values, words)
+    assert {r["nearest"] for r in near.filter("value like 'wrd%'").collect()} == {f"word{k}" for k in range(0, 300, 2)}
+    near.collect()
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    monkeypatch.setattr(vocabulary, "SENT", 0)
+    rules = Rules("t", vocabularies=(Vocabulary("v", "v", (), table=words),))
+    judged = judge(values.selectExpr("1L AS _row_number", "value AS v"), rules)
+    assert judged.filter("kind = 'enum'").count() == 300
+    judged.collect()
+    assert "BroadcastHashJoin" not in judged._jdf.queryExecution().executedPlan().toString()
